@@ -67,9 +67,9 @@ def _rolling_sql(columns):
 
 
 @query("prior_rolling_aggregates", "W3", with_entrants(
-    f"SELECT {K}, {_rolling_sql(['finish_position', 'last_3f_time', 'prize_money'])} FROM entrants"))
+    f"SELECT {K}, {_rolling_sql(['finish_position', 'prize_money'])} FROM entrants"))
 def prior_rolling_aggregates(spark, sf):
-    columns = ["finish_position", "last_3f_time", "prize_money"]
+    columns = ["finish_position", "prize_money"]
     out = _history(spark, sf, columns, timeline.rolling(columns, _WINDOWS, _AGGS))
     names = [c for c in out.columns if c.startswith("past_")]
     return out.select(*KEY, *[F.round(F.col(c).cast("double"), 5).alias(c) for c in names])

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,18 +17,19 @@ from raceflow import skew
 @dataclass
 class Spec:
     """Running sums (``totals``), bounded frames, and columns computed from both in
-    two stages (``derived``, then ``final``). Names starting with ``_`` are dropped."""
+    stages (``derived``, ``refined``, ``final``). Names starting with ``_`` are dropped."""
 
     totals: dict[str, Column] = field(default_factory=dict)
     frames: dict[str, Callable] = field(default_factory=dict)
     lookback: int = 0
     derived: dict[str, Column] = field(default_factory=dict)
+    refined: dict[str, Column] = field(default_factory=dict)
     final: dict[str, Column] = field(default_factory=dict)
 
     def __add__(self, other: Spec) -> Spec:
         return Spec({**self.totals, **other.totals}, {**self.frames, **other.frames},
                     max(self.lookback, other.lookback), {**self.derived, **other.derived},
-                    {**self.final, **other.final})
+                    {**self.refined, **other.refined}, {**self.final, **other.final})
 
 
 def start_count(name: str = "career_starts") -> Spec:
@@ -51,9 +51,9 @@ def prior_rate(name: str, hit: Column) -> Spec:
 def rolling(columns: Sequence[str], windows: Sequence[int], aggs: Sequence[str]) -> Spec:
     """``past_{w}_{column}_{agg}`` over the last ``w`` rows before this one, NULLs ignored.
 
-    The last max(windows) values are fetched once per column with ``lag`` and every
-    aggregate is arithmetic on them, which stays in generated code; one sliding
-    frame per (window, aggregate) re-aggregates each row several times as slowly.
+    One frame per column gathers the last max(windows) values; every window and
+    aggregate is then an array expression on that short list. A sliding frame per
+    (window, aggregate) would re-aggregate each row many times over.
     """
     unknown = set(aggs) - set(_OF_VALUES)
     if unknown:
@@ -61,47 +61,30 @@ def rolling(columns: Sequence[str], windows: Sequence[int], aggs: Sequence[str])
     depth = max(windows)
     spec = Spec(lookback=depth)
     for c in columns:
-        for i in range(1, depth + 1):
-            spec.frames[f"_{c}_{i}"] = lambda over, c=c, i=i: F.lag(F.col(c).cast("double"), i).over(over)
+        last = f"_last_{c}"
+        spec.frames[last] = lambda over, c=c: F.collect_list(
+            F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))).over(over.rowsBetween(-depth, -1))
         for w in windows:
-            values = [F.col(f"_{c}_{i}") for i in range(1, w + 1)]
-            n, mean, ordered = f"_n_{w}_{c}", f"_mean_{w}_{c}", f"_ordered_{w}_{c}"
-            count = _total([v.isNotNull().cast("int") for v in values])
-            spec.derived[n] = count
-            spec.derived[mean] = F.try_divide(_total([F.coalesce(v, F.lit(0.0)) for v in values]), count)
-            if "median" in aggs:
-                spec.derived[ordered] = F.sort_array(F.array_compact(F.array(*values)))
+            held, mean = f"_held_{w}_{c}", f"_mean_{w}_{c}"
+            # present values of the last w rows, smallest first
+            spec.derived[held] = F.expr(
+                f"sort_array(filter(slice({last}, greatest(size({last}) - {w - 1}, 1), {w}), x -> NOT isnan(x)))")
+            spec.refined[mean] = F.expr(f"try_divide({_SUM.format(v=held)}, size({held}))")
             for a in aggs:
-                spec.final[f"past_{w}_{c}_{a}"] = _OF_VALUES[a](values, F.col(n), F.col(mean), ordered)
+                spec.final[f"past_{w}_{c}_{a}"] = F.expr(_OF_VALUES[a].format(v=held, m=mean))
     return spec
 
 
-def _total(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
-def _spread(values, n, mean, ordered):
-    squares = _total([F.coalesce((v - mean) * (v - mean), F.lit(0.0)) for v in values])
-    return F.when(n > 1, F.sqrt(squares / (n - 1)))
-
-
-def _middle(values, n, mean, ordered):
-    lower, upper = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(ordered, lower) + F.get(ordered, upper)) / 2)
-
-
-def _extreme(pick):
-    return lambda values, n, mean, ordered: pick(*values) if len(values) > 1 else values[0]
-
-
-_OF_VALUES: dict[str, Callable] = {
-    "mean": lambda values, n, mean, ordered: mean,
-    "median": _middle,
-    "std": _spread,
-    "max": _extreme(F.greatest),
-    "min": _extreme(F.least),
-    "sum": lambda values, n, mean, ordered: mean * n,
-    "count": lambda values, n, mean, ordered: n,
+_SUM = "aggregate({v}, 0.0D, (total, x) -> total + x)"
+_OF_VALUES = {
+    "mean": "{m}",
+    "median": "(get({v}, (size({v}) - 1) div 2) + get({v}, size({v}) div 2)) / 2",
+    "std": "CASE WHEN size({v}) > 1 THEN "
+           "sqrt(aggregate({v}, 0.0D, (total, x) -> total + (x - {m}) * (x - {m})) / (size({v}) - 1)) END",
+    "max": "get({v}, size({v}) - 1)",
+    "min": "get({v}, 0)",
+    "sum": f"CASE WHEN size({{v}}) > 0 THEN {_SUM} END",
+    "count": "size({v})",
 }
 
 
@@ -126,7 +109,7 @@ def with_history(df: DataFrame, entity: Sequence[str], order, *specs: Spec, hot=
     """Evaluate all ``specs`` over each entity's rows in ``order``."""
     spec = sum(specs, Spec())
     out = skew.history(df, entity, order, spec.totals, spec.frames, spec.lookback, hot)
-    for stage in (spec.derived, spec.final):
+    for stage in (spec.derived, spec.refined, spec.final):
         if stage:
             out = out.withColumns(stage)
     return out.drop(*[c for c in out.columns if c.startswith("_")])

@@ -162,3 +162,32 @@ def _in_race(df: DataFrame, need: set[str], hot: list[tuple]) -> DataFrame:
     if "popularity" in need:
         df = skew.rank_within(df, race, "l_quantity", "popularity", hot=hot)
     return df
+
+
+# Log text built from the events; the same expressions serve Spark and the oracle.
+_LOG_LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARNING' ELSE 'INFO' END"
+_LOG_MESSAGE = """CASE event_id % 12
+  WHEN 0 THEN 'race scraping completed'
+  WHEN 1 THEN concat('race scraping failed: http ', CAST(400 + user_id % 5 AS STRING))
+  WHEN 2 THEN 'shutuba scraping skip'
+  WHEN 3 THEN 'horse scraping success'
+  WHEN 4 THEN 'pedigree scraping error, retrying'
+  WHEN 5 THEN concat('race parsing completed in ', CAST(1 + user_id % 40 AS STRING), '.5 seconds')
+  WHEN 6 THEN 'shutuba parsing failed'
+  WHEN 7 THEN 'horse parsing success'
+  WHEN 8 THEN concat('pedigree parsing error: missing field: column', CAST(user_id % 20 AS STRING))
+  WHEN 9 THEN concat('Scraping ', CAST(1 + user_id AS STRING), ' items in ', CAST(1 + user_id % 7 AS STRING), ' seconds')
+  WHEN 10 THEN concat(CASE user_id % 3 WHEN 0 THEN 'distance' WHEN 1 THEN 'venue' ELSE 'weather' END, ' not found')
+  ELSE concat('pipeline completed in ', CAST(10 + user_id AS STRING), ' seconds') END"""
+LOG_SQL = f"""log AS (SELECT event_id, CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS logged_at,
+  concat('mod', CAST(user_id % 5 AS STRING)) AS module, {_LOG_LEVEL} AS level, {_LOG_MESSAGE} AS message,
+  concat(strftime(ts, '%Y-%m-%d %H:%M:%S,%g'), ' - mod', CAST(user_id % 5 AS STRING), ' - ', {_LOG_LEVEL},
+         ' - ', {_LOG_MESSAGE}) AS line FROM events)"""
+
+
+def log_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """event_id and one log line of text per event."""
+    stamp = "date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS')"
+    return table(spark, sf, "events").selectExpr(
+        "event_id", f"concat({stamp}, ' - mod', CAST(user_id % 5 AS STRING), ' - ', {_LOG_LEVEL}, ' - ', "
+        f"{_LOG_MESSAGE}) AS line")

@@ -220,16 +220,15 @@ def race_number(race_id: Column) -> Column:
     return F.right(race_id, F.lit(2)).try_cast("int")
 
 
-# 2025-01-31 09:02:52,233 - [module -] LEVEL - message
-_LOG = r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2},\d{3})\s+-\s+(?:([^\s]+)\s+-\s+)?(\w+)\s+-\s+(.+)"
-
-
-def log_line(line: Column) -> Column:
-    """Struct of timestamp, module (NULL in the short form), level and message; NULL
-    when the line has another shape."""
-    module = F.regexp_extract(line, _LOG, 2)
-    return F.when(line.rlike(_LOG), F.struct(
-        F.try_to_timestamp(F.regexp_extract(line, _LOG, 1), F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("logged_at"),
-        F.when(module != "", module).alias("module"),
-        F.regexp_extract(line, _LOG, 3).alias("level"),
-        F.trim(F.regexp_extract(line, _LOG, 4)).alias("message")))
+_STAMP = r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2},\d{3})"
+
+
+def log_line(line: Column, with_module: bool = True) -> Column:
+    """``stamp - [module -] LEVEL - message`` as a struct of logged_at, module, level
+    and message; NULL when the line has another shape."""
+    shape = rf"^{_STAMP}\s+-\s+" + (r"(\S+)\s+-\s+" if with_module else "()") + r"(\w+)\s+-\s+(.+)"
+    part = [F.regexp_extract(line, shape, i) for i in range(5)]
+    return F.when(line.rlike(shape), F.struct(
+        F.try_to_timestamp(part[1], F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("logged_at"),
+        F.nullif(part[2], F.lit("")).alias("module"),
+        part[3].alias("level"), F.trim(part[4]).alias("message")))

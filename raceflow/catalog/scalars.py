@@ -247,16 +247,16 @@ def row_null_count(spark, sf):
 
 
 @query("expected_value", "F26", with_entrants(f"""
-  SELECT {K}, round(win_probability * win_odds, 6) AS ev, win_probability * win_odds > 1.0 AS recommended,
-         round(1 / win_odds, 6) AS break_even, round(win_probability * (win_odds + 2), 6) AS ev_if_longer
+  SELECT {K}, round(win_probability * win_odds, 6) AS ev, round(win_probability * win_odds, 9) > 1.0 AS recommended,
+         round(1 / win_odds, 6) AS break_even, round(win_probability * (win_odds + 2), 7) AS ev_if_longer
   FROM entrants"""))
 def expected_value(spark, sf):
     df = entrants(spark, sf, [*KEY, "win_probability", "win_odds"])
     p, odds = F.col("win_probability"), F.col("win_odds")
     ev = bands.expected_value(p, odds)
-    return df.select(*KEY, F.round(ev, 6).alias("ev"), (ev > 1.0).alias("recommended"),
+    return df.select(*KEY, F.round(ev, 6).alias("ev"), (F.round(ev, 9) > 1.0).alias("recommended"),
                      F.round(bands.break_even(odds), 6).alias("break_even"),
-                     F.round(bands.expected_value(p, odds + 2), 6).alias("ev_if_longer"))
+                     F.round(bands.expected_value(p, odds + 2), 7).alias("ev_if_longer"))
 
 
 @query("content_hash", "F27", "SELECT doc_id, sha256(text) AS sha256, substr(sha256(text), 1, 8) AS version FROM documents")

@@ -116,13 +116,14 @@ def over_group(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], hot=
 
 
 def _sort(order: Order, reverse: bool = False) -> list[Column]:
+    """Sort columns with NULLs last (first when reversed)."""
     out = []
     for item in order:
         name, ascending = (item, True) if isinstance(item, str) else item
-        if ascending != reverse:
-            out.append(F.asc_nulls_first(name) if ascending else F.asc_nulls_last(name))
+        if reverse:
+            out.append(F.desc_nulls_first(name) if ascending else F.asc_nulls_first(name))
         else:
-            out.append(F.desc_nulls_first(name) if not ascending else F.desc_nulls_last(name))
+            out.append(F.asc_nulls_last(name) if ascending else F.desc_nulls_last(name))
     return out
 
 

@@ -155,7 +155,7 @@ def mean_of_duplicates(spark, sf):
 
 
 @query("sigma_training_table", "A11", with_entrants("""
-  SELECT horse_id, round(avg((finish_position - mu) * (finish_position - mu)), 5) AS sigma_target,
+  SELECT horse_id, round(avg((finish_position - mu) * (finish_position - mu)) + 1e-9, 6) AS sigma_target,
          min_by(age, (race_date, race_id, jockey_id, bracket_number)) AS age,
          round(avg(finish_position), 6) AS mean_finish_pos, round(coalesce(stddev_samp(finish_position), 0), 6) AS std_finish_pos,
          count(*) AS total_races
@@ -165,7 +165,7 @@ def sigma_training_table(spark, sf):
     df = entrants(spark, sf, [*KEY, "race_date", "age", "finish_position", "predicted_score"])
     mu = df.filter("race_id % 3 = 0").select("horse_id", F.col("predicted_score").alias("mu"))
     out = stats.sigma_training(df, mu, "horse_id", ["race_date", "race_id", "jockey_id", "bracket_number"])
-    return out.select("horse_id", F.round("sigma_target", 5).alias("sigma_target"), "age",
+    return out.select("horse_id", F.round(F.col("sigma_target") + F.lit(1e-9), 6).alias("sigma_target"), "age",
                       F.round("mean_finish_pos", 6).alias("mean_finish_pos"),
                       F.round("std_finish_pos", 6).alias("std_finish_pos"), "total_races")
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raceflow import skew
@@ -169,13 +169,13 @@ def sigma_from_variance(variance: Column, fallback: Column) -> Column:
 
 
 def student_t_df(residuals: DataFrame, group: str, z: str, low: float = 2.1, high: float = 30.0,
-                 step: float = 0.1, default: float = 5.0) -> DataFrame:
+                 step: float = 0.25, default: float = 5.0) -> DataFrame:
     """Degrees of freedom with the highest Student-t likelihood per group, on a grid.
 
     The log-likelihood needs only n and Σ ln(1 + z²/ν) per grid point, so each group
     is one aggregation row whatever its size; groups under 3 rows get ``default``.
     """
-    grid = [round(low + i * step, 6) for i in range(int(round((high - low) / step)) + 1)]
+    grid = [round(low + i * step, 6) for i in range(int((high - low) / step + 1e-9) + 1)]
     x = F.col(z)
     sums = residuals.filter(x.isNotNull()).groupBy(group).agg(
         F.count(x).alias("n"), *[F.sum(F.log1p(x * x / nu)).alias(f"_s{i}") for i, nu in enumerate(grid)])
@@ -212,10 +212,5 @@ def importance_table(model, names: Sequence[str]) -> DataFrame:
             splits[int(word.split(" ")[0])] += 1
     gains = model.featureImportances.toArray()
     rows = [(n, int(s), float(g)) for n, s, g in zip(names, splits, gains)]
-    spark = model._java_obj and _active()
+    spark = SparkSession.getActiveSession()
     return spark.createDataFrame(rows, "feature string, split int, gain double").orderBy(F.desc("gain"), "feature")
-
-
-def _active():
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()

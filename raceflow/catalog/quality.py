@@ -176,11 +176,12 @@ def validation_summary(spark, sf):
     return profile.status_summary(_results(spark, sf))
 
 
-@query("schema_check", "Q2", """SELECT * FROM (VALUES ('lineitem', 'l_comment', 'missing'),
+@query("schema_check", "Q2", """SELECT t.*, (SELECT count(*) FROM lineitem) AS rows FROM (VALUES ('lineitem', 'l_comment', 'missing'),
   ('lineitem', 'l_returnflag', 'not numeric: string')) t("table", "column", issue)""")
 def schema_check(spark, sf):
-    return profile.schema_check("lineitem", table(spark, sf, "lineitem"), ["l_orderkey", "l_comment"],
-                                ["l_quantity", "l_returnflag"])
+    lines = table(spark, sf, "lineitem")
+    issues = profile.schema_check("lineitem", lines, ["l_orderkey", "l_comment"], ["l_quantity", "l_returnflag"])
+    return issues.withColumn("rows", lines.agg(F.count(F.lit(1))).scalar())
 
 
 @query("consistency_checks", "Q3", with_entrants("""
@@ -308,6 +309,10 @@ def recommendations(spark, sf):
     return out.withColumn("value", F.round("value", 5))
 
 
-@query("validation_report", "Q9")
+@query("validation_report", "Q9", with_entrants(f"""
+  SELECT row_number() OVER (ORDER BY o, text) AS line, text FROM (
+    SELECT '# Validation: ' || count(*) || ' checks' AS text, 1 AS o FROM ({_RESULTS_SQL})
+    UNION ALL SELECT '- **' || status || '** ' || "check" || ': ' || message || ' (' || format('{{:,.4f}}', value) || ')',
+      CASE status WHEN 'fail' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END FROM ({_RESULTS_SQL}))"""))
 def validation_report(spark, sf):
     return profile.report_lines(_results(spark, sf), "Validation")

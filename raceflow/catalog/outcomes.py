@@ -33,9 +33,10 @@ def sampled_rankings(spark, sf):
                                             F.bool_and(ok).alias("complete"))
 
 
-@query("sampled_ranking_rows", "B1")
-def sampled_ranking_rows(spark, sf):
-    return _rankings(spark, sf)
+@query("sampled_rank_distribution", "B1")
+def sampled_rank_distribution(spark, sf):
+    """How often each runner came in at each place."""
+    return _rankings(spark, sf, None).groupBy("race_id", "runner", "pos").agg(F.count(F.lit(1)).alias("trials"))
 
 
 @query("win_and_place_probabilities", "B2", """
@@ -97,11 +98,11 @@ def _priced(spark, sf):
 
 
 @query("bet_candidates", "B6", with_entrants("").rstrip() + f""", {_PRICED}
-  SELECT race_id, market, key, round(p * odds, 6) AS ev, 1000.0::DOUBLE AS cap FROM priced
+  SELECT race_id, market, key, round(p * odds, 7) AS ev, 1000.0::DOUBLE AS cap FROM priced
   WHERE p * odds >= 1.2000001 AND p >= 0.0100001 AND odds >= 1""")
 def bet_candidates(spark, sf):
     out = staking.candidates(_priced(spark, sf), min_ev=1.2000001, min_probability=0.0100001)
-    return out.select("race_id", "market", "key", F.round("ev", 6).alias("ev"), "cap")
+    return out.select("race_id", "market", "key", F.round("ev", 7).alias("ev"), "cap")
 
 
 _KELLY = "greatest(0.0, least(1.0, (p * odds - 1) / (odds - 1)))"

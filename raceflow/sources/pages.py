@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CHARSET_CONF = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+
 
 def read_pages(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row per file: path, size, modification time and bytes."""
@@ -12,14 +14,24 @@ def read_pages(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
         "recursiveFileLookup", "true").load(path)
 
 
-def decode_page(content: Column) -> Column:
-    """EUC-JP text when the bytes are valid EUC-JP, else UTF-8; bad bytes are replaced.
+def with_page_text(pages: DataFrame, content: str, out: str) -> DataFrame:
+    """EUC-JP text when the bytes are EUC-JP, else UTF-8; bad bytes are replaced.
 
-    Text that survives the round trip unchanged was read in the right charset.
-    Needs ``spark.sql.legacy.javaCharsets`` and ``spark.sql.legacy.codingErrorAction``.
+    Bytes that survive decoding and encoding again were in that charset. The two
+    settings are read while the plan is analysed, so they are restored right after.
     """
-    japanese = F.decode(content, "EUC-JP")
-    return F.when(F.encode(japanese, "EUC-JP") == content, japanese).otherwise(F.decode(content, "UTF-8"))
+    spark = pages.sparkSession
+    before = {k: spark.conf.get(k, "false") for k in _CHARSET_CONF}
+    for k in _CHARSET_CONF:
+        spark.conf.set(k, "true")
+    try:
+        data = F.col(content)
+        japanese = F.decode(data, "EUC-JP")
+        return pages.withColumn(out, F.when(F.encode(japanese, "EUC-JP") == data, japanese)
+                                .otherwise(F.decode(data, "UTF-8")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def link_ids(pages: DataFrame, html: str, pattern: str) -> DataFrame:

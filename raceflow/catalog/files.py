@@ -168,14 +168,13 @@ def manifest_diff(spark, sf):
 
 @query("audit_upsert", "S15 D1", """
   SELECT url, sha256(html) AS sha256, octet_length(encode(html)) AS size, page_id AS fetched FROM (
-    SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id DESC) AS r FROM (
+    SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id % 2 DESC, page_id DESC) AS r FROM (
       SELECT page_id, split_part(url, '/', 3) AS url, html FROM pages)) WHERE r = 1""")
 def audit_upsert(spark, sf):
     fetched = table(spark, sf, "pages").select(F.col("page_id").alias("fetched"), F.split("url", "/")[2].alias("url"), "html")
     audit = files.audit_rows(fetched, "html", ["url", "fetched"])
-    old = audit.filter("fetched % 2 = 0")
-    # both sides carry an explicit fetch order, so old and new rows compare by it
-    return keys.upsert(old.limit(0), audit, ["url"], ["fetched"]).select("url", "sha256", "size", "fetched")
+    old, new = audit.filter("fetched % 2 = 0"), audit.filter("fetched % 2 = 1")
+    return keys.upsert(old, new, ["url"], ["fetched"]).select("url", "sha256", "size", "fetched")
 
 
 @query("data_version_record", "S16", """

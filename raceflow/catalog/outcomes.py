@@ -98,11 +98,11 @@ def _priced(spark, sf):
 
 
 @query("bet_candidates", "B6", with_entrants("").rstrip() + f""", {_PRICED}
-  SELECT race_id, market, key, round(p * odds, 7) AS ev, 1000.0::DOUBLE AS cap FROM priced
+  SELECT race_id, market, key, round(p * odds + 1e-9, 6) AS ev, 1000.0::DOUBLE AS cap FROM priced
   WHERE p * odds >= 1.2000001 AND p >= 0.0100001 AND odds >= 1""")
 def bet_candidates(spark, sf):
     out = staking.candidates(_priced(spark, sf), min_ev=1.2000001, min_probability=0.0100001)
-    return out.select("race_id", "market", "key", F.round("ev", 7).alias("ev"), "cap")
+    return out.select("race_id", "market", "key", F.round(F.col("ev") + F.lit(1e-9), 6).alias("ev"), "cap")
 
 
 _KELLY = "greatest(0.0, least(1.0, (p * odds - 1) / (odds - 1)))"

@@ -34,7 +34,7 @@ def fill_values(df: DataFrame, columns: Sequence[str], strategy: str = "median",
         row = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
         found = {c: row[c] for c in columns}
     else:
-        found = {c: skew.exact_quantiles(df, c, [0.5])[0] for c in columns}
+        found = skew.exact_medians(df, columns)
     return {c: default if v is None else v for c, v in found.items()}
 
 

@@ -264,6 +264,14 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
     return out
 
 
+def exact_medians(df: DataFrame, columns: Sequence[str], direct_rows: int = 1_000_000) -> dict[str, float | None]:
+    """Medians of many columns: one pass for small inputs, narrowing per column beyond."""
+    if df.limit(direct_rows + 1).count() <= direct_rows:
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns]).first()
+        return {c: row[c] for c in columns}
+    return {c: exact_quantiles(df, c, [0.5], direct_rows)[0] for c in columns}
+
+
 def _value_at(values: DataFrame, rank: int, direct_rows: int) -> float:
     steps = 512
     while True:

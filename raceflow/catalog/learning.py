@@ -169,7 +169,8 @@ _RAW = [*KEY, "race_date", "trainer_id", "venue", "sire_id", "damsire_id", "trac
 
 
 def feature_table(spark, sf, recipe=features.DEFAULT_RECIPE):
-    results = entrants(spark, sf, _RAW)
+    # read by every feature family: stored once, then scanned by column
+    results = cut_lineage(entrants(spark, sf, _RAW))
     entries = results.filter(F.col("race_date") >= FROM_DAY)
     hot = {"horse_id": hot_horses(spark, sf), "race_id": hot_races(spark, sf), "jockey_id": hot_jockeys(spark, sf)}
     return features.build(entries, results, KEY, TIMELINE, recipe, hot=hot)

@@ -67,6 +67,13 @@ def compare(spark, con, entry, sf: str):
 
 def main():
     args = sys.argv[1:]
+    conf = {}
+    if "--hot" in args:  # treat keys with at least this many rows as hot, and never broadcast statistics
+        at = args.index("--hot")
+        conf["spark.raceflow.hotRows"] = args[at + 1]
+        del args[at:at + 2]
+        from raceflow import skew
+        skew.BROADCAST_ROWS = 0
     sf = "/root/testdata/sf0.01"
     if args and args[0].startswith("sf"):
         sf = f"/root/testdata/{args.pop(0)}"
@@ -75,7 +82,7 @@ def main():
     from raceflow.session import build_session
 
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8",
-                                                 "spark.driver.memory": "8g"})
+                                                 "spark.driver.memory": "8g", **conf})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     names = [n for n in ENTRIES if not args or any(a == n or (a.endswith("*") and n.startswith(a[:-1]))

@@ -284,15 +284,19 @@ def _value_at(values: DataFrame, rank: int, direct_rows: int) -> float:
             counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
             upto = F.sum("n").over(Window.orderBy("v"))  # at most direct_rows values
             return counts.withColumn("c", upto).filter(F.col("c") > rank).agg(F.min("v")).first()[0]
-        edges = sorted(set(head["splits"]) | {head["hi"]})
-        slot = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("v")))
+        # slots alternate: open gap below an edge, then the edge value itself, so a
+        # value that fills the range is recognised and every pass narrows it
+        edges = sorted({head["lo"], head["hi"], *head["splits"]})
+        listed = F.array(*[F.lit(e) for e in edges])
+        slot = (2 * F.size(F.filter(listed, lambda e: e < F.col("v")))
+                + F.array_contains(listed, F.col("v")).cast("int"))
         below = 0
         for row in values.groupBy(slot.alias("slot")).count().orderBy("slot").collect():
             if below + row["count"] > rank:
                 break
             below += row["count"]
-        upper = edges[row["slot"]]
-        values = values.filter(F.col("v") <= upper)
-        if row["slot"] > 0:
-            values = values.filter(F.col("v") > edges[row["slot"] - 1])
+        upper, on_edge = edges[row["slot"] // 2], row["slot"] % 2
+        if on_edge:
+            return upper
+        values = values.filter((F.col("v") < upper) & (F.col("v") > edges[row["slot"] // 2 - 1]))
         rank -= below

@@ -7,6 +7,7 @@ from raceflow.bindings import KEY, entrants, hot_jockeys, with_entrants
 from raceflow.functions import bands
 from raceflow.operators import stats
 from raceflow.registry import query
+from raceflow.session import cut_lineage
 
 K = "race_id, horse_id, jockey_id, bracket_number"
 BAND = ("CASE WHEN distance_m <= 1400 THEN 'sprint' WHEN distance_m <= 1800 THEN 'mile' WHEN distance_m <= 2200 "
@@ -49,7 +50,8 @@ def _banded(df):
   JOIN (SELECT sire_id, avg(prize_money) AS sire_avg_prize FROM entrants GROUP BY 1) USING (sire_id)
   JOIN (SELECT damsire_id, avg(prize_money) AS damsire_avg_prize FROM entrants GROUP BY 1) USING (damsire_id)"""))
 def entity_statistics(spark, sf):
-    df = entrants(spark, sf, [*KEY, "trainer_id", "sire_id", "damsire_id", "is_win", "prize_money"])
+    # read once per id: stored, then scanned by column
+    df = cut_lineage(entrants(spark, sf, [*KEY, "trainer_id", "sire_id", "damsire_id", "is_win", "prize_money"]))
     out = stats.attach_all(df, stats.entity_statistics(df, ENTITY_RECIPES), {"jockey_id": hot_jockeys(spark, sf)})
     return out.select(*KEY, F.round("jockey_win_rate", 6).alias("jockey_win_rate"),
                       F.round("trainer_win_rate", 6).alias("trainer_win_rate"),
@@ -74,7 +76,7 @@ def entity_rate_before_day(spark, sf):
     f"round(avg(is_win) FILTER (track_surface = '{s}'), 6) AS jockey_{s}_win_rate" for s in "ANR")
     + " FROM entrants GROUP BY jockey_id"))
 def interaction_statistics(spark, sf):
-    df = _banded(entrants(spark, sf, [*KEY, "venue", "track_surface", "is_win", "distance_m"]))
+    df = cut_lineage(_banded(entrants(spark, sf, [*KEY, "venue", "track_surface", "is_win", "distance_m"])))
     out = stats.interaction_statistics(df, [r for r in INTERACTION_RECIPES if r["id_column"] == "jockey_id"])
     return _round(out["jockey_id"], ["jockey_id"])
 

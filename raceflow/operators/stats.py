@@ -65,9 +65,9 @@ def interaction_statistics(history: DataFrame, recipes: Sequence[Mapping],
 
 def attach_all(df: DataFrame, tables: Mapping[str, DataFrame], hot: Mapping | None = None) -> DataFrame:
     """Join each per-id table whose id the frame has."""
-    for key, stats in tables.items():
-        if key in df.columns:
-            df = skew.lookup(df, stats, [key], (hot or {}).get(key))
+    found = {k: t for k, t in tables.items() if k in df.columns}
+    for key, stored in zip(found, skew.stored_all(list(found.values()))):
+        df = skew.lookup(df, stored, [key], (hot or {}).get(key), stored=True)
     return df
 
 

@@ -96,23 +96,28 @@ def build(entries: DataFrame, results: DataFrame, key: Sequence[str], order: Seq
     if basic.get("bracket") and "bracket_number" in df.columns:
         df = df.withColumns(bands.membership(F.col("bracket_number"), basic["bracket"]))
 
+    z = [c for c in recipe.get("z_score", []) if c in df.columns]
+    if z:
+        df = ingroup.z_score(df, race, z, hot.get(race))
+    if recipe.get("relative"):
+        df = relative_measures(df, race, hot.get(race))
+
+    wanted: list[tuple[list[str], DataFrame]] = []
     tables = stats.entity_statistics(past, recipe.get("entity_stats", []))
     contexts = {c: stats.context_values(past, c) for c in {r["context_column"] for r in recipe.get("interaction_features", [])}
                 if c in past.columns}
     for k, t in stats.interaction_statistics(past, recipe.get("interaction_features", []), contexts).items():
         tables[k] = tables[k].join(t, k) if k in tables else t
-    df = stats.attach_all(df, tables, hot)
+    wanted += [([k], t) for k, t in tables.items()]
     if recipe.get("course"):
-        df = course_statistics(df, past, entity)
+        wanted += course_statistics(past, entity)
     if recipe.get("trend_windows"):
-        df = skew.lookup(df, timeline.recent_summary(past, entity, order, recipe["trend_windows"]), [entity], hot.get(entity))
+        wanted.append(([entity], timeline.recent_summary(past, entity, order, recipe["trend_windows"])))
+    wanted = [(keys, t) for keys, t in wanted if set(keys) <= set(df.columns)]
+    for (keys, _), table in zip(wanted, skew.stored_all([t for _, t in wanted])):
+        df = skew.lookup(df, table, keys, _hot_for(keys, hot), stored=True)
     if recipe.get("conditions"):
         df = race_conditions(df)
-    z = [c for c in recipe.get("z_score", []) if c in df.columns]
-    if z:
-        df = ingroup.z_score(df, race, z, hot.get(race))
-    if recipe.get("relative"):
-        df = relative_measures(df, race, hot.get(race))
 
     names = selection.feature_columns(df, recipe.get("exclude_patterns", []))
     names = [c for c in names if c not in TARGETS and c not in key and c != "race_date"]
@@ -127,22 +132,31 @@ def imputed(df: DataFrame, keep: Sequence[str], recipe: Mapping = DEFAULT_RECIPE
     return learning.impute(df, fills)
 
 
-def course_statistics(df: DataFrame, past: DataFrame, entity: str) -> DataFrame:
-    """Bracket bias, jockey × trainer, sire × dam's sire, sire × course and course affinity."""
-    have = set(df.columns)
-
-    def add(out, keys, table):
-        return skew.lookup(out, table, keys) if set(keys) <= have else out
-
-    course = ["venue", "distance_category", "track_surface"]
-    df = add(df, [*course, "bracket_number"], stats.mean_by(past, [*course, "bracket_number"], "bracket_avg_finish"))
-    df = add(df, ["jockey_id", "trainer_id"], stats.pair_synergy(past, "jockey_id", "trainer_id"))
-    df = add(df, ["sire_id", "damsire_id"], stats.nicks(past, "sire_id", "damsire_id"))
-    df = add(df, ["sire_id", *course], stats.mean_by(past, ["sire_id", *course], "sire_course_avg_finish"))
+def _hot_for(keys: Sequence[str], hot: Mapping[str, list]):
+    """A combination cannot be hot when one of its parts is known to have no hot value."""
+    if len(keys) == 1:
+        return hot.get(keys[0])
+    return [] if any(hot.get(k) == [] for k in keys) else None
+
+
+def course_statistics(past: DataFrame, entity: str) -> list[tuple[list[str], DataFrame]]:
+    """(keys, table) for bracket bias, jockey × trainer, sire × dam's sire, sire × course
+    and course affinity, as far as the results have the columns."""
+    course, have = ["venue", "distance_category", "track_surface"], set(past.columns)
+    found: list[tuple[list[str], DataFrame]] = []
+    if {*course, "bracket_number"} <= have:
+        found.append(([*course, "bracket_number"], stats.mean_by(past, [*course, "bracket_number"], "bracket_avg_finish")))
+    if {"jockey_id", "trainer_id"} <= have:
+        found.append((["jockey_id", "trainer_id"], stats.pair_synergy(past, "jockey_id", "trainer_id")))
+    if {"sire_id", "damsire_id"} <= have:
+        found.append((["sire_id", "damsire_id"], stats.nicks(past, "sire_id", "damsire_id")))
+    if {"sire_id", *course} <= have:
+        found.append((["sire_id", *course], stats.mean_by(past, ["sire_id", *course], "sire_course_avg_finish")))
     for context, prefix, extra in (("venue", "venue", {}), ("distance_category", "dist", {"dist_avg_time": "finish_time_seconds"}),
                                    ("track_surface", "surface", {"surface_avg_last3f": "last_3f_time"})):
-        df = add(df, [entity, context], stats.course_affinity(past, entity, context, prefix, extra))
-    return df
+        if {context, *extra.values()} <= have:
+            found.append(([entity, context], stats.course_affinity(past, entity, context, prefix, extra)))
+    return found
 
 
 def race_conditions(df: DataFrame) -> DataFrame:

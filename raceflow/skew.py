@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,11 +78,18 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def stored_all(tables: Sequence[DataFrame], at_once: int = 4) -> list[DataFrame]:
+    """Materialise independent tables, a few jobs at a time so that the tail of one
+    does not leave the cluster idle."""
+    with ThreadPool(at_once) as pool:
+        return pool.map(cut_lineage, tables)
+
+
 def lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str], hot=None,
-           null_matches: bool = False) -> DataFrame:
+           null_matches: bool = False, stored: bool = False) -> DataFrame:
     """Left join per-key ``stats`` (one row per key) onto ``df``.
 
-    The statistics are materialised once and counted: up to BROADCAST_ROWS rows
+    The statistics are materialised once (unless already ``stored``) and counted: up to BROADCAST_ROWS rows
     they are broadcast and ``df`` does not move; beyond that ``df`` is shuffled,
     except its hot keys, whose few statistics rows are broadcast.
     """
@@ -89,7 +97,7 @@ def lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str], hot=None,
         return attach(left, right, keys) if null_matches else left.join(right, list(keys), "left")
 
     columns = [*df.columns, *[c for c in stats.columns if c not in keys]]
-    stats = cut_lineage(stats)
+    stats = stats if stored else cut_lineage(stats)
     if stats.count() <= BROADCAST_ROWS:
         return join(df, F.broadcast(stats)).select(columns)
     if hot is None:

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from raceflow.bindings import KEY, entrants, table, with_entrants
-from raceflow.operators import ingroup, keys
+from raceflow.operators import ingroup, keys, staking
 from raceflow.registry import query
+from raceflow.sources.pages import link_ids
 
 K = "race_id, horse_id, jockey_id, bracket_number"
 LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -188,7 +189,6 @@ def intersect_and_except_keys(spark, sf):
 @query("distinct_id_harvest", "D5 B15", r"""
   SELECT DISTINCT unnest(regexp_extract_all(html, 'href="/([^"/]+)"', 1)) AS id FROM pages""")
 def distinct_id_harvest(spark, sf):
-    from raceflow.sources.pages import link_ids
     return link_ids(table(spark, sf, "pages"), "html", r'href="/([^"/]+)"').select("id").distinct()
 
 
@@ -196,7 +196,6 @@ def distinct_id_harvest(spark, sf):
   SELECT id, count(*) AS links, count(DISTINCT page_id) AS pages FROM (
     SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"/]+)"', 1)) AS id FROM pages) GROUP BY id""")
 def link_extraction_counts(spark, sf):
-    from raceflow.sources.pages import link_ids
     links = link_ids(table(spark, sf, "pages"), "html", r'href="/([^"/]+)"')
     per_page = links.groupBy("id", "page_id").agg(F.count(F.lit(1)).alias("n"))
     return per_page.groupBy("id").agg(F.sum("n").alias("links"), F.count(F.lit(1)).alias("pages"))
@@ -217,7 +216,6 @@ def resolve_errors(spark, sf):
     UNION ALL SELECT race_id, horse_number, 'place', least(1.0, 3 * win_probability), 1 + win_odds / 4 FROM entrants
       WHERE horse_number <= 4)"""))
 def probability_odds_join(spark, sf):
-    from raceflow.operators import staking
     runners = entrants(spark, sf, ["race_id", "horse_number", "win_probability", "win_odds"])
     key = F.col("horse_number").cast("string").alias("key")
     p = F.col("win_probability")

@@ -70,8 +70,8 @@ def pair_and_triple(spark, sf):
   SELECT race_id, CAST(horse_number AS STRING) AS key, round(win_probability, 7) AS probability, head_count AS entries FROM entrants"""))
 def packed_probability_maps(spark, sf):
     df = entrants(spark, sf, ["race_id", "horse_number", "win_probability"])
-    docs = outcomes.pack(df, "race_id", "horse_number", "win_probability", "win_probs")
-    sizes = docs.select("race_id", F.map_keys("win_probs").alias("_k")).select("race_id", F.size("_k").cast("long").alias("entries"))
+    docs = outcomes.pack(df, "race_id", "horse_number", "win_probability", "win_probs", hot_races(spark, sf))
+    sizes = docs.groupBy("race_id").agg(F.sum(F.size("win_probs")).alias("entries"))
     out = outcomes.unpack(docs, "race_id", "win_probs").join(sizes, "race_id")
     return out.withColumn("probability", F.round("probability", 7))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from raceflow.bindings import KEY, entrants, table, with_entrants
 from raceflow.functions import bands
 from raceflow.operators import selection
+from raceflow.plans.features import DEFAULT_RECIPE
 from raceflow.registry import query
 
 K = "race_id, horse_id, jockey_id, bracket_number"
@@ -24,17 +25,12 @@ def reindex_fill(spark, sf):
     return selection.reindex_fill(df, ["race_id", "horse_id", "bracket_number", "prize_money", "track_bias"])
 
 
-EXCLUDE = [".*_name$", ".*_id$", "^race_id$", "^sex$", "^track_surface$", "^bracket_number$", "is_target_race",
-           "is_win", "prev_jockey_id", "prev_trainer_id", "^morning_odds$", "^morning_popularity$",
-           "^win_odds$", "^popularity$"]
-
-
 @query("select_feature_columns", "P3", with_entrants(
     "SELECT age, basis_weight, finish_position, horse_weight FROM entrants"))
 def select_feature_columns(spark, sf):
     df = entrants(spark, sf, [*KEY, "horse_weight", "age", "sex", "win_odds", "popularity", "is_win",
                               "finish_position", "basis_weight", "venue"])
-    return df.select(*selection.feature_columns(df, EXCLUDE))
+    return df.select(*selection.feature_columns(df, DEFAULT_RECIPE["exclude_patterns"]))
 
 
 @query("drop_leaking_columns", "P4", with_entrants(f"SELECT {K}, age, morning_odds FROM entrants"))

@@ -6,35 +6,19 @@ from raceflow import skew
 from raceflow.bindings import KEY, entrants, hot_jockeys, with_entrants
 from raceflow.functions import bands
 from raceflow.operators import stats
+from raceflow.plans.features import DEFAULT_RECIPE
+from raceflow.plans.learning import one_hot
 from raceflow.registry import query
 from raceflow.session import cut_lineage
 
 K = "race_id, horse_id, jockey_id, bracket_number"
 BAND = ("CASE WHEN distance_m <= 1400 THEN 'sprint' WHEN distance_m <= 1800 THEN 'mile' WHEN distance_m <= 2200 "
         "THEN 'intermediate' WHEN distance_m <= 3000 THEN 'long' WHEN distance_m <= 4000 THEN 'extreme_long' END")
-ENTITY_RECIPES = [
-    {"id_column": "jockey_id", "target": "is_win", "agg": "mean", "feature_name": "jockey_win_rate"},
-    {"id_column": "trainer_id", "target": "is_win", "agg": "mean", "feature_name": "trainer_win_rate"},
-    {"id_column": "sire_id", "target": "prize_money", "agg": "mean", "feature_name": "sire_avg_prize"},
-    {"id_column": "damsire_id", "target": "prize_money", "agg": "mean", "feature_name": "damsire_avg_prize"},
-]
-INTERACTION_RECIPES = [
-    {"id_column": "jockey_id", "context_column": "venue", "target": "is_win", "agg": "mean",
-     "feature_template": "jockey_{context}_win_rate"},
-    {"id_column": "jockey_id", "context_column": "distance_category", "target": "is_win", "agg": "mean",
-     "feature_template": "jockey_{context}_win_rate"},
-    {"id_column": "jockey_id", "context_column": "track_surface", "target": "is_win", "agg": "mean",
-     "feature_template": "jockey_{context}_win_rate"},
-    {"id_column": "sire_id", "context_column": "track_surface", "target": "finish_position", "agg": "mean",
-     "feature_template": "sire_{context}_avg_finish"},
-    {"id_column": "sire_id", "context_column": "distance_category", "target": "finish_position", "agg": "mean",
-     "feature_template": "sire_{context}_avg_finish"},
-    {"id_column": "trainer_id", "context_column": "venue", "target": "is_win", "agg": "mean",
-     "feature_template": "trainer_{context}_win_rate"},
-]
-
-
-def _round(df, keep, digits=6, **kw):
+ENTITY_RECIPES = DEFAULT_RECIPE["entity_stats"]
+INTERACTION_RECIPES = DEFAULT_RECIPE["interaction_features"]
+
+
+def _round(df, keep, digits=6):
     return df.select(*keep, *[F.round(F.col(c).cast("double"), digits).alias(c) for c in df.columns if c not in keep])
 
 
@@ -188,7 +172,6 @@ def _profile(spark, sf):
          round(nu_target, 6) AS nu_target, """ + ", ".join(
     f"CAST(track_surface = '{s}' AS INTEGER) AS track_surface_{s}" for s in "ANR") + f" FROM ({_NU})"))
 def nu_training_table(spark, sf):
-    from raceflow.plans.learning import one_hot
     df, profile = _profile(spark, sf)
     # same grouping key on both sides: the join needs no further shuffle
     out = one_hot(profile.join(stats.nu_target(df, "race_id"), "race_id"), "track_surface", "track_surface",

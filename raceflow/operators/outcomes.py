@@ -8,6 +8,8 @@ race, runner, trial): a retried task draws the same numbers.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,10 +88,19 @@ def pairs_and_triples(rankings: DataFrame, trials: int, race: str = "race_id", r
     return pairs, triples
 
 
-def pack(long: DataFrame, race: str, key: str, value: str, out: str) -> DataFrame:
-    """One map key → value per race; meant for outcome documents of ordinary fields."""
+# Documents per hot race.
+PARTS = 4096
+
+
+def pack(long: DataFrame, race: str, key: str, value: str, out: str, hot=None) -> DataFrame:
+    """One map key → value per race, with ``part`` 0. A hot race becomes up to PARTS
+    documents, each holding the keys that hash to its part, so no map grows without bound."""
     entry = F.struct(F.col(key).cast("string"), F.col(value))
-    return long.groupBy(race).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(out))
+    spread = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(PARTS)).cast("int")
+    cold, warm = skew.split_hot(long, [race], hot)
+    rows = [p.withColumn("part", part) for p, part in ((cold, F.lit(0)), (warm, spread)) if p is not None]
+    return reduce(DataFrame.unionByName, rows).groupBy(race, "part").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(out))
 
 
 def unpack(documents: DataFrame, race: str, column: str, key: str = "key", value: str = "probability") -> DataFrame:
@@ -113,13 +124,15 @@ def trial_hits(rankings: DataFrame, race: str = "race_id", runner: str = "runner
 
 def outcome_documents(runners: DataFrame, trials: int, model_id: str, created: Column, seed: int = 42,
                       race: str = "race_id", runner: str = "runner", hot=None) -> DataFrame:
-    """One document per race with its probability maps."""
+    """One document per race with its probability maps (several for a hot race)."""
+    hot = skew.hot_keys(runners, [race]) if hot is None else hot
     rankings = cut_lineage(sample_rankings(runners, trials, seed, race=race, runner=runner, hot=hot))
     wp = win_place(runners, rankings, trials, race, runner)
     pairs, triples = pairs_and_triples(rankings, trials, race, runner)
-    docs = pack(wp, race, runner, "win", "win_probs").join(pack(wp, race, runner, "place", "place_probs"), race)
-    docs = docs.join(pack(pairs, race, "key", "probability", "exacta_probs"), race, "left")
-    docs = docs.join(pack(triples, race, "key", "probability", "trifecta_probs"), race, "left")
-    return docs.select(F.concat_ws("_", F.lit(model_id), race).alias("sim_id"), race, F.lit(model_id).alias("model_id"),
-                       created.alias("created_ts"), F.lit(trials).alias("K"), "win_probs", "place_probs",
-                       "exacta_probs", "trifecta_probs")
+    docs = pack(wp, race, runner, "win", "win_probs", hot)
+    for long, key, value, out in ((wp, runner, "place", "place_probs"), (pairs, "key", "probability", "exacta_probs"),
+                                  (triples, "key", "probability", "trifecta_probs")):
+        docs = docs.join(pack(long, race, key, value, out, hot), [race, "part"], "full_outer")
+    return docs.select(F.concat_ws("_", F.lit(model_id), race, F.when(F.col("part") > 0, F.col("part"))).alias("sim_id"),
+                       race, F.lit(model_id).alias("model_id"), created.alias("created_ts"), F.lit(trials).alias("K"),
+                       "win_probs", "place_probs", "exacta_probs", "trifecta_probs")

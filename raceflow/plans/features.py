@@ -18,10 +18,11 @@ from raceflow.functions import bands
 from raceflow.operators import ingroup, selection, stats, timeline
 from raceflow.plans import learning
 
-# Post-event columns that must never be features.
+# Post-event columns that must never be features.
 TARGETS = ["finish_position", "finish_time_seconds", "is_win", "prize_money", "odds", "win_odds", "popularity",
            "margin_seconds", "finish_time_str", "margin_str"]
 
+# The default recipe.
 DEFAULT_RECIPE: dict = {
     "basic_features": {"one_hot_encoding": [{"column": "sex", "prefix": "sex"}, {"column": "track_surface", "prefix": "track"}],
                        "bracket": {"bracket_is_inner": [1, 2, 3], "bracket_is_middle": [4, 5, 6], "bracket_is_outer": [7, 8]}},

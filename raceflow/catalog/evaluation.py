@@ -122,7 +122,7 @@ _T = "[0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35]"
 
 
 @query("threshold_sweep", "A31", with_entrants(f"""
-  SELECT t::DOUBLE AS threshold, count(*) AS races, sum(is_win) AS wins, round(avg(is_win), 7) AS win_rate,
+  SELECT t::DOUBLE AS threshold, count(*) AS races, sum(is_win)::BIGINT AS wins, round(avg(is_win), 7) AS win_rate,
          round(avg(is_win * win_odds), 7) AS roi
   FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY round(win_probability, 7) DESC, horse_id, jockey_id,
           bracket_number) AS r FROM entrants), (SELECT unnest({_T}) AS t)

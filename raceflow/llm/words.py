@@ -19,6 +19,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+LETTER_GAP = np.ones(256, dtype=bool)
+LETTER_GAP[65:91] = LETTER_GAP[97:123] = LETTER_GAP[128:] = False
 KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
@@ -111,3 +113,60 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
         h = (h ^ words[k:n - size + 1 + k]) * MULTIPLY
         h ^= h >> SHIFT
     return mix(h)
+
+
+def shingle_rows(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, rows) of all ``size``-word sequences inside a row; shorter rows give none."""
+    n = len(words)
+    if n < size:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.full(n - size + 1, size, dtype=np.uint64) * FINISH
+    for k in range(size):
+        h = (h ^ words[k:n - size + 1 + k]) * MULTIPLY
+        h ^= h >> SHIFT
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    inside = rows[:n - size + 1] == rows[size - 1:]
+    return mix(h[inside]), rows[:n - size + 1][inside]
+
+
+def place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in the sorted ``keys``, found?) for every wanted value."""
+    if len(keys) == 0:
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def salted(h: np.ndarray, kind: int) -> np.ndarray:
+    return mix(h ^ np.uint64(kind + 1))
+
+
+class Letters:
+    """Runs of letters (a-z, A-Z, all bytes beyond ASCII) of a part, and their character n-grams."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data = LOWER[data]
+        self.starts, self.lengths, self.rows = spans(data, offsets, LETTER_GAP)
+        first = (data & 0xC0) != 0x80
+        self.at = np.append(np.flatnonzero(first), len(data))
+        before = np.concatenate([[0], np.cumsum(first)])
+        self.first = before[self.starts]
+        self.chars = before[self.starts + self.lengths] - self.first
+
+    def words(self) -> np.ndarray:
+        return salted(hash_spans(self.data, self.starts, self.lengths), 0)
+
+    def grams(self, which: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, word numbers) of the n-grams inside the words ``which``."""
+        many = np.maximum(self.chars[which] - order + 1, 0)
+        word = np.repeat(which, many)
+        step = np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
+        a = self.first[word] + step
+        begin = self.at[a]
+        return salted(hash_spans(self.data, begin, self.at[a + order] - begin), order), word
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, word numbers) of the first ``size`` characters of the words that have more."""
+        which = np.flatnonzero(self.chars > size)
+        a = self.first[which]
+        return salted(hash_spans(self.data, self.starts[which], self.at[a + size] - self.starts[which]), size), which

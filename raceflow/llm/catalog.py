@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from raceflow.llm import decontaminate, langid, neardup, sharding, syncmers, toxicity, warc
+import corpus_pipeline
+from raceflow.llm import decontaminate, kneser_ney, langid, mixing, neardup, perplexity, sharding, syncmers, toxicity, warc
 from raceflow.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +68,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query("op5_kneser_ney_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op6_perplexity_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_boosted_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -95,6 +106,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query("op9_soft_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_containment_search", rf"""
 WITH {WORDS_SQL.strip()},
 items AS (
@@ -116,3 +132,6 @@ HAVING count(*) >= 0.8 * n_item - 1e-9
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -37,7 +37,7 @@ def _round(state: DataFrame, rows: int, shards: int, number: int) -> DataFrame:
     wishes = votes.groupBy("hub", "members").agg(
         F.max_by("shard", F.struct("here", F.xxhash64("hub", "shard"))).alias("want"))
     asked = wishes.groupBy("want").agg(F.sum("members").alias("asked"))
-    granted = (F.lit(GRAIN) * F.lit(room) / F.col("asked")).cast("long")
+    granted = (F.lit(float(GRAIN * room)) / F.col("asked")).cast("long")
     wishes = wishes.join(F.broadcast(asked.select("want", granted.alias("granted"))), "want")  # a row per shard
     # a group of more than a quarter of a shard is granted in part
     dice = F.when(F.col("members") * 4 > room, F.xxhash64("doc_id", F.lit(number))).otherwise(

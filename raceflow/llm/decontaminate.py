@@ -2,7 +2,7 @@
 
 Items are partitioned by their number of distinct five-word shingles. An item's sketch
 is its m smallest shingle hashes; m grows with the partition's size until the chance that
-a document holding 80 % of the item has none of them is below ``miss``. Up to 69
+a document holding 80 % of the item has none of them is below ``miss``. Up to 64
 shingles that chance is zero, because more than a fifth of the item is in the sketch.
 Every shingle of every document is looked up in the sketches, whatever the document's
 length; each hit is verified by counting the item's shingles in the whole document.

@@ -180,4 +180,4 @@ def drawn(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGE
     best = F.get("p", 0) >= F.greatest(*[F.get("p", d) for d in range(1, len(DOMAINS))])
     gone = rated.withColumn("chance", chance).groupBy(F.col("doc_id").alias("_id")).agg(
         F.max(best | (F.col("chance") < F.col("rate"))).alias("_stays")).filter("NOT _stays")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")

@@ -100,13 +100,13 @@ def _store(folder: str):
     return files.FileSystem.from_uri(folder)
 
 
-def _archive(batches, folder: str):
+def _archive(batches, folder: str, archive_bytes: int):
     """Write the pages of a task; a row (sort_key, archive, at, length) for every record."""
     store, root = _store(folder)
     out, name, at, rows = None, "", 0, []
     for batch in batches:
         for page_id, url, html, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if out is None or at >= ARCHIVE_BYTES:
+            if out is None or at >= archive_bytes:
                 if out:
                     out.close()
                 name, at = f"pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
@@ -127,7 +127,7 @@ def _captures(rows: list[tuple]) -> pa.RecordBatch:
                                       ["key", "archive", "at", "length"])
 
 
-def _blocks(batches, folder: str):
+def _blocks(batches, folder: str, block_lines: int):
     """Write sorted captures as compressed blocks; a directory row for every block."""
     store, root = _store(folder)
     name = f"index-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.z"
@@ -146,7 +146,7 @@ def _blocks(batches, folder: str):
             if not lines:
                 first = row[0]
             lines.append("\t".join(map(str, row)))
-            if len(lines) == BLOCK_LINES:
+            if len(lines) == block_lines:
                 flush()
     if lines:
         flush()
@@ -213,7 +213,7 @@ def _records(batches, folder: str):
 CAPTURE = "key string, archive string, at long, length long"
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
+def write(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the archives; the stored captures (key, archive, at, length)."""
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
@@ -225,14 +225,14 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     revisits = seen.join(largest, "digest").filter("page_id < refers_to").select("page_id", "digest", "refers_to")
     rows = pages.withColumn("digest", F.sha1(body)).join(revisits, ["page_id", "digest"], "left")
     rows = rows.select("page_id", "url", "html", "refers_to")
-    return cut_lineage(rows.mapInArrow(lambda b: _archive(b, folder), CAPTURE))
+    return cut_lineage(rows.mapInArrow(lambda b: _archive(b, folder, archive_bytes), CAPTURE))
 
 
-def index(captures: DataFrame, folder: str) -> DataFrame:
+def index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Write the index blocks; the stored directory (first key, file, at, length), one row for each block."""
     many = max(1, -(-captures.count() // RANGE_ROWS))
     ordered = captures.repartitionByRange(many, "key", "archive", "at").sortWithinPartitions("key", "archive", "at")
-    return cut_lineage(ordered.mapInArrow(lambda b: _blocks(b, folder), CAPTURE))
+    return cut_lineage(ordered.mapInArrow(lambda b: _blocks(b, folder, block_lines), CAPTURE))
 
 
 def lookup(keys: DataFrame, folder: str, directory: DataFrame, parts: int) -> DataFrame:

@@ -129,7 +129,7 @@ def entrants(spark: SparkSession, sf: str, columns: Iterable[str]) -> DataFrame:
         raise ValueError(f"unknown columns {sorted(unknown)}")
     df = table(spark, sf, "lineitem")
     if need & _IN_RACE:
-        df = _in_race(df, need, hot_races(spark, sf))
+        df = skew.by_part(df, ["l_orderkey"], hot_races(spark, sf), lambda rows, hot: _in_race(rows, need, hot))
     if need & (_ORDERS | _NATION):
         orders = table(spark, sf, "orders")
         if need & _NATION:
@@ -144,7 +144,7 @@ def entrants(spark: SparkSession, sf: str, columns: Iterable[str]) -> DataFrame:
     return df.select(*[F.expr(exprs[c]).alias(c) if c in exprs else F.col(c) for c in want])
 
 
-def _in_race(df: DataFrame, need: set[str], hot: list[tuple]) -> DataFrame:
+def _in_race(df: DataFrame, need: set[str], hot) -> DataFrame:
     race = ["l_orderkey"]
     line = ["l_partkey", "l_suppkey", "l_linenumber"]
     if need & {"head_count", "win_probability"}:

@@ -85,7 +85,8 @@ def calibration_table(spark, sf):
       SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY predicted_score, horse_id, jockey_id, bracket_number) AS p
       FROM entrants) GROUP BY race_id HAVING count(*) >= {k})""" for k in (1, 3, 5))))
 def top_k_overlap(spark, sf):
-    out = metrics.top_k_overlap(_scored(spark, sf), "race_id", KEY[1:], "predicted_score", "finish_position", [1, 3, 5])
+    out = metrics.top_k_overlap(_scored(spark, sf), "race_id", KEY[1:], "predicted_score", "finish_position", [1, 3, 5],
+                                hot_races(spark, sf))
     return out.withColumn("accuracy", F.round("accuracy", 7))
 
 

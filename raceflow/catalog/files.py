@@ -66,7 +66,7 @@ def write_partitioned(spark, sf):
 @query("write_single_result", "S5", "SELECT c_custkey, c_mktsegment, 1 AS files FROM customer")
 def write_single_result(spark, sf):
     path = scratch_path(spark, "single")
-    files.write_single(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), path)
+    files.write_files(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), path, files=1)
     back = spark.read.parquet(path)
     return back.withColumn("files", back.select(F.countDistinct("_metadata.file_name")).scalar())
 
@@ -88,17 +88,25 @@ def csv_round_trip(spark, sf):
 
 
 @query("outcome_documents", "S8 B4", with_entrants("""
-  SELECT CAST(race_id AS STRING) AS race_id, CAST(horse_number AS STRING) AS key, 32 AS trials, true AS in_range
-  FROM entrants WHERE CAST(race_id AS STRING) LIKE '1%'"""))
+  SELECT CAST(race_id AS STRING) AS race_id, CAST(horse_number AS STRING) AS key, market,
+         round(CASE market WHEN 'win' THEN win_probability ELSE least(1.0, 3 * win_probability) END, 7) AS probability, head_count AS entries
+  FROM entrants, (SELECT unnest(['win', 'place']) AS market) WHERE CAST(race_id AS STRING) LIKE '1%'"""))
 def outcome_documents(spark, sf):
-    df = entrants(spark, sf, ["race_id", "horse_number", "win_odds"])
-    runners = df.select(F.col("race_id").cast("string").alias("race_id"), F.col("horse_number").alias("runner"),
-                        (-F.ln("win_odds")).alias("mu"), F.lit(0.3).alias("sigma"), F.lit(0.2).alias("nu"))
+    """Two versions are stored; the newer one of every race is read and packed into documents."""
+    df = entrants(spark, sf, ["race_id", "horse_number", "win_probability"])
+    p = F.col("win_probability")
     path = scratch_path(spark, "outcomes")
-    outcomes.outcome_documents(runners, 32, "v1", F.lit("2024-01-01T00:00:00")).write.json(path)
-    docs = files.read_outcomes(spark, path, prefix="1")
-    rows = docs.select("race_id", F.col("K").alias("trials"), F.explode("win_probs").alias("key", "p"))
-    return rows.select("race_id", "key", "trials", F.col("p").between(0, 1).alias("in_range"))
+    for day, scale in (("2024-01-01", 0.5), ("2024-01-02", 1.0)):
+        rows = df.select("race_id", F.col("horse_number").alias("runner"), (p * scale).alias("win"), F.least(F.lit(1.0), 3 * p).alias("place"))
+        outcomes.outcome_rows(rows, {"win": "win", "place": "place"}, "v1", F.lit(f"{day}T00:00:00")).write.mode("append").json(path)
+    newest = files.latest_rows(files.read_outcomes(spark, path, prefix="1"), ["race_id", "model_id"], "created_ts")
+    out = None
+    for market in ("win", "place"):
+        docs = outcomes.pack(newest.filter(F.col("market") == market), "race_id", "key", "probability", "probs", parts=3)
+        sizes = docs.groupBy("race_id").agg(F.sum(F.size("probs")).alias("entries"))
+        part = outcomes.unpack(docs, "race_id", "probs").join(sizes, "race_id").withColumn("market", F.lit(market))
+        out = part if out is None else out.unionByName(part)
+    return out.select("race_id", "key", "market", F.round("probability", 7).alias("probability"), "entries")
 
 
 @query("latest_odds_snapshot", "S9 F32", with_entrants("""
@@ -107,14 +115,14 @@ def outcome_documents(spark, sf):
 def latest_odds_snapshot(spark, sf):
     df = entrants(spark, sf, ["race_id", "horse_number", "win_odds"])
     path = scratch_path(spark, "odds")
-    for rows, factor in ((df, 1), (df.filter("race_id % 2 = 0"), 2)):
+    for stamp, even_only, factor in (("2024-01-01 09:00:00", False, 1), ("2024-01-01 10:00:00", True, 2)):
+        taken = (F.col("race_id") % 2 == 0) | F.lit(not even_only)
         odds = F.when(F.col("horse_number") != 2, F.col("win_odds") * factor).otherwise(0.0)
-        entry = F.struct(F.col("horse_number").cast("string"), F.struct(odds.alias("odds"), F.lit(1).alias("popularity")))
-        docs = rows.groupBy(F.col("race_id").cast("string").alias("race_id")).agg(
-            F.map_from_entries(F.collect_list(entry)).alias("runners"))
-        docs.select("race_id", F.create_map(F.lit("win"), "runners").alias("market")).write.mode("append").json(path)
-    newest = files.plain_odds(files.latest_documents(spark, path, files.ODDS_SCHEMA))
-    return newest.select("race_id", F.explode(F.col("market")["win"]).alias("key", "odds"))
+        df.filter(taken).select(F.col("race_id").cast("string").alias("race_id"), F.lit(stamp).alias("snapshot_ts"), F.lit("win").alias("market"),
+                                F.col("horse_number").cast("string").alias("key"), odds.alias("odds"),
+                                F.lit(1).alias("popularity")).write.mode("append").json(path)
+    newest = files.latest_rows(spark.read.schema(files.ODDS_SCHEMA).json(path), ["race_id"], "snapshot_ts")
+    return files.usable_odds_rows(newest).select("race_id", "key", "odds")
 
 
 @query("log_files", "S10", f"WITH {LOG_SQL} SELECT level, module, count(*) AS lines FROM log GROUP BY ALL")
@@ -157,13 +165,22 @@ def repair_void_columns(spark, sf):
 
 
 @query("manifest_diff", "S14", """
-  SELECT feature, state, (SELECT count(*) FROM part) AS rows FROM (VALUES ('distance_m', 'missing'), ('p_type', 'extra')) t(feature, state)""")
+  WITH named AS (SELECT DISTINCT p_brand || '/' || p_size AS feature, p_partkey % 2 = 0 AS listed FROM part)
+  SELECT feature, CASE WHEN bool_or(listed) THEN 'missing' ELSE 'extra' END AS state FROM named GROUP BY feature
+  HAVING count(DISTINCT listed) = 1
+  UNION ALL SELECT 'distance_m', 'missing' UNION ALL SELECT 'p_type', 'extra'""")
 def manifest_diff(spark, sf):
-    df = table(spark, sf, "part").select("p_size", "p_type", "p_retailprice")
+    """Names made from the odd parts against a stored manifest made from the even ones."""
+    parts = table(spark, sf, "part")
+
+    def names(rest, *more):
+        rows = parts.filter(F.col("p_partkey") % 2 == rest)
+        made = rows.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("feature")).distinct()
+        return made.unionByName(files.manifest(spark, more))
+
     path = scratch_path(spark, "manifest")
-    files.manifest(spark, ["p_size", "p_retailprice", "distance_m"]).write.parquet(path)
-    diff = files.manifest_diff(spark.read.parquet(path), df)
-    return diff.withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
+    names(0, "p_size", "distance_m").write.parquet(path)
+    return files.manifest_diff(spark.read.parquet(path), names(1, "p_size", "p_type"))
 
 
 @query("audit_upsert", "S15 D1", """
@@ -179,12 +196,31 @@ def audit_upsert(spark, sf):
 
 @query("data_version_record", "S16", """
   SELECT 'orders' AS "table", count(*) AS rows, CAST(min(o_orderdate) AS DATE)::VARCHAR AS first_day,
-         CAST(max(o_orderdate) AS DATE)::VARCHAR AS last_day, count(*) AS rows_in_files FROM orders""")
+         CAST(max(o_orderdate) AS DATE)::VARCHAR AS last_day,
+         sha256(string_agg(CAST(o_orderkey AS VARCHAR) || chr(10), '' ORDER BY o_orderkey)) AS sha256,
+         CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 1) AS BIGINT) AS bytes, 1 AS files FROM orders""")
 def data_version_record(spark, sf):
-    version = files.data_version(_orders(spark, sf), "orders", "race_date")
-    in_files = files.file_fingerprints(spark, f"{sf}/orders.parquet").agg(F.sum("rows")).scalar()
+    """The record of a table, with the manifest of a file of its keys (one line each, in order)."""
+    orders = _orders(spark, sf)
+    path = scratch_path(spark, "keys")
+    orders.orderBy("o_orderkey").select(F.col("o_orderkey").cast("string")).coalesce(1).write.text(path)
+    found = files.file_manifest(spark, path, "*.txt").agg(
+        F.max("sha256").alias("sha256"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).cast("int").alias("files"))
+    version = files.data_version(orders, "orders", "race_date")
     return version.select("table", "rows", F.col("first_day").cast("string").alias("first_day"),
-                          F.col("last_day").cast("string").alias("last_day"), in_files.alias("rows_in_files"))
+                          F.col("last_day").cast("string").alias("last_day"),
+                          *[found.select(c).scalar().alias(c) for c in ("sha256", "bytes", "files")])
+
+
+@query("rows_per_file", "S16", "SELECT count(*) AS rows, true AS twice_differs FROM orders")
+def rows_per_file(spark, sf):
+    """Rows by file, and a fingerprint that sees repeated rows."""
+    orders = _orders(spark, sf).select("o_orderkey", "o_custkey")
+    once, twice = scratch_path(spark, "once"), scratch_path(spark, "twice")
+    orders.write.parquet(once)
+    orders.unionByName(orders.filter("o_orderkey % 2 = 0")).unionByName(orders.filter("o_orderkey % 2 = 0")).write.parquet(twice)
+    a, b = (files.file_rows(spark, p).agg(F.sum("rows").alias("rows"), F.sum("fingerprint").alias("f")) for p in (once, twice))
+    return a.select("rows", (F.col("f") != b.select("f").scalar()).alias("twice_differs"))
 
 
 @query("compact_daily_files", "S17", "SELECT event_id, user_id, dayofmonth(ts) AS day FROM events")
@@ -196,15 +232,17 @@ def compact_daily_files(spark, sf):
     return spark.read.parquet(target)
 
 
-@query("file_size_summary", "A38", "SELECT count(DISTINCT o_orderstatus) AS folders, count(*) AS rows, true AS plausible FROM orders")
+@query("file_size_summary", "A38", """
+  SELECT 'status=' || o_orderstatus AS folder, 1 AS files, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 1) AS BIGINT) AS total_bytes,
+         CAST(CASE WHEN sum(length(CAST(o_orderkey AS VARCHAR)) + 1) < 5000 THEN 1 ELSE 0 END AS BIGINT) AS small_files
+  FROM orders GROUP BY o_orderstatus""")
 def file_size_summary(spark, sf):
+    """Exact sizes of one text file of keys per order status."""
     path = scratch_path(spark, "sizes")
-    orders = table(spark, sf, "orders")
-    orders.write.partitionBy("o_orderstatus").parquet(path)
-    sizes = files.file_size_summary(spark, path).filter("folder LIKE 'o_orderstatus=%'")
-    ok = F.bool_and((F.col("total_bytes") >= F.col("max_bytes")) & F.col("small_rate").between(0, 1))
-    return sizes.agg(F.count(F.lit(1)).alias("folders"), ok.alias("plausible")).withColumn(
-        "rows", orders.agg(F.count(F.lit(1))).scalar())
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("line"), F.col("o_orderstatus").alias("status"))
+    orders.repartition("status").write.partitionBy("status").text(path)
+    return files.file_size_summary(spark, path, small_bytes=5000).filter("folder LIKE 'status=%'").select(
+        "folder", F.col("files").cast("int").alias("files"), "total_bytes", "small_files")
 
 
 @query("incremental_upsert", "D1 J6", """
@@ -212,11 +250,14 @@ def file_size_summary(spark, sf):
     SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_returnflag DESC, l_partkey DESC, l_suppkey DESC) AS r
     FROM lineitem) WHERE r = 1""")
 def incremental_upsert(spark, sf):
-    """One batch per return flag, merged in order; later batches win."""
+    """One batch per return flag, merged in order; later batches win. The table is opened
+    anew for every batch and every batch is offered twice, as after a restart."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    target = incremental.new_table(spark, "upsert")
-    merge = incremental.upsert_batch(target, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
-    for i, flag in enumerate(["A", "N", "R"]):
-        merge(keys.upsert(lines.limit(0), lines.filter(F.col("l_returnflag") == flag), ["l_orderkey", "l_linenumber"],
-                          ["l_partkey", "l_suppkey"]), i)
-    return target.read().drop("l_returnflag")
+    key, order = ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"]
+    place = scratch_path(spark, "upsert")
+    flags = sorted(r[0] for r in lines.select("l_returnflag").distinct().collect())  # a handful
+    for i, flag in enumerate(flags):
+        batch = keys.upsert(lines.limit(0), lines.filter(F.col("l_returnflag") == flag), key, order)
+        for _ in range(2):
+            incremental.upsert_batch(incremental.VersionedTable(spark, place, key, parts=4), order)(batch, i)
+    return incremental.VersionedTable(spark, place, key, parts=4).read().drop("l_returnflag", "part")

@@ -36,9 +36,12 @@ def race_z_score(spark, sf):
 def race_deviation_score(spark, sf):
     hot = hot_races(spark, sf)
     df = entrants(spark, sf, [*KEY, "finish_time_seconds", "horse_weight"])
-    df = ingroup.deviation_score(df, "race_id", "finish_time_seconds", "time_deviation", hot=hot)
-    df = ingroup.deviation_score(df, "race_id", "horse_weight", "horse_weight_deviation", damped=True, hot=hot)
-    return _rounded(df, "time_deviation", "horse_weight_deviation")
+
+    def scored(rows, own):
+        rows = ingroup.deviation_score(rows, "race_id", "finish_time_seconds", "time_deviation", hot=own)
+        return ingroup.deviation_score(rows, "race_id", "horse_weight", "horse_weight_deviation", damped=True, hot=own)
+
+    return _rounded(skew.by_part(df, ["race_id"], hot, scored), "time_deviation", "horse_weight_deviation")
 
 
 @query("rank_within_race", "W8", with_entrants(f"""
@@ -49,9 +52,12 @@ def race_deviation_score(spark, sf):
 def rank_within_race(spark, sf):
     hot = hot_races(spark, sf)
     df = entrants(spark, sf, [*KEY, "last_3f_time", "prize_money"])
-    df = skew.rank_within(df, ["race_id"], "last_3f_time", "last3f_rank", hot=hot)
-    df = skew.rank_within(df, ["race_id"], "prize_money", "prize_rank", ascending=False, hot=hot)
-    return df.drop("last_3f_time", "prize_money")
+
+    def ranked(rows, own):
+        rows = skew.rank_within(rows, ["race_id"], "last_3f_time", "last3f_rank", hot=own)
+        return skew.rank_within(rows, ["race_id"], "prize_money", "prize_rank", ascending=False, hot=own)
+
+    return skew.by_part(df, ["race_id"], hot, ranked).drop("last_3f_time", "prize_money")
 
 
 @query("gap_to_race_best", "W9", with_entrants(

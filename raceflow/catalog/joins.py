@@ -13,31 +13,33 @@ LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 @query("left_lookup_join", "J1", """
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, p_brand, p_type
-  FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 <> 0) ON l_partkey = p_partkey""")
+  FROM lineitem LEFT JOIN part ON CASE WHEN l_linenumber <> 4 THEN l_partkey END = p_partkey""")
 def left_lookup_join(spark, sf):
-    profile = table(spark, sf, "part").filter(F.col("p_partkey") % 5 != 0).select(
-        F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
-    return keys.lookup_left(table(spark, sf, "lineitem").select(*LINE_KEY), profile, ["l_partkey"])
+    """Every fourth line names no part, and so finds none."""
+    profile = table(spark, sf, "part").select(F.col("p_partkey").alias("named"), "p_brand", "p_type")
+    lines = table(spark, sf, "lineitem").select(*LINE_KEY, F.when(F.col("l_linenumber") != 4, F.col("l_partkey")).alias("named"))
+    return keys.lookup_left(lines, profile, ["named"]).drop("named")
 
 
 @query("inner_join_composite_key", "J2", """
   SELECT a.l_orderkey, a.l_partkey, a.l_suppkey, a.l_linenumber, a.l_quantity, b.l_extendedprice
-  FROM lineitem a JOIN (SELECT * FROM lineitem WHERE l_returnflag <> 'R') b
+  FROM lineitem a JOIN lineitem b
     ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey
-   AND a.l_linenumber = b.l_linenumber""")
+   AND a.l_linenumber = CASE WHEN b.l_returnflag <> 'R' THEN b.l_linenumber END""")
 def inner_join_composite_key(spark, sf):
     lines = table(spark, sf, "lineitem")
     features = lines.select(*LINE_KEY, "l_quantity")
-    targets = lines.filter(F.col("l_returnflag") != "R").select(*LINE_KEY, "l_extendedprice")
+    number = F.when(F.col("l_returnflag") != "R", F.col("l_linenumber")).alias("l_linenumber")
+    targets = lines.select(*LINE_KEY[:-1], number, "l_extendedprice")
     return features.join(targets, LINE_KEY, "inner")
 
 
 @query("replace_column_join", "J3", """
-  SELECT o_orderkey, o_custkey, c_mktsegment AS o_orderpriority FROM orders LEFT JOIN customer
-    ON o_custkey = c_custkey AND c_acctbal > 0""")
+  SELECT o_orderkey, o_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS o_orderpriority FROM orders LEFT JOIN customer
+    ON o_custkey = c_custkey""")
 def replace_column_join(spark, sf):
-    fresh = table(spark, sf, "customer").filter(F.col("c_acctbal") > 0).select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("o_orderpriority"))
+    segment = F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("o_orderpriority")
+    fresh = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), segment)
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     return keys.replace_from(orders, fresh, ["o_custkey"])
 

@@ -2,16 +2,19 @@
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from raceflow.bindings import KEY, TIMELINE, entrants, hot_horses, hot_jockeys, hot_races, with_entrants
-from raceflow.operators import ingroup, stats
+from raceflow.operators import ingroup, profile
 from raceflow.plans import features, learning
 from raceflow.registry import query
 from raceflow.session import cut_lineage
 
 K = "race_id, horse_id, jockey_id, bracket_number"
-FEATURES = ["win_odds", "basis_weight", "age", "distance_m", "horse_weight"]
+# the estimate known before the race is the one feature that tells the time
+FEATURES = ["win_odds", "basis_weight", "age", "distance_m", "prior_estimate"]
+_SOURCE = {c: "predicted_time" if c == "prior_estimate" else c for c in FEATURES}
 
 
 @query("one_hot_encoding", "M1", with_entrants(f"""
@@ -43,30 +46,49 @@ def feature_vector(spark, sf):
 
 
 def _train(spark, sf, target, *more):
-    df = entrants(spark, sf, [*KEY, *FEATURES, target, *more])
+    df = entrants(spark, sf, [*KEY, *_SOURCE.values(), target, *more]).withColumnRenamed("predicted_time", "prior_estimate")
     return cut_lineage(learning.feature_vector(df, FEATURES))
 
 
-def _beats_mean(df, target, prediction):
-    """Whether the squared error is below that of the constant mean."""
-    y, p = F.col(target).cast("double"), F.col(prediction)
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  (F.sqrt(F.avg((y - p) * (y - p))) < F.stddev_pop(y) * 1.0001).alias("no_worse_than_mean"))
+SPLIT_DAY = "1997-01-01"
+_SPLIT_SQL = f"""SELECT count(*) FILTER (race_date < DATE '{SPLIT_DAY}') AS trained_on, count(*) FILTER (race_date >= DATE '{SPLIT_DAY}') AS rows,
+  true AS beats_baseline FROM entrants"""
 
 
-@query("time_regressor", "M4", "SELECT count(*) AS rows, true AS no_worse_than_mean FROM lineitem")
+def _split(df):
+    return df.filter(F.col("race_date") < SPLIT_DAY), df.filter(F.col("race_date") >= SPLIT_DAY)
+
+
+def _held_out(train, scored, target, prediction, margin=0.7):
+    """Rows, and whether the error on later days is below ``margin`` of that of the jockey's earlier mean."""
+    y = F.col(target).cast("double")
+    overall = train.agg(F.avg(y)).scalar()
+    means = train.groupBy("jockey_id").agg(F.avg(y).alias("_mean"))
+    both = scored.join(means, "jockey_id", "left").withColumn("_base", F.coalesce("_mean", overall))
+
+    def error(c):
+        return F.sqrt(F.avg((y - F.col(c)) * (y - F.col(c))))
+
+    out = both.agg(F.count(F.lit(1)).alias("rows"), (error(prediction) < margin * error("_base")).alias("beats_baseline"))
+    return out.withColumn("trained_on", train.agg(F.count(F.lit(1))).scalar())
+
+
+@query("time_regressor", "M4", with_entrants(_SPLIT_SQL))
 def time_regressor(spark, sf):
-    df = _train(spark, sf, "finish_time_seconds")
-    return _beats_mean(learning.time_regressor(df, "finish_time_seconds").transform(df), "finish_time_seconds", "predicted_time")
+    """Trained on the earlier days, judged on the later ones."""
+    train, later = _split(_train(spark, sf, "finish_time_seconds", "race_date"))
+    model = learning.time_regressor(train, "finish_time_seconds", trees=20)
+    return _held_out(train, model.transform(later), "finish_time_seconds", "predicted_time")
 
 
-@query("two_stage_rank_scorer", "M5 W17", "SELECT count(*) AS rows, true AS no_worse_than_mean FROM lineitem")
+@query("two_stage_rank_scorer", "M5 W17", with_entrants(_SPLIT_SQL))
 def two_stage_rank_scorer(spark, sf):
-    df = entrants(spark, sf, [*KEY, *FEATURES, "finish_time_seconds"])
+    df = entrants(spark, sf, [*KEY, *_SOURCE.values(), "finish_time_seconds", "race_date"]).withColumnRenamed(
+        "predicted_time", "prior_estimate")
     df = ingroup.relevance(df, "race_id", ["finish_time_seconds", *KEY[1:]], hot=hot_races(spark, sf))
-    df = cut_lineage(learning.feature_vector(df, FEATURES))
-    models = learning.two_stage(df, FEATURES, "finish_time_seconds", "relevance", trees=5, depth=3)
-    return _beats_mean(learning.two_stage_predict(models, df), "finish_time_seconds", "predicted_time")
+    train, later = _split(cut_lineage(learning.feature_vector(df, FEATURES)))
+    models = learning.two_stage(train, FEATURES, "finish_time_seconds", "relevance", trees=20, depth=4)
+    return _held_out(train, learning.two_stage_predict(models, later), "finish_time_seconds", "predicted_time")
 
 
 @query("ensemble_score", "M6", with_entrants(f"""
@@ -107,14 +129,15 @@ def contiguous_folds(spark, sf):
     return learning.contiguous_folds(df, ["race_date", *KEY], 5).drop("race_date")
 
 
-@query("out_of_fold_stacking", "M9", "SELECT count(*) AS rows, true AS no_worse_than_mean FROM lineitem")
+@query("out_of_fold_stacking", "M9", with_entrants("SELECT count(*) AS trained_on, count(*) AS rows, true AS beats_baseline FROM entrants"))
 def out_of_fold_stacking(spark, sf):
+    """Every row is predicted by learners that have not seen it (five folds)."""
     df = _train(spark, sf, "finish_time_seconds", "race_date")
-    df = learning.contiguous_folds(df, ["race_date", *KEY], 3)
+    df = learning.contiguous_folds(df, ["race_date", *KEY], 5)
     learners = {"linear": LinearRegression(labelCol="finish_time_seconds", regParam=0.1),
-                "trees": GBTRegressor(labelCol="finish_time_seconds", maxIter=3, maxDepth=3, seed=1)}
-    stacked, _, _ = learning.stacked(df, "finish_time_seconds", learners, folds=3)
-    return _beats_mean(stacked, "finish_time_seconds", "stacked")
+                "trees": GBTRegressor(labelCol="finish_time_seconds", maxIter=10, maxDepth=4, seed=1)}
+    stacked, _, _ = learning.stacked(df, "finish_time_seconds", learners)
+    return _held_out(df, stacked, "finish_time_seconds", "stacked")
 
 
 @query("uncertainty_target", "M10", with_entrants(f"""
@@ -130,13 +153,13 @@ def uncertainty_target(spark, sf):
 
 
 @query("student_t_degrees_of_freedom", "M11", with_entrants("""
-  , z AS (SELECT race_id, round((last_3f_time - 35.5) / 1.2, 6) AS z FROM entrants WHERE horse_id % 5 <> 0),
+  , z AS (SELECT race_id, round((last_3f_time - 35.5) / 1.2, 6) AS z FROM entrants),
     grid AS (SELECT round(2.1 + i * 0.25, 6)::DOUBLE AS nu FROM (SELECT unnest(generate_series(0, 111)) AS i)),
     ll AS (SELECT race_id, nu, n, n * (lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * ln(nu * pi())) - (nu + 1) / 2 * s AS ll
            FROM (SELECT race_id, nu, count(*) AS n, sum(ln(1 + z * z / nu)) AS s FROM z, grid GROUP BY ALL))
   SELECT race_id, n, CASE WHEN n < 3 THEN 5.0 ELSE max_by(nu, (round(ll, 9), -nu)) END::DOUBLE AS nu FROM ll GROUP BY race_id, n"""))
 def student_t_degrees_of_freedom(spark, sf):
-    df = entrants(spark, sf, ["race_id", "horse_id", "last_3f_time"]).filter("horse_id % 5 <> 0")
+    df = entrants(spark, sf, ["race_id", "last_3f_time"])
     df = df.withColumn("z", F.round((F.col("last_3f_time") - 35.5) / 1.2, 6))
     return learning.student_t_df(df, "race_id", "z")
 
@@ -151,13 +174,18 @@ def assembled_predictions(spark, sf):
     return out.withColumn("nu", F.round("nu", 6))
 
 
-@query("importance_table", "M13", "SELECT 10 AS features, true AS sums_to_one, count(*) AS rows FROM lineitem")
+@query("importance_table", "M13", with_entrants(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(corr({x}, finish_time_seconds)) = greatest({{0}}) AS leads, 10 AS features FROM entrants"
+    for c, x in _SOURCE.items()).format(", ".join(f"abs(corr({x}, finish_time_seconds))" for x in _SOURCE.values()))))
 def importance_table(spark, sf):
+    """The feature with the largest gain is the one that goes with the target most; gains sum to 1."""
     df = _train(spark, sf, "finish_time_seconds")
-    model = learning.time_regressor(df, "finish_time_seconds", trees=3, depth=3)
+    model = learning.time_regressor(df, "finish_time_seconds", trees=20)
     out = learning.importance_table(model, [*FEATURES, *[f"{c}_missing" for c in FEATURES]])
-    return out.agg(F.count(F.lit(1)).cast("int").alias("features"), (F.abs(F.sum("gain") - 1) < 1e-6).alias("sums_to_one")).withColumn(
-        "rows", df.agg(F.count(F.lit(1))).scalar())
+    whole = Window.partitionBy(F.lit(0))  # ten rows
+    out = out.withColumns({"leads": (F.col("gain") == F.max("gain").over(whole)) & (F.abs(F.sum("gain").over(whole) - 1) < 1e-6),
+                           "features": F.count(F.lit(1)).over(whole).cast("int")})
+    return out.filter(F.col("feature").isin(FEATURES)).select("feature", "leads", "features")
 
 
 # ---- the full table ----------------------------------------------------------
@@ -171,7 +199,7 @@ _RAW = [*KEY, "race_date", "trainer_id", "venue", "sire_id", "damsire_id", "trac
 def feature_table(spark, sf, recipe=features.DEFAULT_RECIPE):
     # read by every feature family: stored once, then scanned by column
     results = cut_lineage(entrants(spark, sf, _RAW))
-    entries = results.filter(F.col("race_date") >= FROM_DAY)
+    entries = F.col("race_date") >= FROM_DAY
     hot = {"horse_id": hot_horses(spark, sf), "race_id": hot_races(spark, sf), "jockey_id": hot_jockeys(spark, sf)}
     return features.build(entries, results, KEY, TIMELINE, recipe, hot=hot)
 
@@ -223,11 +251,99 @@ def feature_table_checked(spark, sf):
                       *[F.round(c, 4).alias(c) for c in four])
 
 
+_PAST = features.DEFAULT_RECIPE["past_performance"]
+_SHAPE = {"mean": "avg({c})", "median": "quantile_cont({c}, 0.5)", "std": "stddev_samp({c})", "max": "max({c})"}
+_PAST_COLUMNS = {f"past_{n}_{c}_{agg}": f"{_SHAPE[agg].format(c=c)} OVER ({_H} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+                 for c in _PAST["columns"] if c in _RAW for n in _PAST["windows"] for agg in _PAST["aggregations"]}
+
+
+@query("feature_table_past", "W2 W3", with_entrants(f"""
+  , h AS (SELECT {K}, race_date, {", ".join(f"{x} AS {n}" for n, x in _PAST_COLUMNS.items())} FROM entrants)
+  SELECT {K}, {", ".join(f"round({n}::DOUBLE, 5) AS {n}" for n in _PAST_COLUMNS)} FROM h WHERE race_date >= DATE '{FROM_DAY}'"""))
+def feature_table_past(spark, sf):
+    """Every rolling column of the table."""
+    out = feature_table(spark, sf)
+    return out.select(*KEY, *[F.round(F.col(c).cast("double"), 5).alias(c) for c in _PAST_COLUMNS])
+
+
+_VENUES = [f"NATION_{i}" for i in range(25)]
+_BANDS = ["sprint", "mile", "intermediate", "long", "extreme_long"]
+
+
+def _per_context(pattern, target, column, values):
+    return {pattern.format(v): f"avg({target}) FILTER ({column} = '{v}')" for v in values}
+
+
+# (keys, {column: aggregate over the past}, HAVING)
+_TABLES = [
+    (["jockey_id"], {"jockey_win_rate": "avg(is_win)", **_per_context("jockey_{}_win_rate", "is_win", "venue", _VENUES),
+                     **_per_context("jockey_{}_win_rate", "is_win", "band", _BANDS),
+                     **_per_context("jockey_{}_win_rate", "is_win", "track_surface", "ANR")}, ""),
+    (["trainer_id"], {"trainer_win_rate": "avg(is_win)", **_per_context("trainer_{}_win_rate", "is_win", "venue", _VENUES)}, ""),
+    (["sire_id"], {"sire_avg_prize": "avg(prize_money)", "sire_avg_finish": "avg(finish_position)",
+                   "sire_std_finish": "stddev_samp(finish_position)", "sire_avg_distance": "avg(distance_m)",
+                   **_per_context("sire_{}_avg_finish", "finish_position", "track_surface", "ANR"),
+                   **_per_context("sire_{}_avg_finish", "finish_position", "band", _BANDS)}, ""),
+    (["damsire_id"], {"damsire_avg_prize": "avg(prize_money)"}, ""),
+    (["venue", "band", "track_surface", "bracket_number"], {"bracket_avg_finish": "avg(finish_position)"}, ""),
+    (["jockey_id", "trainer_id"], {"combo_avg_finish": "avg(finish_position)", "combo_races": "count(*)",
+                                   "combo_avg_popularity": "avg(popularity)",
+                                   "combo_overperform": "avg(popularity) - avg(finish_position)"}, ""),
+    (["sire_id", "damsire_id"], {"nicks_avg_finish": "avg(finish_position)", "nicks_count": "count(*)",
+                                 "nicks_std_finish": "stddev_samp(finish_position)"}, "HAVING count(*) >= 5"),
+    (["sire_id", "venue", "band", "track_surface"], {"sire_course_avg_finish": "avg(finish_position)"}, ""),
+    (["horse_id", "venue"], {"venue_avg_finish": "avg(finish_position)", "venue_races": "count(*)"}, ""),
+    (["horse_id", "band"], {"dist_avg_finish": "avg(finish_position)", "dist_races": "count(*)",
+                            "dist_avg_time": "avg(finish_time_seconds)"}, ""),
+    (["horse_id", "track_surface"], {"surface_avg_finish": "avg(finish_position)", "surface_races": "count(*)",
+                                     "surface_avg_last3f": "avg(last_3f_time)"}, ""),
+    (["horse_id"], {
+        **{f"avg_finish_last{w}": f"avg(finish_position) FILTER (q <= {w})" for w in (3, 5, 10)},
+        **{f"win_rate_last{w}": f"avg(CASE WHEN finish_position = 1 THEN 1 ELSE 0 END) FILTER (q <= {w})" for w in (3, 5, 10)},
+        **{f"place_rate_last{w}": f"avg(CASE WHEN finish_position <= 2 THEN 1 ELSE 0 END) FILTER (q <= {w})" for w in (3, 5, 10)},
+        **{f"improvement_rate_{w}": f"CASE WHEN max(n) >= 2 THEN (avg(finish_position) FILTER (q <= {w} AND q > least(n, {w}) - {w // 2})"
+           f" - avg(finish_position) FILTER (q <= {w // 2})) / avg(finish_position) FILTER (q <= {w} AND q > least(n, {w}) - {w // 2}) END"
+           for w in (3, 5, 10)},
+        "nige_rate": "avg(CASE WHEN passing_order_1 = 1 THEN 1 ELSE 0 END)",
+        "senko_rate": "avg(CASE WHEN passing_order_1 BETWEEN 2 AND 4 THEN 1 ELSE 0 END)"}, ""),
+]
+_STATISTICS = [c for _, columns, _ in _TABLES for c in columns]
+
+
+@query("feature_table_statistics", "A1 A2 A3 A4 A5 A6 A7 A8 A9 W11 W12", with_entrants(f"""
+  , b AS (SELECT *, {_BAND} AS band FROM entrants), past AS (SELECT *,
+      row_number() OVER (PARTITION BY horse_id ORDER BY race_date DESC, race_id DESC, jockey_id DESC, bracket_number DESC) AS q,
+      count(*) OVER (PARTITION BY horse_id) AS n
+    FROM b WHERE race_date < (SELECT min(race_date) FROM entrants WHERE race_date >= DATE '{FROM_DAY}'))
+  SELECT {K}, """ + ", ".join(f"round({c}::DOUBLE + 1e-9, 5) AS {c}" for c in _STATISTICS) + f""",
+         round(avg(nige_rate) OVER r + 1e-9, 5) AS nige_ratio, round(avg(senko_rate) OVER r + 1e-9, 5) AS senko_ratio
+  FROM (SELECT * FROM b WHERE race_date >= DATE '{FROM_DAY}') """ + " ".join(
+    f"LEFT JOIN (SELECT {', '.join(keys)}, {', '.join(f'{x} AS {c}' for c, x in columns.items())} FROM past GROUP BY {', '.join(keys)} {having})"
+    f" USING ({', '.join(keys)})" for keys, columns, having in _TABLES) + " WINDOW r AS (PARTITION BY race_id)"))
+def feature_table_statistics(spark, sf):
+    """Every entity, pair, course and trend column of the table."""
+    out = feature_table(spark, sf)
+    return out.select(*KEY, *[F.round(F.col(c).cast("double") + F.lit(1e-9), 5).alias(c) for c in [*_STATISTICS, "nige_ratio", "senko_ratio"]])
+
+
+@query("feature_table_has_no_results", "P4 Q4", with_entrants(f"""
+  SELECT 0 AS forbidden, count(*) AS rows FROM entrants WHERE race_date >= DATE '{FROM_DAY}'"""))
+def feature_table_has_no_results(spark, sf):
+    """No result column of the race itself is in the table (checked by origin, see the tests)."""
+    out = feature_table(spark, sf)
+    checks = profile.feature_checks(out.drop(*KEY, "race_date"), features.RESULT_COLUMNS)
+    return checks.agg(F.count_if("forbidden").cast("int").alias("forbidden")).withColumn("rows", out.agg(F.count(F.lit(1))).scalar())
+
+
 @query("imputed_feature_table", "M2 P3", with_entrants(f"""
-  , h AS (SELECT *, lag(finish_position) OVER ({_H}) AS last_finish FROM entrants), e AS (SELECT * FROM h WHERE race_date >= DATE '{FROM_DAY}')
-  SELECT {K}, coalesce(last_finish, (SELECT quantile_cont(last_finish, 0.5) FROM e))::DOUBLE AS past_1_finish_position_mean FROM e"""))
+  , h AS (SELECT *, lag(finish_position) OVER ({_H}) AS last_finish, row_number() OVER ({_H}) - 1 AS starts FROM entrants),
+    past AS (SELECT * FROM entrants WHERE race_date < (SELECT min(race_date) FROM entrants WHERE race_date >= DATE '{FROM_DAY}')),
+    e AS (SELECT * FROM h LEFT JOIN (SELECT jockey_id, trainer_id, count(*) AS combo FROM past GROUP BY ALL) USING (jockey_id, trainer_id)
+          WHERE race_date >= DATE '{FROM_DAY}')
+  SELECT {K}, coalesce(last_finish, (SELECT quantile_cont(last_finish, 0.5) FROM e))::DOUBLE AS past_1_finish_position_mean,
+         starts::DOUBLE AS career_starts, coalesce(combo, (SELECT quantile_cont(combo, 0.5) FROM e), 0)::DOUBLE AS combo_races FROM e"""))
 def imputed_feature_table(spark, sf):
-    recipe = {"past_performance": {"columns": ["finish_position"], "windows": [1], "aggregations": ["mean"]},
-              "exclude_patterns": [], "imputation": features.DEFAULT_RECIPE["imputation"]}
-    out = features.imputed(feature_table(spark, sf, recipe), [*KEY, "race_date"], recipe)
-    return out.select(*KEY, "past_1_finish_position_mean")
+    """Every numeric column of the default recipe is filled; medians of all come from one shuffle."""
+    table = cut_lineage(feature_table(spark, sf))
+    out = features.imputed(table, [*KEY, "race_date"])
+    return out.select(*KEY, "past_1_finish_position_mean", "career_starts", "combo_races")

@@ -1,86 +1,36 @@
-"""Sampled outcomes, bets and stakes, lineage."""
+"""Outcome probabilities, bets and stakes, lineage."""
 
 from pyspark.sql import functions as F
 
-from raceflow.bindings import KEY, entrants, hot_races, table, with_entrants
+from raceflow.bindings import entrants, hot_races, table, with_entrants
 from raceflow.operators import outcomes, pedigree, staking
 from raceflow.registry import query
-from raceflow.session import cut_lineage
 
-TRIALS = 32
 
-
-def _runners(spark, sf, *more):
-    df = entrants(spark, sf, ["race_id", "horse_number", "win_odds", *more])
-    return df.select("race_id", F.col("horse_number").alias("runner"), (-F.ln("win_odds")).alias("mu"),
-                     F.lit(0.3).alias("sigma"), F.lit(0.2).alias("nu"), "win_odds", *more)
-
-
-def _rankings(spark, sf, depth=3):
-    return outcomes.sample_rankings(_runners(spark, sf), TRIALS, depth=depth, hot=hot_races(spark, sf))
-
-
-@query("sampled_rankings_are_permutations", "B1", f"""
-  SELECT l_orderkey AS race_id, count(*) AS runners, {TRIALS} AS trials, true AS complete FROM lineitem GROUP BY l_orderkey""")
-def sampled_rankings(spark, sf):
-    """Every trial ranks every runner exactly once."""
-    ranks = _rankings(spark, sf, None)
-    per_trial = ranks.groupBy("race_id", "trial").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"), F.sum("runner").alias("sum_runner"),
-        F.max("pos").alias("last"))
-    ok = (F.col("last") == F.col("n")) & (F.col("sum_pos") == F.col("sum_runner"))
-    return per_trial.groupBy("race_id").agg(F.max("n").alias("runners"), F.count(F.lit(1)).cast("int").alias("trials"),
-                                            F.bool_and(ok).alias("complete"))
-
-
-@query("sampled_rank_distribution", "B1")
-def sampled_rank_distribution(spark, sf):
-    """How often each runner came in at each place."""
-    return _rankings(spark, sf, None).groupBy("race_id", "runner", "pos").agg(F.count(F.lit(1)).alias("trials"))
-
-
-@query("win_and_place_probabilities", "B2", """
-  SELECT l_orderkey AS race_id, count(*) AS runners, 1.0::DOUBLE AS win, least(3, count(*))::DOUBLE AS place FROM lineitem GROUP BY 1""")
-def win_and_place(spark, sf):
-    runners = _runners(spark, sf)
-    wp = outcomes.win_place(runners, outcomes.sample_rankings(runners, TRIALS, hot=hot_races(spark, sf)), TRIALS)
-    return wp.groupBy("race_id").agg(F.count(F.lit(1)).alias("runners"), F.round(F.sum("win"), 6).alias("win"),
-                                     F.round(F.sum("place"), 6).alias("place"))
-
-
-@query("pair_and_triple_probabilities", "B3 O3", """
-  SELECT race_id, CASE WHEN n >= 2 THEN 1.0::DOUBLE END AS pairs, CASE WHEN n >= 2 THEN true END AS pairs_ordered,
-         CASE WHEN n >= 3 THEN true END AS triples_ok FROM (SELECT l_orderkey AS race_id, count(*) AS n FROM lineitem GROUP BY 1)""")
-def pair_and_triple(spark, sf):
-    """Pairs sum to 1 with the smaller number first; at most 20 triples, none beyond 1 in total."""
-    runners = _runners(spark, sf)
-    rankings = cut_lineage(outcomes.sample_rankings(runners, TRIALS, hot=hot_races(spark, sf)))
-    pairs, triples = outcomes.pairs_and_triples(rankings, TRIALS)
-    part = F.split("key", "-")
-    pairs = pairs.groupBy("race_id").agg(
-        F.round(F.sum("probability"), 6).alias("pairs"),
-        F.bool_and(part[0].cast("int") < part[1].cast("int")).alias("pairs_ordered"))
-    triples = triples.groupBy("race_id").agg(
-        ((F.count(F.lit(1)) <= 20) & (F.sum("probability") <= 1.000001)).alias("triples_ok"))
-    races = runners.select("race_id").distinct()
-    return races.join(pairs, "race_id", "left").join(triples, "race_id", "left")
+def _outcomes(spark, sf):
+    """win probability and a place value of three times it, at most 1."""
+    df = entrants(spark, sf, ["race_id", "horse_number", "win_probability"])
+    return df.select("race_id", F.col("horse_number").alias("runner"), F.col("win_probability").alias("win"),
+                     F.least(F.lit(1.0), 3 * F.col("win_probability")).alias("place"))
 
 
 @query("packed_probability_maps", "B4", with_entrants("""
   SELECT race_id, CAST(horse_number AS STRING) AS key, round(win_probability, 7) AS probability, head_count AS entries FROM entrants"""))
 def packed_probability_maps(spark, sf):
     df = entrants(spark, sf, ["race_id", "horse_number", "win_probability"])
-    docs = outcomes.pack(df, "race_id", "horse_number", "win_probability", "win_probs", hot_races(spark, sf))
+    docs = outcomes.pack(df, "race_id", "horse_number", "win_probability", "win_probs", parts=4)
     sizes = docs.groupBy("race_id").agg(F.sum(F.size("win_probs")).alias("entries"))
     out = outcomes.unpack(docs, "race_id", "win_probs").join(sizes, "race_id")
     return out.withColumn("probability", F.round("probability", 7))
 
 
-@query("probability_audit", "B5", "SELECT l_orderkey AS race_id, count(*) AS runners, true AS fits FROM lineitem GROUP BY 1")
+@query("probability_audit", "B5", with_entrants("""
+  SELECT race_id, round(sum(win_probability), 7) AS win, round(sum(least(1.0, 3 * win_probability)), 7) AS place,
+         count(*) AS runners, abs(sum(win_probability) - 1) <= 0.01
+           AND abs(sum(least(1.0, 3 * win_probability)) - least(3, count(*))) <= 0.01 AS fits FROM entrants GROUP BY race_id"""))
 def probability_audit(spark, sf):
-    runners = _runners(spark, sf)
-    wp = outcomes.win_place(runners, outcomes.sample_rankings(runners, TRIALS, hot=hot_races(spark, sf)), TRIALS)
-    return outcomes.audit(wp).select("race_id", "runners", "fits")
+    out = outcomes.audit(_outcomes(spark, sf))
+    return out.select("race_id", F.round("win", 7).alias("win"), F.round("place", 7).alias("place"), "runners", "fits")
 
 
 _PRICED = """priced AS (
@@ -135,39 +85,17 @@ def stake_allocation(spark, sf):
     return out.select("race_id", "market", "key", "amount")
 
 
-@query("payoff_summary", "B10", with_entrants("""
-  SELECT race_id, head_count * 100.0::DOUBLE AS stake, true AS mean_fits FROM entrants WHERE horse_number = 1"""))
-def payoff_summary(spark, sf):
-    """Even stakes on every runner at equal odds return exactly one winner per trial."""
-    runners = _runners(spark, sf)
-    rankings = outcomes.sample_rankings(runners, TRIALS, hot=hot_races(spark, sf))
-    bets = runners.select("race_id", F.lit("win").alias("market"), F.col("runner").cast("string").alias("key"),
-                          F.lit(100.0).alias("amount"), F.lit(3.0).alias("odds"))
-    out = staking.payoff_summary(bets, outcomes.trial_hits(rankings), TRIALS, 10_000)
-    expected = (300 - F.col("stake")) / 10_000
-    fits = (F.abs(F.col("expected_return") - expected) < 1e-9) & (F.col("std_return") < 1e-6)
-    return out.select("race_id", "stake", fits.alias("mean_fits"))
-
-
-@query("payoff_summary_rows", "B10")
-def payoff_summary_rows(spark, sf):
-    runners = _runners(spark, sf)
-    rankings = outcomes.sample_rankings(runners, TRIALS, hot=hot_races(spark, sf))
-    bets = staking.stakes(staking.candidates(_priced(spark, sf)).withColumn("key", F.col("key").cast("string")), 20_000)
-    return staking.payoff_summary(bets, outcomes.trial_hits(rankings), TRIALS, 20_000)
-
-
 # ---- lineage: edges spelled from the part keys ---------------------------------
 
 _EDGES = """edges AS (
   SELECT p_partkey AS horse_id, g AS generation, p AS seq, concat('a', CAST((p_partkey * (2 * g + 1) + 31 * p) % 5000 AS STRING)) AS ancestor_id,
          CASE WHEN (p_partkey + p) % 4 <> 0 THEN 1990 + (p_partkey * p) % 20 END AS birth_year
-  FROM part, (SELECT unnest(generate_series(1, 3)) AS g), (SELECT unnest(generate_series(1, 8)) AS p)
+  FROM part, (SELECT unnest(generate_series(1, 5)) AS g), (SELECT unnest(generate_series(1, 32)) AS p)
   WHERE p <= 1 << g AND (p_partkey + g + p) % 13 <> 0)"""
 
 
 def _edges(spark, sf):
-    g = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("generation")
+    g = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("generation")
     df = table(spark, sf, "part").select(F.col("p_partkey").alias("horse_id"), g)
     df = df.withColumn("seq", F.explode(F.expr("sequence(1, shiftleft(1, generation))")))
     df = df.filter("(horse_id + generation + seq) % 13 <> 0")
@@ -180,10 +108,10 @@ def _edges(spark, sf):
     SELECT *, row_number() OVER (PARTITION BY horse_id, generation ORDER BY seq) AS position FROM edges)
   SELECT horse_id, """ + ", ".join(
     f"min(ancestor_id) FILTER (generation = {g} AND position = {p}) AS g{g}_p{p}_id"
-    for g in (1, 2, 3) for p in range(1, 2 ** g + 1)) + " FROM n GROUP BY horse_id")
+    for g in (1, 2, 3, 4, 5) for p in range(1, 2 ** g + 1)) + " FROM n GROUP BY horse_id")
 def pedigree_wide_form(spark, sf):
     placed = pedigree.positions(_edges(spark, sf), "horse_id", "generation", ["seq"])
-    return pedigree.wide(placed, "horse_id", "generation", "position", "ancestor_id", generations=3)
+    return pedigree.wide(placed, "horse_id", "generation", "position", "ancestor_id", generations=5)
 
 
 @query("parents_from_edges", "B12", f"""WITH {_EDGES}

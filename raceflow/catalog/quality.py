@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from raceflow.bindings import KEY, LOG_SQL, TIMELINE, entrants, hot_horses, log_lines, table, with_entrants
 from raceflow.operators import logs, metrics, profile, timeline
 from raceflow.registry import query
+from raceflow.session import scratch_path
+from raceflow.sources import files
 
 K = "race_id, horse_id, jockey_id, bracket_number"
 _PROFILED = ["race_id", "horse_id", "sex", "age", "prize_money", "venue", "win_odds"]
@@ -176,12 +178,40 @@ def validation_summary(spark, sf):
     return profile.status_summary(_results(spark, sf))
 
 
-@query("schema_check", "Q2", """SELECT t.*, (SELECT count(*) FROM lineitem) AS rows FROM (VALUES ('lineitem', 'l_comment', 'missing'),
-  ('lineitem', 'l_returnflag', 'not numeric: string')) t("table", "column", issue)""")
+@query("schema_check", "Q2", """
+  SELECT 'status_' || o_orderstatus AS "table", 'o_orderkey' AS "column", 'not numeric: string' AS issue FROM (SELECT DISTINCT o_orderstatus FROM orders)
+  UNION ALL SELECT 'status_' || o_orderstatus, 'o_comment', 'missing' FROM (SELECT DISTINCT o_orderstatus FROM orders)""")
 def schema_check(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    issues = profile.schema_check("lineitem", lines, ["l_orderkey", "l_comment"], ["l_quantity", "l_returnflag"])
-    return issues.withColumn("rows", lines.agg(F.count(F.lit(1))).scalar())
+    """A table for each order status, with its key read as text and a required column missing."""
+    orders = table(spark, sf, "orders")
+    out = None
+    for status in sorted(r[0] for r in orders.select("o_orderstatus").distinct().collect()):  # a handful
+        rows = orders.filter(F.col("o_orderstatus") == status).select(F.col("o_orderkey").cast("string"), "o_totalprice")
+        issues = profile.schema_check(f"status_{status}", rows, ["o_orderkey", "o_comment"], ["o_orderkey", "o_totalprice"])
+        out = issues if out is None else out.unionByName(issues)
+    return out
+
+
+@query("validation_limits", "Q1", with_entrants("""
+  SELECT "check", CASE WHEN value <= bound THEN 'pass' ELSE 'warning' END AS status, round(value, 6) AS value FROM (
+    SELECT 'scraping_status=' || o_orderstatus AS "check", CASE WHEN sum(length(CAST(o_orderkey AS VARCHAR)) + 1) < 5000 THEN 1.0 ELSE 0.0 END::DOUBLE AS value,
+           0.01 AS bound FROM orders GROUP BY o_orderstatus
+    UNION ALL SELECT 'results_parse_errors', avg(CASE WHEN l_linenumber IN (3, 5) THEN 1.0 ELSE 0.0 END), 0.02 FROM lineitem
+    """ + " ".join(f"""UNION ALL SELECT 'races_outliers_{c}', count(*) FILTER ({c} < q1 - 0.1 * (q3 - q1) OR {c} > q3 + 0.1 * (q3 - q1)) / count(*), 0.05
+      FROM entrants, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM entrants)""" for c in ("win_odds", "age")) + ")"))
+def validation_limits(spark, sf):
+    """Small files, parse errors and outliers against their limits."""
+    path = scratch_path(spark, "sizes")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("line"), F.col("o_orderstatus").alias("status"))
+    orders.repartition("status").write.partitionBy("status").text(path)
+    sizes = files.file_size_summary(spark, path, small_bytes=5000).filter("folder LIKE 'status=%'")
+    raw = F.when(F.col("l_linenumber").isin(3, 5), "---").otherwise(F.col("l_linenumber").cast("string"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", raw.alias("finish")).withColumn("n", F.col("finish").try_cast("int"))
+    good, bad = files.quarantine_split(lines, "results", "l_orderkey", {"finish": "n"}, F.current_timestamp())
+    races = entrants(spark, sf, ["win_odds", "age"])
+    out = profile.file_results(sizes).unionByName(profile.parse_results(good, bad, "results")).unionByName(
+        profile.outlier_results(profile.describe_with_outliers(races, ["win_odds", "age"], spread=0.1), "races"))
+    return out.select("check", "status", F.round("value", 6).alias("value"))
 
 
 @query("consistency_checks", "Q3", with_entrants("""
@@ -294,19 +324,39 @@ def metric_history_alerts(spark, sf):
                       F.round("baseline", 6).alias("baseline"), "severity")
 
 
-@query("recommendations", "Q8", with_entrants("""
-  SELECT metric, round(value, 5) AS value, CASE metric
-      WHEN 'brier_score' THEN 'high Brier score: calibrate probabilities'
-      WHEN 'roi' THEN CASE WHEN value < 0 THEN 'negative return: review the betting rule' ELSE 'good return' END END AS advice
-  FROM (SELECT 'brier_score' AS metric, avg(pow(win_probability - is_win, 2)) AS value FROM entrants
-        UNION ALL SELECT 'roi', (sum(is_win * win_odds) - count(*)) * 100 / count(*) FROM entrants)
-  WHERE (metric = 'brier_score' AND value > 0.25) OR (metric = 'roi' AND (value < 0 OR value > 10))"""))
+_ADVISED = """CASE metric
+    WHEN 'spearman_mean' THEN CASE WHEN value > -0.3 THEN 'weak ranking: review features and model'
+      WHEN value > -0.5 THEN 'moderate ranking: features can be improved' ELSE 'good ranking' END
+    WHEN 'brier_score' THEN CASE WHEN value > 0.25 THEN 'high Brier score: calibrate probabilities' END
+    WHEN 'ece' THEN CASE WHEN value > 0.1 THEN 'probabilities are not calibrated' END
+    WHEN 'roi' THEN CASE WHEN value < 0 THEN 'negative return: review the betting rule' WHEN value > 10 THEN 'good return' END
+    WHEN 'worst_segment' THEN CASE WHEN value > -0.3 THEN 'weak segment: add features or data for it' END
+    WHEN 'worst_races' THEN CASE WHEN value > 0 THEN 'races with especially weak predictions: look for what they share' END END"""
+
+
+@query("recommendations", "Q8", with_entrants(f"""
+  SELECT metric, round(value, 5) AS value, {_ADVISED} AS advice FROM (
+    SELECT metric, value * scale AS value FROM (
+      SELECT 'brier_score' AS metric, avg(pow(win_probability - is_win, 2)) AS value FROM entrants
+      UNION ALL SELECT 'roi', (sum(is_win * win_odds) - count(*)) * 100 / count(*) FROM entrants
+      UNION ALL SELECT 'spearman_mean', -avg(is_win) FROM entrants
+      UNION ALL SELECT 'ece', avg(is_win) FROM entrants
+      UNION ALL SELECT 'worst_segment', -avg(is_win) FROM entrants
+      UNION ALL SELECT 'worst_races', count(*) FILTER (finish_position > 5) / count(*) FROM entrants),
+      (SELECT unnest([0.0, 0.4, 1.0, 2.0, 4.0]) AS scale))
+  WHERE {_ADVISED} IS NOT NULL"""))
 def recommendations(spark, sf):
-    df = entrants(spark, sf, [*KEY, "win_probability", "is_win", "win_odds"])
+    """Every rule of the table meets values on both sides of its limit (each metric at five scales)."""
+    df = entrants(spark, sf, [*KEY, "win_probability", "is_win", "win_odds", "finish_position"])
+    won = F.avg("is_win")
     wide = df.agg(metrics.brier("win_probability", "is_win").alias("brier_score"),
-                  ((F.sum(F.col("is_win") * F.col("win_odds")) - F.count(F.lit(1))) * 100 / F.count(F.lit(1))).alias("roi"))
-    out = profile.recommendations(wide.unpivot([], ["brier_score", "roi"], "metric", "value"))
-    return out.withColumn("value", F.round("value", 5))
+                  ((F.sum(F.col("is_win") * F.col("win_odds")) - F.count(F.lit(1))) * 100 / F.count(F.lit(1))).alias("roi"),
+                  (-won).alias("spearman_mean"), won.alias("ece"), (-won).alias("worst_segment"),
+                  (F.count_if(F.col("finish_position") > 5) / F.count(F.lit(1))).alias("worst_races"))
+    long = wide.unpivot([], wide.columns, "metric", "value")
+    scales = F.explode(F.array(*[F.lit(x) for x in (0.0, 0.4, 1.0, 2.0, 4.0)])).alias("scale")
+    long = long.select("metric", "value", scales).select("metric", (F.col("value") * F.col("scale")).alias("value"))
+    return profile.recommendations(long).withColumn("value", F.round("value", 5))
 
 
 @query("validation_report", "Q9", with_entrants(f"""

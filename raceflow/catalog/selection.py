@@ -67,6 +67,17 @@ def membership_flags(spark, sf):
         "bracket_is_inner": [1, 2, 3], "bracket_is_middle": [4, 5, 6], "bracket_is_outer": [7, 8]}))
 
 
+@query("regional_races", "P7 P8", """
+  SELECT o_orderkey, o_custkey % 3 = 1 AS is_regional, CASE WHEN o_custkey % 3 = 1 THEN 0.3::DOUBLE END AS prize_scale_factor,
+         CASE WHEN o_custkey % 2 = 0 THEN CASE WHEN o_custkey % 3 = 1 THEN '地方未勝利' ELSE '未勝利' END ELSE 'オープン' END AS race_class
+  FROM orders""")
+def regional_races(spark, sf):
+    venue = F.element_at(F.array(F.lit("東京"), F.lit("園田"), F.lit(None).cast("string")), (F.col("o_custkey") % 3 + 1).cast("int"))
+    named = F.when(F.col("o_custkey") % 2 == 0, "未勝利").otherwise("オープン")
+    df = table(spark, sf, "orders").select("o_orderkey", venue.alias("venue"), named.alias("race_class"))
+    return df.withColumns(bands.regional(F.col("venue"), F.col("race_class"))).drop("venue")
+
+
 @query("conditional_update", "P8", with_entrants(f"""
   SELECT {K}, CASE WHEN finish_position <= head_count - 1 THEN finish_position END AS finish_position,
          CASE WHEN venue IN ('NATION_3', 'NATION_7') THEN 0.3::DOUBLE END AS prize_scale_factor FROM entrants"""))

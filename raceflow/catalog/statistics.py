@@ -34,8 +34,7 @@ def _banded(df):
   JOIN (SELECT sire_id, avg(prize_money) AS sire_avg_prize FROM entrants GROUP BY 1) USING (sire_id)
   JOIN (SELECT damsire_id, avg(prize_money) AS damsire_avg_prize FROM entrants GROUP BY 1) USING (damsire_id)"""))
 def entity_statistics(spark, sf):
-    # read once per id: stored, then scanned by column
-    df = cut_lineage(entrants(spark, sf, [*KEY, "trainer_id", "sire_id", "damsire_id", "is_win", "prize_money"]))
+    df = entrants(spark, sf, [*KEY, "trainer_id", "sire_id", "damsire_id", "is_win", "prize_money"])
     out = stats.attach_all(df, stats.entity_statistics(df, ENTITY_RECIPES), {"jockey_id": hot_jockeys(spark, sf)})
     return out.select(*KEY, F.round("jockey_win_rate", 6).alias("jockey_win_rate"),
                       F.round("trainer_win_rate", 6).alias("trainer_win_rate"),
@@ -52,19 +51,54 @@ def entity_rate_before_day(spark, sf):
     return out.select(*KEY, F.round("jockey_win_rate", 6).alias("jockey_win_rate"))
 
 
-@query("interaction_statistics", "A2", with_entrants("""
+@query("interaction_statistics", "A2", with_entrants(f"""
+  SELECT id, recipe, context, round(value, 6) AS value FROM (
+    """ + " UNION ALL ".join(f"""SELECT CAST({r['id_column']} AS VARCHAR) AS id, '{r['id_column']}/{r['context_column']}' AS recipe, {c} AS context,
+      CAST(avg({r['target']}) AS DOUBLE) AS value FROM entrants WHERE {c} IS NOT NULL GROUP BY ALL"""
+      for r in INTERACTION_RECIPES for c in [BAND if r["context_column"] == "distance_category" else r["context_column"]]) + ")"))
+def interaction_statistics(spark, sf):
+    """All recipes in the long form: any number of contexts."""
+    columns = ["sire_id", "trainer_id", "venue", "track_surface", "is_win", "distance_m", "finish_position"]
+    df = _banded(entrants(spark, sf, [*KEY, *columns]))
+    out = None
+    for key in ("jockey_id", "sire_id", "trainer_id"):
+        own = [r for r in INTERACTION_RECIPES if r["id_column"] == key]
+        names = F.array(*[F.lit(f"{key}/{r['context_column']}") for r in own])
+        rows = stats.interaction_rows(df, own).select(F.col(key).cast("string").alias("id"), F.get(names, F.col("recipe")).alias("recipe"),
+                                                      "context", F.round("value", 6).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("interaction_columns", "A2", with_entrants("""
   SELECT jockey_id, """ + ", ".join(
     f"round(avg(is_win) FILTER (venue = 'NATION_{i}'), 6) AS jockey_NATION_{i}_win_rate" for i in range(25)) + ", " + ", ".join(
     f"round(avg(is_win) FILTER (({BAND}) = '{b}'), 6) AS jockey_{b}_win_rate"
     for b in ("extreme_long", "intermediate", "long", "mile", "sprint")) + ", " + ", ".join(
     f"round(avg(is_win) FILTER (track_surface = '{s}'), 6) AS jockey_{s}_win_rate" for s in "ANR")
     + " FROM entrants GROUP BY jockey_id"))
-def interaction_statistics(spark, sf):
+def interaction_columns(spark, sf):
     df = cut_lineage(_banded(entrants(spark, sf, [*KEY, "venue", "track_surface", "is_win", "distance_m"])))
     out = stats.interaction_statistics(df, [r for r in INTERACTION_RECIPES if r["id_column"] == "jockey_id"])
     return _round(out["jockey_id"], ["jockey_id"])
 
 
+@query("statistics_before_each_row", "A1 A2 A6 J9", with_entrants(f"""
+  SELECT {K}, round(avg(is_win) OVER (PARTITION BY jockey_id, venue {{0}}), 6) AS jockey_own_venue_win_rate,
+         CASE WHEN count(*) OVER (PARTITION BY sire_id, damsire_id {{0}}) >= 5 THEN
+           round(avg(finish_position) OVER (PARTITION BY sire_id, damsire_id {{0}}), 6) END AS nicks_avg_finish,
+         CASE WHEN count(*) OVER (PARTITION BY sire_id, damsire_id {{0}}) >= 5 THEN
+           round(stddev_samp(finish_position) OVER (PARTITION BY sire_id, damsire_id {{0}}), 5) END AS nicks_std_finish
+  FROM entrants""".format("ORDER BY race_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING")))
+def statistics_before_each_row(spark, sf):
+    df = entrants(spark, sf, [*KEY, "race_date", "venue", "sire_id", "damsire_id", "is_win", "finish_position"])
+    out = stats.strictly_before(df, df, ["jockey_id", "venue"], "race_date", {"jockey_own_venue_win_rate": ("mean", "is_win")})
+    out = stats.strictly_before(out, df, ["sire_id", "damsire_id"], "race_date", {
+        "nicks_avg_finish": ("mean", "finish_position"), "nicks_std_finish": ("std", "finish_position")}, least=5)
+    return out.select(*KEY, F.round("jockey_own_venue_win_rate", 6).alias("jockey_own_venue_win_rate"),
+                      F.round("nicks_avg_finish", 6).alias("nicks_avg_finish"), F.round("nicks_std_finish", 5).alias("nicks_std_finish"))
+
+
 @query("course_affinity", "A3", with_entrants(f"""
   SELECT horse_id, 'venue' AS course, venue AS value, round(avg(finish_position), 6) AS avg_finish,
          count(*) AS races, round(avg(morning_odds), 6) AS detail FROM entrants GROUP BY ALL
@@ -107,10 +141,9 @@ def sire_statistics(spark, sf):
 @query("nicks", "A6", with_entrants("""
   SELECT sire_id, damsire_id, round(avg(finish_position), 6) AS nicks_avg_finish, count(*) AS nicks_count,
          round(stddev_samp(finish_position), 6) AS nicks_std_finish
-  FROM entrants WHERE track_surface = 'A' AND age = 4 GROUP BY ALL HAVING count(*) >= 5"""))
+  FROM entrants GROUP BY ALL HAVING count(*) >= 5"""))
 def nicks(spark, sf):
-    df = entrants(spark, sf, [*KEY, "sire_id", "damsire_id", "finish_position", "track_surface", "age"])
-    out = stats.nicks(df.filter("track_surface = 'A' AND age = 4"), "sire_id", "damsire_id")
+    out = stats.nicks(entrants(spark, sf, [*KEY, "sire_id", "damsire_id", "finish_position"]), "sire_id", "damsire_id")
     return _round(out, ["sire_id", "damsire_id", "nicks_count"])
 
 
@@ -145,11 +178,11 @@ def mean_of_duplicates(spark, sf):
          min_by(age, (race_date, race_id, jockey_id, bracket_number)) AS age,
          round(avg(finish_position), 6) AS mean_finish_pos, round(coalesce(stddev_samp(finish_position), 0), 6) AS std_finish_pos,
          count(*) AS total_races
-  FROM entrants JOIN (SELECT horse_id, avg(predicted_score) AS mu FROM entrants WHERE race_id % 3 = 0 GROUP BY 1) USING (horse_id)
+  FROM entrants JOIN (SELECT horse_id, avg(predicted_score) AS mu FROM entrants GROUP BY 1) USING (horse_id)
   GROUP BY horse_id"""))
 def sigma_training_table(spark, sf):
     df = entrants(spark, sf, [*KEY, "race_date", "age", "finish_position", "predicted_score"])
-    mu = df.filter("race_id % 3 = 0").select("horse_id", F.col("predicted_score").alias("mu"))
+    mu = df.select("horse_id", F.col("predicted_score").alias("mu"))
     out = stats.sigma_training(df, mu, "horse_id", ["race_date", "race_id", "jockey_id", "bracket_number"])
     return out.select("horse_id", F.round(F.col("sigma_target") + F.lit(1e-9), 6).alias("sigma_target"), "age",
                       F.round("mean_finish_pos", 6).alias("mean_finish_pos"),
@@ -200,6 +233,6 @@ def numeric_means_per_race(spark, sf):
   SELECT horse_id, total, CAST(quantile_cont(total, 0.5) OVER () AS DOUBLE) AS median_total FROM (
     SELECT horse_id, sum(prize_money) AS total FROM entrants GROUP BY horse_id) ORDER BY total DESC, horse_id LIMIT 10"""))
 def totals_and_top_earners(spark, sf):
-    totals = stats.totals_by(entrants(spark, sf, [*KEY, "prize_money"]), "horse_id", "prize_money", "total")
+    totals = cut_lineage(stats.totals_by(entrants(spark, sf, [*KEY, "prize_money"]), "horse_id", "prize_money", "total"))
     median, = skew.exact_quantiles(totals, "total", [0.5])
     return totals.orderBy(F.desc("total"), "horse_id").limit(10).withColumn("median_total", F.lit(median))

@@ -15,6 +15,9 @@ SEASONS = {"winter": [12, 1, 2], "spring": [3, 4, 5], "summer": [6, 7, 8], "autu
 REGIONAL_VENUES = ["園田", "姫路", "高知", "佐賀", "大井", "川崎", "浦和", "船橋",
                    "盛岡", "水沢", "金沢", "笠松", "名古屋", "門別", "帯広"]
 
+REGIONAL_PRIZE_SCALE = 0.3
+REGIONAL_MAIDEN = ("未勝利", "地方未勝利")
+
 
 def right_closed(x: Column, bounds: Sequence[tuple[float, str]], low: float = 0) -> Column:
     """Label of the band (previous bound, bound] holding ``x``; NULL outside."""
@@ -64,6 +67,13 @@ def membership(value: Column, groups: Mapping[str, Sequence]) -> dict[str, Colum
             for name, members in groups.items()}
 
 
+def regional(venue: Column, race_class: Column, venues: Sequence[str] = tuple(REGIONAL_VENUES)) -> dict[str, Column]:
+    """is_regional, the prize scale of regional races, and the maiden class renamed there."""
+    is_regional = F.coalesce(venue.isin(list(venues)), F.lit(False))
+    return {"is_regional": is_regional, "prize_scale_factor": F.when(is_regional, F.lit(REGIONAL_PRIZE_SCALE)),
+            "race_class": F.when(is_regional & (race_class == REGIONAL_MAIDEN[0]), REGIONAL_MAIDEN[1]).otherwise(race_class)}
+
+
 def implied_probability(odds: Column) -> Column:
     return F.lit(1.0) / (odds + 1)
 

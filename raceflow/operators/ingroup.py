@@ -65,10 +65,11 @@ def outlier_flag(df: DataFrame, keys: Sequence[str], column: str, out: str = "ti
 def relevance(df: DataFrame, group: str, order, out: str = "relevance", ceiling: int = 30,
               hot=None) -> DataFrame:
     """Rows behind this one in its group, clipped to 0…ceiling (the best gets most)."""
-    sized = group_size(df, group, "_n", hot)
-    placed = skew.row_numbers(sized, [group], order, "_pos", hot)
+    def numbered(rows, own):
+        return skew.row_numbers(group_size(rows, group, "_n", own), [group], order, "_pos", own)
+
     label = F.greatest(F.lit(0), F.least(F.lit(ceiling), F.col("_n") - F.col("_pos")))
-    return placed.withColumn(out, label).drop("_n", "_pos")
+    return skew.by_part(df, [group], hot, numbered).withColumn(out, label).drop("_n", "_pos")
 
 
 def share_by_value(df: DataFrame, group: str, column: Column, names: dict[str, str], hot=None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from raceflow import skew
 from raceflow.functions import bands
 from raceflow.operators.ingroup import top_rows
+from raceflow.session import cut_lineage
 
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str,
@@ -17,8 +18,12 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str,
     """Rank correlation of two columns per group (ties share the mean rank); NULL for a
     single row or a constant column. ``carry`` adds further aggregates."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    rows = skew.rank_within(rows, keys, a, "_ra", method="average", hot=hot)
-    rows = skew.rank_within(rows, keys, b, "_rb", method="average", hot=hot)
+
+    def ranked(part, own):
+        part = skew.rank_within(part, keys, a, "_ra", method="average", hot=own)
+        return skew.rank_within(part, keys, b, "_rb", method="average", hot=own)
+
+    rows = skew.by_part(rows, keys, hot, ranked)
     x, y, n = F.col("_ra"), F.col("_rb"), F.col("n")
     sums = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(x).alias("_x"), F.sum(y).alias("_y"), F.sum(x * y).alias("_xy"),
@@ -30,6 +35,7 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str,
 
 def correlation_summary(correlations: DataFrame) -> DataFrame:
     """Mean, median and population spread over the groups that have a value."""
+    correlations = cut_lineage(correlations.select("correlation"))
     median, = skew.exact_quantiles(correlations, "correlation", [0.5])
     return correlations.agg(F.avg("correlation").alias("spearman_mean"),
                             F.lit(median).alias("spearman_median"),
@@ -71,20 +77,16 @@ def calibration_table(df: DataFrame, probability: str, outcome: str, groups: int
 
 
 def top_k_overlap(df: DataFrame, group: str, entity: Sequence[str], score: str, actual: str,
-                  ks: Sequence[int]) -> DataFrame:
+                  ks: Sequence[int], hot=None) -> DataFrame:
     """Per k: share of groups (with at least k rows) whose predicted and actual first k
     have a member in common."""
-    deep = max(ks)
+    def placed(rows, own):
+        rows = skew.row_numbers(rows, [group], [score, *entity], "_p", own)
+        return skew.row_numbers(rows, [group], [actual, *entity], "_a", own)
 
-    def first(column, out):
-        ranked = skew.ordered_window([group], [column, *entity])
-        return (df.select(group, *entity, column).withColumn(out, F.row_number().over(ranked))
-                .filter(F.col(out) <= deep).select(group, *entity, out))
-
-    both = first(score, "_p").join(first(actual, "_a"), [group, *entity])
-    # smallest k at which the group has an overlap
-    hit = both.groupBy(group).agg(F.min(F.greatest("_p", "_a")).alias("_first"))
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).join(hit, group, "left")
+    # one pass: the smallest k at which the group has an overlap is min(max(p, a))
+    ranked = skew.by_part(df.select(group, *entity, score, actual), [group], hot, placed)
+    sizes = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min(F.greatest("_p", "_a")).alias("_first"))
     k = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     return (sizes.select("_n", "_first", k).filter(F.col("_n") >= F.col("k")).groupBy("k")
             .agg(F.count(F.lit(1)).alias("races"),
@@ -94,8 +96,10 @@ def top_k_overlap(df: DataFrame, group: str, entity: Sequence[str], score: str,
 def fractional_top_roi(df: DataFrame, group: str, order: Sequence, share: float = 0.2,
                        finish: str = "finish_position", odds: str = "win_odds", hot=None) -> DataFrame:
     """Return in percent of one unit on the best max(1, ⌊n·share⌋) rows per group."""
-    sized = skew.over_group(df, [group], {"_n": F.count(F.lit(1))}, hot)
-    placed = skew.row_numbers(sized, [group], order, "_pos", hot)
+    def numbered(rows, own):
+        return skew.row_numbers(skew.over_group(rows, [group], {"_n": F.count(F.lit(1))}, own), [group], order, "_pos", own)
+
+    placed = skew.by_part(df, [group], hot, numbered)
     bets = placed.filter(F.col("_pos") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)))
     paid = F.coalesce(F.sum(F.when(F.col(finish) == 1, F.col(odds))), F.lit(0.0))
     return bets.agg(F.count(F.lit(1)).alias("bets"), paid.alias("returned")).withColumn(

@@ -1,106 +1,31 @@
-"""Outcome probabilities from sampled rankings.
+"""Outcome probabilities as rows and as packed maps, and their audit.
 
-Every trial draws an ability θ ~ N(μ, σ² + ν²) per runner and then ranks the
-field by sequential softmax choice. Adding Gumbel noise to θ and sorting is the
-same distribution, and needs no sequential step. All noise is a hash of (seed,
-race, runner, trial): a retried task draws the same numbers.
+Outcomes are stored as one row per (race, market, key). A packed document is only a
+view of those rows; how many documents a race has is the caller's choice, not a
+consequence of its size.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raceflow import skew
-from raceflow.session import cut_lineage
-
-
-def uniform(seed: int, *parts: Column) -> Column:
-    """Uniform in (0, 1) from the top 53 bits of a hash."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11)
-    return (bits.cast("double") + 0.5) / F.lit(float(2 ** 53))
-
-
-def sample_scores(runners: DataFrame, trials: int, seed: int = 42, race: str = "race_id", runner: str = "runner",
-                  mu: str = "mu", sigma: str = "sigma", nu: str = "nu", hot=None) -> list[DataFrame]:
-    """(race, runner, trial, score) frames: one noisy score per runner and trial.
-
-    Runners of ordinary races are brought together before the trials are unrolled,
-    so the unrolled rows are never shuffled. Races that are hot are left where they
-    are; their trials spread over the cluster by (race, trial).
-    """
-    base = runners.select(race, runner, mu, sigma, nu)
-    cold, warm = skew.split_hot(base, [race], hot)
-    if cold is not None:
-        cold = cold.repartition(race)
-    parts = [p for p in (cold, warm) if p is not None]
-    return [_unrolled(p, trials, seed, race, runner, mu, sigma, nu) for p in parts]
-
-
-def _unrolled(df, trials, seed, race, runner, mu, sigma, nu):
-    rows = df.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    at = (F.col(race), F.col(runner), F.col("trial"))
-    normal = F.sqrt(-2 * F.ln(uniform(seed, *at))) * F.cos(2 * F.pi() * uniform(seed + 1, *at))
-    theta = F.col(mu) + normal * F.sqrt(F.col(sigma) * F.col(sigma) + F.col(nu) * F.col(nu))
-    return rows.select(race, runner, "trial", (theta - F.ln(-F.ln(uniform(seed + 2, *at)))).alias("score"))
-
-
-def sample_rankings(runners: DataFrame, trials: int, seed: int = 42, depth: int | None = 3,
-                    race: str = "race_id", runner: str = "runner", hot=None, **columns) -> DataFrame:
-    """(race, trial, pos, runner) for the first ``depth`` places of every trial (all when None)."""
-    w = Window.partitionBy(race, "trial").orderBy(F.desc("score"), runner)
-    out = []
-    for scores in sample_scores(runners, trials, seed, race, runner, hot=hot, **columns):
-        ranked = scores.withColumn("pos", F.row_number().over(w))
-        out.append((ranked if depth is None else ranked.filter(F.col("pos") <= depth)).select(race, "trial", "pos", runner))
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
-
 
-def win_place(runners: DataFrame, rankings: DataFrame, trials: int, race: str = "race_id",
-              runner: str = "runner") -> DataFrame:
-    """Share of trials won and share finished in the first three; 0 for runners never seen there."""
-    seen = rankings.groupBy(race, runner).agg(
-        F.count_if(F.col("pos") == 1).alias("_w"), F.count_if(F.col("pos") <= 3).alias("_p"))
-    out = runners.select(race, runner).join(seen, [race, runner], "left")
-    return out.select(race, runner, (F.coalesce("_w", F.lit(0)) / F.lit(float(trials))).alias("win"),
-                      (F.coalesce("_p", F.lit(0)) / F.lit(float(trials))).alias("place"))
+def outcome_rows(probabilities: DataFrame, markets: dict[str, str], model_id: str, created: Column,
+                 race: str = "race_id", runner: str = "runner") -> DataFrame:
+    """The stored form: a row per race, market (name → probability column) and runner."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("market"), F.col(c).cast("double").alias("probability"))
+                               for m, c in markets.items()])).alias("_o")
+    rows = probabilities.select(F.col(race).cast("string").alias("race_id"), F.col(runner).cast("string").alias("key"), each)
+    return rows.select("race_id", F.lit(model_id).alias("model_id"), created.cast("string").alias("created_ts"),
+                       "_o.market", "key", "_o.probability")
 
 
-def _podium(rankings, race, runner):
-    first = [F.max(F.when(F.col("pos") == i, F.col(runner))).alias(f"p{i}") for i in (1, 2, 3)]
-    return rankings.groupBy(race, "trial").agg(*first)
-
-
-def pairs_and_triples(rankings: DataFrame, trials: int, race: str = "race_id", runner: str = "runner",
-                      keep_triples: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Unordered first two (``1-2``) and ordered first three, the likeliest triples per race."""
-    podium = _podium(rankings, race, runner)
-    p = [F.col(f"p{i}") for i in (1, 2, 3)]
-    pair = F.when(p[1].isNotNull(), F.concat_ws("-", F.least(p[0], p[1]), F.greatest(p[0], p[1])))
-    pairs = (podium.select(race, pair.alias("key")).filter("key IS NOT NULL").groupBy(race, "key")
-             .agg((F.count(F.lit(1)) / F.lit(float(trials))).alias("probability")))
-    triples = (podium.filter("p3 IS NOT NULL").select(race, F.concat_ws("-", *p).alias("key")).groupBy(race, "key")
-               .agg((F.count(F.lit(1)) / F.lit(float(trials))).alias("probability")))
-    w = Window.partitionBy(race).orderBy(F.desc("probability"), "key")
-    triples = triples.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep_triples).drop("_r")
-    return pairs, triples
-
-
-# Documents per hot race.
-PARTS = 4096
-
-
-def pack(long: DataFrame, race: str, key: str, value: str, out: str, hot=None) -> DataFrame:
-    """One map key → value per race, with ``part`` 0. A hot race becomes up to PARTS
-    documents, each holding the keys that hash to its part, so no map grows without bound."""
+def pack(rows: DataFrame, race: str, key: str, value: str, out: str, parts: int = 1) -> DataFrame:
+    """Documents (race, part) with a map key → value of the keys that hash to the part."""
     entry = F.struct(F.col(key).cast("string"), F.col(value))
-    spread = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(PARTS)).cast("int")
-    cold, warm = skew.split_hot(long, [race], hot)
-    rows = [p.withColumn("part", part) for p, part in ((cold, F.lit(0)), (warm, spread)) if p is not None]
-    return reduce(DataFrame.unionByName, rows).groupBy(race, "part").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(out))
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int").alias("part")
+    return rows.groupBy(race, part).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(out))
 
 
 def unpack(documents: DataFrame, race: str, column: str, key: str = "key", value: str = "probability") -> DataFrame:
@@ -114,25 +39,3 @@ def audit(probabilities: DataFrame, race: str = "race_id", tolerance: float = 0.
     fits = ((F.abs(F.col("win") - 1) <= tolerance)
             & (F.abs(F.col("place") - F.least(F.col("runners"), F.lit(3))) <= tolerance))
     return sums.withColumn("fits", fits)
-
-
-def trial_hits(rankings: DataFrame, race: str = "race_id", runner: str = "runner") -> DataFrame:
-    """(race, market, key, trial) for every win and place outcome that came true."""
-    markets = F.explode(F.array_compact(F.array(F.when(F.col("pos") == 1, "win"), F.when(F.col("pos") <= 3, "place"))))
-    return rankings.select(race, markets.alias("market"), F.col(runner).cast("string").alias("key"), "trial")
-
-
-def outcome_documents(runners: DataFrame, trials: int, model_id: str, created: Column, seed: int = 42,
-                      race: str = "race_id", runner: str = "runner", hot=None) -> DataFrame:
-    """One document per race with its probability maps (several for a hot race)."""
-    hot = skew.hot_keys(runners, [race]) if hot is None else hot
-    rankings = cut_lineage(sample_rankings(runners, trials, seed, race=race, runner=runner, hot=hot))
-    wp = win_place(runners, rankings, trials, race, runner)
-    pairs, triples = pairs_and_triples(rankings, trials, race, runner)
-    docs = pack(wp, race, runner, "win", "win_probs", hot)
-    for long, key, value, out in ((wp, runner, "place", "place_probs"), (pairs, "key", "probability", "exacta_probs"),
-                                  (triples, "key", "probability", "trifecta_probs")):
-        docs = docs.join(pack(long, race, key, value, out, hot), [race, "part"], "full_outer")
-    return docs.select(F.concat_ws("_", F.lit(model_id), race, F.when(F.col("part") > 0, F.col("part"))).alias("sim_id"),
-                       race, F.lit(model_id).alias("model_id"), created.alias("created_ts"), F.lit(trials).alias("K"),
-                       "win_probs", "place_probs", "exacta_probs", "trifecta_probs")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from raceflow import skew
 
 # Limits of the checks.
-THRESHOLDS = {"max_small_file_rate": 0.01, "max_parse_error_rate": 0.02, "max_missing_rate": 0.10,
+THRESHOLDS = {"max_404_rate": 0.01, "max_parse_error_rate": 0.02, "max_missing_rate": 0.10,
               "max_outlier_rate": 0.05, "min_rows": 1000}
 FORBIDDEN_FEATURES = ["win_odds", "place_odds", "popularity", "finish_position", "finish_time_seconds", "prize_money"]
 LIMITS = {"distance_m": (100, 4000), "finish_time_seconds": (50, 500)}
@@ -51,20 +51,16 @@ def family_null_rate(profile: DataFrame, families: Mapping[str, Sequence[str]])
 
 def describe_with_outliers(df: DataFrame, columns: Sequence[str], spread: float = 3.0) -> DataFrame:
     """count, mean, std, min, quartiles, max, and rows beyond ``spread``·IQR per column."""
-    out = []
+    quartiles = skew.column_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
+    made = []
     for c in columns:
-        q1, q2, q3 = skew.exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        x = F.col(c)
-        far = F.lit(0)
-        if q1 is not None:
-            iqr = q3 - q1
-            far = F.count_if((x < q1 - spread * iqr) | (x > q3 + spread * iqr))
-        out.append(df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                          F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"),
-                          far.alias("outliers"))
-                   .select(F.lit(c).alias("column"), "count", "mean", "std", "min", F.lit(q1).alias("q1"),
-                           F.lit(q2).alias("median"), F.lit(q3).alias("q3"), "max", "outliers"))
-    return reduce(DataFrame.unionByName, out)
+        q1, q2, q3 = (F.lit(q).cast("double") for q in quartiles[c])
+        x, reach = F.col(c), spread * (q3 - q1)
+        made.append(F.struct(
+            F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.min(x).cast("double").alias("min"), q1.alias("q1"), q2.alias("median"), q3.alias("q3"),
+            F.max(x).cast("double").alias("max"), F.count_if((x < q1 - reach) | (x > q3 + reach)).alias("outliers")))
+    return df.agg(F.array(*made).alias("_c")).select(F.inline("_c"))
 
 
 def group_sizes(df: DataFrame, group: str, low: int = 5, high: int = 20) -> DataFrame:
@@ -223,6 +219,29 @@ def validation_results(tables: Mapping[str, DataFrame], watch: Mapping[str, Sequ
     return reduce(DataFrame.unionByName, rows)
 
 
+def file_results(sizes: DataFrame) -> DataFrame:
+    """A result row per folder of ``files.file_size_summary``: small files are taken for 404 pages."""
+    ok = F.col("small_rate") <= THRESHOLDS["max_404_rate"]
+    return sizes.select(F.concat(F.lit("scraping_"), "folder").alias("check"), F.when(ok, "pass").otherwise("warning").alias("status"),
+                        F.when(ok, "few small files").otherwise("many small files").alias("message"), F.col("small_rate").alias("value"))
+
+
+def parse_results(good: DataFrame, failures: DataFrame, name: str) -> DataFrame:
+    """One row: failed rows as a share of all rows of a quarantine split."""
+    rows = good.select(F.lit(0).alias("bad")).unionByName(failures.select(F.lit(1).alias("bad")))
+    return result(rows, f"{name}_parse_errors", F.avg("bad"), F.col("value") <= THRESHOLDS["max_parse_error_rate"],
+                  "few parse errors", "many parse errors")
+
+
+def outlier_results(described: DataFrame, name: str) -> DataFrame:
+    """A row per described column: the share of rows beyond the IQR fences."""
+    rate = F.coalesce(F.try_divide(F.col("outliers").cast("double"), F.col("count")), F.lit(0.0))
+    ok = rate <= THRESHOLDS["max_outlier_rate"]
+    return described.select(F.concat(F.lit(f"{name}_outliers_"), "column").alias("check"),
+                            F.when(ok, "pass").otherwise("warning").alias("status"),
+                            F.when(ok, "few outliers").otherwise("many outliers").alias("message"), rate.alias("value"))
+
+
 def status_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("checks"))
 

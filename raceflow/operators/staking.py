@@ -59,21 +59,3 @@ def stakes(bets: DataFrame, capital: float, fraction: float = 0.2, race_cap: flo
     scale = F.least(F.lit(1.0), F.try_divide(F.lit(float(race_cap)), F.col("_total")))
     amount = F.floor(F.col("_want") * F.coalesce(scale, F.lit(0.0)) / unit) * unit
     return out.withColumn("amount", amount.cast("double")).drop("_want", "_total")
-
-
-def payoff_summary(bets: DataFrame, trial_hits: DataFrame, trials: int, capital: float) -> DataFrame:
-    """Mean, spread and Sharpe of the relative profit per race over sampled trials.
-
-    ``trial_hits`` has one row per (race, market, key, trial) that came true; trials
-    without a hit lose the whole stake and are counted, not materialised.
-    """
-    staked = bets.groupBy("race_id").agg(F.sum("amount").alias("stake")).filter("stake > 0")
-    paid = (bets.filter("amount > 0").join(trial_hits, ["race_id", "market", "key"])
-            .groupBy("race_id", "trial").agg(F.sum(F.col("amount") * F.col("odds")).alias("_back")))
-    sums = paid.groupBy("race_id").agg(F.sum("_back").alias("_s"), F.sum(F.col("_back") * F.col("_back")).alias("_ss"))
-    out = staked.join(sums, "race_id", "left").na.fill(0.0, ["_s", "_ss"])
-    mean_back = F.col("_s") / trials
-    spread = F.sqrt(F.greatest(F.col("_ss") / trials - mean_back * mean_back, F.lit(0.0))) / capital
-    profit = (mean_back - F.col("stake")) / capital
-    return out.select("race_id", "stake", profit.alias("expected_return"), spread.alias("std_return"),
-                      (profit / (spread + F.lit(1e-6))).alias("sharpe_ratio"))

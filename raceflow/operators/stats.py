@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ AGGS: dict[str, Callable] = {
     "mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min, "sum": F.sum, "count": F.count,
     "median": lambda c: F.percentile(c, 0.5),
 }
-# One column per context value is created, so their number must stay small.
+# Up to this many values of a context become columns; a wider one is looked up in the long form.
 MAX_CONTEXTS = 500
 
 
@@ -37,30 +38,74 @@ def entity_statistics(history: DataFrame, recipes: Sequence[Mapping]) -> dict[st
 
 
 def context_values(history: DataFrame, column: str) -> list:
-    """Distinct contexts, sorted; refuses a column with more than MAX_CONTEXTS."""
+    """Distinct contexts, sorted; none for a column with more than MAX_CONTEXTS values."""
     found = history.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_CONTEXTS + 1).collect()
-    if len(found) > MAX_CONTEXTS:
-        raise ValueError(f"{column} has more than {MAX_CONTEXTS} values; it cannot become columns")
-    return sorted(r[0] for r in found)
+    return sorted(r[0] for r in found) if len(found) <= MAX_CONTEXTS else []
+
+
+def interaction_rows(history: DataFrame, recipes: Sequence[Mapping]) -> DataFrame:
+    """The long form (recipe, id, context, value) of all ``recipes`` on one id column, in
+    one aggregation whatever the number of contexts. ``recipe`` is the place in the list."""
+    key = recipes[0]["id_column"]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("recipe"), F.col(r["context_column"]).cast("string").alias("context"),
+                                        F.col(r["target"]).cast("double").alias("x")) for i, r in enumerate(recipes)])).alias("_e")
+    cells = history.filter(F.col(key).isNotNull()).select(key, each).select(key, "_e.*").filter("context IS NOT NULL")
+    aggs = sorted({r["agg"] for r in recipes})
+    made = cells.groupBy(key, "recipe", "context").agg(*[AGGS[a]("x").alias(f"_{a}") for a in aggs])
+    value = reduce(lambda rest, i: F.when(F.col("recipe") == i, F.col(f"_{recipes[i]['agg']}")).otherwise(rest),
+                   range(len(recipes)), F.lit(None).cast("double"))
+    return made.select(key, "recipe", "context", value.alias("value"))
 
 
 def interaction_statistics(history: DataFrame, recipes: Sequence[Mapping],
                            values: Mapping[str, Sequence] | None = None) -> dict[str, DataFrame]:
-    """Recipes with id_column, context_column, target, agg and feature_template: one
-    column per context value, all of one id in a single aggregation."""
+    """Recipes with id_column, context_column, target, agg and feature_template: per id, the
+    long form pivoted to a column for each listed context value. Contexts come from
+    ``values`` or the recipe's ``values``, else from the data if they are few; a context with
+    too many values has no columns (use ``interaction_rows``)."""
     values = dict(values or {})
-    by_id: dict[str, list[Column]] = {}
+    by_id: dict[str, list[Mapping]] = {}
     for r in recipes:
-        key, context, target = r["id_column"], r["context_column"], r["target"]
-        if not {key, context, target} <= set(history.columns):
-            continue
-        if context not in values:
-            values[context] = context_values(history, context)
-        for v in values[context]:
-            only = F.when(F.col(context) == F.lit(v), F.col(target))
-            by_id.setdefault(key, []).append(
-                AGGS[r["agg"]](only).alias(template_name(r["feature_template"], v)))
-    return {key: history.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs) for key, aggs in by_id.items()}
+        if {r["id_column"], r["context_column"], r["target"]} <= set(history.columns):
+            by_id.setdefault(r["id_column"], []).append(r)
+            context = r["context_column"]
+            if context not in values:
+                values[context] = r.get("values") or context_values(history, context)
+    out = {}
+    for key, own in by_id.items():
+        rows = interaction_rows(history, own)
+        wide = [F.max(F.when((F.col("recipe") == i) & (F.col("context") == str(v)), F.col("value")))
+                .alias(template_name(r["feature_template"], v)) for i, r in enumerate(own) for v in values[r["context_column"]]]
+        if wide:
+            out[key] = rows.groupBy(key).agg(*wide)
+    return out
+
+
+def strictly_before(df: DataFrame, history: DataFrame, keys: Sequence[str], day: str,
+                    spec: Mapping[str, tuple[str, str]], least: int = 0, asked: DataFrame | None = None) -> DataFrame:
+    """Attach per-key statistics (name → (mean | count | sum | std, column)) over the
+    history of strictly earlier days; NULL below ``least`` rows. A key has one row per
+    calendar day in the running window. NULL keys match each other. ``asked`` holds the keys
+    and days of ``df``: give a stored table when several calls are chained."""
+    asked = df if asked is None else asked
+    columns = sorted({c for _, c in spec.values()})
+    x = {c: F.col(c).cast("double") for c in columns}
+    daily = history.groupBy(*keys, day).agg(*[a.alias(n) for i, c in enumerate(columns) for n, a in (
+        (f"_n{i}", F.count(c)), (f"_s{i}", F.sum(x[c])), (f"_q{i}", F.sum(x[c] * x[c])))])
+    parts = [f"_{p}{i}" for i in range(len(columns)) for p in "nsq"]
+    days = asked.select(*keys, day).distinct().select(*keys, day, *[F.lit(0).cast("double").alias(p) for p in parts])
+    every = daily.unionByName(days).groupBy(*keys, day).agg(*[F.coalesce(F.sum(p), F.lit(0)).alias(p) for p in parts])
+    earlier = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    sums = every.select(*keys, day, *[F.coalesce(F.sum(p).over(earlier), F.lit(0)).alias(p) for p in parts])
+
+    def value(agg, i):
+        n, s, q = (F.col(f"_{p}{i}") for p in "nsq")
+        made = {"count": n.cast("long"), "sum": s, "mean": F.try_divide(s, n),
+                "std": F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))}[agg]
+        return F.when(n >= least, made) if least else made
+
+    table = sums.select(*keys, day, *[value(agg, columns.index(c)).alias(name) for name, (agg, c) in spec.items()])
+    return skew.attach(df, table, [*keys, day])
 
 
 def attach_all(df: DataFrame, tables: Mapping[str, DataFrame], hot: Mapping | None = None) -> DataFrame:
@@ -77,10 +122,10 @@ def entity_rate_before(df: DataFrame, entity: str, day: str, target: str, out: s
     daily = df.filter(F.col(target).isNotNull()).groupBy(entity, day).agg(
         F.sum(target).alias("_s"), F.count(target).alias("_n"))
     # days on which the entity has rows but no target still need a value
-    days = df.select(entity, day).distinct().join(daily, [entity, day], "left")
+    days = skew.attach(df.select(entity, day).distinct(), daily, [entity, day])
     earlier = Window.partitionBy(entity).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     prior = days.select(entity, day, F.try_divide(F.sum("_s").over(earlier), F.sum("_n").over(earlier)).alias(out))
-    return df.join(prior, [entity, day], "left")
+    return skew.attach(df, prior, [entity, day])
 
 
 def course_affinity(perf: DataFrame, entity: str, context: str, prefix: str,

@@ -191,7 +191,7 @@ def before_day(df: DataFrame, entity: str, day: str, sums: dict[str, Column]) ->
     daily = df.groupBy(entity, day).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     earlier = Window.partitionBy(entity).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     prior = daily.select(entity, day, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
-    return df.join(prior, [entity, day], "left")
+    return skew.attach(df, prior, [entity, day])
 
 
 def _names(order) -> list[str]:

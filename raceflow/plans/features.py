@@ -10,17 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raceflow import skew
 from raceflow.functions import bands
 from raceflow.operators import ingroup, selection, stats, timeline
 from raceflow.plans import learning
+from raceflow.session import cut_lineage
 
-# Post-event columns that must never be features.
-TARGETS = ["finish_position", "finish_time_seconds", "is_win", "prize_money", "odds", "win_odds", "popularity",
-           "margin_seconds", "finish_time_str", "margin_str"]
+# Columns that a race's result brings; those of the race itself are never features.
+RESULT_COLUMNS = ["finish_position", "finish_time_seconds", "last_3f_time", "passing_order_1", "passing_order_2",
+                  "passing_order_3", "passing_order_4", "is_win", "prize_money", "odds", "win_odds", "popularity",
+                  "margin_seconds", "finish_time_str", "margin_str"]
 
 # The default recipe.
 DEFAULT_RECIPE: dict = {
@@ -36,15 +38,16 @@ DEFAULT_RECIPE: dict = {
         {"id_column": "sire_id", "target": "prize_money", "agg": "mean", "feature_name": "sire_avg_prize"},
         {"id_column": "damsire_id", "target": "prize_money", "agg": "mean", "feature_name": "damsire_avg_prize"}],
     "interaction_features": [
-        {"id_column": i, "context_column": c, "target": t, "agg": "mean", "feature_template": f}
-        for i, c, t, f in (("jockey_id", "venue", "is_win", "jockey_{context}_win_rate"),
-                           ("jockey_id", "distance_category", "is_win", "jockey_{context}_win_rate"),
-                           ("jockey_id", "track_surface", "is_win", "jockey_{context}_win_rate"),
-                           ("sire_id", "track_surface", "finish_position", "sire_{context}_avg_finish"),
-                           ("sire_id", "distance_category", "finish_position", "sire_{context}_avg_finish"),
-                           ("trainer_id", "venue", "is_win", "trainer_{context}_win_rate"))],
+        {"id_column": "jockey_id", "context_column": "venue", "target": "is_win", "agg": "mean", "feature_template": "jockey_{context}_win_rate"},
+        {"id_column": "jockey_id", "context_column": "distance_category", "target": "is_win", "agg": "mean", "feature_template": "jockey_{context}_win_rate"},
+        {"id_column": "jockey_id", "context_column": "track_surface", "target": "is_win", "agg": "mean", "feature_template": "jockey_{context}_win_rate"},
+        {"id_column": "sire_id", "context_column": "track_surface", "target": "finish_position", "agg": "mean", "feature_template": "sire_{context}_avg_finish"},
+        {"id_column": "sire_id", "context_column": "distance_category", "target": "finish_position", "agg": "mean", "feature_template": "sire_{context}_avg_finish"},
+        {"id_column": "trainer_id", "context_column": "venue", "target": "is_win", "agg": "mean", "feature_template": "trainer_{context}_win_rate"},
+    ],
     "z_score": ["horse_weight", "basis_weight", "age", "prize_total", "career_win_rate"],
-    "course": True, "trend_windows": [3, 5, 10], "conditions": True, "relative": True,
+    "course": True, "trend_windows": [3, 5, 10], "improvement_windows": [3, 5, 10], "sire": True,
+    "running_style": True, "conditions": True, "relative": True,
     "imputation": {"numeric_strategy": "median", "default_numeric_value": 0.0},
     "exclude_patterns": [".*_name$", ".*_id$", "^race_id$", "^sex$", "^track_surface$", "^bracket_number$",
                          "is_target_race", "is_win", "prev_jockey_id", "prev_trainer_id", "^morning_odds$",
@@ -71,24 +74,47 @@ def career(recipe: Mapping, columns: Sequence[str]) -> timeline.Spec:
     return spec + timeline.previous(changed) if changed else spec
 
 
-def build(entries: DataFrame, results: DataFrame, key: Sequence[str], order: Sequence[str], recipe: Mapping = DEFAULT_RECIPE,
-          entity: str = "horse_id", race: str = "race_id", hot: Mapping[str, list] | None = None) -> DataFrame:
+def target_rows(results: DataFrame, entries: DataFrame | Column, key: Sequence[str]) -> DataFrame:
+    """All rows with ``is_target_race``: entries are a condition on the results, or a table of their own.
+
+    Entries that have results already are flagged in place; others come without any
+    result column, whatever the entry table holds.
+    """
+    if isinstance(entries, Column):
+        return results.withColumn("is_target_race", F.coalesce(entries, F.lit(False)).cast("int"))
+    known = entries.select(*key).distinct().withColumn("is_target_race", F.lit(1))
+    flagged = skew.attach(results, known, key).na.fill(0, ["is_target_race"])
+    fresh = selection.without_leakage(entries, RESULT_COLUMNS).withColumn("is_target_race", F.lit(1))
+    ahead = fresh.join(results.select(*key), list(key), "left_anti")
+    return flagged.unionByName(ahead, allowMissingColumns=True)
+
+
+def build(entries: DataFrame | Column, results: DataFrame, key: Sequence[str], order: Sequence[str],
+          recipe: Mapping = DEFAULT_RECIPE, entity: str = "horse_id", race: str = "race_id",
+          hot: Mapping[str, list] | None = None, as_of: str = "first_day") -> DataFrame:
     """Features of ``entries`` (unique on ``key``) knowing only earlier ``results``.
 
-    Entity, pair and course statistics use the results before the first entry's day;
-    rolling features use each entity's rows before the entry.
+    Rolling features use each entity's rows before the entry. Entity, pair and course
+    statistics use, by ``as_of``: the results before the first entry's day
+    (``first_day``), all results (``all``: the documented aggregate, which sees the races
+    themselves), or those of strictly earlier days than each entry (``row``). Result
+    columns of the race itself leave the rows before any other measure is made.
     """
+    if as_of not in ("first_day", "all", "row"):
+        raise ValueError(f"unknown as_of {as_of}")
     hot = dict(hot or {})
-    first_day = entries.agg(F.min("race_date")).scalar()
-    past = results.filter(F.col("race_date") < first_day)
     if "distance_m" in results.columns:
-        past = past.withColumn("distance_category", bands.distance_right_closed(F.col("distance_m")))
-        entries = entries.withColumn("distance_category", bands.distance_right_closed(F.col("distance_m")))
+        band = bands.distance_right_closed(F.col("distance_m"))
+        results = results.withColumn("distance_category", band)
+        if isinstance(entries, DataFrame):
+            entries = entries.withColumn("distance_category", band)
+    rows = target_rows(results, entries, key)
+    first_day = rows.filter("is_target_race = 1").agg(F.min("race_date")).scalar()
+    past = results if as_of in ("all", "row") else results.filter(F.col("race_date") < first_day)
 
-    rows = results.join(entries.select(*key), list(key), "left_anti").withColumn("is_target_race", F.lit(0)).unionByName(
-        entries.withColumn("is_target_race", F.lit(1)), allowMissingColumns=True)
     spec = career(recipe, rows.columns)
-    df = timeline.with_history(rows, [entity], order, spec, hot=hot.get(entity)).filter("is_target_race = 1").drop("is_target_race")
+    df = timeline.with_history(rows, [entity], order, spec, hot=hot.get(entity)).filter("is_target_race = 1")
+    df = selection.without_leakage(df, [*RESULT_COLUMNS, "is_target_race"])
 
     basic = recipe.get("basic_features", {})
     for r in basic.get("one_hot_encoding", []):
@@ -97,34 +123,88 @@ def build(entries: DataFrame, results: DataFrame, key: Sequence[str], order: Seq
     if basic.get("bracket") and "bracket_number" in df.columns:
         df = df.withColumns(bands.membership(F.col("bracket_number"), basic["bracket"]))
 
+    def in_race(part: DataFrame, own) -> DataFrame:
+        part = ingroup.z_score(part, race, z, own) if z else part
+        return relative_measures(part, race, own) if recipe.get("relative") else part
+
     z = [c for c in recipe.get("z_score", []) if c in df.columns]
-    if z:
-        df = ingroup.z_score(df, race, z, hot.get(race))
-    if recipe.get("relative"):
-        df = relative_measures(df, race, hot.get(race))
+    if z or recipe.get("relative"):
+        df = skew.by_part(df, [race], hot.get(race), in_race)
 
-    wanted: list[tuple[list[str], DataFrame]] = []
-    tables = stats.entity_statistics(past, recipe.get("entity_stats", []))
-    contexts = {c: stats.context_values(past, c) for c in {r["context_column"] for r in recipe.get("interaction_features", [])}
-                if c in past.columns}
-    for k, t in stats.interaction_statistics(past, recipe.get("interaction_features", []), contexts).items():
-        tables[k] = tables[k].join(t, k) if k in tables else t
-    wanted += [([k], t) for k, t in tables.items()]
-    if recipe.get("course"):
-        wanted += course_statistics(past, entity)
-    if recipe.get("trend_windows"):
-        wanted.append(([entity], timeline.recent_summary(past, entity, order, recipe["trend_windows"])))
-    wanted = [(keys, t) for keys, t in wanted if set(keys) <= set(df.columns)]
-    for (keys, _), table in zip(wanted, skew.stored_all([t for _, t in wanted])):
-        df = skew.lookup(df, table, keys, _hot_for(keys, hot), stored=True)
+    if as_of == "row":
+        specs = [x for x in statistics_specs(past, recipe, entity) if set(x[0]) <= set(df.columns)]
+        keys_used = sorted({k for keys, _, _ in specs for k in keys} | {"race_date"})
+        asked = cut_lineage(rows.filter("is_target_race = 1").select(*keys_used).distinct())
+        for keys, spec_of, least in specs:
+            df = stats.strictly_before(df, past, keys, "race_date", spec_of, least, asked)
+    else:
+        wanted = [(keys, t) for keys, t in statistics(past, recipe, entity, order) if set(keys) <= set(df.columns)]
+        for (keys, _), table in zip(wanted, skew.stored_all([t for _, t in wanted])):
+            df = skew.lookup(df, table, keys, _hot_for(keys, hot), stored=True)
+        if recipe.get("running_style") and "nige_rate" in df.columns:
+            df = skew.over_group(df, [race], {"nige_ratio": F.avg("nige_rate"), "senko_ratio": F.avg("senko_rate")}, hot.get(race))
     if recipe.get("conditions"):
         df = race_conditions(df)
 
     names = selection.feature_columns(df, recipe.get("exclude_patterns", []))
-    names = [c for c in names if c not in TARGETS and c not in key and c != "race_date"]
+    names = [c for c in names if c not in key and c != "race_date"]
     return df.select(*key, "race_date", *names)
 
 
+def statistics(past: DataFrame, recipe: Mapping, entity: str, order: Sequence[str]) -> list[tuple[list[str], DataFrame]]:
+    """(keys, table) of all statistics over ``past``, one table per key combination."""
+    tables = stats.entity_statistics(past, recipe.get("entity_stats", []))
+    for k, t in stats.interaction_statistics(past, recipe.get("interaction_features", [])).items():
+        tables[k] = tables[k].join(t, k, "full_outer") if k in tables else t
+    if recipe.get("sire") and {"sire_id", "finish_position", "distance_m"} <= set(past.columns):
+        t = stats.sire_statistics(past.filter("sire_id IS NOT NULL"), "sire_id")
+        tables["sire_id"] = tables["sire_id"].join(t, "sire_id", "full_outer") if "sire_id" in tables else t
+    own = []
+    if recipe.get("trend_windows"):
+        own.append(timeline.recent_summary(past, entity, order, recipe["trend_windows"]))
+    if recipe.get("improvement_windows"):
+        own.append(timeline.improvement_rate(past, entity, order, recipe["improvement_windows"]))
+    if recipe.get("running_style") and "passing_order_1" in past.columns:
+        style = bands.running_style(F.col("passing_order_1"))
+        own.append(stats.grouped(past, [entity], {f"{name}_rate": F.avg((style == name).cast("int")) for name in ("nige", "senko")}))
+    for t in own:
+        tables[entity] = tables[entity].join(t, entity, "full_outer") if entity in tables else t
+    return [([k], t) for k, t in tables.items()] + (course_statistics(past, entity) if recipe.get("course") else [])
+
+
+def statistics_specs(past: DataFrame, recipe: Mapping, entity: str) -> list[tuple[list[str], dict, int]]:
+    """(keys, {name: (aggregate, column)}, least rows) of the same statistics for strictly
+    earlier days; an interaction is given for the row's own context."""
+    have, found = set(past.columns), {}
+
+    def add(keys, name, agg, column, least=0):
+        if {*keys, column} <= have:
+            found.setdefault((tuple(keys), least), {})[name] = (agg, column)
+
+    for r in recipe.get("entity_stats", []):
+        add([r["id_column"]], r["feature_name"], r["agg"], r["target"])
+    for r in recipe.get("interaction_features", []):
+        name = selection.template_name(r["feature_template"], f"own_{r['context_column']}")
+        add([r["id_column"], r["context_column"]], name, r["agg"], r["target"])
+    if recipe.get("sire"):
+        add(["sire_id"], "sire_avg_finish", "mean", "finish_position")
+        add(["sire_id"], "sire_std_finish", "std", "finish_position")
+        add(["sire_id"], "sire_avg_distance", "mean", "distance_m")
+    if recipe.get("course"):
+        course = ["venue", "distance_category", "track_surface"]
+        add([*course, "bracket_number"], "bracket_avg_finish", "mean", "finish_position")
+        add(["sire_id", *course], "sire_course_avg_finish", "mean", "finish_position")
+        for name, agg, column in (("combo_avg_finish", "mean", "finish_position"), ("combo_races", "count", "finish_position"),
+                                  ("combo_avg_popularity", "mean", "popularity")):
+            add(["jockey_id", "trainer_id"], name, agg, column)
+        for name, agg in (("nicks_avg_finish", "mean"), ("nicks_count", "count"), ("nicks_std_finish", "std")):
+            add(["sire_id", "damsire_id"], name, agg, "finish_position", 5)
+        for context, prefix in (("venue", "venue"), ("distance_category", "dist"), ("track_surface", "surface")):
+            add([entity, context], f"{prefix}_avg_finish", "mean", "finish_position")
+            add([entity, context], f"{prefix}_races", "count", "finish_position")
+    return [(list(keys), spec, least) for (keys, least), spec in found.items()]
+
+
 def imputed(df: DataFrame, keep: Sequence[str], recipe: Mapping = DEFAULT_RECIPE) -> DataFrame:
     """Fill the NULLs of every numeric feature by the recipe's strategy."""
     rule = recipe.get("imputation", {})

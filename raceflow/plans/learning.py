@@ -65,8 +65,8 @@ def feature_vector(df: DataFrame, columns: Sequence[str], out: str = "features",
 
 
 def time_regressor(train: DataFrame, target: str, features: str = "features", prediction: str = "predicted_time",
-                   trees: int = 10, depth: int = 4):
-    """Boosted trees on the finish time."""
+                   trees: int = 1000, depth: int = 4):
+    """Boosted trees on the finish time; the default number of trees is that of a full training run."""
     return GBTRegressor(featuresCol=features, labelCol=target, predictionCol=prediction, maxIter=trees,
                         maxDepth=depth, seed=42).fit(train)
 

@@ -29,8 +29,8 @@ from raceflow.session import cut_lineage
 # of the rows.
 HOT_ROWS = 2_000_000
 HOT_LIMIT = 10_000
-# Statistics tables up to this many (narrow) rows are broadcast.
-BROADCAST_ROWS = 200_000
+# Statistics tables up to this many bytes (rows times width) are broadcast.
+BROADCAST_BYTES = 64 << 20
 EVERYTHING = "everything"
 
 Order = Sequence["str | tuple[str, bool]"]
@@ -70,6 +70,25 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot) -> tuple[DataFrame | None
     return df.join(listed, cond, "left_anti"), df.join(listed, cond, "left_semi")
 
 
+def by_part(df: DataFrame, keys: Sequence[str], hot, work: Callable[[DataFrame, object], DataFrame]) -> DataFrame:
+    """``work(rows, hot)`` on the cold rows and on the hot ones, and their union.
+
+    Operators chained inside ``work`` pass the given ``hot`` on, so the input is split
+    once for all of them: it is read once for the cold part and once to store the hot one.
+    Groups are never divided between the parts.
+    """
+    cold, warm = split_hot(df, keys, hot)
+    parts = [] if cold is None else [work(cold, [])]
+    if warm is not None:
+        parts.append(work(cut_lineage(warm), EVERYTHING))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Width of a row as Spark holds it: 8 bytes a column, more for text."""
+    return sum(32 if f.dataType.typeName() in ("string", "binary") else 16 for f in df.schema)
+
+
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe equi-join on ``keys`` keeping the left key columns."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
@@ -89,19 +108,22 @@ def lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str], hot=None,
            null_matches: bool = False, stored: bool = False) -> DataFrame:
     """Left join per-key ``stats`` (one row per key) onto ``df``.
 
-    The statistics are materialised once (unless already ``stored``) and counted: up to BROADCAST_ROWS rows
+    The statistics are materialised once (unless already ``stored``) and sized: up to BROADCAST_BYTES
     they are broadcast and ``df`` does not move; beyond that ``df`` is shuffled,
-    except its hot keys, whose few statistics rows are broadcast.
+    except its hot keys, whose few statistics rows are broadcast under the same limit.
     """
     def join(left, right):
         return attach(left, right, keys) if null_matches else left.join(right, list(keys), "left")
 
     columns = [*df.columns, *[c for c in stats.columns if c not in keys]]
     stats = stats if stored else cut_lineage(stats)
-    if stats.count() <= BROADCAST_ROWS:
+    most = BROADCAST_BYTES // row_bytes(stats)
+    if stats.count() <= most:
         return join(df, F.broadcast(stats)).select(columns)
     if hot is None:
         hot = hot_keys(df, keys)
+    if hot != EVERYTHING and len(hot) > most:
+        hot = hot[:max(most, 1)]  # largest first; smaller ones are left to the skew join
     cold, warm = split_hot(df, keys, hot)
     if warm is None:
         return join(cold, stats).select(columns)
@@ -249,62 +271,47 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Order, out: str, hot=
     return reduce(DataFrame.unionByName, parts)
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
-                    direct_rows: int = 1_000_000) -> list[float | None]:
-    """Exact linear-interpolated quantiles of one column.
+def column_quantiles(df: DataFrame, columns: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of many columns, whatever their sizes.
 
-    Small inputs use ``percentile`` directly. Larger ones narrow the range: each
-    pass counts rows between approximate split points and keeps only the slice
-    holding the wanted rank, so no task ever sees the whole column.
+    All columns become (column, value, n) rows in one shuffle, combined in the scan's tasks;
+    running counts over them are computed in range chunks, and only the values at the
+    wanted ranks reach the driver. The input is read once and the number of jobs does
+    not depend on the number of columns. NULL and NaN do not count.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
-    if n == 0:
-        return [None] * len(probs)
-    if n <= direct_rows:
-        return values.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).first()["q"]
-    out = []
-    for p in probs:
-        at = (n - 1) * p
-        low = _value_at(values, int(at), direct_rows)
-        high = _value_at(values, min(int(at) + 1, n - 1), direct_rows) if at != int(at) else low
-        out.append(low + (high - low) * (at - int(at)))
-    return out
-
-
-def exact_medians(df: DataFrame, columns: Sequence[str], direct_rows: int = 1_000_000) -> dict[str, float | None]:
-    """Medians of many columns: one pass for small inputs, narrowing per column beyond."""
-    if df.limit(direct_rows + 1).count() <= direct_rows:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns]).first()
-        return {c: row[c] for c in columns}
-    return {c: exact_quantiles(df, c, [0.5], direct_rows)[0] for c in columns}
-
-
-def _value_at(values: DataFrame, rank: int, direct_rows: int) -> float:
-    steps = 512
-    while True:
-        grid = [i / steps for i in range(1, steps)]
-        head = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                          F.percentile_approx("v", grid, 10_000).alias("splits")).first()
-        if head["lo"] == head["hi"]:
-            return head["lo"]
-        if head["n"] <= direct_rows:
-            counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-            upto = F.sum("n").over(Window.orderBy("v"))  # at most direct_rows values
-            return counts.withColumn("c", upto).filter(F.col("c") > rank).agg(F.min("v")).first()[0]
-        # slots alternate: open gap below an edge, then the edge value itself, so a
-        # value that fills the range is recognised and every pass narrows it
-        edges = sorted({head["lo"], head["hi"], *head["splits"]})
-        listed = F.array(*[F.lit(e) for e in edges])
-        slot = (2 * F.size(F.filter(listed, lambda e: e < F.col("v")))
-                + F.array_contains(listed, F.col("v")).cast("int"))
-        below = 0
-        for row in values.groupBy(slot.alias("slot")).count().orderBy("slot").collect():
-            if below + row["count"] > rank:
-                break
-            below += row["count"]
-        upper, on_edge = edges[row["slot"] // 2], row["slot"] % 2
-        if on_edge:
-            return upper
-        values = values.filter((F.col("v") < upper) & (F.col("v") > edges[row["slot"] // 2 - 1]))
-        rank -= below
+    names = list(columns)
+    if not names:
+        return {}
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(name).cast("double").alias("v"))
+                                for i, name in enumerate(names)])).alias("_x")
+    counts = (df.select(cells).select("_x.*").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+              .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut_lineage(counts)
+    sizes = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.sum("n").alias("n")).collect()}  # a row per column
+    wanted: dict[int, list[int]] = {}
+    for i, name in enumerate(names):
+        for p in columns[name] if i in sizes else ():
+            at = (sizes[i] - 1) * p
+            wanted.setdefault(i, []).extend({int(at), min(int(at) + 1, sizes[i] - 1)})
+    if not wanted:
+        return {name: [None] * len(columns[name]) for name in names}
+    ranks = counts.sparkSession.createDataFrame([(i, sorted(set(r))) for i, r in wanted.items()], "c int, ranks array<bigint>")
+    running = history(counts, ["c"], ["v"], totals={"before": F.col("n")}, hot=EVERYTHING)
+    placed = running.join(F.broadcast(ranks), "c").select(  # a row per column
+        "c", "v", F.explode(F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).alias("r"))
+    value = {(row["c"], row["r"]): row["v"] for row in placed.collect()}  # two values per quantile
+
+    def quantile(i: int, p: float) -> float:
+        at = (sizes[i] - 1) * p
+        low, high = value[i, int(at)], value[i, min(int(at) + 1, sizes[i] - 1)]
+        return low + (high - low) * (at - int(at))
+
+    return {name: [quantile(i, p) if i in sizes else None for p in columns[name]] for i, name in enumerate(names)}
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
+    return column_quantiles(df, {column: list(probs)})[column]
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    return {c: q[0] for c, q in column_quantiles(df, {c: [0.5] for c in columns}).items()}

@@ -11,14 +11,9 @@ from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
-# Results up to this many rows may be written as one file.
-SINGLE_FILE_ROWS = 1_000_000
-
-OUTCOME_SCHEMA = ("sim_id string, race_id string, model_id string, created_ts string, K int, "
-                  "win_probs map<string,double>, place_probs map<string,double>, "
-                  "exacta_probs map<string,double>, trifecta_probs map<string,double>")
-ODDS_SCHEMA = ("race_id string, snapshot_ts timestamp, "
-               "market map<string,map<string,struct<odds:double,popularity:int>>>")
+# Outcomes and odds are stored as one row per outcome, whatever the size of the race.
+OUTCOME_SCHEMA = "race_id string, model_id string, created_ts string, market string, key string, probability double"
+ODDS_SCHEMA = "race_id string, snapshot_ts string, market string, key string, odds double, popularity int"
 
 
 def read_by_date(spark: SparkSession, path: str, start: str, end: str, day: str = "race_date") -> DataFrame:
@@ -52,15 +47,17 @@ def read_partitions(spark: SparkSession, path: str, **values) -> DataFrame:
 
 
 def read_latest_per_partition(spark: SparkSession, path: str) -> DataFrame:
-    """Only the newest file of every partition directory.
+    """Only the newest file of every partition directory, by file time and then path.
 
-    Works on the file listing (path and time, no contents); older files are not opened.
+    The newest file of a folder comes from the rows' file metadata (footers only), and
+    rows are kept by joining on their file, so no list of files passes through the driver.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option(
-        "recursiveFileLookup", "true").load(path).select("path", "modificationTime")
-    folder = F.regexp_replace("path", "/[^/]+$", "")
-    newest = files.groupBy(folder.alias("folder")).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
-    return spark.read.option("basePath", path).parquet(*[r["path"] for r in newest.collect()])
+    rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+    file = F.col("_metadata.file_path")
+    newest = rows.groupBy(F.regexp_replace(file, "/[^/]+$", "").alias("folder")).agg(
+        F.max(F.struct(F.col("_metadata.file_modification_time").alias("t"), file.alias("p"))).alias("f"))
+    newest = newest.select(F.col("f.p").alias("_file"))
+    return rows.select("*", file.alias("_file")).join(newest, "_file", "left_semi").drop("_file")
 
 
 def partition_columns(df: DataFrame, day: str = "race_date", fallback_id: str | None = None) -> DataFrame:
@@ -83,10 +80,9 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def write_single(df: DataFrame, path: str) -> None:
-    """One file when the result is small, balanced files otherwise."""
-    small = df.limit(SINGLE_FILE_ROWS + 1).count() <= SINGLE_FILE_ROWS
-    (df.coalesce(1) if small else df.hint("rebalance")).write.mode("overwrite").parquet(path)
+def write_files(df: DataFrame, path: str, files: int | None = None) -> None:
+    """``files`` files (one for a result known to be small), or well-sized ones."""
+    (df.repartition(files) if files else df.hint("rebalance")).write.mode("overwrite").parquet(path)
 
 
 def compact(spark: SparkSession, source: str, target: str) -> None:
@@ -107,25 +103,20 @@ def write_csv(df: DataFrame, path: str, byte_order_mark: bool = False) -> None:
 
 
 def read_outcomes(spark: SparkSession, path: str, prefix: str = "", glob: str = "*.json") -> DataFrame:
-    """Outcome documents, optionally of races whose id starts with ``prefix``."""
+    """Stored outcome rows, optionally of races whose id starts with ``prefix``."""
     df = spark.read.option("pathGlobFilter", glob).schema(OUTCOME_SCHEMA).json(path)
     return df.filter(F.col("race_id").startswith(prefix)) if prefix else df
 
 
-def latest_documents(spark: SparkSession, path: str, schema: str, key: str = "race_id") -> DataFrame:
-    """The newest document per key, by file time and then by path."""
-    df = spark.read.schema(schema).json(path)
-    columns = df.columns
-    stamped = df.select("*", F.struct(F.col("_metadata.file_modification_time").alias("t"),
-                                      F.col("_metadata.file_path").alias("p")).alias("_at"))
-    newest = stamped.groupBy(key).agg(F.max_by(F.struct(*columns), "_at").alias("_row"))
-    return newest.select("_row.*")
+def latest_rows(df: DataFrame, key: Sequence[str], stamp: str) -> DataFrame:
+    """All rows of the newest ``stamp`` of every key; a large key is split like any join."""
+    newest = df.groupBy(*key).agg(F.max(stamp).alias("_newest"))
+    return df.join(newest, list(key)).filter(F.col(stamp) == F.col("_newest")).drop("_newest")
 
 
-def plain_odds(documents: DataFrame) -> DataFrame:
-    """{market → {runner → odds}} without empty or zero odds."""
-    from raceflow.functions.bands import usable_odds
-    return documents.withColumn("market", F.transform_values("market", lambda _, runners: usable_odds(runners)))
+def usable_odds_rows(odds: DataFrame) -> DataFrame:
+    """Odds rows without empty or zero odds."""
+    return odds.filter(F.col("odds").isNotNull() & (F.col("odds") != 0))
 
 
 def read_log(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
@@ -171,9 +162,8 @@ def manifest(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
-def manifest_diff(listed: DataFrame, df: DataFrame) -> DataFrame:
-    """Names listed but absent, and present but not listed."""
-    present = manifest(df.sparkSession, df.columns)
+def manifest_diff(listed: DataFrame, present: DataFrame) -> DataFrame:
+    """Names (feature) listed but absent, and present but not listed."""
     return (listed.join(present, "feature", "left_anti").withColumn("state", F.lit("missing"))
             .unionByName(present.join(listed, "feature", "left_anti").withColumn("state", F.lit("extra"))))
 
@@ -190,9 +180,15 @@ def data_version(df: DataFrame, name: str, day: str) -> DataFrame:
         F.lit(name).alias("table"), "*")
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """Per data file: rows and an order-free fingerprint of their contents."""
+def file_manifest(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
+    """path, bytes and sha256 of every data file; contents are hashed where they are read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return found.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def file_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of every data file, and the sum of their row hashes (equal rows do not cancel out)."""
     df = spark.read.parquet(path)
-    row = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.select(F.col("_metadata.file_name").alias("file"), row.alias("h")).groupBy("file").agg(
-        F.count(F.lit(1)).alias("rows"), F.bit_xor("h").alias("fingerprint"))
+    row = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
+    return df.select(F.col("_metadata.file_path").alias("path"), row.alias("h")).groupBy("path").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("h").alias("fingerprint"))

@@ -8,35 +8,71 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from raceflow.operators.keys import resolve_errors, upsert, work_list
 from raceflow.session import scratch_path
 
+LOG = "batch_id long, version long, part int"
 
-class VersionedTable:
-    """A Parquet table whose versions are written beside each other; readers see a new
-    version only once it is complete. A job that dies leaves the old version intact."""
-
-    def __init__(self, spark: SparkSession, path: str, version: int = 0):
-        self.spark, self.root, self.version = spark, path.rstrip("/"), version
-
-    def path(self, version: int | None = None) -> str:
-        return f"{self.root}/version={self.version if version is None else version}"
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path())
 
-    def write(self, df: DataFrame) -> int:
-        df.write.mode("overwrite").parquet(self.path(self.version + 1))
-        self.version += 1
-        return self.version
-
-
-def upsert_batch(table: VersionedTable, keys: Sequence[str], order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+class VersionedTable:
+    """A Parquet table in hash parts. A batch writes new versions of the parts it touches
+    and then one row per part to the commit log; readers take the newest committed
+    version of every part. A job that dies before its log rows leaves the table as it was,
+    a table opened again goes on where the log ends, and a batch in the log is not
+    applied twice. ``parts`` is fixed when the table is made."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], parts: int = 16):
+        self.spark, self.root, self.keys, self.parts = spark, path.rstrip("/"), list(keys), parts
+
+    def log(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], LOG)
+
+    def _newest(self) -> dict[int, int]:
+        """part → version; one row per part."""
+        return {r["part"]: r["v"] for r in self.log().filter("part >= 0").groupBy("part").agg(F.max("version").alias("v")).collect()}
+
+    def _read(self, newest: dict[int, int]) -> DataFrame:
+        paths = [f"{self.root}/data/version={v}/part={p}" for p, v in newest.items()]
+        return self.spark.read.parquet(*paths)
+
+    def read(self) -> DataFrame | None:
+        """The current rows; None before the first batch."""
+        newest = self._newest()
+        return self._read(newest) if newest else None
+
+    def merge(self, batch: DataFrame, batch_id: int, order: Sequence[str] = ()) -> bool:
+        """Upsert ``batch``, last row per key; False if the log has the batch already."""
+        if not self.log().filter(F.col("batch_id") == batch_id).isEmpty():
+            return False
+        newest = self._newest()
+        version = max(newest.values(), default=0) + 1
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+        batch = batch.withColumn("part", part)
+        touched = sorted(r["part"] for r in batch.select("part").distinct().collect())  # at most ``parts``
+        old = {p: newest[p] for p in touched if p in newest}
+        fresh = batch.drop("part")
+        merged = upsert(self._read(old) if old else fresh.limit(0), fresh, self.keys, order)
+        merged.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(
+            f"{self.root}/data/version={version}")
+        # an empty batch is noted too
+        rows = [(batch_id, version, p) for p in touched] or [(batch_id, 0, -1)]
+        self.spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+        return True
+
+
+def upsert_batch(table: VersionedTable, order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function merging each batch into the table, last row per key."""
     def merge(batch: DataFrame, batch_id: int) -> None:
-        table.write(upsert(table.read(), batch, keys, order) if table.version else batch)
+        table.merge(batch, batch_id, order)
     return merge
 
 
@@ -48,5 +84,5 @@ def resume(inputs: DataFrame, output: DataFrame, errors: DataFrame, key: str,
     return merged, resolve_errors(errors, merged, key).unionByName(bad, allowMissingColumns=True)
 
 
-def new_table(spark: SparkSession, name: str) -> VersionedTable:
-    return VersionedTable(spark, scratch_path(spark, name))
+def new_table(spark: SparkSession, name: str, keys: Sequence[str], parts: int = 16) -> VersionedTable:
+    return VersionedTable(spark, scratch_path(spark, name), keys, parts)

@@ -73,7 +73,7 @@ def main():
         conf["spark.raceflow.hotRows"] = args[at + 1]
         del args[at:at + 2]
         from raceflow import skew
-        skew.BROADCAST_ROWS = 0
+        skew.BROADCAST_BYTES = 0
     sf = "/root/testdata/sf0.01"
     if args and args[0].startswith("sf"):
         sf = f"/root/testdata/{args.pop(0)}"

@@ -42,19 +42,83 @@ def test_date_filter_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan
 
 
-def test_sampling_follows_softmax(spark):
-    """Without ability noise the win share is exp(μ) normalised, and the draw is repeatable."""
-    mu = [0.0, 0.5, 1.0, -1.0]
-    runners = spark.createDataFrame([("r", i + 1, m, 0.0, 0.0) for i, m in enumerate(mu)],
-                                    "race_id string, runner int, mu double, sigma double, nu double")
-    trials = 20_000
-    rankings = outcomes.sample_rankings(runners, trials, hot=[])
-    got = {r["runner"]: r["win"] for r in outcomes.win_place(runners, rankings, trials).collect()}
-    total = sum(math.exp(m) for m in mu)
-    for i, m in enumerate(mu):
-        assert got[i + 1] == pytest.approx(math.exp(m) / total, abs=0.015)
-    again = outcomes.sample_rankings(runners, trials, hot=[("r",)])
-    assert rows_of(rankings) == rows_of(again)
+def test_features_do_not_see_the_race_itself(spark):
+    """Other results of the target day leave its features as they are, and no result column is among them."""
+    from raceflow.catalog.learning import _RAW
+    from raceflow.plans import features
+    from raceflow.session import cut_lineage
+    rows = cut_lineage(entrants(spark, SMALL, _RAW).dropDuplicates(KEY))
+    last = rows.agg(F.max("race_date")).first()[0]
+    target = F.col("race_date") == last
+    other = rows
+    for c in features.RESULT_COLUMNS:
+        if c in rows.columns:
+            kind = rows.schema[c].dataType
+            other = other.withColumn(c, F.when(target, (F.col(c).cast("double") * 3 + 5).cast(kind)).otherwise(F.col(c)))
+    plain, changed = (features.build(target, df, KEY, TIMELINE, hot={k: [] for k in ("horse_id", "race_id", "jockey_id")})
+                      for df in (rows, other))
+    assert len(plain.columns) > 150 and not set(plain.columns) & set(features.RESULT_COLUMNS)
+    got = rows_of(plain)
+    assert got and got == rows_of(changed)
+    entries = rows.filter(target)  # a table of their own, still with results in it
+    assert rows_of(features.build(entries, rows, KEY, TIMELINE).select(plain.columns)) == got
+    ahead = features.build(entries, rows.filter(~target), KEY, TIMELINE)  # not run yet
+    assert rows_of(ahead.select(plain.columns)) == got
+
+
+def test_strictly_earlier_statistics(spark):
+    from raceflow.catalog.learning import _RAW
+    from raceflow.plans import features
+    from raceflow.session import cut_lineage
+    rows = cut_lineage(entrants(spark, SMALL, _RAW).dropDuplicates(KEY))
+    recipe = {k: features.DEFAULT_RECIPE[k] for k in ("entity_stats", "interaction_features", "course", "exclude_patterns")}
+    out = cut_lineage(features.build(F.col("race_date") >= "1998-01-01", rows, KEY, TIMELINE, recipe, as_of="row"))
+    assert {"jockey_win_rate", "jockey_own_venue_win_rate", "nicks_avg_finish", "combo_races"} <= set(out.columns)
+    one = out.orderBy(F.desc("race_date"), *KEY).first()
+    before = rows.filter((F.col("jockey_id") == one["jockey_id"]) & (F.col("race_date") < one["race_date"]))
+    assert one["jockey_win_rate"] == pytest.approx(before.agg(F.avg("is_win")).first()[0])
+
+
+def test_wide_context_has_no_columns_but_rows(spark, monkeypatch):
+    from raceflow.operators import stats
+    monkeypatch.setattr(stats, "MAX_CONTEXTS", 3)
+    df = spark.createDataFrame([(1, f"c{i}", float(i)) for i in range(5)], "id int, c string, x double")
+    recipe = {"id_column": "id", "context_column": "c", "target": "x", "agg": "mean", "feature_template": "id_{context}"}
+    assert stats.interaction_statistics(df, [recipe]) == {}
+    assert stats.interaction_rows(df, [recipe]).count() == 5
+    listed = stats.interaction_statistics(df, [{**recipe, "values": ["c1", "c4"]}])["id"].first()
+    assert (listed["id_c1"], listed["id_c4"]) == (1.0, 4.0)
+
+
+def test_table_goes_on_after_a_restart(spark):
+    from raceflow.session import scratch_path
+    from raceflow.streaming.incremental import VersionedTable, upsert_batch
+
+    def rows(*data):
+        return spark.createDataFrame(list(data), "k int, v string")
+
+    place = scratch_path(spark, "restart")
+    upsert_batch(VersionedTable(spark, place, ["k"], 3))(rows((1, "a"), (2, "a"), (3, "a")), 0)
+    again = VersionedTable(spark, place, ["k"], 3)
+    upsert_batch(again)(rows((2, "b"), (4, "b")), 1)
+    upsert_batch(again)(rows((2, "replayed")), 1)
+    rows((9, "never committed")).withColumn("part", F.lit(0)).write.partitionBy("part").parquet(f"{place}/data/version=3")
+    last = VersionedTable(spark, place, ["k"], 3)
+    assert sorted((r["k"], r["v"]) for r in last.read().collect()) == [(1, "a"), (2, "b"), (3, "a"), (4, "b")]
+    upsert_batch(last)(rows(), 7)
+    assert VersionedTable(spark, scratch_path(spark, "new"), ["k"]).read() is None
+
+
+def test_large_race_keeps_every_runner(spark):
+    """The stored shape of outcomes does not depend on the size of the race."""
+    from raceflow.sources.files import latest_rows
+    probabilities = spark.createDataFrame([("big", i, 1 / 400) for i in range(400)] + [("small", 1, 1.0)],
+                                          "race_id string, runner int, win double")
+    old, new = (outcomes.outcome_rows(probabilities, {"win": "win"}, "m", F.lit(t)) for t in ("t1", "t2"))
+    newest = latest_rows(old.unionByName(new), ["race_id", "model_id"], "created_ts")
+    assert newest.count() == 401 and newest.select("created_ts").distinct().count() == 1
+    docs = outcomes.pack(newest, "race_id", "key", "probability", "p", parts=5)
+    assert outcomes.unpack(docs, "race_id", "p").groupBy("race_id").count().orderBy("race_id").collect() == [("big", 400), ("small", 1)]
 
 
 def test_student_t_recovers_degrees_of_freedom(spark):
@@ -94,11 +158,3 @@ def test_leakage_is_rejected(spark):
     assert selection.without_leakage(df, ["win_odds"]).columns == ["id"]
     with pytest.raises(selection.LeakageError):
         selection.without_leakage(df, ["win_odds"], reject=True)
-
-
-def test_payoff_counts_losing_trials(spark):
-    bets = spark.createDataFrame([("r", "win", "1", 100.0, 3.0)], "race_id string, market string, key string, amount double, odds double")
-    hits = spark.createDataFrame([("r", "win", "1", 1)], "race_id string, market string, key string, trial int")
-    row = staking.payoff_summary(bets, hits, 4, 1000.0).first()
-    profits = np.array([200, -100, -100, -100]) / 1000
-    assert row["expected_return"] == pytest.approx(profits.mean()) and row["std_return"] == pytest.approx(profits.std())

@@ -60,7 +60,7 @@ def test_row_numbers_and_group_aggregates(rows):
 def test_lookup_beyond_broadcast(rows, monkeypatch):
     stats = rows.groupBy("who").agg(F.count(F.lit(1)).alias("n"))
     want = table(skew.lookup(rows, stats, ["who"]).drop("x"))
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
     assert table(skew.lookup(rows, stats, ["who"], hot=HOT).drop("x")) == want
     assert table(skew.lookup(rows, stats, ["who"], hot=[], null_matches=True).drop("x")) == want
 
@@ -71,13 +71,43 @@ def test_global_running_sum_in_chunks(rows):
     assert got == list(range(900))
 
 
-def test_exact_quantiles_by_narrowing(spark):
+def test_quantiles_of_many_columns(spark):
+    """Against numpy; the number of jobs does not grow with the columns."""
+    import numpy as np
     rng = random.Random(3)
-    values = [rng.choice([rng.gauss(0, 50), 7.0]) for _ in range(5000)]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = skew.exact_quantiles(df, "v", [0.1, 0.5, 0.999], direct_rows=400)
-    want = skew.exact_quantiles(df, "v", [0.1, 0.5, 0.999])
-    assert got == pytest.approx(want) and want[1] == pytest.approx(statistics.median(values))
+    data = [(rng.choice([rng.gauss(0, 50), 7.0]), rng.randrange(5), None, rng.choice([None, float("nan"), 1.5])) for _ in range(3000)]
+    df = spark.createDataFrame(data, "v double, k int, empty double, some double")
+    probs = [0.0, 0.1, 0.5, 0.999, 1.0]
+    got = skew.column_quantiles(df, dict.fromkeys(df.columns, probs))
+    for c, i in (("v", 0), ("k", 1)):
+        assert got[c] == pytest.approx(list(np.quantile([r[i] for r in data], probs)))
+    assert got["empty"] == [None] * 5 and got["some"] == [1.5] * 5
+    assert skew.exact_quantiles(df, "k", [0.5]) == [got["k"][2]]
+
+    def jobs(columns):
+        group = f"quantiles-{len(columns)}"
+        spark.sparkContext.setJobGroup(group, "")
+        skew.exact_medians(df, columns)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(["v", "k", "some"]) <= jobs(["v"]) + 1
+
+
+def test_chained_measures_split_once(rows):
+    """Four chained in-group measures read their input once for the cold and once for the hot part."""
+    def chained(part, hot):
+        part = skew.over_group(part, ["who"], {"n": F.count(F.lit(1))}, hot)
+        part = skew.row_numbers(part, ["who"], ORDER, "r", hot)
+        part = skew.rank_within(part, ["who"], "x", "k", hot=hot)
+        return skew.over_group(part, ["who"], {"hi": F.max("id")}, hot)
+
+    stored = skew.cut_lineage(rows)
+    out = skew.by_part(stored, ["who"], HOT, chained)
+    assert table(out.na.fill(-1)) == table(skew.by_part(rows, ["who"], [], chained).na.fill(-1))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Relation [" in line and "day#" in line and "_chunk" not in line and ",n#" not in line]
+    assert len(scans) <= 2
 
 
 def test_spearman(spark, rows):

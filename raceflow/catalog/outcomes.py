@@ -25,12 +25,12 @@ def packed_probability_maps(spark, sf):
 
 
 @query("probability_audit", "B5", with_entrants("""
-  SELECT race_id, round(sum(win_probability), 7) AS win, round(sum(least(1.0, 3 * win_probability)), 7) AS place,
+  SELECT race_id, round(sum(win_probability) + 1e-9, 5) AS win, round(sum(least(1.0, 3 * win_probability)) + 1e-9, 5) AS place,
          count(*) AS runners, abs(sum(win_probability) - 1) <= 0.01
            AND abs(sum(least(1.0, 3 * win_probability)) - least(3, count(*))) <= 0.01 AS fits FROM entrants GROUP BY race_id"""))
 def probability_audit(spark, sf):
     out = outcomes.audit(_outcomes(spark, sf))
-    return out.select("race_id", F.round("win", 7).alias("win"), F.round("place", 7).alias("place"), "runners", "fits")
+    return out.select("race_id", *[F.round(F.col(c) + F.lit(1e-9), 5).alias(c) for c in ("win", "place")], "runners", "fits")
 
 
 _PRICED = """priced AS (

@@ -4,12 +4,14 @@
    equal sets (equal size and 128-bit digest) form a class; its smallest doc_id stands for it.
 2. Signatures are cut into ``BANDS`` bands of ``ROWS`` values; classes with an equal band are candidates. At
    a similarity of exactly 0.8 all bands differ with probability (1 - 0.8^5)^36 = 6e-7.
-3. First each bucket's smallest document is compared with the others (no pairs among
-   them); then, for buckets that still hold several components, the pairs across
-   components. Pairs inside a component cannot change the result and are never made.
-4. A candidate pair's signatures are compared batch by batch; it is pruned when the
+3. A candidate pair's signatures are compared batch by batch; it is pruned when the
    posterior probability (uniform prior) of a similarity of 0.8 or more falls below ``MISS``.
-5. Survivors are verified on the full sets of their whole texts.
+   Survivors are verified on the full sets of their whole texts.
+4. First each bucket's smallest document is compared with the others (no pairs among
+   them). Documents of buckets that still hold several components are then gathered by
+   families (components tied by such buckets), families cut into blocks, and every two
+   blocks compared in a task. Only pairs of documents not yet in one component are looked
+   at, and only links leave the task, never pairs.
 
 A text with one to three words is one shingle, the whole sequence; texts without words
 (null, empty, white space) have an empty set and are linked with nothing. Rows with the
@@ -33,8 +35,8 @@ ROWS, BANDS = 5, 36
 PERCENT = 80
 MISS = 1e-6
 BATCH = 20
-HEAD = 32  # signature bytes that travel with the band rows
 BLOCK = 64  # documents compared with one copy of their pivot
+FAMILY_BLOCK = 512  # documents of a family block
 
 _random = np.random.default_rng(7)
 FACTOR = _random.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -164,16 +166,80 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verified, "u long, v long").distinct()
 
 
-def _same_bytes(x: str, y: str) -> Column:
-    """Equal bytes of two longs: each byte of the difference is folded into its lowest bit and counted."""
-    d = F.col(x).bitwiseXOR(F.col(y))
-    for by in (4, 2, 1):
-        d = d.bitwiseOR(F.shiftrightunsigned(d, by))
-    return F.lit(8) - F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+def _unit_links(block: np.ndarray, component: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], needed: list[int]):
+    """Links (x, y) between documents of different components: inside one block, or across two."""
+    order = np.argsort(block, kind="stable")
+    n = np.array([len(x) for x in sets])
+    _, label = np.unique(component, return_inverse=True)
+    split = int((block[order] == block[order[0]]).sum())
+    across = split < len(order)
+    for at in range(split if across else len(order)):
+        x = order[at]
+        others = order[split:] if across else order[at + 1:]
+        others = others[label[others] != label[x]]
+        small, large = np.minimum(n[others], n[x]), np.maximum(n[others], n[x])
+        others = others[100 * small >= PERCENT * large]
+        matches = np.zeros(len(others), int)
+        for k, m in enumerate(needed):
+            if not len(others):
+                break
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            matches = matches + (sigs[others, part] == sigs[x, part]).sum(axis=1)
+            others, matches = others[matches >= m], matches[matches >= m]
+        if not len(others):
+            continue
+        hits = W.place(sets[x], np.concatenate([sets[y] for y in others]))[1]
+        ends = np.cumsum(n[others])
+        total = np.concatenate([[0], np.cumsum(hits)])
+        common = total[ends] - total[ends - n[others]]
+        for y in others[100 * common >= PERCENT * (n[x] + n[others] - common)]:
+            if label[y] != label[x]:  # not joined by a link found meanwhile
+                label[label == label[y]] = label[x]
+                yield x, y
+
+
+def _family_links(batches):
+    """Rows come by unit (family, i, j): the documents of one or two blocks."""
+    needed = least_matches()
+    held: list = []
+
+    def links():
+        block, component = (np.array([r[k] for r in held]) for k in (3, 4))
+        sigs = np.frombuffer(b"".join(r[6] for r in held), np.uint8).reshape(len(held), -1)
+        column = pa.array([r[7] for r in held], pa.string())
+        data, offsets = W.texts_of(column)
+        words, bounds = W.hashed_words(data, offsets)
+        sets = [np.unique(W.shingles(words[a:b], WORDS)) for a, b in zip(bounds[:-1], bounds[1:])]
+        found = [(held[x][5], held[y][5]) for x, y in _unit_links(block, component, sigs, sets, needed)]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            if held and held[0][:3] != row[:3]:
+                yield links()
+                held = []
+            held.append(row)
+    if held:
+        yield links()
 
-def _head(k: int) -> Column:
-    return F.conv(F.hex(F.substring("sig", 8 * k + 1, 8)), 16, -10).cast("long")
+
+def across(shared: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (u, v) between components that share a bucket."""
+    labelled = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    still_open = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    opened = cut_lineage(labelled.join(still_open.select("key", "low"), "key").select("doc_id", "component", "low").distinct())
+    families = connected(opened.select(F.col("component").alias("u"), F.col("low").alias("v")))
+    families = families.select(F.col("node").alias("component"), F.col("component").alias("family"))
+    members = cut_lineage(opened.select("doc_id", "component").distinct().join(families, "component"))
+    blocks = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("blocks"))
+    units = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "doc_id")
+    rows = units.join(reps.select("doc_id", "sig"), "doc_id").join(texts, "doc_id")
+    rows = rows.select("family", "i", "j", "block", "component", "doc_id", "sig", "text")
+    rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "doc_id")
+    return rows.mapInArrow(_family_links, "u long, v long").distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -201,8 +267,7 @@ def components(docs: DataFrame) -> DataFrame:
     links = cut_lineage(verify(first, texts))
     found = cut_lineage(connected(links))
 
-    second = cut_lineage(prune(_across(shared, found, reps).join(first, ["a", "b"], "left_anti"), reps))
-    more = cut_lineage(verify(second, texts))
+    more = cut_lineage(across(shared, found, reps, texts))
     if not more.isEmpty():
         found = connected(links.unionByName(more))
 
@@ -214,22 +279,6 @@ def components(docs: DataFrame) -> DataFrame:
     return labels.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(shared: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components, near in size and in their first bytes."""
-    labelled = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(
-        "x <> y").select("key")
-    heads = reps.select("doc_id", *[_head(k).alias(f"h{k}") for k in range(HEAD // 8)])
-    rows = cut_lineage(labelled.join(open_keys, "key", "left_semi").join(heads, "doc_id"))
-    a, b = rows.alias("x"), rows.alias("y")
-    same = sum(_same_bytes(f"x.h{k}", f"y.h{k}") for k in range(HEAD // 8))
-    needed = least_matches(HEAD)[0]
-    on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id"))
-          & (F.col("x.component") != F.col("y.component")) & _near(F.col("x.n"), F.col("y.n")) & (same >= needed))
-    return a.join(b, on).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-
-
 def kept_documents(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (unchanged): the smallest doc_id of each component, and null ids."""
     gone = components(docs).filter("NOT kept").select("doc_id").distinct()

@@ -40,9 +40,10 @@ def test_matches_sql(spark):
     assert problem == "" and rows > 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_chains_and_shared_passages(spark, make_docs, seed):
+@pytest.mark.parametrize("seed, block", [(1, 512), (2, 7)])
+def test_chains_and_shared_passages(spark, make_docs, monkeypatch, seed, block):
     """Chains of small edits (links without a common centre) beside texts that share a long passage."""
+    monkeypatch.setattr(N, "FAMILY_BLOCK", block)
     rng = random.Random(seed)
     passage = [f"p{i}" for i in range(60)]
     rows = []
@@ -54,6 +55,12 @@ def test_chains_and_shared_passages(spark, make_docs, seed):
             for _ in range(3):
                 words[rng.randrange(len(words))] = f"n{rng.random()}"
     rows += [(rng.randrange(10**6), " ".join(passage + [f"u{rng.random()}" for _ in range(rng.randrange(8, 30))])) for _ in range(60)]
+    base = [f"b{i}" for i in range(150)]
+    for _ in range(60):  # copies of one text, most of them less than 0.8 alike
+        words = list(base)
+        for _ in range(rng.randrange(2, 6)):
+            words[rng.randrange(150)] = f"m{rng.random()}"
+        rows.append((rng.randrange(10**6), " ".join(words)))
     rows = list(dict(rows).items())
     want = brute(rows)
     assert result(make_docs(rows)) == want
@@ -70,16 +77,6 @@ def test_thresholds():
     assert needed[-1] > 0.55 * N.ROWS * N.BANDS
 
 
-def test_first_bytes_count(spark):
-    from pyspark.sql import functions as F
-    pairs = [(0x0102030405060708, 0x0102030405060708), (0, -1), (0x0100000000000080, 0), (-1, -256)]
-    df = spark.createDataFrame(pairs, "x long, y long").select(N._same_bytes("x", "y").alias("n"))
-    assert [r["n"] for r in df.collect()] == [8, 0, 6, 7]
-    sig = bytes(range(200, 216))
-    one = spark.createDataFrame([(bytearray(sig),)], "sig binary").select(N._head(0).alias("a"), N._head(1).alias("b")).first()
-    assert [x & (2**64 - 1) for x in one] == [int.from_bytes(sig[:8], "big"), int.from_bytes(sig[8:], "big")]
-
-
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (2, 9), (7, 8), (8, 7), (6, 6), (20, 10), (20, 11), (20, 12)]
     got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -138,7 +138,7 @@ def _blocks(batches, folder: str, block_lines: int):
         out = out or store.open_output_stream(f"{root}/{name}", compression=None)
         block = zlib.compress("\n".join(lines).encode(), 6)
         out.write(block)
-        found.append((first, name, at, len(block)))
+        found.append((first, name, at, len(block), lines[-1].split("\t", 1)[0]))
         at, lines = at + len(block), []
 
     for batch in batches:
@@ -152,7 +152,7 @@ def _blocks(batches, folder: str, block_lines: int):
         flush()
     if out:
         out.close()
-        yield _captures(found)
+        yield _captures([f[:4] for f in found]).append_column("last", pa.array([f[4] for f in found], pa.string()))
 
 
 def _looked_up(batches, folder: str, directory: str):
@@ -163,8 +163,9 @@ def _looked_up(batches, folder: str, directory: str):
         if not keys:
             continue
         place, path = _store(directory)
-        # the block before the smallest key may hold it, so the directory is cut at the top only by key
-        table = ds.dataset(path, filesystem=place, format="parquet").to_table(filter=ds.field("key") <= max(keys))
+        # only the blocks that reach into the keys' range
+        near = (ds.field("key") <= keys[-1]) & (ds.field("last") >= keys[0])
+        table = ds.dataset(path, filesystem=place, format="parquet").to_table(filter=near)
         entries = sorted(zip(*(table.column(c).to_pylist() for c in ("key", "archive", "at", "length"))))
         firsts = [e[0] for e in entries]
         held, block, rows = None, [], []
@@ -211,6 +212,7 @@ def _records(batches, folder: str):
 
 
 CAPTURE = "key string, archive string, at long, length long"
+DIRECTORY = f"{CAPTURE}, last string"
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -229,10 +231,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: in
 
 
 def index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Write the index blocks; the stored directory (first key, file, at, length), one row for each block."""
+    """Write the index blocks; the stored directory (first key, file, at, length, last key), a row for each block."""
     many = max(1, -(-captures.count() // RANGE_ROWS))
     ordered = captures.repartitionByRange(many, "key", "archive", "at").sortWithinPartitions("key", "archive", "at")
-    return cut_lineage(ordered.mapInArrow(lambda b: _blocks(b, folder, block_lines), CAPTURE))
+    return cut_lineage(ordered.mapInArrow(lambda b: _blocks(b, folder, block_lines), DIRECTORY))
 
 
 def lookup(keys: DataFrame, folder: str, directory: DataFrame, parts: int) -> DataFrame:

@@ -41,12 +41,17 @@ GAP = 1e-4
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \n]"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \n]"), "")
 
 
-def _beginnings(words: Column) -> Column:
-    """Distinct first characters of the words, at each length."""
-    return F.array_union(*[F.array_distinct(F.transform(words, lambda w, n=n: F.substring(w, 1, n))) for n in BEGIN])
+def _beginnings(distinct: Column) -> Column:
+    """Distinct first characters of the distinct words, at each length."""
+    return F.array_union(*[F.transform(distinct, lambda w, n=n: F.substring(w, 1, n)) for n in BEGIN])
+
+
+def _worded(rows: DataFrame, *keep: str) -> DataFrame:
+    words = rows.select(*keep, "text", _words(F.col("text")).alias("words"))
+    return words.select("*", F.array_distinct("words").alias("kinds"))
 
 
 def lexicon(train: DataFrame) -> list[str]:
@@ -54,24 +59,24 @@ def lexicon(train: DataFrame) -> list[str]:
     sizes = train.agg(F.count_if(F.col("domain") == 2), F.count_if(F.col("domain") != 2)).first()
     if not sizes[0] or not sizes[1]:
         return []
-    seen = train.select("domain", F.explode(_beginnings(F.col("words"))).alias("w")).groupBy("w").agg(
+    seen = train.select("domain", F.explode(_beginnings(F.col("kinds"))).alias("w")).groupBy("w").agg(
         F.count_if(F.col("domain") == 2).alias("bad"), F.count_if(F.col("domain") != 2).alias("rest"))
     odds = F.log((F.col("bad") + 0.5) / (sizes[0] + 1)) - F.log((F.col("rest") + 0.5) / (sizes[1] + 1))
     top = seen.filter(F.col("bad") >= LEAST_ROWS).withColumn("odds", odds).filter("odds >= 2.5")
     return [r["w"] for r in top.orderBy(F.desc("odds"), F.desc("bad"), "w").limit(MOST_ENTRIES).select("w").collect()]
 
 
-def _features(text: Column, words: Column, marks: list[str]) -> dict[str, Column]:
-    """Dense features by name; all native and linear in the text."""
+def _features(text: Column, words: Column, kinds: Column, marks: list[str]) -> dict[str, Column]:
+    """Dense features by name from a text, its words and its distinct words; all native and linear in the text."""
     body = F.coalesce(text, F.lit(""))
     chars = F.greatest(F.length(body), F.lit(1))
     many = F.greatest(F.size(words), F.lit(1))
     made = {f"sign{i}": (F.length(body) - F.length(F.replace(body, F.lit(c), F.lit("")))) / chars * 20
             for i, c in enumerate(SIGNS)}
-    made["distinct"] = F.size(F.array_distinct(words)) / many
+    made["distinct"] = F.size(kinds) / many
     made["size"] = F.log1p(many)
     made["breaks"] = F.log1p((F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))) / many * 10)
-    hits = F.size(F.array_intersect(_beginnings(words), F.lit(marks).cast("array<string>"))) if marks else F.lit(0)
+    hits = F.size(F.array_intersect(_beginnings(kinds), F.lit(marks).cast("array<string>"))) if marks else F.lit(0)
     made["hits"] = F.log1p(hits)
     made["any_hit"] = (hits > 0).cast("double")
     made["hit_rate"] = F.least(hits / many * 20, F.lit(3.0))
@@ -88,17 +93,17 @@ def posteriors(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> D
     share = min(1.0, most_rows / max(total, 1))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1e6).limit(2 * most_rows)
     train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # bounded by the limit above
-    train = cut_lineage(train.select("domain", "text", _words(F.col("text")).alias("words")))
+    train = cut_lineage(_worded(train, "domain"))
     half = F.pmod(F.xxhash64("text"), F.lit(2))
     counts = {r["domain"]: r["n"] for r in train.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    body = docs.select("doc_id", "text", _words(F.col("text")).alias("words"))
+    body = _worded(docs, "doc_id")
     if len(counts) < 2:
         rows = sum(counts.values())
         p = F.array(*[F.lit(counts.get(d, 0) / rows if rows else float(d == 0)) for d in range(len(DOMAINS))])
         return cut_lineage(body.select("doc_id", F.size("words").cast("long").alias("tokens"), p.alias("p")))
 
     def featured(rows: DataFrame, marks: list[str], *keep) -> DataFrame:
-        return rows.select(*keep, *[c.alias(k) for k, c in _features(F.col("text"), F.col("words"), marks).items()])
+        return rows.select(*keep, *[c.alias(k) for k, c in _features(F.col("text"), F.col("words"), F.col("kinds"), marks).items()])
 
     # each half is described by the other half's lexicon, as unseen texts will be
     one, two = train.filter(half == 0), train.filter(half == 1)

@@ -1,6 +1,6 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Every text becomes its set of four-word shingles and a MinHash signature. Rows with
+1. Every text becomes its set of ``words``-word shingles (four unless given) and a MinHash signature. Rows with
    equal sets (equal size and 128-bit digest) form a class; its smallest doc_id stands for it.
 2. Signatures are cut into ``BANDS`` bands of ``ROWS`` values; classes with an equal band are candidates. At
    a similarity of exactly 0.8 all bands differ with probability (1 - 0.8^5)^36 = 6e-7.
@@ -13,7 +13,7 @@
    blocks compared in a task. Only pairs of documents not yet in one component are looked
    at, and only links leave the task, never pairs.
 
-A text with one to three words is one shingle, the whole sequence; texts without words
+A text with fewer words than a shingle is one shingle, the whole sequence; texts without words
 (null, empty, white space) have an empty set and are linked with nothing. Rows with the
 same doc_id are one document. A null doc_id is linked with nothing and kept. An empty
 table gives an empty result. Only doc_id and text are read.
@@ -21,6 +21,8 @@ table gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,7 +55,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def _profiles(batches):
+def _profiles(batches, size: int):
     """doc_id, n, two digests of the set, the band hashes, and one byte of each signature value."""
     for batch in batches:
         data, offsets = W.texts_of(batch.column(1))
@@ -62,7 +64,7 @@ def _profiles(batches):
             o = offsets[a:b + 1]
             words, bounds = W.hashed_words(data[o[0]:o[-1]], o - o[0])
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                own = np.unique(W.shingles(words[lo:hi], WORDS))
+                own = np.unique(W.shingles(words[lo:hi], size))
                 n.append(len(own))
                 digests.append((np.add.reduce(W.mix(own)), np.bitwise_xor.reduce(W.mix(own ^ W.FINISH))))
                 sigs.append(signature(own) if len(own) else np.zeros(len(FACTOR), np.uint32))
@@ -80,9 +82,9 @@ def _profiles(batches):
              pa.array([r.tobytes() for r in low], pa.binary())], ["doc_id", "n", "d1", "d2", "bands", "sig"])
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _profiles, "doc_id long, n long, d1 long, d2 long, bands array<bigint>, sig binary")
+        partial(_profiles, size=words), "doc_id long, n long, d1 long, d2 long, bands array<bigint>, sig binary")
 
 
 def least_matches(batch: int = BATCH, miss: float = MISS, percent: int = PERCENT) -> list[int]:
@@ -132,7 +134,7 @@ def prune(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInArrow(_plausible, "a long, b long")
 
 
-def _verified(batches):
+def _verified(batches, size: int):
     """Rows come by (a, chunk) with the pivot's text first; links between it and the others."""
     key, pivot = None, None
     for batch in batches:
@@ -143,7 +145,7 @@ def _verified(batches):
             o = offsets[lo:hi + 1]
             words, bounds = W.hashed_words(data[o[0]:o[-1]], o - o[0])
             for i in range(lo, hi):
-                own = np.unique(W.shingles(words[bounds[i - lo]:bounds[i - lo + 1]], WORDS))
+                own = np.unique(W.shingles(words[bounds[i - lo]:bounds[i - lo + 1]], size))
                 if role[i] == 0:
                     key, pivot = (a[i], chunk[i]), own
                 elif key == (a[i], chunk[i]):
@@ -154,7 +156,7 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     """The links (u, v) among ``pairs`` (a, b). A pivot's documents are cut into blocks with a copy of it each."""
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("many"))
     blocks = pairs.join(many, "a").select(
@@ -163,7 +165,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         blocks.select(F.col("a").alias("doc_id"), "a", "chunk", F.lit(0).alias("role")).distinct())
     rows = wanted.join(texts, "doc_id").select("a", "chunk", "role", "doc_id", "text")
     rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role", "doc_id")
-    return rows.mapInArrow(_verified, "u long, v long").distinct()
+    return rows.mapInArrow(partial(_verified, size=words), "u long, v long").distinct()
 
 
 def _unit_links(block: np.ndarray, component: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], needed: list[int]):
@@ -198,7 +200,7 @@ def _unit_links(block: np.ndarray, component: np.ndarray, sigs: np.ndarray, sets
                 yield x, y
 
 
-def _family_links(batches):
+def _family_links(batches, size: int):
     """Rows come by unit (family, i, j): the documents of one or two blocks."""
     needed = least_matches()
     held: list = []
@@ -209,7 +211,7 @@ def _family_links(batches):
         column = pa.array([r[7] for r in held], pa.string())
         data, offsets = W.texts_of(column)
         words, bounds = W.hashed_words(data, offsets)
-        sets = [np.unique(W.shingles(words[a:b], WORDS)) for a, b in zip(bounds[:-1], bounds[1:])]
+        sets = [np.unique(W.shingles(words[a:b], size)) for a, b in zip(bounds[:-1], bounds[1:])]
         found = [(held[x][5], held[y][5]) for x, y in _unit_links(block, component, sigs, sets, needed)]
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
@@ -223,7 +225,7 @@ def _family_links(batches):
         yield links()
 
 
-def across(shared: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def across(shared: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     """The links (u, v) between components that share a bucket."""
     labelled = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -239,12 +241,12 @@ def across(shared: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFram
     rows = units.join(reps.select("doc_id", "sig"), "doc_id").join(texts, "doc_id")
     rows = rows.select("family", "i", "j", "block", "component", "doc_id", "sig", "text")
     rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "doc_id")
-    return rows.mapInArrow(_family_links, "u long, v long").distinct()
+    return rows.mapInArrow(partial(_family_links, size=words), "u long, v long").distinct()
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    rows = cut_lineage(profiles(docs))
+    rows = cut_lineage(profiles(docs, words))
     with_words = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = with_words.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = (with_words.join(classes, ["n", "d1", "d2"]).filter("doc_id = rep")
@@ -264,10 +266,10 @@ def components(docs: DataFrame) -> DataFrame:
              .join(sizes, "pivot").filter(_near(F.col("n"), F.col("n_pivot")))
              .select(F.col("pivot").alias("a"), "b").distinct())
     first = cut_lineage(prune(first, reps))
-    links = cut_lineage(verify(first, texts))
+    links = cut_lineage(verify(first, texts, words))
     found = cut_lineage(connected(links))
 
-    more = cut_lineage(across(shared, found, reps, texts))
+    more = cut_lineage(across(shared, found, reps, texts, words))
     if not more.isEmpty():
         found = connected(links.unionByName(more))
 
@@ -279,7 +281,7 @@ def components(docs: DataFrame) -> DataFrame:
     return labels.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Rows of ``docs`` (unchanged): the smallest doc_id of each component, and null ids."""
-    gone = components(docs).filter("NOT kept").select("doc_id").distinct()
+    gone = components(docs, words).filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

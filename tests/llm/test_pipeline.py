@@ -71,3 +71,28 @@ def test_mixture_and_shards(spark, steps):
 def test_run_applies_all(spark, steps):
     assert sorted(ids(P.run(spark, steps[0]).collect())) == sorted(ids(steps[2][5]))
     assert langid.UNKNOWN == "und"
+
+
+def five_word_labels(rows):
+    """doc_id → smallest doc_id reachable, comparing all pairs on five-word shingles."""
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    label, sets = {d: d for d, _ in rows}, [(d, grams(t)) for d, t in rows]
+    links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1:]
+             if x and y and 100 * len(x & y) >= 80 * len(x | y)]
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_near_duplicates_on_five_words(spark, make_docs, steps):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:20], "new", *base[21:]])),  # 0.805 alike on four words, 0.756 on five
+            (3, " ".join([*base[:39], "end"])), (4, "a b c d"), (5, "a b c d")]
+    label = five_word_labels(rows)
+    assert sorted(ids(P.near_duplicates(spark, make_docs(rows), "").collect())) == sorted(d for d, c in label.items() if d == c) == [1, 2, 4]
+    label = five_word_labels([(r["doc_id"], r["text"]) for r in steps[2][1]])
+    assert sorted(ids(steps[2][2])) == sorted(d for d, c in label.items() if d == c)

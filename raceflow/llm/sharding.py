@@ -2,10 +2,12 @@
 
 Documents with equal texts are linked. The links of a group are kept as one hub, never
 as pairs: a document's neighbours in a shard are the group's row count there. Every
-document starts in a shard chosen by its id; in each round a group asks to gather in
-the shard that holds most of its members, and requests are granted up to the room the
-target shard has. At the end, documents beyond a shard's quota and documents
-without links fill the places left, so row counts differ by one at most.
+document starts in a shard chosen by its id. Large groups that fit into a shard are seated
+first, largest first; then every waiting group asks in rounds to gather in the shard that
+holds most of its members among those with room left, and is seated whole if the room
+lasts. After ``rounds`` rounds the last few refused groups are seated in one step, else
+rounds go on until no group moves. Parts of groups larger than a shard, and documents
+without links, fill the places left, so row counts differ by one at most.
 
 Null texts link to nothing, empty texts are equal to each other, repeated rows are
 rows of their own. An empty table gives an empty result. Only the two named columns of
@@ -16,13 +18,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from raceflow.llm.rows import gapless
+from raceflow.llm.rows import CHUNK_ROWS, gapless
 from raceflow.session import cut_lineage
 
-GRAIN = 1_000_000
+FEW = 1_000  # groups that one driver step seats
 
 
 def _case(shards: int, values: list[int]) -> Column:
@@ -30,21 +32,86 @@ def _case(shards: int, values: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values[:shards]]), F.col("shard") + 1)
 
 
-def _round(state: DataFrame, rows: int, shards: int, number: int) -> DataFrame:
-    """One round: groups ask for the shard with most of their members, quotas decide."""
-    room = max(1, rows // shards)
-    votes = state.groupBy("hub", "members", "shard").agg(F.count(F.lit(1)).alias("here"))
-    wishes = votes.groupBy("hub", "members").agg(
+def _inlined(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table of numbers (longs) without a file or an executor's Python."""
+    cells = F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for n, x in zip(names, row)]) for row in rows])
+    return spark.range(1).select(F.inline(cells))
+
+
+def _pick(at: Column, free: list[int]) -> Column:
+    """The shard whose part of 0 … sum(free) - 1 holds ``at``."""
+    ends = [sum(free[:s + 1]) for s in range(len(free))]
+    return reduce(lambda rest, s: F.when(at < ends[s], F.lit(s)).otherwise(rest), reversed(range(len(free))), F.lit(0))
+
+
+def _granted(waiting: DataFrame, votes: DataFrame, free: list[int], number: int, groups: int) -> DataFrame:
+    """One round: (hub, members, shard) of the waiting groups whose wish fits into the room left.
+
+    A group wishes for the shard that holds most of its members among those with room for
+    all of it, else for any shard, drawn by its room. Wishes are granted in the order of a hash.
+    """
+    shards, room = len(free), F.array(*[F.lit(x).cast("long") for x in free])
+    own = votes.filter(F.element_at(room, F.col("shard") + 1) >= F.col("members")).groupBy("hub").agg(
         F.max_by("shard", F.struct("here", F.xxhash64("hub", "shard"))).alias("want"))
-    asked = wishes.groupBy("want").agg(F.sum("members").alias("asked"))
-    granted = (F.lit(float(GRAIN * room)) / F.col("asked")).cast("long")
-    wishes = wishes.join(F.broadcast(asked.select("want", granted.alias("granted"))), "want")  # a row per shard
-    # a group of more than a quarter of a shard is granted in part
-    dice = F.when(F.col("members") * 4 > room, F.xxhash64("doc_id", F.lit(number))).otherwise(
-        F.xxhash64("hub", F.lit(number)))
-    moved = state.join(wishes.select("hub", "want", "granted"), "hub")
-    return moved.withColumn("shard", F.when(F.pmod(dice, F.lit(GRAIN)) < F.col("granted"), F.col("want"))
-                            .otherwise(F.col("shard"))).drop("want", "granted")
+    drawn = _pick(F.pmod(F.xxhash64("hub", F.lit(number)), F.lit(max(1, sum(free)))), free)
+    wishes = waiting.join(own, "hub", "left").select(
+        "hub", "members", F.coalesce("want", drawn).cast("int").alias("shard"),
+        F.xxhash64("hub", F.lit(number + 1000)).alias("order"))
+    parts = max(16, groups // CHUNK_ROWS)
+    wishes = cut_lineage(wishes.withColumn("part", F.shiftrightunsigned("order", 1) % parts))
+    sums = wishes.groupBy("shard", "part").agg(F.sum("members").alias("all"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows
+    sums = sums.select("shard", "part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("shard", "part").orderBy("order", "hub").rowsBetween(Window.unboundedPreceding, 0)
+    placed = wishes.withColumn("upto", F.sum("members").over(within)).join(F.broadcast(sums), ["shard", "part"])
+    return placed.filter(F.col("before") + F.col("upto") <= F.element_at(room, F.col("shard") + 1)).select("hub", "members", "shard")
+
+
+def _greedy(groups: list[tuple[int, int]], here: dict[tuple[int, int], int], free: list[int]) -> list[tuple[int, int, int]]:
+    """(hub, members, shard) of the groups that fit whole, largest first; ``free`` is lowered."""
+    out = []
+    for hub, members in sorted(groups, key=lambda g: (-g[1], g[0])):
+        fits = [s for s in range(len(free)) if free[s] >= members]
+        if fits:
+            best = max(fits, key=lambda s: (here.get((hub, s), 0), free[s], -s))
+            free[best] -= members
+            out.append((hub, members, best))
+    return out
+
+
+def _seats(linked: DataFrame, quota: list[int], rounds: int) -> tuple[DataFrame, list[int]]:
+    """(hub, members, shard) of every group seated whole, and the room left in each shard."""
+    spark, free, out = linked.sparkSession, list(quota), []
+    names = ["hub", "members", "shard"]
+    votes = cut_lineage(linked.groupBy("hub", "members", "shard").agg(F.count(F.lit(1)).alias("here")))
+
+    def place(waiting: DataFrame) -> None:
+        """Seat these few groups on the driver."""
+        few = votes.join(waiting.select("hub"), "hub", "left_semi").collect()
+        rows = _greedy(list({(r["hub"], r["members"]) for r in few}), {(r["hub"], r["shard"]): r["here"] for r in few}, free)
+        if rows:
+            out.append(_inlined(spark, rows, names))
+
+    # groups of more than a quarter of a shard are fewer than five a shard; those beyond any quota stay apart
+    groups = cut_lineage(votes.select("hub", "members").distinct())
+    large = F.col("members") * 4 > min(quota)
+    place(groups.filter(large & (F.col("members") <= max(quota))))
+    waiting = groups.filter(~large)
+    left, number, still = waiting.count(), 0, 0
+    while left and still < 2:
+        if number >= rounds and left <= FEW:
+            place(waiting)
+            break
+        seated = cut_lineage(_granted(waiting, votes, free, number, left))
+        for r in seated.groupBy("shard").agg(F.sum("members").alias("n")).collect():  # a row per shard
+            free[r["shard"]] -= r["n"]
+        out.append(seated)
+        waiting = cut_lineage(waiting.join(seated, "hub", "left_anti"))
+        before, left = left, waiting.count()
+        number, still = number + 1, still + 1 if left == before else 0
+    none = spark.range(0).select(*[F.col("id").alias(n) for n in names])
+    return reduce(lambda x, y: x.unionByName(y), out, none).select(
+        "hub", F.col("shard").cast("int").alias("seat")), free
 
 
 def cut_links(placed: DataFrame) -> DataFrame:
@@ -71,25 +138,28 @@ def propagate(docs: DataFrame, shards: int = 16, rounds: int = 3, id_col: str =
     start = F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)).cast("int").alias("shard")
     base = cut_lineage(base.join(hubs, "hub", "left").select("*", start))
     linked = base.filter("members IS NOT NULL")
-    for number in range(rounds):
-        linked = cut_lineage(_round(linked, rows, shards, number).select(base.columns))
-
     quota = [rows // shards + (s < rows % shards) for s in range(shards)]
-    together = F.when(F.col("members") > F.lit(100_000), F.xxhash64("doc_id")).otherwise(F.col("hub"))
-    seated = cut_lineage(gapless(linked, rows, "shard", together, ["hub", "doc_id"]))
-    keeps = F.col("slot") < _case(shards, quota)
-    kept = seated.filter(keeps)
-    held = {r["shard"]: min(r["n"], quota[r["shard"]]) for r in
-            seated.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per shard
-    free = [quota[s] - held.get(s, 0) for s in range(shards)]
-    loose = (seated.filter(~keeps).select(base.columns).unionByName(base.filter("members IS NULL"))
+    if rounds:
+        seats, free = _seats(linked, quota, rounds)
+        seated = linked.join(seats, "hub", "left")
+        seated = cut_lineage(seated)
+    else:  # every document stays where it starts
+        seated = gapless(linked, rows, "shard", F.xxhash64("doc_id"), ["doc_id", "hub"])
+        seated = cut_lineage(seated.withColumn("seat", F.when(F.col("slot") < _case(shards, quota), F.col("shard"))).drop("slot"))
+        held = {r["seat"]: r["n"] for r in seated.groupBy("seat").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per shard
+        free = [quota[s] - held.get(s, 0) for s in range(shards)]
+    kept = seated.filter("seat IS NOT NULL").withColumn("shard", F.col("seat"))
+    together = F.when(F.col("members") > F.lit(CHUNK_ROWS), F.xxhash64("doc_id")).otherwise(F.col("hub"))
+    kept = gapless(kept, rows, "shard", together, ["hub", "doc_id"])
+    held = [quota[s] - free[s] for s in range(shards)]
+    loose = (seated.filter("seat IS NULL").select(base.columns).unionByName(base.filter("members IS NULL"))
              .withColumn("_all", F.lit(0)))
     loose = gapless(loose, rows, "_all", F.col("doc_id"), ["doc_id", "hub"], "place").drop("_all")
     first = [sum(free[:s]) for s in range(shards)]
     shard = reduce(lambda rest, s: F.when((F.col("place") >= first[s]) & (F.col("place") < first[s] + free[s]),
                                           F.lit(s)).otherwise(rest), range(shards), F.lit(None).cast("int"))
     loose = loose.withColumn("shard", shard).withColumn(
-        "slot", F.col("place") - _case(shards, first) + _case(shards, [held.get(s, 0) for s in range(shards)]))
+        "slot", F.col("place") - _case(shards, first) + _case(shards, held))
     out = ["doc_id", "size", "text_crc32", "hub", "shard", "slot"]
     return kept.select(out).unionByName(loose.select(out))
 

@@ -54,3 +54,23 @@ def test_awkward(awkward, nothing):
     assert placed(nothing) == []
     out = sharding.shard_documents(awkward)
     assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def test_small_groups_stay_whole_beside_a_hot_one(make_docs):
+    docs = make_docs([(i, "x" if i % 3 == 0 else f"t{(i - i // 3) // 4}") for i in range(2400)])
+    rows = placed(docs)
+    law_holds(rows)
+    small = defaultdict(set)
+    for r in rows:
+        if r["doc_id"] % 3:
+            small[r["hub"]].add(r["shard"])
+    assert len(small) > 390 and all(len(s) == 1 for s in small.values())
+
+
+def test_groups_of_all_sizes_stay_whole(make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "FEW", 20)
+    texts = ["big"] * 90 + ["half"] * 50 + [f"s{i // 5}" for i in range(1000)] + [f"t{i // 12}" for i in range(240)]
+    rows = placed(make_docs(list(enumerate(texts + [f"u{i}" for i in range(220)]))))
+    law_holds(rows)
+    cut = sharding.cut_links(sharding.propagate(make_docs(list(enumerate(texts + [f"u{i}" for i in range(220)]))))).first()
+    assert cut["groups"] == cut["whole"] == 222 and cut["apart"] == 0

@@ -32,3 +32,18 @@ def gapless(df: DataFrame, rows: int, group: str, chunk_on: Column, order: list[
     numbered = dealt.withColumn("_at", F.row_number().over(within) - F.lit(1))
     return (numbered.join(offsets, [group, "_chunk"])
             .withColumn(out, F.col("_before") + F.col("_at")).drop("_chunk", "_before", "_at"))
+
+
+HEAVY = 1_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], many: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``table`` (one row a key; ``many`` is the key's row count in ``rows``).
+
+    Keys of more than ``total / HEAVY`` rows are fewer than ``HEAVY``: they are broadcast, so
+    that their rows stay where they are; the rows of all others are shuffled. Both should be stored.
+    """
+    heavy = F.col(many) * HEAVY > total
+    flagged = rows.join(F.broadcast(table.filter(heavy).withColumn("_heavy", F.lit(True))), keys, "left")
+    rest = flagged.filter("_heavy IS NULL").select(rows.columns).join(table.filter(~heavy), keys, "left")
+    return flagged.filter("_heavy").drop("_heavy").unionByName(rest)

@@ -9,13 +9,14 @@
    where all their bigrams are. What is frequent is told to the tasks by a bitmap of a
    fixed size (``BITS``): the more is frequent, the less it saves, and a wrongly set bit only
    lets a rare phrase be counted, to fail by its own count.
-3. A task counts in a HAT-trie: a language's root holds a child for each first word, a child is a
-   hash container of (remaining ids -> count) and bursts into a trie node over the next word
-   when it has more than ``BURST`` entries. Beyond ``HELD`` entries the largest subtrees are
-   spilled whole, as runs sorted by the remaining ids.
-4. Runs are dealt by prefix (language, first word), those of common words cut further by the next
-   word: a byte table of a fixed size says into how many parts, from the word counts. Runs
-   of a prefix are merged in its partition; sums below ``least`` go.
+3. A task counts in a HAT-trie for each language: a shallow trie over the bytes of the word ids,
+   whose leaves are hash containers (phrase -> count); a container of more than ``BURST`` entries
+   bursts into a node over the next byte. Beyond ``HELD`` entries the largest subtrees below
+   the root are spilled whole, as runs sorted by the ids.
+4. Runs are cut and dealt by prefix: language and the first bits of the first word's id, as many as
+   make parts of some ``PART`` occurrences; the phrases of a word with more are cut further by
+   a hash of the next word, into as many parts as a byte table of a fixed size says. The runs of a
+   prefix are merged in its partition; sums below ``least`` go.
 5. Every candidate is cut at each place, the counts of its parts are joined (salted, since many
    phrases share a part), and the lowest floor(2000000 a / (l + r)) counts, ties to the
    first cut. Sums and products are exact (decimals of 38 digits). A candidate inside a longer one
@@ -24,11 +25,12 @@
 
 Null texts and texts without words have no phrases; a null lang is ``und``. Repeated rows count
 each. Ties are broken by a, then by the phrase in byte order. Long texts are read whole, in
-batches of 4 MB or one text. An empty table gives an empty result. Only text and lang are read.
+batches of 2 MB or one text. An empty table gives an empty result. Only text and lang are read.
 """
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -46,13 +48,14 @@ TOP = 2_000
 SCALE = 2_000_000
 COVER = 80
 BURST = 1 << 14  # entries of a container
-HELD = 1 << 20  # entries of a task's trie
-PART = 1 << 16  # occurrences of a first word that stay in one part
+HELD = 1 << 19  # entries of a task's trie
+BATCH = 2 << 20  # bytes of text, or one longer text, read at a time
+PART = 1 << 16  # occurrences of first words that stay in one part
 BITS = 1 << 27
 SLOTS = 1 << 20
-MERGE = 1 << 20  # entries merged at a time
+MERGE = 1 << 19  # entries merged at a time
 SALTS = 8
-RUN = "lang string, first long, part int, words int, rest binary, counts binary"
+RUN = "lang string, part long, words int, ids binary, counts binary"
 
 CUT = np.zeros(256, bool)
 CUT[[ord(c) for c in ".,;:!?"]] = True
@@ -77,7 +80,7 @@ def _parts(batches, salt: int, langs: dict[str, int]):
     for batch in batches:
         data, offsets = W.texts_of(batch.column(0))
         lang = np.array([langs.setdefault(x if x is not None else "und", len(langs)) for x in batch.column(1).to_pylist()], np.int64)
-        for a, b in W.parts(offsets):
+        for a, b in W.parts(offsets, BATCH):
             o = offsets[a:b + 1]
             yield W.LOWER[data[o[0]:o[-1]]], Words(data[o[0]:o[-1]], o - o[0], lang[a:b], salt)
 
@@ -92,23 +95,22 @@ def _vocabulary(batches, salt: int):
         ids, lang = w.ids[order], w.lang[order]
         first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (lang[1:] != lang[:-1])]))
         many, at = np.diff(np.append(first, len(ids))), order[first]
-        names, raw = list(langs), data.tobytes()
-        text = [raw[s:s + n] for s, n in zip(w.starts[at].tolist(), w.lengths[at].tolist())]
+        raw, begin = data.tobytes(), w.starts[at]
+        text = [raw[s:e] for s, e in zip(begin.tolist(), (begin + w.lengths[at]).tolist())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([names[i] for i in lang[first].tolist()], pa.string()), pa.array(ids[first].view(np.int64)),
+            [pa.array(list(langs)).take(pa.array(lang[first])), pa.array(ids[first].view(np.int64)),
              pa.array(text, pa.binary()).cast(pa.string()), pa.array(many.astype(np.int64))], ["lang", "id", "word", "n"])
 
 
 def vocabulary(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(lang, id, word, n) of all words, stored, and the salt under which no two words share an id."""
+    """(lang, id, word, n) of all words, stored, and the salt under which no two words of a language share an id."""
     salt = 0
     while True:
         parts = docs.select("text", F.col("lang").cast("string")).mapInArrow(
             partial(_vocabulary, salt=salt), "lang string, id long, word string, n long")
-        table = cut_lineage(parts.groupBy("lang", "id").agg(F.min("word").alias("word"), F.max("word").alias("other"), F.sum("n").alias("n")))
-        names = table.groupBy("id").agg(F.min("word").alias("a"), F.max("other").alias("b")).filter("a <> b")
-        if names.isEmpty():
-            return table.drop("other"), salt
+        table = cut_lineage(parts.groupBy("lang", "id", "word").agg(F.sum("n").alias("n")))
+        if table.groupBy("lang", "id").agg(F.count(F.lit(1)).alias("names")).filter("names > 1").isEmpty():
+            return table, salt
         salt += 1
 
 
@@ -160,81 +162,110 @@ def is_set(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
+class Node(dict):
+    """Children (containers or nodes) by the next byte of the ids."""
+
+
 class Trie:
-    """Counts of phrases by (language, first word), then hash containers that burst into nodes by the next word."""
-
-    def __init__(self, burst: int = BURST, held: int = HELD):
-        self.roots: dict[tuple[int, int], dict] = {}
-        self.sizes: dict[tuple[int, int], int] = {}
-        self.nodes: set[tuple[int, int]] = set()  # children that have burst: {next id: container}
-        self.burst, self.held, self.total = burst, held, 0
-
-    def add(self, key: tuple[int, int], rests: list[bytes], counts: list[int]) -> None:
-        child = self.roots.setdefault(key, {})
-        before = self.sizes.get(key, 0)
-        if key in self.nodes:
-            size = before
-            for rest, n in zip(rests, counts):
-                box = child.setdefault(rest[:8], {})
-                size -= len(box)
-                box[rest[8:]] = box.get(rest[8:], 0) + n
-                size += len(box)
-        else:
-            for rest, n in zip(rests, counts):
-                child[rest] = child.get(rest, 0) + n
-            size = len(child)
-            if size > self.burst and len(rests[0]) > 8:
-                node: dict[bytes, dict[bytes, int]] = {}
-                for rest, n in child.items():
-                    node.setdefault(rest[:8], {})[rest[8:]] = n
-                self.roots[key] = node
-                self.nodes.add(key)
-        self.sizes[key] = size
-        self.total += size - before
-
-    def run(self, key: tuple[int, int]) -> list[tuple[bytes, int]]:
-        """Takes a whole subtree off, as a run sorted by the remaining ids."""
-        child = self.roots.pop(key)
-        self.total -= self.sizes.pop(key)
-        if key in self.nodes:
-            self.nodes.remove(key)
-            return [(a + b, n) for a, box in sorted(child.items()) for b, n in sorted(box.items())]
-        return sorted(child.items())
+    """Counts of phrases: a trie over the bytes of the word ids by language, whose leaves are hash containers that burst."""
+
+    def __init__(self, many: int, burst: int = BURST, held: int = HELD):
+        self.roots: dict[int, Node] = {}
+        self.sizes: dict[tuple[int, int], int] = {}  # entries below (language, first byte)
+        self.many, self.burst, self.held, self.total = many, burst, held, 0
+
+    def add(self, lang: int, ids: list[np.ndarray], counts: np.ndarray) -> None:
+        """Adds phrases of a language, sorted by their ids (a column a word)."""
+        raw, wide = np.stack(ids, axis=1).astype(">u8").tobytes(), 8 * self.many
+        keys, many, root = [raw[i:i + wide] for i in range(0, len(raw), wide)], counts.tolist(), self.roots.setdefault(lang, Node())
+        for byte, lo, hi in self._split(ids, 0, 0, len(keys)):
+            grown = self._put(root, byte, ids, keys, many, 0, lo, hi)
+            self.sizes[lang, byte] = self.sizes.get((lang, byte), 0) + grown
+            self.total += grown
+
+    @staticmethod
+    def _split(ids: list[np.ndarray], depth: int, lo: int, hi: int):
+        at = ((ids[depth // 8][lo:hi] >> np.uint64(56 - 8 * (depth % 8))) & np.uint64(255)).astype(np.uint8)
+        begin = np.append(0, np.flatnonzero(at[1:] != at[:-1]) + 1)
+        return zip(at[begin].tolist(), (begin + lo).tolist(), np.append(begin[1:] + lo, hi).tolist())
+
+    def _put(self, node: Node, byte: int, ids, keys, counts, depth: int, lo: int, hi: int) -> int:
+        box = node.get(byte)
+        if box is None:
+            box = node[byte] = {}
+        if isinstance(box, Node):
+            return sum(self._put(box, b, ids, keys, counts, depth + 1, i, j) for b, i, j in self._split(ids, depth + 1, lo, hi))
+        before, get = len(box), box.get
+        for key, n in zip(keys[lo:hi], counts[lo:hi]):
+            box[key] = get(key, 0) + n
+        grown = len(box) - before
+        if len(box) > self.burst:
+            node[byte] = self._burst(box, depth + 1)
+        return grown
+
+    def _burst(self, box: dict[bytes, int], depth: int):
+        if len(box) <= self.burst or depth == 8 * self.many:
+            return box
+        node = Node()
+        for key, n in box.items():
+            node.setdefault(key[depth], {})[key] = n
+        for byte, child in node.items():
+            node[byte] = self._burst(child, depth + 1)
+        return node
+
+    def run(self, lang: int, byte: int) -> tuple[np.ndarray, np.ndarray]:
+        """Takes a whole subtree off, as a sorted run: ids (a row a phrase) and counts."""
+        keys, counts, left = [], [], [self.roots[lang].pop(byte)]
+        self.total -= self.sizes.pop((lang, byte))
+        while left:
+            box = left.pop()
+            if isinstance(box, Node):
+                left += box.values()
+            else:
+                keys += box
+                counts += box.values()
+        ids = np.frombuffer(b"".join(keys), ">u8").reshape(-1, self.many).astype(np.uint64)
+        order = np.lexsort(ids.T[::-1])
+        return ids[order], np.array(counts, np.int64)[order]
 
     def spill(self, keep: int):
-        """Runs of the largest subtrees, until at most ``keep`` entries are left."""
-        for key in sorted(self.roots, key=lambda k: (-self.sizes[k], k)):
+        """(language, ids, counts): runs of the largest subtrees, until at most ``keep`` entries are left."""
+        for key in sorted(self.sizes, key=lambda k: (-self.sizes[k], k)):
             if self.total <= keep:
                 break
-            yield key, self.run(key)
+            yield key[0], *self.run(*key)
 
 
-def _runs(batches, sizes: tuple[int, ...], salt: int, known, cuts, burst: int, held: int):
+def parts_of(ids: np.ndarray, lang: np.uint64, depth: int, cut: np.ndarray) -> np.ndarray:
+    """The part of each phrase: ``depth`` bits of its first word's id, and for common words more bits of the next word's hash."""
+    power = cut[slots(np.full(len(ids), lang), [ids[:, 0]], SLOTS)].astype(np.int64)
+    part = (ids[:, 0] >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(ids), np.int64)
+    more = np.zeros(len(ids), np.int64)
+    at = np.flatnonzero(power)
+    more[at] = (W.mix(ids[at, 1]) >> (64 - power[at]).astype(np.uint64)).astype(np.int64) + 1
+    return part << 25 | more
+
+
+def _runs(batches, sizes: tuple[int, ...], salt: int, depth: int, known, cuts, burst: int, held: int):
     """Sorted runs (RUN) of the phrases of ``sizes`` words whose parts are all in the bitmap ``known``."""
     langs: dict[str, int] = {}
     hashes: list[np.uint64] = []
-    tries = {k: Trie(burst, held // len(sizes)) for k in sizes}
+    tries = {k: Trie(k, burst, held // len(sizes)) for k in sizes}
     bits, cut = known.value, cuts.value
 
     def rows(many: int, taken) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(4)]
         names = list(langs)
-        taken = list(taken)
-        first = np.array([key[1] for key, _ in taken], np.uint64)
-        power = cut[slots(np.array([hashes[key[0]] for key, _ in taken], np.uint64), [first], SLOTS)] if taken else []
-        for (key, run), p in zip(taken, power):
-            rest, counts = b"".join(r for r, _ in run), np.array([n for _, n in run], "<i8")
-            entries = np.frombuffer(rest, np.uint8).reshape(len(run), -1)
-            part = np.zeros(len(run), np.int64)
-            if p:
-                part = (W.mix(np.ascontiguousarray(entries[:, :8]).view(">u8")[:, 0].astype(np.uint64)) >> np.uint64(64 - int(p))).astype(np.int64)
-            for x in np.unique(part).tolist():
-                own = part == x
-                for to, value in zip(out, (names[key[0]], int(np.uint64(key[1]).view(np.int64)), x, many,
-                                           entries[own].tobytes(), counts[own].tobytes())):
+        for lang, ids, counts in taken:
+            part = parts_of(ids, hashes[lang], depth, cut)
+            order = np.argsort(part, kind="stable")
+            begin = np.append(0, np.flatnonzero(np.diff(part[order])) + 1)
+            for own in np.split(order, begin[1:]):
+                for to, value in zip(out, (names[lang], int(part[own[0]]), ids[own].T.tobytes(), counts[own].tobytes())):
                     to.append(value)
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["lang", "first", "part", "words", "rest", "counts"])
+        made = [pa.array(o, k) for o, k in zip(out, (pa.string(), pa.int64(), pa.binary(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([*made[:2], pa.array(np.full(len(out[0]), many, np.int32)), *made[2:]],
+                                          ["lang", "part", "words", "ids", "counts"])
 
     for _, w in _parts(batches, salt, langs):
         hashes += [lang_hash(x) for x in list(langs)[len(hashes):]]
@@ -253,81 +284,71 @@ def _runs(batches, sizes: tuple[int, ...], salt: int, known, cuts, burst: int, h
             for k in range(1, many - 1):
                 whole[:-k] &= pair[k:]
                 whole[-k:] = False
-            at = np.flatnonzero(whole)
-            if not len(at):
-                continue
-            ids = [w.ids[at + k] for k in range(many)]
-            order = np.lexsort((*ids[::-1], w.lang[at]))
-            columns = [w.lang[at][order].astype(np.uint64), *[x[order] for x in ids]]
-            new = np.zeros(len(order), bool)
-            new[0] = True
-            for x in columns:
-                new[1:] |= x[1:] != x[:-1]
-            first = np.flatnonzero(new)
-            counts = np.diff(np.append(first, len(order))).tolist()
-            columns = [x[first] for x in columns]
-            rest = np.stack(columns[2:], axis=1).astype(">u8").tobytes()
-            wide = 8 * (many - 1)
-            rests = [rest[i:i + wide] for i in range(0, len(rest), wide)]
-            turn = np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])
-            begin = np.flatnonzero(turn)
-            ends = np.append(begin[1:], len(first)).tolist()
-            trie = tries[many]
-            for lang, word, a, b in zip(columns[0][begin].tolist(), columns[1][begin].tolist(), begin.tolist(), ends):
-                trie.add((lang, word), rests[a:b], counts[a:b])
-            if trie.total > trie.held:
-                yield rows(many, trie.spill(trie.held // 2))
+            for lang in range(len(langs)):
+                at = np.flatnonzero(whole & (w.lang == lang))
+                if not len(at):
+                    continue
+                ids = [w.ids[at + k] for k in range(many)]
+                order = np.lexsort(ids[::-1])
+                ids = [x[order] for x in ids]
+                new = np.zeros(len(order), bool)
+                new[0] = True
+                for x in ids:
+                    new[1:] |= x[1:] != x[:-1]
+                first = np.flatnonzero(new)
+                tries[many].add(lang, [x[first] for x in ids], np.diff(np.append(first, len(order))))
+            if tries[many].total > tries[many].held:
+                yield rows(many, tries[many].spill(tries[many].held // 2))
     for many, trie in tries.items():
         if trie.total:
             yield rows(many, trie.spill(0))
 
 
 def _merged(batches, least: int):
-    """Rows come by (lang, first, part, words): their runs added up; phrases of ``least`` or more."""
+    """Rows come by (lang, part, words): their runs added up; phrases of ``least`` or more."""
     held, entries = [], 0
 
     def flush(rows: list) -> pa.RecordBatch:
-        groups: dict[tuple, int] = {}
+        langs: dict[str, int] = {}
         kinds: dict[int, list] = {}
-        for lang, first, part, many, rest, counts in rows:
-            kinds.setdefault(many, []).append((groups.setdefault((lang, first), len(groups)), rest, counts))
-        names, out = list(groups), [[], [], [], []]
+        for lang, _, many, ids, counts in rows:
+            kinds.setdefault(many, []).append((langs.setdefault(lang, len(langs)), np.frombuffer(ids, np.uint64).reshape(many, -1),
+                                               np.frombuffer(counts, np.int64)))
+        names, out = pa.array(list(langs)), []
         for many, runs in kinds.items():
-            counts = np.frombuffer(b"".join(r[2] for r in runs), "<i8")
-            rest = np.frombuffer(b"".join(r[1] for r in runs), ">u8").reshape(len(counts), many - 1).astype(np.uint64)
-            group = np.repeat(np.array([r[0] for r in runs]), [len(r[2]) // 8 for r in runs])
-            order = np.lexsort((*rest.T[::-1], group))
-            group, rest = group[order], rest[order]
-            new = np.concatenate([[True], (group[1:] != group[:-1]) | (rest[1:] != rest[:-1]).any(axis=1)])
+            ids, counts = np.concatenate([r[1] for r in runs], axis=1), np.concatenate([r[2] for r in runs])
+            lang = np.repeat(np.array([r[0] for r in runs]), [len(r[2]) for r in runs])
+            order = np.lexsort((*ids[::-1], lang))
+            ids, lang = ids[:, order], lang[order]
+            new = np.concatenate([[True], (lang[1:] != lang[:-1]) | (ids[:, 1:] != ids[:, :-1]).any(axis=0)])
             at = np.flatnonzero(new)
             total = np.add.reduceat(counts[order], at)
             at, total = at[total >= least], total[total >= least]
-            tails = rest[at].astype(">u8")
-            for g, tail, n in zip(group[at].tolist(), tails, total.tolist()):
-                lang, first = names[g]
-                for to, value in zip(out, (lang, first.to_bytes(8, "big", signed=True) + tail.tobytes(), many, n)):
-                    to.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.string(), pa.binary(), pa.int32(), pa.int64()))],
-                                          ["lang", "path", "words", "n"])
+            raw, wide = ids[:, at].T.astype(">u8").tobytes(), 8 * many
+            path = pa.array([raw[i:i + wide] for i in range(0, len(raw), wide)], pa.binary())
+            out.append(pa.RecordBatch.from_arrays([names.take(pa.array(lang[at])), path, pa.array(np.full(len(at), many, np.int32)), pa.array(total)],
+                                                  ["lang", "path", "words", "n"]))
+        return out
 
     last = None
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if row[:4] != last and entries >= MERGE:
-                yield flush(held)
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if row[:3] != last and entries >= MERGE:
+                yield from flush(held)
                 held, entries = [], 0
-            last = row[:4]
+            last = row[:3]
             held.append(row)
-            entries += len(row[5]) // 8
+            entries += len(row[4]) // 8
     if held:
-        yield flush(held)
+        yield from flush(held)
 
 
-def frequent(docs: DataFrame, sizes: tuple[int, ...], salt: int, known, cuts, least: int, burst: int = BURST, held: int = HELD) -> DataFrame:
+def frequent(docs: DataFrame, sizes: tuple[int, ...], salt: int, depth: int, known, cuts, least: int, burst: int = BURST,
+             held: int = HELD) -> DataFrame:
     """(lang, path, words, n) of the phrases seen ``least`` times; stored."""
     runs = docs.select("text", F.col("lang").cast("string")).mapInArrow(
-        partial(_runs, sizes=sizes, salt=salt, known=known, cuts=cuts, burst=burst, held=held), RUN)
-    runs = runs.repartition("lang", "first", "part").sortWithinPartitions("lang", "first", "part", "words")
+        partial(_runs, sizes=sizes, salt=salt, depth=depth, known=known, cuts=cuts, burst=burst, held=held), RUN)
+    runs = runs.repartition("lang", "part").sortWithinPartitions("lang", "part", "words")
     return cut_lineage(runs.mapInArrow(partial(_merged, least=least), "lang string, path binary, words int, n long"))
 
 
@@ -376,9 +397,11 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, burst: int = BURST
     often = cut_lineage(words.filter(F.col("n") >= least).select("lang", path.alias("path"), F.lit(1).alias("words"), "n", "word", "id"))
     cuts = spark.sparkContext.broadcast(shares(often))
     known = spark.sparkContext.broadcast(bitmap(often))
-    pairs = frequent(docs, (2,), salt, known, cuts, least, burst, held)
+    every = words.agg(F.sum("n")).first()[0] or 0
+    depth = max(0, math.ceil(math.log2(max(1, every / PART))))
+    pairs = frequent(docs, (2,), salt, depth, known, cuts, least, burst, held)
     known = spark.sparkContext.broadcast(bitmap(pairs))
-    longer = frequent(docs, (3, 4), salt, known, cuts, least, burst, held)
+    longer = frequent(docs, (3, 4), salt, depth, known, cuts, least, burst, held)
 
     candidates = pairs.unionByName(longer)
     counts = often.select("lang", "path", "n").unionByName(candidates.select("lang", "path", "n"))

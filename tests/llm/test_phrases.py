@@ -74,25 +74,31 @@ def test_documents(spark, sf):
 
 
 def test_trie_counts_bursts_and_spills():
-    draw, trie, want, got = random.Random(1), P.Trie(burst=5, held=100), Counter(), Counter()
-    spilled = 0
+    draw, trie, want, got = random.Random(1), P.Trie(2, burst=5, held=100), Counter(), Counter()
+    spilled, deepest = 0, 0
+
+    def depth(box):
+        return 1 + max(map(depth, box.values()), default=0) if isinstance(box, P.Node) else 0
+
+    def take(runs):
+        for lang, ids, counts in runs:
+            assert ids.tolist() == sorted(ids.tolist())
+            for (a, b), n in zip(ids.tolist(), counts.tolist()):
+                got[lang, a, b] += n
+            yield lang
+
     for _ in range(300):
-        key = (0, draw.randint(0, 3))
-        rests = sorted({b"%08d%08d" % (draw.randint(0, 9), draw.randint(0, 9)) for _ in range(6)})
-        trie.add(key, rests, [2] * len(rests))
-        for r in rests:
-            want[key, r] += 2
+        lang = draw.randint(0, 1)
+        phrases = sorted({(draw.choice([7, 7 << 56, 9 << 40, 2**64 - 1]), draw.randint(0, 99)) for _ in range(9)})
+        trie.add(lang, [np.array(x, np.uint64) for x in zip(*phrases)], np.full(len(phrases), 2))
+        for a, b in phrases:
+            want[lang, a, b] += 2
+        deepest = max(deepest, *(depth(root) for root in trie.roots.values()))
         if trie.total > 100:
-            for k, run in trie.spill(50):
-                spilled += 1
-                assert [r for r, _ in run] == sorted(r for r, _ in run)
-                for r, n in run:
-                    got[k, r] += n
+            spilled += len(list(take(trie.spill(50))))
             assert trie.total <= 50
-    for k, run in trie.spill(0):
-        for r, n in run:
-            got[k, r] += n
-    assert got == want and spilled and trie.total == 0 and not trie.roots and not trie.nodes
+    list(take(trie.spill(0)))
+    assert got == want and spilled and deepest == 16 and trie.total == 0 and not any(trie.roots.values())
 
 
 def test_words_that_share_an_id_are_told_apart(spark, make_docs, monkeypatch):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from raceflow.bindings import KEY, TIMELINE, entrants, hot_horses, hot_races, with_entrants
+from raceflow.bindings import KEY, TIMELINE, entrants, hot_horses, hot_races, table, with_entrants
 from raceflow.operators import ingroup, timeline
 from raceflow.registry import query
 
@@ -178,3 +178,29 @@ def point_in_time_history(spark, sf):
                               {"prior_starts": F.lit(1), "prior_wins": F.col("is_win")})
     return out.select(*KEY, "prior_starts",
                       F.round(F.try_divide("prior_wins", "prior_starts"), 6).alias("prior_win_rate"))
+
+
+@query("as_of_profile", "J9", with_entrants("").rstrip() + f""", profile AS (
+    SELECT l_partkey, CAST(l_shipdate AS DATE) AS seen, max(400 + l_suppkey % 120) AS weight FROM lineitem GROUP BY ALL)
+  SELECT {K}, seen, weight FROM (
+    SELECT e.*, CASE WHEN p.seen + 60 >= e.race_date THEN p.seen END AS seen, CASE WHEN p.seen + 60 >= e.race_date THEN p.weight END AS weight
+    FROM entrants e ASOF LEFT JOIN profile p ON e.horse_id = p.l_partkey AND e.race_date > p.seen)""")
+def as_of_profile(spark, sf):
+    """The horse's newest weighing before the day of the race, if not over 60 days old."""
+    seen = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("horse_id"), F.col("l_shipdate").cast("date").alias("seen"),
+                                               (400 + F.col("l_suppkey") % 120).alias("weight"))
+    return timeline.as_of(entrants(spark, sf, BASE), seen, ["horse_id"], "race_date", "seen", ["weight"],
+                          tolerance=F.expr("INTERVAL 60 DAYS"), strict=True, hot=hot_horses(spark, sf)).select(*KEY, "seen", "weight")
+
+
+@query("as_of_latest_price", "J9 S9", """
+  WITH price AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY ALL)
+  SELECT e.event_id, CASE WHEN p.ts >= e.ts - INTERVAL 1 DAY THEN p.ts END AS seen, CASE WHEN p.ts >= e.ts - INTERVAL 1 DAY THEN p.value END AS price
+  FROM events e ASOF LEFT JOIN price p ON e.user_id = p.user_id AND e.ts >= p.ts WHERE e.event_type <> 'view'""")
+def as_of_latest_price(spark, sf):
+    """For every event that is not a view, the user's latest viewed value up to it, of the last day."""
+    events = table(spark, sf, "events")
+    views = events.filter("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("value").alias("price"))
+    asked = events.filter("event_type <> 'view'").select("event_id", "user_id", "ts")
+    out = timeline.as_of(asked, views, ["user_id"], "ts", "seen", ["price"], tolerance=F.expr("INTERVAL 1 DAY"))
+    return out.select("event_id", "seen", "price")

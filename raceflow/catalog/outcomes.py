@@ -33,6 +33,25 @@ def probability_audit(spark, sf):
     return out.select("race_id", *[F.round(F.col(c) + F.lit(1e-9), 5).alias(c) for c in ("win", "place")], "runners", "fits")
 
 
+_ORDERS = """ranked AS (
+    SELECT race_id, horse_number AS k, win_probability AS p,
+           row_number() OVER (PARTITION BY race_id ORDER BY win_probability DESC, horse_number) AS r FROM entrants),
+  orders_of AS (
+    SELECT a.race_id, [a.k, b.k, c.k] AS runners, [a.r, b.r, c.r] AS ranks,
+           round(a.p * (b.p / (1 - a.p)) * (c.p / (1 - a.p - b.p)), 12) AS probability
+    FROM ranked a JOIN ranked b ON a.race_id = b.race_id AND a.k <> b.k JOIN ranked c ON a.race_id = c.race_id AND c.k <> a.k AND c.k <> b.k)"""
+
+
+@query("top_orders_per_race", "O3", with_entrants("").rstrip() + f""", {_ORDERS}
+  SELECT race_id, place, array_to_string(runners, '-') AS runners, round(probability + 1e-13, 9) AS probability FROM (
+    SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY probability DESC, ranks) AS place FROM orders_of) WHERE place <= 20""")
+def top_orders_per_race(spark, sf):
+    """The twenty most probable first three of each race, from the win probabilities."""
+    out = outcomes.top_orders(_outcomes(spark, sf), top=20, length=3)
+    return out.select("race_id", "place", F.concat_ws("-", F.col("runners").cast("array<string>")).alias("runners"),
+                      F.round(F.col("probability") + F.lit(1e-13), 9).alias("probability"))
+
+
 _PRICED = """priced AS (
     SELECT race_id, 'win' AS market, horse_number AS key, win_probability AS p, morning_odds * 1.7::DOUBLE AS odds FROM entrants
     UNION ALL SELECT race_id, 'place', horse_number, least(1.0, 3 * win_probability), 1 + win_odds / 3 FROM entrants)"""

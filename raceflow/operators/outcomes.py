@@ -7,7 +7,10 @@ consequence of its size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import cache
+from itertools import permutations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +42,62 @@ def audit(probabilities: DataFrame, race: str = "race_id", tolerance: float = 0.
     fits = ((F.abs(F.col("win") - 1) <= tolerance)
             & (F.abs(F.col("place") - F.least(F.col("runners"), F.lit(3))) <= tolerance))
     return sums.withColumn("fits", fits)
+
+
+@cache
+def leading_orders(top: int, length: int) -> list[tuple[int, ...]]:
+    """Rank orders that can be among the ``top`` most probable ones of any race.
+
+    Runners are ranked by falling probability. An order is at least as probable as one that
+    has a lower-ranked runner in some places and the same elsewhere, so an order can be left out if
+    ``top`` others are no worse in any place. The last place of an order then has a rank below
+    top + length, whatever the size of the race.
+    """
+    least = tuple(range(1, length + 1))
+    waiting, seen, out = [least], {least}, []
+    while waiting:  # from the most probable order outwards; nothing beyond a dropped order is looked at
+        order = waiting.pop()
+        better = 0
+        for other in permutations(range(1, max(order) + 1), length):
+            better += other != order and all(a <= b for a, b in zip(other, order))
+            if better >= top:
+                break
+        else:
+            out.append(order)
+            for rank in order:  # one runner a rank lower, changing places with the runner of that rank if it is in the order
+                step = tuple({rank: rank + 1, rank + 1: rank}.get(x, x) for x in order)
+                if len(set(step)) == length and step not in seen:
+                    seen.add(step)
+                    waiting.append(step)
+    return sorted(out)
+
+
+def top_orders(probabilities: DataFrame, top: int = 20, length: int = 3, race: str = "race_id", runner: str = "runner",
+               win: str = "win", digits: int = 12) -> DataFrame:
+    """The ``top`` most probable finishing orders of the first ``length`` places of each race.
+
+    An order's probability is in closed form: each place goes to one of the runners left in
+    proportion to their win probability. Only runners that can take part in a leading
+    order are kept (``top + length - 1`` a race, limited before the shuffle), and only the orders of
+    ``leading_orders`` are evaluated, as one array expression a race. Orders equal to ``digits``
+    digits are ranked by their runners' ranks, runners of equal probability by key. Runners without
+    a probability above 0 take no part; a race with fewer runners than places has no orders.
+    """
+    kept = probabilities.filter(F.col(win) > 0)
+    best = Window.partitionBy(race).orderBy(F.desc(win), runner)
+    kept = kept.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") < top + length)
+    field = kept.groupBy(race).agg(F.sort_array(F.collect_list(F.struct("_rank", F.col(win).alias("p"), F.col(runner).alias("key")))).alias("_field"))
+    shapes = F.array(*[F.array(*[F.lit(r) for r in order]) for order in leading_orders(top, length)])
+
+    def order(shape: Column) -> Column:
+        at = [F.get(F.col("_field"), F.get(shape, i) - 1) for i in range(length)]
+        chance, left = at[0]["p"], F.lit(1.0)
+        for before, here in zip(at, at[1:]):
+            left = left - before["p"]
+            chance = chance * F.when(left > 0, here["p"] / left)
+        return F.struct((-F.round(chance, digits)).alias("lost"), shape.alias("shape"), F.array(*[a["key"] for a in at]).alias("runners"))
+
+    possible = F.filter(shapes, lambda s: F.array_max(s) <= F.size("_field"))
+    ranked = F.slice(F.sort_array(F.filter(F.transform(possible, order), lambda o: o["lost"].isNotNull())), 1, top)
+    rows = field.select(race, F.posexplode(ranked).alias("_at", "_o"))
+    return rows.select(race, (F.col("_at") + 1).alias("place"), F.col("_o.runners").alias("runners"), (-F.col("_o.lost")).alias("probability"))

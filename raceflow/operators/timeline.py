@@ -194,5 +194,38 @@ def before_day(df: DataFrame, entity: str, day: str, sums: dict[str, Column]) ->
     return skew.attach(df, prior, [entity, day])
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, columns: Sequence[str],
+          tie: Sequence[str] = (), tolerance: Column | None = None, strict: bool = False, hot=None) -> DataFrame:
+    """``left`` with ``columns`` (and ``right_time``) of the newest row of ``right`` of the same keys that is
+    not later than the row's ``time`` (earlier, if ``strict``).
+
+    A slowly changing table is looked up without a range join: both sides are laid on one timeline per
+    key and the last right row is carried forward, in one shuffle; hot keys are cut into range chunks.
+    Of right rows of one key and time the largest by ``tie`` counts, then by ``columns``. ``tolerance``
+    is an interval, or a number for numeric times: a row that is older by more is no match. NULL keys
+    and times match nothing; every left row stays, once.
+    """
+    own = [f"_l_{c}" for c in left.columns]
+    known = right.filter(F.col(right_time).isNotNull())
+    for k in keys:
+        known = known.filter(F.col(k).isNotNull())
+    newest = F.max(F.struct(*[F.col(c) for c in [*tie, *columns]])).alias("_m")
+    known = known.groupBy(*keys, right_time).agg(newest).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(right_time).alias("_t"),
+        F.struct(F.col(right_time).alias("_t"), *[F.col(f"_m.{c}").alias(c) for c in columns]).alias("_right"))
+    asked = left.select(*[F.col(c).alias(o) for c, o in zip(left.columns, own)], *[F.col(k).alias(f"_k_{k}") for k in keys],
+                        F.col(time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.monotonically_increasing_id().alias("_id"))
+    both = asked.unionByName(known.withColumns({"_side": F.lit(1 if strict else 0), "_id": F.lit(-1).cast("long")}), allowMissingColumns=True)
+    order = ["_t", "_side", "_id"]
+    line = skew.carry_forward(both, [f"_k_{k}" for k in keys], order, F.col("_right"), "_found", hot)
+    fits = F.col("_t").isNotNull()
+    if tolerance is not None:
+        fits = fits & (F.col("_found._t") + tolerance >= F.col("_t"))
+    found = F.when(fits, F.col("_found"))
+    return line.filter("_id >= 0").select(
+        *[F.col(o).alias(c) for c, o in zip(left.columns, own)],
+        found["_t"].alias(right_time), *[found[c].alias(c) for c in columns])
+
+
 def _names(order) -> list[str]:
     return [o if isinstance(o, str) else o[0] for o in order]

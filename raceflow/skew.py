@@ -235,6 +235,37 @@ def _chunked_history(df, keys, order, totals, frames, lookback):
     return out.select(*df.columns, *totals, *frames)
 
 
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Order, value: Column, out: str, hot=None) -> DataFrame:
+    """Add ``out``: the last non-NULL ``value`` of the key up to and with each row, in ``order`` (unique per key).
+
+    Hot keys are cut into range chunks: a chunk's rows see the last value inside the chunk, or
+    else the newest one that an earlier chunk ended with (one row per key and chunk).
+    """
+    columns = df.columns
+    cold, warm = split_hot(df.withColumn("_value", value), keys, hot)
+    parts = []
+    if cold is not None:
+        upto = ordered_window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        parts.append(cold.withColumn(out, F.last("_value", ignorenulls=True).over(upto)))
+    if warm is not None:
+        n = int(warm.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        base = cut_lineage(warm.repartitionByRange(n, *[F.asc(k) for k in keys], *_sort(order))
+                           .withColumn("_chunk", F.spark_partition_id()))
+        chunk_keys = [*keys, "_chunk"]
+        newest = Window.partitionBy(*chunk_keys).orderBy(*_sort(order, reverse=True))
+        ends = base.filter(F.col("_value").isNotNull()).withColumn("_r", F.row_number().over(newest)).filter("_r = 1")
+        ends = base.select(*chunk_keys).distinct().transform(
+            lambda d: attach(d, ends.select(*chunk_keys, F.col("_value").alias("_end")), chunk_keys))
+        earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*chunk_keys, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+        upto = ordered_window(chunk_keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = base.withColumn("_inside", F.last("_value", ignorenulls=True).over(upto))
+        # one row per (hot key, chunk): at most partitions + hot keys
+        joined = attach(inside, F.broadcast(carried), chunk_keys)
+        parts.append(joined.withColumn(out, F.coalesce("_inside", "_carried")))
+    return reduce(DataFrame.unionByName, [p.select(*columns, out) for p in parts])
+
+
 def rank_within(df: DataFrame, keys: Sequence[str], value: str, out: str, ascending: bool = True,
                 method: str = "min", hot=None) -> DataFrame:
     """Rank of ``value`` in its group; ties share the lowest (``min``) or the mean

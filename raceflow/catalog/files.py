@@ -262,3 +262,24 @@ def incremental_upsert(spark, sf):
         for _ in range(2):
             incremental.upsert_batch(incremental.VersionedTable(spark, place, key, parts=2, limit=1 << 18), order)(batch, i)
     return incremental.VersionedTable(spark, place, key).read().select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("changed_data_blocks", "S16 S14", """
+  WITH placed AS (
+    SELECT o_orderkey AS k, o_orderkey // 4096 AS folder,
+           (row_number() OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) - 1) // 64 AS block FROM orders),
+  blocks AS (SELECT folder, block, bool_or(k % 1009 = 0) AS touched FROM placed GROUP BY ALL)
+  SELECT 'folder=' || folder AS path, block, CASE WHEN folder % 7 = 3 THEN 'removed' ELSE 'changed' END AS state
+  FROM blocks WHERE folder % 7 = 3 OR touched""")
+def changed_data_blocks(spark, sf):
+    """Blocks of 64 rows that differ between two stored copies of the orders: some rows have another
+    customer, some folders are gone. Only the two hash trees are compared."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").withColumn("folder", F.expr("o_orderkey div 4096"))
+    other = F.when(F.col("o_orderkey") % 1009 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    trees = []
+    for rows in (orders, orders.withColumn("o_custkey", other).filter("folder % 7 <> 3")):
+        data, tree = scratch_path(spark, "blocks"), scratch_path(spark, "tree")
+        rows.repartition("folder").sortWithinPartitions("folder", "o_orderkey").write.partitionBy("folder").parquet(data)
+        files.hash_tree(files.block_manifest(spark, data, block_rows=64, by_folder=True)).write.parquet(tree)
+        trees.append(spark.read.parquet(tree))
+    return files.changed_blocks(*trees)

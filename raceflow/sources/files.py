@@ -192,3 +192,65 @@ def file_rows(spark: SparkSession, path: str) -> DataFrame:
     row = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
     return df.select(F.col("_metadata.file_path").alias("path"), row.alias("h")).groupBy("path").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("h").alias("fingerprint"))
+
+
+BLOCK_ROWS = 1 << 20
+FANOUT = 16
+
+
+def _folded(members: Sequence[str | Column], rows: Column) -> list[Column]:
+    """Row count and digest of a set of rows: two sums of 64-bit hashes, so that tasks combine them and no
+    group is collected; ``members`` must tell the place too, which makes the digest depend on the order."""
+    sums = [F.sum(F.xxhash64(F.lit(seed), *members).cast("decimal(38,0)")) for seed in (1, 2)]
+    return [rows.alias("rows"), F.sha2(F.concat_ws(" ", rows, *[s.cast("string") for s in sums]), 256).alias("digest")]
+
+
+def block_manifest(spark: SparkSession, path: str, block_rows: int = BLOCK_ROWS, by_folder: bool = False) -> DataFrame:
+    """(path, block, rows, digest) of every range of ``block_rows`` rows of every Parquet file below ``path``.
+
+    A file is read in splits by many tasks, whatever its size; a row counts with its place and all its
+    columns. Paths are relative to ``path``; with ``by_folder`` the file name is left out, for
+    folders of one file each that are written anew under other names.
+    """
+    df = spark.read.parquet(path)
+    inside = F.substring_index("_metadata.file_path", f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    inside = F.regexp_replace(inside, "/?[^/]*$", "") if by_folder else inside
+    names = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(inside.alias("path"), F.expr(f"_metadata.row_index div {int(block_rows)}").alias("block"),
+                     F.xxhash64("_metadata.row_index", *[x for c in names for x in (c, c.isNull())]).alias("h"))
+    return rows.groupBy("path", "block").agg(*_folded(["h"], F.count(F.lit(1))))
+
+
+def hash_tree(blocks: DataFrame, levels: int = 4, fanout: int = FANOUT) -> DataFrame:
+    """The blocks (level 0) and ``levels`` levels of nodes over ``fanout`` nodes each: (level, path, node, rows, digest).
+
+    Each level is an aggregate of the one below, a ``fanout``-th of its size; store the result.
+    """
+    level = blocks.select(F.lit(0).alias("level"), "path", F.col("block").alias("node"), "rows", "digest")
+    tree = level
+    for n in range(1, levels + 1):
+        parent = F.expr(f"node div {int(fanout)}")
+        level = level.groupBy("path", parent.alias("up")).agg(*_folded(["node", "digest"], F.sum("rows"))).select(
+            F.lit(n).alias("level"), "path", F.col("up").alias("node"), "rows", "digest")
+        tree = tree.unionByName(level)
+    return tree
+
+
+def changed_blocks(old: DataFrame, new: DataFrame, levels: int = 4, fanout: int = FANOUT) -> DataFrame:
+    """(path, block, state) of the blocks that differ between two stored trees: changed, added or removed.
+
+    From the top down, only children of nodes that differ are compared; no data file is read.
+    """
+    def at(tree: DataFrame, level: int, name: str) -> DataFrame:
+        return tree.filter(F.col("level") == level).select("path", "node", F.col("digest").alias(name))
+
+    open_nodes = None
+    for level in range(levels, -1, -1):
+        sides = [at(old, level, "was"), at(new, level, "is")]
+        if open_nodes is not None:
+            up = open_nodes.withColumnRenamed("node", "up")
+            sides = [s.withColumn("up", F.expr(f"node div {int(fanout)}")).join(up, ["path", "up"], "left_semi").drop("up") for s in sides]
+        found = sides[0].join(sides[1], ["path", "node"], "full_outer").filter(~F.col("was").eqNullSafe(F.col("is")))
+        open_nodes = found.select("path", "node")
+    state = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").otherwise("changed")
+    return found.select("path", F.col("node").alias("block"), state.alias("state"))

@@ -27,6 +27,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from raceflow import skew
 from raceflow.session import cut_lineage
 
 DOMAINS = ("good", "plain", "toxic")
@@ -38,6 +39,8 @@ MOST_ENTRIES = 1_000
 BUDGET = 0.9  # of all tokens, so that good documents need no repeats
 STEPS = 20
 GAP = 1e-4
+REACHED = 2e-3  # gap, as a share of the budget, at which a draw's targets count as met
+SHRINK, TRIES = 0.93, 40
 
 
 def _words(text: Column) -> Column:
@@ -126,45 +129,76 @@ def posteriors(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> D
         *[F.col(f"e{d}") / whole for d in range(len(DOMAINS))]).alias("p")))
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """max(0, r - p . step) over all steps, from 1; rows without tokens stay at 1."""
+def _rate(steps: list[list[float]], start: float = 1.0, most: float | None = None) -> Column:
+    """max(0, r - p . step), at most ``most``, over all steps from ``start``; rows without tokens stay at 1."""
     if not steps:
-        return F.lit(1.0)
+        return F.when(F.col("tokens") > 0, F.lit(start)).otherwise(F.lit(1.0))
     table = "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in step) + ")" for step in steps) + ")"
     dot = " + ".join(f"p[{d}] * g[{d}]" for d in range(len(DOMAINS)))
-    return F.expr(f"IF(tokens > 0, aggregate({table}, 1.0D, (r, g) -> greatest(0.0D, r - ({dot}))), 1.0D)")
+    next_rate = f"greatest(0.0D, r - ({dot}))" if most is None else f"least({most!r}D, greatest(0.0D, r - ({dot})))"
+    return F.expr(f"IF(tokens > 0, aggregate({table}, {start!r}D, (r, g) -> {next_rate}), 1.0D)")
 
 
 def rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, steps: int = STEPS, gap: float = GAP,
           budget: float = BUDGET) -> DataFrame:
     """``members`` (doc_id, tokens, p; stored) with ``rate``. The budget is a share of all tokens."""
+    return members.withColumn("rate", _rate(_fitted(members, targets, steps, gap, budget)[0]))
+
+
+def _fitted(members: DataFrame, targets: tuple[float, ...], steps: int, gap: float, budget: float,
+            start: float = 1.0, most: float | None = None) -> tuple[list[list[float]], float]:
+    """The steps from ``start``, and the largest gap left (a share of all tokens)."""
     goal = np.array(targets, float) / sum(targets) * budget
     domains = range(len(goal))
+    lower = 0.999 if most is None else 0.95  # with a bound, a fit that slows down is left for a smaller budget
+    inside = F.col("rate") > 0 if most is None else (F.col("rate") > 0) & (F.col("rate") < most)
 
     def gather(taken: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        rows = members.withColumn("rate", _rate(taken))
+        rows = members.withColumn("rate", _rate(taken, start, most))
         sums = [F.sum(F.col("rate") * F.col("tokens") * F.get("p", d)) for d in domains]
-        sums += [F.sum(F.when(F.col("rate") > 0, F.col("tokens") * F.get("p", d) * F.get("p", e))) for d in domains for e in domains]
+        sums += [F.sum(F.when(inside, F.col("tokens") * F.get("p", d) * F.get("p", e))) for d in domains for e in domains]
         row = [float(x or 0.0) for x in rows.agg(*[x.alias(f"x{i}") for i, x in enumerate(sums)]).first()]
         return np.array(row[:len(goal)]), np.array(row[len(goal):]).reshape(len(goal), len(goal))
 
     held, moment = gather([])
-    tokens, taken = held.sum(), []
+    tokens, taken = held.sum() / start, []
     while tokens and len(taken) < steps:
         gaps = held / tokens - goal
         if np.abs(gaps).max() < gap:
             break
         step = np.linalg.lstsq(moment / tokens, gaps, rcond=1e-9)[0]
-        for _ in range(8):
+        for _ in range(8 if most is None else 4):
             next_held, next_moment = gather([*taken, step.tolist()])
-            if np.linalg.norm(next_held / tokens - goal) < np.linalg.norm(gaps) * 0.999:
+            if np.linalg.norm(next_held / tokens - goal) < np.linalg.norm(gaps) * lower:
                 break
             step = step / 2
         else:
             break  # no step lowers the gaps: they cannot be closed with these documents
         taken.append(step.tolist())
         held, moment = next_held, next_moment
-    return members.withColumn("rate", _rate(taken))
+    return taken, float(np.abs(held / tokens - goal).max()) if tokens else 0.0
+
+
+def chances(members: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float = 1.0, gap: float = REACHED) -> DataFrame:
+    """``members`` (stored) with ``rate`` from 0 to 1, so that each document is taken once at most.
+
+    The budget is the largest share of all tokens, up to ``budget``, at which the targets are met within
+    ``gap``: no domain can give more than it has (the scarcest sets the bound), and since documents belong
+    to several domains, the bound is lowered by ``SHRINK`` until the rates close the gaps.
+    """
+    tokens = [F.sum(F.col("tokens") * F.get("p", d)) for d in range(len(DOMAINS))]
+    supply = np.array([float(x or 0.0) for x in members.agg(*[t.alias(f"x{i}") for i, t in enumerate(tokens)]).first()])
+    goal = np.array(targets, float) / sum(targets)
+    wanted = goal > 0
+    share = float(min([budget, *(supply[wanted] / max(supply.sum(), 1e-300) / goal[wanted])]))
+    if share <= 0:  # no tokens, or a wanted domain that no document has: there is no mixture to aim at
+        return members.withColumn("rate", F.lit(1.0))
+    for _ in range(TRIES):
+        taken, left = _fitted(members, targets, STEPS, gap * share / 4, share, min(share, 1.0), 1.0)
+        if left <= gap * share:
+            break
+        share *= SHRINK
+    return members.withColumn("rate", _rate(taken, min(share if left <= gap * share else share / SHRINK, 1.0), 1.0))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
@@ -173,16 +207,19 @@ def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS
     return rated.select("doc_id", "tokens", *[F.get(F.col("p"), d).alias(f"p_{name}") for d, name in enumerate(DOMAINS)], "rate")
 
 
-def drawn(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
-    """Rows of ``docs`` (unchanged), drawn without repeats with their rate as the chance.
+def drawn(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, budget: float = 1.0) -> DataFrame:
+    """Rows of ``docs`` (unchanged), drawn without repeats so that their tokens meet the targets by posterior.
 
-    A document stays if its likeliest domain is the first (``good``), or if a hash of its
-    doc_id, read as a number in [0, 1), is below its rate. Rows of one doc_id share their
-    largest rate. A null doc_id is drawn like any other.
+    Every document has its rate (``chances``) as its chance, whatever its domain. The draw is systematic:
+    per likeliest domain, documents stand in a row from the longest to the shortest, and one is taken wherever
+    the running sum of rates passes a whole number. So the tokens taken differ from the rates' by less than those of
+    one document of each domain. Rows of one doc_id share their largest rate and go or stay together; null is an id too.
     """
-    rated = rates(posteriors(docs, labels), targets)
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)
-    best = F.get("p", 0) >= F.greatest(*[F.get("p", d) for d in range(1, len(DOMAINS))])
-    gone = rated.withColumn("chance", chance).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max(best | (F.col("chance") < F.col("rate"))).alias("_stays")).filter("NOT _stays")
+    rated = chances(posteriors(docs, labels), targets, budget)
+    best = F.array_position("p", F.array_max("p"))
+    ids = cut_lineage(rated.groupBy("doc_id").agg(F.max("rate").alias("rate"), F.sum("tokens").alias("tokens"), F.min(best).alias("domain")))
+    ids = ids.withColumn("order", F.xxhash64("doc_id", F.lit(9)))
+    row = skew.history(ids, ["domain"], [("tokens", False), "order", "doc_id"], totals={"before": F.col("rate")}, hot=skew.EVERYTHING)
+    taken = F.floor(F.col("before") + F.col("rate") + 0.5) > F.floor(F.col("before") + 0.5)
+    gone = row.filter(~((F.col("rate") >= 1) | taken)).select(F.col("doc_id").alias("_id"))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")

@@ -45,8 +45,33 @@ def test_documents(spark, sf):
     assert good > 0.97 and plain > 0.9
     kept = M.drawn(docs, labels)
     assert kept.columns == docs.columns and kept.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    lost = docs.join(kept, "doc_id", "left_anti").join(labels, "doc_id")
-    assert lost.filter("quality = 0 OR toxic = 1").count() > 3 * lost.filter("quality = 1 AND toxic = 0").count()
+    post = M.posteriors(docs, labels).join(kept.select("doc_id"), "doc_id")
+    assert shares(post) == pytest.approx(M.TARGETS, abs=0.01)
+
+
+def shares(members):
+    return list(members.agg(*[F.sum(F.col("tokens") * F.get("p", d)) / F.sum("tokens") for d in range(3)]).first())
+
+
+@pytest.mark.parametrize("good,targets", [(0.5, M.TARGETS), (0.76, M.TARGETS), (0.95, M.TARGETS), (0.95, (0.6, 0.3, 0.1))])
+def test_realised_shares_meet_the_targets(spark, make_docs, monkeypatch, good, targets):
+    """Corpora of several compositions, with soft posteriors and texts of 5 to 300 words."""
+    rng = np.random.default_rng(int(100 * good))
+    kinds = rng.choice(3, 1500, p=[good, (1 - good) * 0.7, (1 - good) * 0.3])
+    p = np.array([rng.dirichlet(np.where(np.arange(3) == k, 12, 0.4)) for k in kinds])
+    tokens = np.exp(rng.uniform(np.log(5), np.log(300), 1500)).astype(int)
+    members = cut_lineage(spark.createDataFrame([(i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p))],
+                                                "doc_id long, tokens long, p array<double>"))
+    monkeypatch.setattr(M, "posteriors", lambda docs, labels: members)
+    docs = make_docs([(i, "x " * int(t)) for i, t in enumerate(tokens)])
+    rated = M.chances(members, targets)
+    rates = np.array([r["rate"] for r in rated.orderBy("doc_id").collect()])
+    assert (0 <= rates).all() and (rates <= 1).all()
+    supply = (tokens @ p) / tokens.sum() / np.array(targets)  # no draw without repeats can keep more than the scarcest domain allows
+    assert 0.5 * min(1, supply.min()) < (rates @ tokens) / tokens.sum() <= min(1, supply.min()) + 0.01
+    kept = M.drawn(docs, None, targets)
+    assert shares(members.join(kept.select("doc_id"), "doc_id")) == pytest.approx(targets, abs=0.01)
+    assert abs(kept.count() - rates.sum()) <= 4
 
 
 def test_awkward(spark, awkward, nothing):

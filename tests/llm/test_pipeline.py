@@ -3,20 +3,19 @@
 import pytest
 
 import corpus_pipeline as P
-from raceflow.llm import langid
-from test_neardup import brute
+from raceflow.llm import langid, mixing
 
 
 @pytest.fixture(scope="module")
 def steps(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = [docs.collect()]
+    out, schema = [docs.collect()], docs.schema
     for _, stage in P.STAGES:
         rows = stage(spark, docs, sf)
         out.append(rows.collect())
         docs = spark.createDataFrame(out[-1], rows.schema)
-    return sf, spark.read.parquet(f"{sf}/documents.parquet").columns, out
+    return sf, spark.read.parquet(f"{sf}/documents.parquet").columns, out, schema
 
 
 def ids(rows):
@@ -24,7 +23,7 @@ def ids(rows):
 
 
 def test_columns_and_rows(steps):
-    _, columns, out = steps
+    _, columns, out, _ = steps
     for rows in out[1:-1]:
         assert rows and list(rows[0].asDict()) == columns
         assert set(rows) <= set(out[0]) and len(rows) == len(set(ids(rows)))
@@ -39,7 +38,7 @@ def test_language_keeps_clean_documents(steps):
 
 def test_near_duplicates(steps):
     before, after = steps[2][1], steps[2][2]
-    label = brute([(r["doc_id"], r["text"]) for r in before])
+    label = five_word_labels([(r["doc_id"], r["text"]) for r in before])
     assert sorted(ids(after)) == sorted(d for d, c in label.items() if d == c)
 
 
@@ -59,10 +58,15 @@ def test_decontamination(spark, steps):
 
 def test_mixture_and_shards(spark, steps):
     before, after, last = steps[2][3], steps[2][4], steps[2][5]
-    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{steps[0]}/labels.parquet").collect()}
-    gone = set(ids(before)) - set(ids(after))
-    clean = [d for d in ids(before) if d in labels and labels[d]["quality"] == 1 and not labels[d]["toxic"]]
-    assert len(gone & set(clean)) <= 0.05 * len(clean)
+    docs = spark.createDataFrame(before, steps[3])
+    members = mixing.posteriors(docs, spark.read.parquet(f"{steps[0]}/labels.parquet"))
+    own = {r["doc_id"]: r for r in members.collect()}
+    tokens = sum(own[d]["tokens"] for d in ids(after))
+    for domain, target in enumerate(mixing.TARGETS):
+        held = sum(own[d]["tokens"] * own[d]["p"][domain] for d in ids(after)) / tokens
+        longest = max(r["tokens"] for r in own.values()) / tokens  # 200 documents: one of them may weigh more than 0.01
+        assert abs(held - target) <= max(0.01, longest)
+    assert set(ids(after)) <= set(ids(before)) and len(after) > 0.4 * len(before)
     assert sorted(ids(last)) == sorted(ids(after))
     sizes = [sum(r["shard"] == s for r in last) for s in range(16)]
     assert max(sizes) - min(sizes) <= 1

@@ -25,7 +25,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at their mixing rate, each once at most; likely good ones all stay."""
+    """Documents drawn at their mixing rate, each once at most, so that their tokens meet the target weights."""
     return mixing.drawn(docs, table(spark, sf_dir, "labels"))
 
 

@@ -26,6 +26,15 @@ def one_hot_encoding(spark, sf):
     return learning.one_hot(df, "track_surface", "track", null_dummy=True).drop("track_surface", "age")
 
 
+@query("one_hot_rows", "M1", with_entrants(f"""
+  SELECT {K}, unnest(['horse_' || horse_id, CASE WHEN jockey_id % 7 = 0 THEN 'jockey_nan' ELSE 'jockey_' || jockey_id END]) AS feature, 1 AS value
+  FROM entrants"""))
+def one_hot_rows(spark, sf):
+    """Dummies of every horse and jockey, far too many for columns, in the long form."""
+    df = entrants(spark, sf, KEY).withColumns({"horse": F.col("horse_id"), "jockey": F.when(F.col("jockey_id") % 7 != 0, F.col("jockey_id"))})
+    return learning.one_hot_rows(df, KEY, {"horse": "horse", "jockey": "jockey"}, null_dummy=True)
+
+
 @query("imputation", "M2", with_entrants(f"""
   SELECT {K}, coalesce(prize_money, (SELECT quantile_cont(prize_money, 0.5) FROM entrants))::DOUBLE AS prize_money,
          coalesce(CASE WHEN age <> 3 THEN age END, (SELECT quantile_cont(age, 0.5) FROM entrants WHERE age <> 3))::DOUBLE AS age

@@ -15,7 +15,7 @@ AGGS: dict[str, Callable] = {
     "mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min, "sum": F.sum, "count": F.count,
     "median": lambda c: F.percentile(c, 0.5),
 }
-# Up to this many values of a context become columns; a wider one is looked up in the long form.
+# Up to this many values of a context become columns; a wider one needs the long form or a list of values.
 MAX_CONTEXTS = 500
 
 
@@ -38,9 +38,12 @@ def entity_statistics(history: DataFrame, recipes: Sequence[Mapping]) -> dict[st
 
 
 def context_values(history: DataFrame, column: str) -> list:
-    """Distinct contexts, sorted; none for a column with more than MAX_CONTEXTS values."""
+    """Distinct contexts, sorted; an error for a column with more than MAX_CONTEXTS values."""
     found = history.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_CONTEXTS + 1).collect()
-    return sorted(r[0] for r in found) if len(found) <= MAX_CONTEXTS else []
+    if len(found) > MAX_CONTEXTS:
+        raise ValueError(f"{column} has more than {MAX_CONTEXTS} values, too many for a column each: list the values wanted, "
+                         "or use the long form (interaction_rows, one_hot_rows)")
+    return sorted(r[0] for r in found)
 
 
 def interaction_rows(history: DataFrame, recipes: Sequence[Mapping]) -> DataFrame:
@@ -61,8 +64,8 @@ def interaction_statistics(history: DataFrame, recipes: Sequence[Mapping],
                            values: Mapping[str, Sequence] | None = None) -> dict[str, DataFrame]:
     """Recipes with id_column, context_column, target, agg and feature_template: per id, the
     long form pivoted to a column for each listed context value. Contexts come from
-    ``values`` or the recipe's ``values``, else from the data if they are few; a context with
-    too many values has no columns (use ``interaction_rows``)."""
+    ``values`` or the recipe's ``values``, else from the data; a context with more than
+    MAX_CONTEXTS values raises an error that names it (use ``interaction_rows``)."""
     values = dict(values or {})
     by_id: dict[str, list[Mapping]] = {}
     for r in recipes:

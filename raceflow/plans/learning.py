@@ -18,7 +18,8 @@ from raceflow.session import cut_lineage
 
 def one_hot(df: DataFrame, column: str, prefix: str, values: Sequence | None = None,
             null_dummy: bool = False) -> DataFrame:
-    """0/1 column per value; a NULL row is all zeros unless ``null_dummy``."""
+    """0/1 column per value; a NULL row is all zeros unless ``null_dummy``. A column with more values than
+    can be columns raises an error (``one_hot_rows`` has no such bound)."""
     values = context_values(df, column) if values is None else values
     flags = {f"{prefix}_{v}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("int") for v in values}
     if null_dummy:
@@ -26,6 +27,15 @@ def one_hot(df: DataFrame, column: str, prefix: str, values: Sequence | None = N
     return df.withColumns(flags)
 
 
+def one_hot_rows(df: DataFrame, key: Sequence[str], columns: Mapping[str, str], null_dummy: bool = False) -> DataFrame:
+    """The long form (key, feature, value) of the dummies of ``columns`` (name → prefix) that are 1, for any number
+    of values: without a shuffle or a look at the data; every other dummy of a key is 0."""
+    each = F.explode(F.array_compact(F.array(*[
+        F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{prefix}_"), F.col(c).cast("string"))).otherwise(
+            F.lit(f"{prefix}_nan") if null_dummy else F.lit(None).cast("string")) for c, prefix in columns.items()])))
+    return df.select(*key, each.alias("feature")).withColumn("value", F.lit(1))
+
+
 def fill_values(df: DataFrame, columns: Sequence[str], strategy: str = "median", default: float = 0.0) -> dict:
     """Replacement per column: its median, mean, or zero; ``default`` when all NULL."""
     if strategy == "zero":

@@ -16,7 +16,7 @@ QUICK = ["race_feature_flagship", "prior_cumulative_sums", "recent_form_summary"
          "spearman_per_race", "threshold_sweep", "equity_curve", "duplicate_profile", "log_outcomes",
          "probability_audit", "stake_allocation", "pedigree_wide_form", "write_partitioned", "read_latest_per_partition", "outcome_documents", "latest_odds_snapshot", "incremental_upsert",
          "data_version_record", "file_size_summary", "regional_races", "validation_limits", "recommendations", "page_charset",
-         "expanding_date_folds", "group_safe_holdout", "top_orders_per_race", "as_of_profile", "as_of_latest_price"]
+         "expanding_date_folds", "group_safe_holdout", "top_orders_per_race", "as_of_profile", "as_of_latest_price", "one_hot_rows", "changed_data_blocks"]
 NAMES = list(ENTRIES) if os.environ.get("RACEFLOW_ALL") else QUICK
 
 

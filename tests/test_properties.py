@@ -79,12 +79,17 @@ def test_strictly_earlier_statistics(spark):
     assert one["jockey_win_rate"] == pytest.approx(before.agg(F.avg("is_win")).first()[0])
 
 
-def test_wide_context_has_no_columns_but_rows(spark, monkeypatch):
+def test_wide_context_is_an_error_but_has_rows(spark, monkeypatch):
     from raceflow.operators import stats
+    from raceflow.plans import learning
     monkeypatch.setattr(stats, "MAX_CONTEXTS", 3)
     df = spark.createDataFrame([(1, f"c{i}", float(i)) for i in range(5)], "id int, c string, x double")
     recipe = {"id_column": "id", "context_column": "c", "target": "x", "agg": "mean", "feature_template": "id_{context}"}
-    assert stats.interaction_statistics(df, [recipe]) == {}
+    with pytest.raises(ValueError, match="c has more than 3 values"):
+        stats.interaction_statistics(df, [recipe])
+    with pytest.raises(ValueError, match="c has more than 3 values"):
+        learning.one_hot(df, "c", "c")
+    assert [r["feature"] for r in learning.one_hot_rows(df, ["id"], {"c": "c"}).orderBy("feature").collect()] == [f"c_c{i}" for i in range(5)]
     assert stats.interaction_rows(df, [recipe]).count() == 5
     listed = stats.interaction_statistics(df, [{**recipe, "values": ["c1", "c4"]}])["id"].first()
     assert (listed["id_c1"], listed["id_c4"]) == (1.0, 4.0)

@@ -74,3 +74,62 @@ def test_groups_of_all_sizes_stay_whole(make_docs, monkeypatch):
     law_holds(rows)
     cut = sharding.cut_links(sharding.propagate(make_docs(list(enumerate(texts + [f"u{i}" for i in range(220)]))))).first()
     assert cut["groups"] == cut["whole"] == 222 and cut["apart"] == 0
+
+
+def pairs_kept(rows):
+    return sum(n * (n - 1) // 2 for n in Counter((r["hub"], r["shard"]) for r in rows if r["hub"] is not None).values())
+
+
+def test_a_group_larger_than_a_shard_fills_whole_shards(make_docs):
+    rows = placed(make_docs([(i, "x" if i % 3 == 0 else f"t{i // 2}") for i in range(960)]))
+    law_holds(rows)
+    hot = [r for r in rows if r["doc_id"] % 3 == 0]
+    assert pairs_kept(hot) >= 8_500  # 9,040 if nothing else were there
+    assert pairs_kept(rows) - pairs_kept(hot) == 160  # all other pairs of equal texts
+
+
+def test_a_round_matches_a_plain_one(spark):
+    """Wishes from the labels of that round: a node moves only where it has more neighbours, and gains count them."""
+    import random
+    from raceflow.session import cut_lineage
+    draw = random.Random(4)
+    at = {n: draw.randrange(4) for n in range(60)}
+    links = sorted({(n, draw.randrange(25)) for n in range(60) for _ in range(2)})
+    table = cut_lineage(spark.createDataFrame(links, "node long, hub long"))
+    for number in range(3):
+        nodes = cut_lineage(spark.createDataFrame([(n, 1, s) for n, s in at.items()], "node long, weight long, shard int"))
+        after = {r["node"]: r["shard"] for r in sharding._round(nodes, table, [60] * 4, number).collect()}  # room for all
+        assert sorted(after) == sorted(at)
+        moved = [n for n in at if after[n] != at[n]]
+        for n in at:
+            near = Counter(at[m] for h in {h for k, h in links if k == n} for m, g in links if g == h and m != n)
+            if n in moved:
+                assert near[after[n]] == max(near.values()) > near[at[n]]
+        assert moved
+        at = after
+
+
+def test_labels_gather_what_other_hubs_link(spark, make_docs):
+    """Chains of documents through hubs, no equal texts: neighbours come together under equal row counts."""
+    docs = make_docs([(i, f"text {i}") for i in range(640)])
+    links = spark.createDataFrame([(i * 37 % 640, i // 8) for i in range(640)] + [(i * 37 % 640, 1000 + i // 16) for i in range(0, 640, 4)], "doc_id long, hub long")
+    shares = []
+    for rounds in (0, 8):
+        out = sharding.propagate(docs, shards=8, rounds=rounds, links=links)
+        law_holds([r.asDict() for r in out.collect()], 8)
+        found = sharding.kept_links(out, links).first()
+        shares.append(found["kept"] / found["pairs"])
+    assert shares[0] < 0.25 and shares[1] > 0.6
+
+
+def test_odd_links(spark, awkward, nothing):
+    links = spark.createDataFrame([(None, 1), (4, None), (4, 7), (10, 7), (77, 7), (5, 9)], "doc_id long, hub long")
+    rows = placed(awkward, links=links)
+    law_holds(rows)
+    assert len(rows) == awkward.count() and placed(nothing, links=links) == []
+
+
+def test_shared_lines(make_docs):
+    line = "a line that two documents hold, long enough to say something"
+    got = sharding.shared_lines(make_docs([(1, f"one\n  {line}"), (2, f"{line}\n{line}\ntwo"), (3, line + "!"), (4, None), (None, line)])).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2] and len({r["hub"] for r in got}) == 1

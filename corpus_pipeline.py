@@ -30,8 +30,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document."""
-    return sharding.shard_documents(docs)
+    """Shard and slot of every document; documents that share lines are drawn together."""
+    return sharding.shard_documents(docs, links=sharding.shared_lines(docs))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination),

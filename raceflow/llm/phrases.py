@@ -50,7 +50,7 @@ COVER = 80
 BURST = 1 << 14  # entries of a container
 HELD = 1 << 19  # entries of a task's trie
 BATCH = 2 << 20  # bytes of text, or one longer text, read at a time
-PART = 1 << 16  # occurrences of first words that stay in one part
+PART = 1 << 21  # occurrences of first words that stay in one part
 BITS = 1 << 27
 SLOTS = 1 << 20
 MERGE = 1 << 19  # entries merged at a time

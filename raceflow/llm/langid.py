@@ -29,6 +29,7 @@ from raceflow.llm import words as W
 from raceflow.llm.rows import remainder
 
 ORDERS = (5, 4, 3, 2, 1)
+COUNT_BYTES = 1 << 20  # bytes of text whose n-grams are counted at a time
 WORD = 0
 SMOOTH = 0.5
 UNKNOWN = "und"
@@ -47,7 +48,7 @@ def _counted(batches, languages: list[str]):
     for batch in batches:
         data, offsets = W.texts_of(batch.column(1))
         lang = np.array([index[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
-        for a, b in W.parts(offsets):
+        for a, b in W.parts(offsets, COUNT_BYTES):
             o = offsets[a:b + 1]
             part = W.Letters(data[o[0]:o[-1]], o - o[0])
             of = lang[a:b][part.rows]

@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from raceflow.functions.text import log_line
 
-# Words that mark the subject, the stage and the outcome of a message.
+# Words and patterns, looked for in the lower-cased message.
 SUBJECTS = {"pedigrees": "pedigree", "horses": "horse", "shutuba": "shutuba", "races": "race"}
 STAGES = {"scraping": "scraping", "parsing": "pars"}
+TIMED_STAGES = {"scraping": "scraping", "parsing": "parsing", "total_pipeline": "pipeline"}
+HTTP_CODE = r"http[s]?\s+(\d{3})"
+MISSING_FIELD = r"missing\s+field[s]?:\s*(\w+)"
+NOT_FOUND = r"(distance|surface|weather|venue|class).*not found"
+DURATION = r"completed in\s+([\d.]+)\s+seconds?"
+THROUGHPUT = r"(\d+)\s+items?\s+in\s+([\d.]+)\s+seconds?"
 
 
 def parsed(lines: DataFrame, line: str = "line", with_module: bool = True) -> DataFrame:
@@ -45,19 +51,19 @@ def outcomes(log: DataFrame) -> DataFrame:
 
 
 def http_codes(log: DataFrame) -> DataFrame:
-    code = F.regexp_extract(F.lower("message"), r"https?\s+(\d{3})", 1)
+    code = F.regexp_extract(F.lower("message"), HTTP_CODE, 1)
     return log.select(code.alias("code")).filter("code <> ''").groupBy("code").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def missing_fields(log: DataFrame, n: int = 15) -> DataFrame:
     """Most often missing fields."""
-    field = F.regexp_extract(F.lower("message"), r"missing\s+fields?:\s*(\w+)", 1)
+    field = F.regexp_extract(F.lower("message"), MISSING_FIELD, 1)
     return (log.select(field.alias("field")).filter("field <> ''").groupBy("field")
             .agg(F.count(F.lit(1)).alias("lines")).orderBy(F.desc("lines"), "field").limit(n))
 
 
 def not_found(log: DataFrame) -> DataFrame:
-    field = F.regexp_extract(F.lower("message"), "(distance|surface|weather|venue|class).*not found", 1)
+    field = F.regexp_extract(F.lower("message"), NOT_FOUND, 1)
     return log.select(field.alias("field")).filter("field <> ''").groupBy("field").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -65,12 +71,16 @@ def retries(log: DataFrame) -> DataFrame:
     return log.agg(F.count_if(_has(F.lower("message"), "retry")).alias("retries"))
 
 
+def _timed_stage(message: Column) -> Column:
+    """First stage of the table that the message names, or NULL."""
+    return F.coalesce(*[F.when(message.contains(w), s) for s, w in TIMED_STAGES.items()])
+
+
 def stage_durations(log: DataFrame, order: str) -> DataFrame:
     """Last reported duration per stage."""
     m = F.lower("message")
-    seconds = F.regexp_extract(m, r"completed in\s+([\d.]+)\s+seconds?", 1).try_cast("double")
-    stage = (F.when(m.contains("scraping"), "scraping").when(m.contains("parsing"), "parsing")
-             .when(m.contains("pipeline"), "total_pipeline").otherwise("other"))
+    seconds = F.regexp_extract(m, DURATION, 1).try_cast("double")
+    stage = F.coalesce(_timed_stage(m), F.lit("other"))
     return (log.select(stage.alias("stage"), seconds.alias("seconds"), "logged_at", order).filter("seconds IS NOT NULL")
             .groupBy("stage").agg(F.max_by("seconds", F.struct("logged_at", order)).alias("seconds")))
 
@@ -78,12 +88,11 @@ def stage_durations(log: DataFrame, order: str) -> DataFrame:
 def throughput(log: DataFrame) -> DataFrame:
     """Mean items per second of scraping and parsing."""
     m = F.lower("message")
-    shape = r"(\d+)\s+items?\s+in\s+([\d.]+)\s+seconds?"
-    items, seconds = (F.regexp_extract(m, shape, i).try_cast("double") for i in (1, 2))
-    stage = F.when(m.contains("scraping"), "scraping").when(m.contains("parsing"), "parsing")
+    items, seconds = (F.regexp_extract(m, THROUGHPUT, i).try_cast("double") for i in (1, 2))
     rate = F.coalesce(F.try_divide(items, seconds), F.lit(0.0))
-    return (log.filter(m.rlike(shape) & F.col("logged_at").isNotNull()).select(stage.alias("stage"), rate.alias("rate"))
-            .filter("stage IS NOT NULL").groupBy("stage").agg(F.avg("rate").alias("items_per_second")))
+    return (log.filter(m.rlike(THROUGHPUT) & F.col("logged_at").isNotNull())
+            .select(_timed_stage(m).alias("stage"), rate.alias("rate")).filter(F.col("stage").isin(*STAGES))
+            .groupBy("stage").agg(F.avg("rate").alias("items_per_second")))
 
 
 def latest(log: DataFrame, level: str, order: str, n: int = 20) -> DataFrame:

@@ -161,3 +161,35 @@ def pedigree_depth_profile(spark, sf):
 def newest_ancestor_row(spark, sf):
     e = _edges(spark, sf).withColumn("ancestor_id", F.substring("ancestor_id", 1, 2))
     return pedigree.newest_per_ancestor(e, "horse_id", "generation", "ancestor_id", "birth_year", ["seq"])
+
+
+# ---- stakes on exclusive outcomes, ancestors of any depth ------------------------
+
+@query("exclusive_kelly_stakes", "B9", with_entrants("").rstrip() + f""", {_PRICED}, w AS (
+    SELECT race_id, key, p, odds, sum(p) OVER o AS taken, sum(1 / odds) OVER o AS covered FROM priced WHERE market = 'win'
+    WINDOW o AS (PARTITION BY race_id ORDER BY p * odds DESC, key ROWS UNBOUNDED PRECEDING)), r AS (
+    SELECT race_id, least(1.0, coalesce(min(greatest(0.0, 1 - taken) / (1 - covered)) FILTER (covered < 1), 1.0)) AS reserve
+    FROM w GROUP BY race_id), s AS (SELECT *, greatest(0.0, p - reserve / odds) AS share FROM w JOIN r USING (race_id))
+  SELECT race_id, key, round(share + 1e-10, 7) AS share, round(reserve + 1e-10, 7) AS reserve,
+         round(coalesce(sum(CASE WHEN share > 0 THEN p * ln(p * odds) END) OVER g
+           + CASE WHEN reserve > 0 THEN (1 - sum(CASE WHEN share > 0 THEN p END) OVER g) * ln(reserve) ELSE 0 END, 0) + 1e-10, 7) AS growth
+  FROM s WINDOW g AS (PARTITION BY race_id)""")
+def exclusive_kelly_stakes(spark, sf):
+    """Growth-optimal stakes on all winners of a race at once."""
+    win = _priced(spark, sf).filter("market = 'win'")
+    out = staking.exclusive_stakes(win, hot=hot_races(spark, sf))
+    return out.select("race_id", "key", *[F.round(F.col(c) + F.lit(1e-10), 7).alias(c) for c in ("share", "reserve", "growth")])
+
+
+@query("ancestors_of_any_depth", "B11 B13", """WITH RECURSIVE parentage AS (
+    SELECT p_partkey AS horse_id, unnest([p_partkey // (2 + p_size % 2), p_partkey // (4 + p_size % 3)]) AS parent_id FROM part),
+  known AS (SELECT * FROM parentage WHERE parent_id > 0),
+  lines AS (SELECT horse_id, parent_id AS ancestor, 1 AS distance FROM known
+    UNION ALL SELECT l.horse_id, k.parent_id, distance + 1 FROM lines l JOIN known k ON l.ancestor = k.horse_id)
+  SELECT horse_id, ancestor, distance, paths, paths * pow(0.5, distance) AS share FROM (
+    SELECT horse_id, ancestor, distance, count(*)::DOUBLE AS paths FROM lines GROUP BY ALL)""")
+def ancestors_of_any_depth(spark, sf):
+    """All ancestors of every part key, its parents being smaller keys."""
+    parents = F.explode(F.expr("array(p_partkey div (2 + p_size % 2), p_partkey div (4 + p_size % 3))")).alias("parent_id")
+    parentage = table(spark, sf, "part").select(F.col("p_partkey").alias("horse_id"), parents).filter("parent_id > 0")
+    return pedigree.ancestors(parentage, "horse_id", "parent_id")

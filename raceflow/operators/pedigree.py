@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from raceflow import skew
+from raceflow.session import cut_lineage
+
 
 def positions(edges: DataFrame, entity: str, generation: str, order: Sequence[str], out: str = "position") -> DataFrame:
     """1-based place of an ancestor within its generation. An entity has at most
@@ -50,3 +54,51 @@ def newest_per_ancestor(edges: DataFrame, entity: str, generation: str, ancestor
     """One row per (entity, generation, ancestor): the latest birth year, unknown years last."""
     w = Window.partitionBy(entity, generation, ancestor).orderBy(F.desc_nulls_last(year), *tie)
     return edges.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def ancestors(parentage: DataFrame, entity: str, parent: str, depth: int = 32, hot=None) -> DataFrame:
+    """All ancestors up to ``depth`` generations: (entity, ancestor, distance, paths, share).
+
+    ``paths`` counts the lines of descent of that length, ``share`` is the blood they bring
+    (half per generation). Each round joins the lines of the greatest length so far with all
+    known ones, which doubles the length: 2 to the power k generations take k rounds. Rows with a null
+    on either side are left out, a repeated row counts as a further line. An entity among its own
+    ancestors within ``depth`` raises an error, after log2 of the circle's length in rounds.
+    """
+    one = (parentage.select(F.col(entity).alias("entity"), F.col(parent).alias("ancestor")).dropna()
+           .groupBy("entity", "ancestor").agg(F.count(F.lit(1)).cast("double").alias("paths")))
+    known = cut_lineage(one.withColumn("distance", F.lit(1)))
+    length = 1
+    while True:
+        circle = known.filter("entity = ancestor").select("entity").distinct().limit(5).collect()
+        if circle:
+            raise ValueError(f"{parent}: own ancestors: {sorted(str(r[0]) for r in circle)}")
+        tips = known.filter(F.col("distance") == length)
+        if length >= depth or tips.isEmpty():
+            break
+        further = _continued(tips, known.filter(F.col("distance") <= depth - length), hot)
+        known = cut_lineage(known.unionByName(
+            further.groupBy("entity", "ancestor", "distance").agg(F.sum("paths").alias("paths"))))
+        length *= 2
+    out = known.filter(F.col("distance") <= depth)
+    return out.select(F.col("entity").alias(entity), F.col("ancestor"), "distance", "paths",
+                      (F.col("paths") * F.pow(F.lit(0.5), F.col("distance"))).alias("share"))
+
+
+def _continued(tips: DataFrame, known: DataFrame, hot) -> DataFrame:
+    """Lines that go on from the last ancestor of ``tips``. The lines of hot ancestors (famous
+    sires) are broadcast while small, the rest is a shuffle join that AQE splits where skewed."""
+    on = known.select(F.col("entity").alias("_at"), F.col("ancestor").alias("_to"), F.col("distance").alias("_d"),
+                      F.col("paths").alias("_n"))
+    if hot is None:
+        hot = skew.hot_keys(tips, ["ancestor"])
+    cold, warm = skew.split_hot(tips, ["ancestor"], hot)
+    parts = [] if cold is None else [(cold, on)]
+    if warm is not None:
+        few = cut_lineage(skew.split_hot(on, ["_at"], hot)[1])
+        small = few.count() <= skew.BROADCAST_BYTES // skew.row_bytes(few)
+        parts.append((warm, F.broadcast(few) if small else few))
+    joined = [rows.join(lines, rows["ancestor"] == lines["_at"]).select(
+        "entity", F.col("_to").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance"),
+        (F.col("paths") * F.col("_n")).alias("paths")) for rows, lines in parts]
+    return reduce(DataFrame.unionByName, joined)

@@ -59,3 +59,38 @@ def stakes(bets: DataFrame, capital: float, fraction: float = 0.2, race_cap: flo
     scale = F.least(F.lit(1.0), F.try_divide(F.lit(float(race_cap)), F.col("_total")))
     amount = F.floor(F.col("_want") * F.coalesce(scale, F.lit(0.0)) / unit) * unit
     return out.withColumn("amount", amount.cast("double")).drop("_want", "_total")
+
+
+def exclusive_stakes(bets: DataFrame, hot=None) -> DataFrame:
+    """Shares of capital that maximise the expected log growth of a race whose outcomes exclude each other.
+
+    ``bets`` has one row per (race_id, key) of a single market. Outcomes are taken by falling
+    probability * odds while that exceeds the reserve rate, (1 - probabilities) / (1 - 1 / odds) summed
+    over those taken before; each gets ``share`` = probability - reserve / odds. ``reserve`` is the part
+    of the capital kept, ``growth`` the expected log growth of the race. Rows without a positive
+    probability and odds get share 0. Both sums run over the sorted race, hot races in range chunks.
+    """
+    p, odds = F.col("probability"), F.col("odds")
+    usable = F.coalesce((p > 0) & (odds > 0), F.lit(False))
+    rows = bets.withColumns({"_edge": F.when(usable, p * odds), "_p": F.when(usable, p).otherwise(0.0),
+                             "_q": F.when(usable, 1 / odds).otherwise(0.0)})
+
+    def rate(taken: Column, covered: Column) -> Column:
+        """Reserve rate once these are taken; no more outcomes are worth a stake when the odds cover the race."""
+        return F.when(covered < 1, F.greatest(F.lit(0.0), 1 - taken) / (1 - covered)).otherwise(float("inf"))
+
+    def work(part: DataFrame, hot) -> DataFrame:
+        part = skew.history(part, ["race_id"], [("_edge", False), "key"],
+                            totals={"_taken": F.col("_p"), "_covered": F.col("_q")}, hot=hot)
+        part = part.withColumn("_in", F.coalesce(F.col("_edge") > rate(F.col("_taken"), F.col("_covered")), F.lit(False)))
+        after = F.when(F.col("_in"), rate(F.col("_taken") + F.col("_p"), F.col("_covered") + F.col("_q")))
+        won = F.when(F.col("_in"), F.col("_p") * F.ln("_edge"))
+        return skew.over_group(part.withColumns({"_after": after, "_won": won}), ["race_id"], {
+            "_reserve": F.min("_after"), "_growth": F.sum("_won"), "_chance": F.sum(F.when(F.col("_in"), F.col("_p")))}, hot)
+
+    out = skew.by_part(rows, ["race_id"], hot, work)
+    reserve = F.coalesce("_reserve", F.lit(1.0))
+    kept = F.when(F.col("_reserve") > 0, (1 - F.col("_chance")) * F.ln("_reserve")).otherwise(0.0)
+    return out.withColumns({
+        "share": F.when(F.col("_in"), F.col("_p") - reserve * F.col("_q")).otherwise(0.0), "reserve": reserve,
+        "growth": F.coalesce(F.col("_growth") + kept, F.lit(0.0))}).select(*bets.columns, "share", "reserve", "growth")

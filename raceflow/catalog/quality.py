@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from raceflow.bindings import KEY, LOG_SQL, TIMELINE, entrants, hot_horses, log_lines, table, with_entrants
-from raceflow.operators import logs, metrics, profile, timeline
+from raceflow.operators import logs, metrics, profile, sketches, timeline
 from raceflow.registry import query
 from raceflow.session import scratch_path
 from raceflow.sources import files
@@ -366,3 +366,36 @@ def recommendations(spark, sf):
       CASE status WHEN 'fail' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END FROM ({_RESULTS_SQL}))"""))
 def validation_report(spark, sf):
     return profile.report_lines(_results(spark, sf), "Validation")
+
+
+# ---- profiles from stored sketches ---------------------------------------------
+
+_SKETCHED = {"horse_id": True, "trainer_id": True, "track_surface": False, "finish_time_seconds": True}
+_MIDDLE = "CASE WHEN b = 0 THEN 0 ELSE sign(b) * 2 * pow(1.01 / 0.99, abs(b) - 1048576) / (1.01 / 0.99 + 1) END"
+_AT = ", ".join(f"greatest(low, least(high, max({_MIDDLE}) FILTER (r = ceil({p} * count)))) AS p{100 * p:g}" for p in (0.25, 0.5, 0.75))
+
+
+@query("profile_from_monthly_sketches", "A15 A16 Q7", with_entrants("").rstrip() + ", v AS (" + " UNION ALL ".join(f"""
+    SELECT year(race_date) AS year, '{c}' AS "column", CAST({c} AS VARCHAR) AS value, {f"CAST({c} AS DOUBLE)" if number else "NULL::DOUBLE"} AS x
+    FROM entrants""" for c, number in _SKETCHED.items()) + f"""), registers AS (
+    SELECT year, "column", ('0x' || substr(md5(value), 1, 3))::BIGINT AS slot, min(('0x' || substr(md5(value), 4, 12))::BIGINT) AS least
+    FROM v WHERE value IS NOT NULL GROUP BY ALL), d AS (
+    SELECT year, "column", 4096.0 * count(*) / (sum((least + 1) / 281474976710656.0::DOUBLE) + 4096 - count(*)) AS "distinct"
+    FROM registers GROUP BY ALL), ranked AS (
+    SELECT year, "column", x, row_number() OVER (PARTITION BY year, "column" ORDER BY x) AS r,
+           CASE WHEN x = 0 THEN 0 ELSE sign(x) * (ceil(ln(abs(x)) / ln(1.01 / 0.99)) + 1048576) END AS b,
+           count(*) OVER g AS count, min(x) OVER g AS low, max(x) OVER g AS high
+    FROM v WHERE x IS NOT NULL WINDOW g AS (PARTITION BY year, "column")), q AS (
+    SELECT year, "column", avg(x) AS mean, stddev_samp(x) AS deviation, low, high, {_AT} FROM ranked GROUP BY year, "column", count, low, high)
+  SELECT year, "column", t.rows, t.nulls, round("distinct", 4) AS "distinct", round(mean, 4) AS mean, round(deviation, 4) AS deviation,
+         low, high, round(p25, 4) AS p25, round(p50, 4) AS p50, round(p75, 4) AS p75
+  FROM (SELECT year, "column", count(*) AS rows, count(*) - count(value) AS nulls FROM v GROUP BY ALL) t
+  LEFT JOIN d USING (year, "column") LEFT JOIN q USING (year, "column")""")
+def profile_from_monthly_sketches(spark, sf):
+    """Yearly profiles merged from the sketches of each month, as stored."""
+    rows = entrants(spark, sf, ["race_date", *_SKETCHED]).withColumn("month", F.date_format("race_date", "yyyy-MM"))
+    path = scratch_path(spark, "sketches")
+    sketches.store(sketches.sketch(rows, "month", list(_SKETCHED)), path)
+    kept = sketches.stored(spark, path).withColumn("year", F.substring("period", 1, 4).cast("int"))
+    out = sketches.profile(kept, by=["year"])
+    return out.withColumns({c: F.round(c, 4) for c in ("distinct", "mean", "deviation", "p25", "p50", "p75")})

@@ -11,16 +11,19 @@ Items of fewer than five words are one shingle of their own length, sought among
 documents' sequences of that length. Null and empty items are found nowhere, null and empty documents hold
 nothing. Repeated documents and items give their own rows. Only the columns named are
 read. Items are searched in blocks of at most ``block_shingles`` shingles, so that what
-is broadcast is bounded.
+is broadcast is bounded; results are written between blocks, and driver and workers
+hold one block at a time.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,23 +103,33 @@ class Block:
                     yield int(r), int(i), held
 
 
-def blocks_of(benchmark: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> list[Block]:
-    """The benchmark as blocks; one collect for each block, none larger than the bound allows."""
+def blocks_of(benchmark: DataFrame, block_shingles: int | None = None) -> Iterator[tuple[Broadcast, bool]]:
+    """The benchmark as broadcast blocks, each with whether more follow.
+
+    One collect for each block, none larger than the bound allows; the driver holds one at a time.
+    """
     items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(
         _item_rows, "item_id long, words long, n long, shingles binary").filter("n > 0")
     items = cut_lineage(items.repartition(F.xxhash64("item_id", "shingles")))
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    many = -(-total // block_shingles)
+    many = -(-total // (block_shingles or BLOCK_SHINGLES))
     part = F.pmod(F.xxhash64("shingles", "item_id"), F.lit(max(1, many)))
-    return [Block.of(items.filter(part == k).collect()) for k in range(many)]
+    for k in range(many):
+        yield benchmark.sparkSession.sparkContext.broadcast(Block.of(items.filter(part == k).collect())), k + 1 < many
+
+
+def settled(df: DataFrame, block: Broadcast, more: bool) -> DataFrame:
+    """``df``, written before the next block comes, so that workers hold one block at a time."""
+    if more:
+        df = cut_lineage(df)
+        block.destroy()
+    return df
 
 
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, hits, n_item, containment for every item of which a document holds 80 %."""
     result = None
-    for block in blocks_of(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
+    for shared, more in blocks_of(benchmark):
         def run(batches, shared=shared):
             for batch in batches:
                 block = shared.value
@@ -135,6 +148,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ["doc_id", "item_id", "hits", "n_item", "containment"])
 
         own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {OUT}")
+        own = settled(own, shared, more)
         result = own if result is None else result.unionByName(own)
     return docs.sparkSession.createDataFrame([], f"doc_id long, {OUT}") if result is None else result
 
@@ -142,9 +156,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` (unchanged) that hold no item."""
     at = docs.columns.index("text")
-    for block in blocks_of(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
+    for shared, more in blocks_of(benchmark):
         def run(batches, shared=shared):
             for batch in batches:
                 data, offsets = W.texts_of(batch.column(at))
@@ -155,5 +167,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         fine[a + r] = False
                 yield batch.filter(pa.array(fine))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = settled(docs.mapInArrow(run, docs.schema), shared, more)
     return docs

@@ -34,10 +34,16 @@ def test_pieces_far_apart_and_long_documents(spark, make_docs):
     assert got == [(1, 9, 40, 40), (2, 9, 32, 40)]
 
 
-def test_blocks_do_not_matter(spark, sf):
+def test_blocks_do_not_matter(spark, sf, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    blocks = D.blocks_of(items, block_shingles=200)
-    assert len(blocks) > 3 and sum(len(b.ids) for b in blocks) == items.count()
+    def results():
+        return sorted(D.search(docs, items).collect()), sorted(r["doc_id"] for r in D.clean(docs, items).collect())
+    whole = results()
+    blocks = [(len(b.value.ids), more) for b, more in D.blocks_of(items, block_shingles=200)]
+    assert len(blocks) > 3 and sum(n for n, _ in blocks) == items.count()
+    assert [more for _, more in blocks] == [True] * (len(blocks) - 1) + [False]
+    monkeypatch.setattr(D, "BLOCK_SHINGLES", 200)
+    assert whole[0] and results() == whole
 
 
 def test_awkward(spark, awkward, nothing):

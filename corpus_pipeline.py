@@ -1,4 +1,9 @@
-"""The training-data pipeline: each stage works on all that the one before kept."""
+"""The training-data pipeline: each stage works on all that the one before kept.
+
+Null and empty texts leave with the language stage, repeated rows and near copies with the second,
+where ties go to the smallest doc_id; texts of any length are read whole. Every stage but the last
+returns the columns it was given, further columns included; an empty table passes through.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from raceflow.llm import decontaminate, langid, mixing, neardup, sharding
 from raceflow.llm.rows import table
-from raceflow.session import cut_lineage
+from raceflow.session import cut_lineage, ship_package
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +46,7 @@ ORACLE_SQL = None  # language scores, mixing rates and propagation rounds are no
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))

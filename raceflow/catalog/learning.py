@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from raceflow.bindings import KEY, TIMELINE, entrants, hot_horses, hot_jockeys, hot_races, with_entrants
 from raceflow.operators import ingroup, profile
-from raceflow.plans import features, learning
+from raceflow.plans import features, learning, listwise
 from raceflow.registry import query
 from raceflow.session import cut_lineage
 
@@ -100,6 +100,33 @@ def two_stage_rank_scorer(spark, sf):
     return _held_out(train, learning.two_stage_predict(models, later), "finish_time_seconds", "predicted_time")
 
 
+_SUMS = {"a": "e", "bx": "e * x", "bw": "e * w", "cxx": "e * x * x", "cxw": "e * x * w", "cww": "e * w * w"}
+
+
+@query("listwise_rank_scorer", "M5", with_entrants(f"""
+  , train AS (SELECT race_id, finish_position, win_odds, basis_weight FROM entrants WHERE race_date < DATE '{SPLIT_DAY}'),
+    shape AS (SELECT avg(win_odds) AS mx, stddev_pop(win_odds) AS sx, avg(basis_weight) AS mw, stddev_pop(basis_weight) AS sw FROM train),
+    z AS (SELECT race_id, finish_position, (win_odds - mx) / sx AS x, (basis_weight - mw) / sw AS w FROM train, shape),
+    weights AS (WITH RECURSIVE newton(step, p, q) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+      SELECT step + 1, p + (hww * gx - hxw * gw) / (hxx * hww - hxw * hxw), q + (hxx * gw - hxw * gx) / (hxx * hww - hxw * hxw)
+      FROM (SELECT max(step) AS step, max(p) AS p, max(q) AS q, sum(x - bx / a) AS gx, sum(w - bw / a) AS gw, sum(cxx / a - bx * bx / a / a) AS hxx,
+                   sum(cxw / a - bx * bw / a / a) AS hxw, sum(cww / a - bw * bw / a / a) AS hww
+            FROM (SELECT step, p, q, x, w, {", ".join(f"sum({x}) OVER behind AS {n}" for n, x in _SUMS.items())}
+                  FROM (SELECT *, exp(p * x + q * w) AS e FROM z, newton WHERE step < 9)
+                  WINDOW behind AS (PARTITION BY race_id ORDER BY finish_position DESC))) WHERE step IS NOT NULL)
+      SELECT p, q FROM newton WHERE step = 9),
+    scored AS (SELECT {K}, p * (win_odds - mx) / sx + q * (basis_weight - mw) / sw AS score FROM entrants, shape, weights)
+  SELECT {K}, round(score, 4) AS score, round(exp(score) / sum(exp(score)) OVER (PARTITION BY race_id), 5) AS win_chance FROM scored"""))
+def listwise_rank_scorer(spark, sf):
+    """Fitted to whole finishing orders of the earlier days; score and winning chance of every entrant."""
+    hot = hot_races(spark, sf)
+    df = cut_lineage(entrants(spark, sf, [*KEY, "race_date", "finish_position", "win_odds", "basis_weight"]))
+    train, _ = _split(df)
+    model = listwise.fit(train, "race_id", ["finish_position"], ["win_odds", "basis_weight"], hot=hot)
+    out = listwise.chances(df.withColumn("score", model.score()), "race_id", "score", hot=hot)
+    return out.select(*KEY, F.round("score", 4).alias("score"), F.round("win_chance", 5).alias("win_chance"))
+
+
 @query("ensemble_score", "M6", with_entrants(f"""
   SELECT {K}, round(0.5 * coalesce((avg(predicted_time) OVER r - predicted_time) / (stddev_samp(predicted_time) OVER r + 1e-6), 0)
          + 0.5 * coalesce((predicted_score - avg(predicted_score) OVER r) / (stddev_samp(predicted_score) OVER r + 1e-6), 0), 4) AS mu
@@ -122,6 +149,15 @@ def expanding_date_folds(spark, sf):
     return per_day.groupBy("fold", "role").agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("days"))
 
 
+@query("expanding_row_folds", "M7", with_entrants(f"""
+  SELECT fold, {K}, CASE WHEN i < n - (6 - fold) * (n // 6) THEN 'train' ELSE 'validate' END AS role
+  FROM (SELECT {K}, row_number() OVER (ORDER BY race_date, {K}) - 1 AS i, count(*) OVER () AS n FROM entrants),
+       (SELECT unnest([1, 2, 3, 4, 5]) AS fold) WHERE i < n - (5 - fold) * (n // 6)"""))
+def expanding_row_folds(spark, sf):
+    out = learning.row_folds(entrants(spark, sf, [*KEY, "race_date"]), ["race_date", *KEY], 5)
+    return out.select("fold", *KEY, "role")
+
+
 @query("group_safe_holdout", "M8", with_entrants("""
   SELECT race_id, coalesce(sum(n) OVER (ORDER BY race_date, race_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
          < floor((SELECT count(*) FROM entrants) * 0.8) AS is_train
@@ -297,10 +333,10 @@ _TABLES = [
     (["venue", "band", "track_surface", "bracket_number"], {"bracket_avg_finish": "avg(finish_position)"}, ""),
     (["jockey_id", "trainer_id"], {"combo_avg_finish": "avg(finish_position)", "combo_races": "count(*)",
                                    "combo_avg_popularity": "avg(popularity)",
-                                   "combo_overperform": "avg(popularity) - avg(finish_position)"}, ""),
+                                   "combo_overperform": "avg(popularity) - avg(finish_position)", "combo_avg_odds": "avg(morning_odds)"}, ""),
     (["sire_id", "damsire_id"], {"nicks_avg_finish": "avg(finish_position)", "nicks_count": "count(*)",
-                                 "nicks_std_finish": "stddev_samp(finish_position)"}, "HAVING count(*) >= 5"),
-    (["sire_id", "venue", "band", "track_surface"], {"sire_course_avg_finish": "avg(finish_position)"}, ""),
+                                 "nicks_std_finish": "stddev_samp(finish_position)", "nicks_avg_odds": "avg(morning_odds)"}, "HAVING count(*) >= 5"),
+    (["sire_id", "venue", "band", "track_surface"], {"sire_course_avg_finish": "avg(finish_position)", "sire_course_avg_odds": "avg(morning_odds)"}, ""),
     (["horse_id", "venue"], {"venue_avg_finish": "avg(finish_position)", "venue_races": "count(*)"}, ""),
     (["horse_id", "band"], {"dist_avg_finish": "avg(finish_position)", "dist_races": "count(*)",
                             "dist_avg_time": "avg(finish_time_seconds)"}, ""),

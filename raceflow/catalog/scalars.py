@@ -135,6 +135,16 @@ text_rule("full_width_to_half_width", "F14",
     "'０１２３４５６７８９／－　', '0123456789/- '), ' ', 1) AS DATE) AS STRING) AS day",
     "orders", "o_orderkey")
 
+# months and days as single signs; the oracle spells them out
+_SIGN_MONTHS = "".join(chr(0x32C0 + i) for i in range(12))
+_SIGN_DAYS = "".join(chr(0x33E0 + i) for i in range(31))
+text_rule("compatibility_dates", "F14 F13",
+    f"concat(translate({_Y}, '0123456789', '０１２３４５６７８９'), '年', substring('{_SIGN_MONTHS}', CAST(month(o_orderdate) AS INT), 1), "
+    f"substring('{_SIGN_DAYS}', CAST(day(o_orderdate) AS INT), 1))",
+    lambda t: {"plain": text.compatibility_form(t), "day": text.iso_date(text.compatibility_form(t)).cast("string")},
+    f"concat({_Y}, '年', {_M}, '月', {_D}, '日') AS plain, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day",
+    "orders", "o_orderkey, o_orderdate")
+
 text_rule("distance_surface_condition", "F15",
     "CASE p_partkey % 4 WHEN 0 THEN concat('芝', CAST(1000 + 60 * p_size AS STRING)) "
     "WHEN 1 THEN concat('ダ', CAST(1000 + 60 * p_size AS STRING), '稍重') "

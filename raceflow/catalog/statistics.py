@@ -140,20 +140,22 @@ def sire_statistics(spark, sf):
 
 @query("nicks", "A6", with_entrants("""
   SELECT sire_id, damsire_id, round(avg(finish_position), 6) AS nicks_avg_finish, count(*) AS nicks_count,
-         round(stddev_samp(finish_position), 6) AS nicks_std_finish
+         round(stddev_samp(finish_position), 6) AS nicks_std_finish, round(avg(morning_odds), 6) AS nicks_avg_odds
   FROM entrants GROUP BY ALL HAVING count(*) >= 5"""))
 def nicks(spark, sf):
-    out = stats.nicks(entrants(spark, sf, [*KEY, "sire_id", "damsire_id", "finish_position"]), "sire_id", "damsire_id")
+    df = entrants(spark, sf, [*KEY, "sire_id", "damsire_id", "finish_position", "morning_odds"])
+    out = stats.nicks(df, "sire_id", "damsire_id", odds="morning_odds")
     return _round(out, ["sire_id", "damsire_id", "nicks_count"])
 
 
 @query("sire_course_means", "A7", with_entrants(f"""
   SELECT sire_id, venue, {BAND} AS distance_category, track_surface,
-         round(avg(finish_position), 6) AS sire_course_avg_finish FROM entrants GROUP BY ALL"""))
+         round(avg(finish_position), 6) AS sire_course_avg_finish, round(avg(morning_odds), 6) AS sire_course_avg_odds
+  FROM entrants GROUP BY ALL"""))
 def sire_course_means(spark, sf):
-    df = _banded(entrants(spark, sf, [*KEY, "sire_id", "venue", "distance_m", "track_surface", "finish_position"]))
+    df = _banded(entrants(spark, sf, [*KEY, "sire_id", "venue", "distance_m", "track_surface", "finish_position", "morning_odds"]))
     keys = ["sire_id", "venue", "distance_category", "track_surface"]
-    return _round(stats.mean_by(df, keys, "sire_course_avg_finish"), keys)
+    return _round(stats.sire_course(df, keys, odds="morning_odds"), keys)
 
 
 @query("bracket_bias", "A8", with_entrants(f"""

@@ -6,6 +6,7 @@ mode. ``F.col`` style columns go in, columns come out.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,6 +145,17 @@ def to_half_width(text: Column) -> Column:
     return F.translate(text, FULL_WIDTH, HALF_WIDTH)
 
 
+def compatibility_form(text: Column) -> Column:
+    """Full compatibility normalisation (NFKC): full-width and half-width forms, circled and squared signs,
+    ligatures, letters with separate accents. Arrow batches go to the Unicode tables of the workers' Python,
+    which Spark has no expression for; where the full-width forms are enough, ``to_half_width`` stays in the JVM."""
+    @F.pandas_udf("string")
+    def normalised(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFKC")
+
+    return normalised(text)
+
+
 def distance_surface_condition(text: Column) -> tuple[Column, Column, Column]:
     """``ダ1800良`` → 1800, ダート, 良; digits alone give the distance only."""
     full = "^(芝|ダ)([0-9]+)(良|稍重|重|不良)?"

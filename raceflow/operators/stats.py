@@ -158,15 +158,24 @@ def sire_statistics(perf: DataFrame, sire: str, finish: str = "finish_position",
 
 
 def nicks(perf: DataFrame, sire: str, damsire: str, min_starts: int = 5,
-          finish: str = "finish_position") -> DataFrame:
-    """Sire × dam's sire, kept from ``min_starts`` results on."""
-    return grouped(perf, [sire, damsire], {
-        "nicks_avg_finish": F.avg(finish), "nicks_count": F.count(finish),
-        "nicks_std_finish": F.stddev_samp(finish)}).filter(F.col("nicks_count") >= min_starts)
+          finish: str = "finish_position", odds: str | None = None) -> DataFrame:
+    """Sire × dam's sire, kept from ``min_starts`` results on; with ``odds`` also their mean."""
+    aggs = {"nicks_avg_finish": F.avg(finish), "nicks_count": F.count(finish), "nicks_std_finish": F.stddev_samp(finish)}
+    if odds:
+        aggs["nicks_avg_odds"] = F.avg(odds)
+    return grouped(perf, [sire, damsire], aggs).filter(F.col("nicks_count") >= min_starts)
+
+
+def sire_course(perf: DataFrame, keys: Sequence[str], finish: str = "finish_position", odds: str | None = None) -> DataFrame:
+    """Mean finish of a sire's offspring per course; with ``odds`` also their mean."""
+    aggs = {"sire_course_avg_finish": F.avg(finish)}
+    if odds:
+        aggs["sire_course_avg_odds"] = F.avg(odds)
+    return grouped(perf, keys, aggs)
 
 
 def mean_by(perf: DataFrame, keys: Sequence[str], out: str, target: str = "finish_position") -> DataFrame:
-    """Mean of the target per key combination (sire × course, bracket bias, duplicates)."""
+    """Mean of the target per key combination (bracket bias, duplicates)."""
     return grouped(perf, keys, {out: F.avg(target)})
 
 

@@ -194,11 +194,14 @@ def statistics_specs(past: DataFrame, recipe: Mapping, entity: str) -> list[tupl
         course = ["venue", "distance_category", "track_surface"]
         add([*course, "bracket_number"], "bracket_avg_finish", "mean", "finish_position")
         add(["sire_id", *course], "sire_course_avg_finish", "mean", "finish_position")
+        add(["sire_id", *course], "sire_course_avg_odds", "mean", "morning_odds")
         for name, agg, column in (("combo_avg_finish", "mean", "finish_position"), ("combo_races", "count", "finish_position"),
                                   ("combo_avg_popularity", "mean", "popularity")):
             add(["jockey_id", "trainer_id"], name, agg, column)
+        add(["jockey_id", "trainer_id"], "combo_avg_odds", "mean", "morning_odds")
         for name, agg in (("nicks_avg_finish", "mean"), ("nicks_count", "count"), ("nicks_std_finish", "std")):
             add(["sire_id", "damsire_id"], name, agg, "finish_position", 5)
+        add(["sire_id", "damsire_id"], "nicks_avg_odds", "mean", "morning_odds", 5)
         for context, prefix in (("venue", "venue"), ("distance_category", "dist"), ("track_surface", "surface")):
             add([entity, context], f"{prefix}_avg_finish", "mean", "finish_position")
             add([entity, context], f"{prefix}_races", "count", "finish_position")
@@ -224,15 +227,16 @@ def course_statistics(past: DataFrame, entity: str) -> list[tuple[list[str], Dat
     """(keys, table) for bracket bias, jockey × trainer, sire × dam's sire, sire × course
     and course affinity, as far as the results have the columns."""
     course, have = ["venue", "distance_category", "track_surface"], set(past.columns)
+    odds = "morning_odds" if "morning_odds" in have else None  # the odds at the start would tell the result
     found: list[tuple[list[str], DataFrame]] = []
     if {*course, "bracket_number"} <= have:
         found.append(([*course, "bracket_number"], stats.mean_by(past, [*course, "bracket_number"], "bracket_avg_finish")))
     if {"jockey_id", "trainer_id"} <= have:
-        found.append((["jockey_id", "trainer_id"], stats.pair_synergy(past, "jockey_id", "trainer_id")))
+        found.append((["jockey_id", "trainer_id"], stats.pair_synergy(past, "jockey_id", "trainer_id", odds=odds)))
     if {"sire_id", "damsire_id"} <= have:
-        found.append((["sire_id", "damsire_id"], stats.nicks(past, "sire_id", "damsire_id")))
+        found.append((["sire_id", "damsire_id"], stats.nicks(past, "sire_id", "damsire_id", odds=odds)))
     if {"sire_id", *course} <= have:
-        found.append((["sire_id", *course], stats.mean_by(past, ["sire_id", *course], "sire_course_avg_finish")))
+        found.append((["sire_id", *course], stats.sire_course(past, ["sire_id", *course], odds=odds)))
     for context, prefix, extra in (("venue", "venue", {}), ("distance_category", "dist", {"dist_avg_time": "finish_time_seconds"}),
                                    ("track_surface", "surface", {"surface_avg_last3f": "last_3f_time"})):
         if {context, *extra.values()} <= have:
@@ -241,10 +245,12 @@ def course_statistics(past: DataFrame, entity: str) -> list[tuple[list[str], Dat
 
 
 def race_conditions(df: DataFrame) -> DataFrame:
+    """Field size, month, season and importance by the first prize of the race's prize list, which is known
+    before the race; without such a column every race is medium. The prize won is a result and has no say."""
     month = F.month("race_date")
-    prize = F.col("prize_1st") if "prize_1st" in df.columns else F.lit(None).cast("double")
+    importance = bands.importance(F.col("prize_1st")) if "prize_1st" in df.columns else F.lit("medium")
     return df.withColumns({"field_size_category": bands.field_size(F.col("head_count")), "race_month": month,
-                           "race_season": bands.season(month), "race_importance": bands.importance(prize)})
+                           "race_season": bands.season(month), "race_importance": importance})
 
 
 def relative_measures(df: DataFrame, race: str, hot=None) -> DataFrame:

@@ -126,6 +126,18 @@ def with_folds(df: DataFrame, day: str, splits: int) -> DataFrame:
     return df.join(F.broadcast(date_folds(df, day, splits)), day)
 
 
+def row_folds(df: DataFrame, order: Sequence[str], splits: int) -> DataFrame:
+    """Rows repeated per fold they take part in: ``splits`` consecutive slices of n // (splits + 1) rows at the end
+    of ``order`` (unique) are validated in turn by all rows before them. Positions come from range chunks."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    placed = skew.history(df, [], order, totals={"_i": F.lit(1)}, hot=skew.EVERYTHING).withColumn("_n", total)
+    slice_rows = F.floor(F.col("_n") / (splits + 1))
+    start = F.col("_n") - (splits + 1 - F.col("fold")) * slice_rows
+    role = F.when(F.col("_i") < start, "train").when(F.col("_i") < start + slice_rows, "validate")
+    folds = placed.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(splits)))).withColumn("role", role)
+    return folds.filter(F.col("role").isNotNull()).drop("_i", "_n")
+
+
 def group_holdout(df: DataFrame, group: str, order: Sequence[str], share: float = 0.8) -> DataFrame:
     """(group, is_train): the earliest groups up to the first boundary at or beyond
     ``share`` of the rows. Running sizes over all groups are computed in chunks."""

@@ -16,7 +16,8 @@ QUICK = ["race_feature_flagship", "prior_cumulative_sums", "recent_form_summary"
          "spearman_per_race", "threshold_sweep", "equity_curve", "duplicate_profile", "log_outcomes",
          "probability_audit", "stake_allocation", "pedigree_wide_form", "write_partitioned", "read_latest_per_partition", "outcome_documents", "latest_odds_snapshot", "incremental_upsert",
          "data_version_record", "file_size_summary", "regional_races", "validation_limits", "recommendations", "page_charset",
-         "expanding_date_folds", "group_safe_holdout", "top_orders_per_race", "exclusive_kelly_stakes", "ancestors_of_any_depth", "profile_from_monthly_sketches", "log_throughput", "as_of_profile", "as_of_latest_price", "one_hot_rows", "changed_data_blocks"]
+         "expanding_date_folds", "group_safe_holdout", "top_orders_per_race", "exclusive_kelly_stakes", "ancestors_of_any_depth", "profile_from_monthly_sketches", "log_throughput", "as_of_profile", "as_of_latest_price", "one_hot_rows", "changed_data_blocks",
+         "listwise_rank_scorer", "expanding_row_folds", "compatibility_dates"]
 NAMES = list(ENTRIES) if os.environ.get("RACEFLOW_ALL") else QUICK
 
 
@@ -32,7 +33,7 @@ def test_matches_oracle(spark, duck, sf, name):
 
 
 HOT = ["race_z_score", "race_deviation_score", "rank_within_race", "gap_and_ratio_to_race_mean", "relevance_label",
-       "spearman_per_race", "fractional_top_roi", "top_k_overlap", "as_of_profile", "as_of_latest_price", "exclusive_kelly_stakes"]
+       "spearman_per_race", "fractional_top_roi", "top_k_overlap", "as_of_profile", "as_of_latest_price", "exclusive_kelly_stakes", "listwise_rank_scorer"]
 
 
 @pytest.mark.parametrize("name", HOT)

@@ -62,3 +62,14 @@ def test_log_line(spark):
     rows = [r[0] for r in df.select(text.log_line(F.col("s"))).collect()]
     assert (rows[0]["module"], rows[0]["level"], rows[0]["message"]) == ("__main__", "INFO", "started - now")
     assert rows[0]["logged_at"].microsecond == 233000 and rows[1] is None
+
+
+def test_compatibility_form(spark):
+    """Every assigned code point, alone and between letters and accents."""
+    import unicodedata
+    points = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    rows = [(i, f"a{c}\u0301e\u0323") for i, c in enumerate(points)] + [(-1, None), (-2, ""), (-3, "ﾊﾟ㋀ﬁ①각")]
+    out = spark.createDataFrame(rows, "i int, s string").repartition(4).select("i", text.compatibility_form(F.col("s")).alias("v"))
+    got = {r["i"]: r["v"] for r in out.collect()}
+    assert got[-1] is None and got[-2] == "" and got[-3] == "パ1月fi1각"
+    assert [i for i, c in enumerate(points) if got[i] != unicodedata.normalize("NFKC", rows[i][1])] == []

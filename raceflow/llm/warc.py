@@ -5,7 +5,8 @@ one with the largest page_id is the response and the others are revisits that re
 it. The captures are sorted by reversed-host URL key (and page_id) and written in
 compressed blocks of ``BLOCK_LINES``; a sparse directory keeps the first key of every
 block. A lookup searches the directory, reads one byte range of the index, then one
-byte range of an archive.
+byte range of an archive. Pages are found by their exact key (``lookup``), by URL or by
+host with its subdomains (``captures_in`` over ``ranges_of``).
 
 Archives, index blocks and directory lie in the shared folder. A file's name holds a
 random part and reaches the capture table only when its task has ended, so a retried
@@ -32,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from raceflow import skew
 from raceflow.session import cut_lineage, scratch_path
 
 BLOCK_LINES = 256
@@ -59,6 +61,18 @@ def sort_key(url: str | None, page_id: int | None) -> str:
     return f"{url_key(url)} {0 if page_id is None else page_id + 2**63 + 1:020d}"
 
 
+def url_range(url: str | None) -> list[tuple[str, str]]:
+    """The key range [low, high) of all captures of a URL; of pages without one for null."""
+    key = url_key(url)
+    return [(f"{key} ", f"{key}!")]
+
+
+def host_ranges(host: str) -> list[tuple[str, str]]:
+    """Key ranges of a host's pages, those on other ports and those of its subdomains."""
+    name = url_key(host)[:-2]
+    return [(name + c, name + chr(ord(c) + 1)) for c in "):,"]
+
+
 def record(page_id, url, payload: bytes, refers_to) -> bytes:
     """One record as a gzip member; a revisit holds no payload."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -189,6 +203,33 @@ def _looked_up(batches, folder: str, directory: str):
             yield _captures(rows)
 
 
+def _touched(batches, directory: str):
+    """Index blocks that reach into ranges, streamed from the directory."""
+    place, path = _store(directory)
+    blocks = ds.dataset(path, filesystem=place, format="parquet")
+    for batch in batches:
+        for low, high in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            near = (ds.field("key") < high) & (ds.field("last") >= low)
+            for found in blocks.to_batches(columns=["archive", "at", "length"], filter=near):
+                if found.num_rows:
+                    ends = [pa.array([x] * found.num_rows, pa.string()) for x in (low, high)]
+                    yield pa.RecordBatch.from_arrays([*found.columns, *ends], ["archive", "at", "length", "low", "high"])
+
+
+def _inside(batches, folder: str):
+    """The captures of blocks that lie in their range; one block is held at a time."""
+    store, root = _store(folder)
+    for batch in batches:
+        for name, at, length, low, high in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            with store.open_input_file(f"{root}/{name}") as f:
+                f.seek(at)
+                lines = zlib.decompress(f.read(length)).decode().split("\n")
+            rows = [line.split("\t") for line in lines]
+            rows = [(key, archive, int(a), int(n)) for key, archive, a, n in rows if low <= key < high]
+            if rows:
+                yield _captures(rows)
+
+
 def _records(batches, folder: str):
     """Records of captures sorted by archive and place; near ranges are read together."""
     store, root = _store(folder)
@@ -223,8 +264,9 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: in
     body = F.coalesce(F.col("html"), F.lit(""))
     seen = pages.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
     seen = seen.filter((F.col("size") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest").distinct()
-    largest = seen.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    revisits = seen.join(largest, "digest").filter("page_id < refers_to").select("page_id", "digest", "refers_to")
+    largest = seen.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # the commonest payloads are split off if the table of repeated ones is too large to be broadcast
+    revisits = skew.lookup(seen, largest, ["digest"]).filter("page_id < refers_to").select("page_id", "digest", "refers_to")
     rows = pages.withColumn("digest", F.sha1(body)).join(revisits, ["page_id", "digest"], "left")
     rows = rows.select("page_id", "url", "html", "refers_to")
     return cut_lineage(rows.mapInArrow(lambda b: _archive(b, folder, archive_bytes), CAPTURE))
@@ -247,6 +289,35 @@ def lookup(keys: DataFrame, folder: str, directory: DataFrame, parts: int) -> Da
     return ordered.mapInArrow(lambda b: _looked_up(b, folder, place), CAPTURE)
 
 
+def ranges_of(asked: DataFrame, column: str, hosts: bool = False) -> DataFrame:
+    """Key ranges (low, high) of the URLs of a column, or of its hosts; a null host has none."""
+    def ranges(batches):
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            if hosts:
+                found = [r for v in values if v is not None for r in host_ranges(v)]
+            else:
+                found = [r for v in values for r in url_range(v)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.string()) for i in (0, 1)], ["low", "high"])
+
+    return asked.select(F.col(column).cast("string")).distinct().mapInArrow(ranges, "low string, high string")
+
+
+def captures_in(ranges: DataFrame, folder: str, directory: DataFrame) -> DataFrame:
+    """Captures whose key lies in one of the ranges (low, high), each once however many hold it.
+
+    A range's directory rows (one for every block) are streamed by one task; the blocks they name
+    are then dealt to all tasks, so a host that has a third of all pages is read by many.
+    """
+    place = directory.inputFiles()
+    if not place:
+        return ranges.sparkSession.createDataFrame([], CAPTURE)
+    place = place[0].rsplit("/", 1)[0]
+    spread = ranges.distinct().repartition("low")
+    blocks = spread.mapInArrow(lambda b: _touched(b, place), "archive string, at long, length long, low string, high string")
+    return blocks.repartition("archive", "at").mapInArrow(lambda b: _inside(b, folder), CAPTURE).distinct()
+
+
 def read(captures: DataFrame, folder: str) -> DataFrame:
     """The records of ``captures`` by range reads, near ones together."""
     spread = captures.select("archive", "at", "length").withColumn("_part", F.expr(f"at DIV {READ_BYTES}L"))

@@ -45,6 +45,49 @@ def test_records_and_lookup(spark):
     assert "<p>39 ü</p>".encode() in zlib.decompress(raw, 31)
 
 
+def test_lookup_by_url_and_host(spark):
+    """One host has most of the pages; every URL and host against a scan of all captures."""
+    urls = ["http://a.example.org/x", "https://www.a.example.org/x#y", "http://a.example.org:8080/x", "http://b.a.example.org/", "http://aa.example.org/x",
+            "http://a.example.organic/x", "http://example.org/a", None, "http://a.example.org/x/y"]
+    rows = [(i, urls[i % len(urls)] if i % 3 else "http://hot.example.org/p%d" % (i % 40), f"<p>{i}</p>") for i in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = scratch_path(spark, "warc")
+    directory = warc.index(warc.write(pages, folder), folder, block_lines=7)
+
+    def found(values, hosts):
+        asked = spark.createDataFrame([(v, 1) for v in values], "url string, low int")
+        captures = warc.captures_in(warc.ranges_of(asked, "url", hosts), folder, directory)
+        return sorted(r["page_id"] for r in warc.read(captures, folder).collect())
+
+    for url in [*urls, "http://hot.example.org/p3", "http://none.org/"]:
+        key = warc.url_key(url)
+        assert found([url, url], False) == [i for i, u, _ in rows if warc.url_key(u) == key], url
+    assert found(urls, False) == [i for i, u, _ in rows if u in urls]
+
+    def under(host):
+        names = [(i, (u or "").split("://")[-1].split("/")[0].removeprefix("www.").split(":")[0]) for i, u, _ in rows]
+        return [i for i, n in names if n == host or n.endswith("." + host)]
+
+    for host in ("a.example.org", "hot.example.org", "example.org", "b.a.example.org", "org", "le.org"):
+        assert found([host, None], True) == under(host), host
+    assert found(["a.example.org", "example.org"], True) == under("example.org")
+    assert found([], True) == [] and under("org")
+
+
+def test_common_payload_is_split(spark, monkeypatch):
+    from raceflow import skew
+    rows = [(i, f"http://h/{i}", "common" if i % 3 == 0 else f"own {i // 4}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = sorted(map(tuple, warc.round_trip(pages).collect()))
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 64)
+    spark.conf.set("spark.raceflow.hotRows", "50")
+    try:
+        assert sorted(map(tuple, warc.round_trip(pages).collect())) == plain
+    finally:
+        spark.conf.unset("spark.raceflow.hotRows")
+    assert {r[4] for r in plain if r[0] % 3 == 0} == {297, None}
+
+
 def test_awkward(spark):
     rows = [(1, None, None, 5), (2, "", "", 5), (3, "http://a b/\n", "x" * 300_000, 5), (4, "http://a/", "same", 5),
             (4, "http://a/", "same", 5), (9, "http://a/", "same", 5), (None, "http://n/", "same", 5), (7, "http://7/", "other", 5)]

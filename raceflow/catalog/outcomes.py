@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from raceflow import skew
 from raceflow.bindings import entrants, hot_races, table, with_entrants
 from raceflow.operators import outcomes, pedigree, staking
 from raceflow.registry import query
@@ -115,7 +116,10 @@ _EDGES = """edges AS (
 
 def _edges(spark, sf):
     g = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("generation")
-    df = table(spark, sf, "part").select(F.col("p_partkey").alias("horse_id"), g)
+    # 62 edges a horse at most: dealt before they are made, so that a task makes and sorts some 500,000 whatever the files
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("horse_id"))
+    parts = skew.dealt(parts, ["horse_id"], parts.count(), skew.TASK_ROWS // 62)
+    df = parts.select("horse_id", g)
     df = df.withColumn("seq", F.explode(F.expr("sequence(1, shiftleft(1, generation))")))
     df = df.filter("(horse_id + generation + seq) % 13 <> 0")
     return df.withColumns({

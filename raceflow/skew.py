@@ -32,6 +32,8 @@ HOT_LIMIT = 10_000
 # Statistics tables up to this many bytes (rows times width) are broadcast.
 BROADCAST_BYTES = 64 << 20
 EVERYTHING = "everything"
+# Rows that one task of a wide sort should get.
+TASK_ROWS = 500_000
 
 Order = Sequence["str | tuple[str, bool]"]
 
@@ -70,6 +72,16 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot) -> tuple[DataFrame | None
     return df.join(listed, cond, "left_anti"), df.join(listed, cond, "left_semi")
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int, task_rows: int | None = None) -> DataFrame:
+    """``df`` of about ``rows`` rows hashed by ``keys`` into as many tasks as keep each near ``task_rows`` (TASK_ROWS).
+
+    Windows and aggregates on these keys (or more) follow without a further shuffle. The number is
+    explicit, as adaptive execution goes by compressed bytes, of which a sort needs many times over.
+    """
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(max(-(-rows // (task_rows or TASK_ROWS)), least), 1 << 15), *keys)
+
+
 def by_part(df: DataFrame, keys: Sequence[str], hot, work: Callable[[DataFrame, object], DataFrame]) -> DataFrame:
     """``work(rows, hot)`` on the cold rows and on the hot ones, and their union.
 

@@ -146,11 +146,18 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 def segment_report(df: DataFrame, group: str, segments: Mapping[str, Column], score: str, finish: str,
                    min_rows: int = 10) -> DataFrame:
-    """Rank correlation per value of each segmenting column, values with enough rows only."""
+    """Rank correlation per value of each segmenting column, values with enough rows only.
+
+    The rows are stored once; they are then dealt by segment, value and group into tasks of bounded size.
+    """
+    labels = {f"_s{i}": c.cast("string") for i, c in enumerate(segments.values())}
+    df = cut_lineage(df.select(group, score, finish, *[c.alias(n) for n, c in labels.items()]))
     labelled = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("segment"), c.cast("string").alias("value")) for n, c in segments.items()])).alias("s")
+        F.struct(F.lit(n).alias("segment"), F.col(c).alias("value")) for n, c in zip(segments, labels)])).alias("s")
     rows = df.select(group, score, finish, labelled).select(group, score, finish, "s.*").filter("value IS NOT NULL")
-    races = spearman(rows, ["segment", "value", group], score, finish)
+    keys = ["segment", "value", group]
+    hot = None if skew.hot_keys(df, [group]) else []  # without a hot group no part of one is hot
+    races = spearman(skew.dealt(rows, keys, df.count() * len(segments)), keys, score, finish, hot=hot)
     return races.groupBy("segment", "value").agg(
         F.sum("n").alias("rows"), F.avg("correlation").alias("spearman_mean"),
         F.stddev_pop("correlation").alias("spearman_std")).filter(

@@ -19,3 +19,35 @@ def test_edges_are_dealt_before_they_are_made(spark, tmp_path, monkeypatch):
     newest = pedigree.newest_per_ancestor(edges, "horse_id", "generation", "ancestor_id", "birth_year", ["seq"])
     plan = newest._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # that of the parts; the edges stay where they are made
+
+
+def _races(spark):
+    return spark.range(1200).select((F.col("id") % 150).alias("race"), (F.col("id") * 7 % 11).alias("score"), (F.col("id") % 8).alias("finish"),
+                                    F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("a"), (F.col("id") % 2).alias("b"))
+
+
+def _alike(got, want):
+    assert [row[:3] for row in got] == [row[:3] for row in want]
+    assert all(math.isclose(g, w, abs_tol=1e-12) for a, b in zip(got, want) for g, w in zip(a[3:], b[3:]))
+
+
+def test_segments_are_dealt_by_their_rows(spark, monkeypatch):
+    def report():
+        return metrics.segment_report(_races(spark), "race", {"a": F.col("a"), "b": F.col("b")}, "score", "finish")
+
+    want = sorted(map(tuple, report().collect()))
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    dealt = report()
+    assert ", 24), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    _alike(sorted(map(tuple, dealt.collect())), want)
+    assert len(want) == 7
+
+
+def test_segments_with_hot_races(spark):
+    want = sorted(map(tuple, metrics.segment_report(_races(spark), "race", {"b": F.col("b")}, "score", "finish").collect()))
+    spark.conf.set("spark.raceflow.hotRows", "4")
+    try:
+        got = sorted(map(tuple, metrics.segment_report(_races(spark), "race", {"b": F.col("b")}, "score", "finish").collect()))
+    finally:
+        spark.conf.unset("spark.raceflow.hotRows")
+    _alike(got, want)

@@ -6,7 +6,7 @@ from raceflow.bindings import KEY, LOG_SQL, entrants, log_lines, table, with_ent
 from raceflow.functions.text import int_or_null
 from raceflow.operators import keys, logs, outcomes
 from raceflow.registry import query
-from raceflow.session import scratch_path
+from raceflow.session import cut_lineage, scratch_path
 from raceflow.sources import files, pages
 from raceflow.streaming import incremental
 
@@ -93,13 +93,14 @@ def csv_round_trip(spark, sf):
   FROM entrants, (SELECT unnest(['win', 'place']) AS market) WHERE CAST(race_id AS STRING) LIKE '1%'"""))
 def outcome_documents(spark, sf):
     """Two versions are stored; the newer one of every race is read and packed into documents."""
-    df = entrants(spark, sf, ["race_id", "horse_number", "win_probability"])
+    df = cut_lineage(entrants(spark, sf, ["race_id", "horse_number", "win_probability"]))  # written twice
     p = F.col("win_probability")
     path = scratch_path(spark, "outcomes")
     for day, scale in (("2024-01-01", 0.5), ("2024-01-02", 1.0)):
         rows = df.select("race_id", F.col("horse_number").alias("runner"), (p * scale).alias("win"), F.least(F.lit(1.0), 3 * p).alias("place"))
-        outcomes.outcome_rows(rows, {"win": "win", "place": "place"}, "v1", F.lit(f"{day}T00:00:00")).write.mode("append").json(path)
+        outcomes.outcome_rows(rows, {"win": "win", "place": "place"}, "v1", F.lit(f"{day}T00:00:00")).write.mode("append").json(path, compression="gzip")
     newest = files.latest_rows(files.read_outcomes(spark, path, prefix="1"), ["race_id", "model_id"], "created_ts")
+    newest = cut_lineage(newest.select("race_id", "market", "key", "probability"))  # the texts are parsed for this alone
     out = None
     for market in ("win", "place"):
         docs = outcomes.pack(newest.filter(F.col("market") == market), "race_id", "key", "probability", "probs", parts=3)

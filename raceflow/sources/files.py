@@ -102,7 +102,7 @@ def write_csv(df: DataFrame, path: str, byte_order_mark: bool = False) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def read_outcomes(spark: SparkSession, path: str, prefix: str = "", glob: str = "*.json") -> DataFrame:
+def read_outcomes(spark: SparkSession, path: str, prefix: str = "", glob: str = "*.{json,json.gz}") -> DataFrame:
     """Stored outcome rows, optionally of races whose id starts with ``prefix``."""
     df = spark.read.option("pathGlobFilter", glob).schema(OUTCOME_SCHEMA).json(path)
     return df.filter(F.col("race_id").startswith(prefix)) if prefix else df

@@ -51,3 +51,11 @@ def test_segments_with_hot_races(spark):
     finally:
         spark.conf.unset("spark.raceflow.hotRows")
     _alike(got, want)
+
+
+def test_outcomes_are_read_packed_and_plain(spark, tmp_path):
+    rows = spark.range(6).select(F.col("id").alias("race_id"), F.lit(1).alias("runner"), F.lit(0.5).alias("win"))
+    stored = outcomes.outcome_rows(rows, {"win": "win"}, "v1", F.lit("2024-01-01"))
+    stored.filter("race_id < '3'").write.mode("append").json(str(tmp_path / "o"), compression="gzip")
+    stored.filter("race_id >= '3'").write.mode("append").json(str(tmp_path / "o"))
+    assert files.read_outcomes(spark, str(tmp_path / "o")).count() == 6

@@ -67,18 +67,18 @@ def ancestors(parentage: DataFrame, entity: str, parent: str, depth: int = 32, h
     """
     one = (parentage.select(F.col(entity).alias("entity"), F.col(parent).alias("ancestor")).dropna()
            .groupBy("entity", "ancestor").agg(F.count(F.lit(1)).cast("double").alias("paths")))
-    known = cut_lineage(one.withColumn("distance", F.lit(1)))
+    stored = [cut_lineage(one.withColumn("distance", F.lit(1)))]  # each round's lines, which are longer than all before
     length = 1
     while True:
-        circle = known.filter("entity = ancestor").select("entity").distinct().limit(5).collect()
+        known = reduce(DataFrame.unionByName, stored)
+        circle = stored[-1].filter("entity = ancestor").select("entity").distinct().limit(5).collect()
         if circle:
             raise ValueError(f"{parent}: own ancestors: {sorted(str(r[0]) for r in circle)}")
-        tips = known.filter(F.col("distance") == length)
+        tips = stored[-1].filter(F.col("distance") == length)
         if length >= depth or tips.isEmpty():
             break
         further = _continued(tips, known.filter(F.col("distance") <= depth - length), hot)
-        known = cut_lineage(known.unionByName(
-            further.groupBy("entity", "ancestor", "distance").agg(F.sum("paths").alias("paths"))))
+        stored.append(cut_lineage(further.groupBy("entity", "ancestor", "distance").agg(F.sum("paths").alias("paths"))))
         length *= 2
     out = known.filter(F.col("distance") <= depth)
     return out.select(F.col("entity").alias(entity), F.col("ancestor"), "distance", "paths",

@@ -59,3 +59,17 @@ def test_outcomes_are_read_packed_and_plain(spark, tmp_path):
     stored.filter("race_id < '3'").write.mode("append").json(str(tmp_path / "o"), compression="gzip")
     stored.filter("race_id >= '3'").write.mode("append").json(str(tmp_path / "o"))
     assert files.read_outcomes(spark, str(tmp_path / "o")).count() == 6
+
+
+def test_lines_of_descent_are_written_once(spark, monkeypatch):
+    written, store = [], pedigree.cut_lineage
+
+    def counted(df):
+        out = store(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(pedigree, "cut_lineage", counted)
+    parentage = spark.range(1, 41).selectExpr("id AS entity", "explode(array(id - 1, id - 2)) AS parent").filter("parent >= 0")
+    found = pedigree.ancestors(parentage, "entity", "parent", depth=16)
+    assert found.count() <= sum(written) <= 1.3 * found.count()  # beyond ``depth`` nothing is made

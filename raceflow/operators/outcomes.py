@@ -72,6 +72,11 @@ def leading_orders(top: int, length: int) -> list[tuple[int, ...]]:
     return sorted(out)
 
 
+def _nested(values) -> str:
+    """Nested numbers as the text of a constant array."""
+    return f"array({', '.join(map(_nested, values))})" if isinstance(values, (list, tuple)) else str(values)
+
+
 def top_orders(probabilities: DataFrame, top: int = 20, length: int = 3, race: str = "race_id", runner: str = "runner",
                win: str = "win", digits: int = 12) -> DataFrame:
     """The ``top`` most probable finishing orders of the first ``length`` places of each race.
@@ -79,7 +84,7 @@ def top_orders(probabilities: DataFrame, top: int = 20, length: int = 3, race: s
     An order's probability is in closed form: each place goes to one of the runners left in
     proportion to their win probability. Only runners that can take part in a leading
     order are kept (``top + length - 1`` a race, limited before the shuffle), and only the orders of
-    ``leading_orders`` are evaluated, as one array expression a race. Orders equal to ``digits``
+    ``leading_orders`` that a field of the race's size can have are evaluated, as one array expression a race. Orders equal to ``digits``
     digits are ranked by their runners' ranks, runners of equal probability by key. Runners without
     a probability above 0 take no part; a race with fewer runners than places has no orders.
     """
@@ -87,7 +92,9 @@ def top_orders(probabilities: DataFrame, top: int = 20, length: int = 3, race: s
     best = Window.partitionBy(race).orderBy(F.desc(win), runner)
     kept = kept.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") < top + length)
     field = kept.groupBy(race).agg(F.sort_array(F.collect_list(F.struct("_rank", F.col(win).alias("p"), F.col(runner).alias("key")))).alias("_field"))
-    shapes = F.array(*[F.array(*[F.lit(r) for r in order]) for order in leading_orders(top, length)])
+    # by field size from ``length`` on: the orders a race of that size can have
+    sizes = [[order for order in leading_orders(top, length) if max(order) <= size] for size in range(length, top + length)]
+    shapes = F.get(F.expr(_nested(sizes)), F.size("_field") - length)
 
     def order(shape: Column) -> Column:
         at = [F.get(F.col("_field"), F.get(shape, i) - 1) for i in range(length)]
@@ -97,7 +104,6 @@ def top_orders(probabilities: DataFrame, top: int = 20, length: int = 3, race: s
             chance = chance * F.when(left > 0, here["p"] / left)
         return F.struct((-F.round(chance, digits)).alias("lost"), shape.alias("shape"), F.array(*[a["key"] for a in at]).alias("runners"))
 
-    possible = F.filter(shapes, lambda s: F.array_max(s) <= F.size("_field"))
-    ranked = F.slice(F.sort_array(F.filter(F.transform(possible, order), lambda o: o["lost"].isNotNull())), 1, top)
+    ranked = F.slice(F.sort_array(F.filter(F.transform(shapes, order), lambda o: o["lost"].isNotNull())), 1, top)
     rows = field.select(race, F.posexplode(ranked).alias("_at", "_o"))
     return rows.select(race, (F.col("_at") + 1).alias("place"), F.col("_o.runners").alias("runners"), (-F.col("_o.lost")).alias("probability"))

@@ -73,3 +73,12 @@ def test_lines_of_descent_are_written_once(spark, monkeypatch):
     parentage = spark.range(1, 41).selectExpr("id AS entity", "explode(array(id - 1, id - 2)) AS parent").filter("parent >= 0")
     found = pedigree.ancestors(parentage, "entity", "parent", depth=16)
     assert found.count() <= sum(written) <= 1.3 * found.count()  # beyond ``depth`` nothing is made
+
+
+def test_orders_come_by_field_size(spark):
+    rows = spark.createDataFrame([(1, r, 0.4 / r) for r in range(1, 6)] + [(2, r, 0.5 / r) for r in (1, 2)], "race_id int, runner int, win double")
+    out = outcomes.top_orders(rows, top=20, length=3)
+    assert "array_max" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.collect()
+    assert {r["race_id"] for r in got} == {1} and len(got) == 20
+    assert [list(r["runners"]) for r in sorted(got, key=lambda r: r["place"])][0] == [1, 2, 3]

@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raceflow import skew
+from raceflow.session import ship_package
 
 @dataclass
 class Spec:
@@ -49,10 +52,10 @@ def prior_rate(name: str, hit: Column) -> Spec:
 
 
 def rolling(columns: Sequence[str], windows: Sequence[int], aggs: Sequence[str]) -> Spec:
-    """``past_{w}_{column}_{agg}`` over the last ``w`` rows before this one, NULLs ignored.
+    """``past_{w}_{column}_{agg}`` over the last ``w`` rows before this one, NULLs and NaNs ignored.
 
-    One frame per column gathers the last max(windows) values; every window and
-    aggregate is then an array expression on that short list. A sliding frame per
+    The last max(windows) values of a column are as many lags on the shared sort; every window and
+    aggregate is then worked out of them for a whole Arrow batch at a time. A sliding frame per
     (window, aggregate) would re-aggregate each row many times over.
     """
     unknown = set(aggs) - set(_OF_VALUES)
@@ -60,31 +63,59 @@ def rolling(columns: Sequence[str], windows: Sequence[int], aggs: Sequence[str])
         raise ValueError(f"unsupported aggregates {sorted(unknown)}")
     depth = max(windows)
     spec = Spec(lookback=depth)
+    made = [(w, a) for w in windows for a in aggs]
+    summary = F.arrow_udf(_summaries(windows, made), ", ".join(
+        f"`{w}_{a}` {'int' if a == 'count' else 'double'}" for w, a in made))
     for c in columns:
-        last = f"_last_{c}"
-        spec.frames[last] = lambda over, c=c: F.collect_list(
-            F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))).over(over.rowsBetween(-depth, -1))
-        for w in windows:
-            held, mean = f"_held_{w}_{c}", f"_mean_{w}_{c}"
-            # present values of the last w rows, smallest first
-            spec.derived[held] = F.expr(
-                f"sort_array(filter(slice({last}, greatest(size({last}) - {w - 1}, 1), {w}), x -> NOT isnan(x)))")
-            spec.refined[mean] = F.expr(f"try_divide({_SUM.format(v=held)}, size({held}))")
-            for a in aggs:
-                spec.final[f"past_{w}_{c}_{a}"] = F.expr(_OF_VALUES[a].format(v=held, m=mean))
+        lags = [f"_lag_{j}_{c}" for j in range(depth, 0, -1)]
+        for j, lag in zip(range(depth, 0, -1), lags):
+            spec.frames[lag] = lambda over, c=c, j=j: F.lag(F.col(c).cast("double"), j).over(over)
+        spec.derived[f"_past_{c}"] = summary(*lags)
+        for w, a in made:
+            spec.final[f"past_{w}_{c}_{a}"] = F.col(f"_past_{c}")[f"{w}_{a}"]
     return spec
 
 
-_SUM = "aggregate({v}, 0.0D, (total, x) -> total + x)"
+def _summaries(windows: Sequence[int], made: Sequence[tuple[int, str]]) -> Callable:
+    """A function of the last values, oldest first, giving a struct of the aggregates ``made``."""
+    def summaries(*lags: pa.Array) -> pa.Array:
+        values = np.column_stack([x.to_numpy(zero_copy_only=False).astype(float, copy=False) for x in lags])
+        found = {}
+        with np.errstate(invalid="ignore", over="ignore"):
+            for w in windows:
+                held = np.sort(values[:, -w:], axis=1)  # NaN, which stands for NULL too, goes last
+                n = np.count_nonzero(~np.isnan(held), axis=1)
+                found.update({(w, a): f(held, n) for a, f in _OF_VALUES.items() if (w, a) in made})
+        return pa.StructArray.from_arrays([found[x] for x in made], names=[f"{w}_{a}" for w, a in made])
+    return summaries
+
+
+def _total(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the first ``n`` of every row, smallest first."""
+    total = np.zeros(len(values))
+    for j in range(values.shape[1]):
+        total = np.where(j < n, total + values[:, j], total)
+    return total
+
+
+def _at(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return values[np.arange(len(values)), np.maximum(place, 0)]
+
+
+def _std(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    gaps = values - (_total(values, n) / np.maximum(n, 1))[:, None]
+    return np.sqrt(_total(gaps * gaps, n) / np.maximum(n - 1, 1))
+
+
+# (sorted values, how many) → an aggregate a row; NULL where there are none
 _OF_VALUES = {
-    "mean": "{m}",
-    "median": "(get({v}, (size({v}) - 1) div 2) + get({v}, size({v}) div 2)) / 2",
-    "std": "CASE WHEN size({v}) > 1 THEN "
-           "sqrt(aggregate({v}, 0.0D, (total, x) -> total + (x - {m}) * (x - {m})) / (size({v}) - 1)) END",
-    "max": "get({v}, size({v}) - 1)",
-    "min": "get({v}, 0)",
-    "sum": f"CASE WHEN size({{v}}) > 0 THEN {_SUM} END",
-    "count": "size({v})",
+    "mean": lambda v, n: pa.array(_total(v, n) / np.maximum(n, 1), mask=n < 1),
+    "median": lambda v, n: pa.array((_at(v, (n - 1) // 2) + _at(v, n // 2)) / 2, mask=n < 1),
+    "std": lambda v, n: pa.array(_std(v, n), mask=n < 2),
+    "max": lambda v, n: pa.array(_at(v, n - 1), mask=n < 1),
+    "min": lambda v, n: pa.array(_at(v, n * 0), mask=n < 1),
+    "sum": lambda v, n: pa.array(_total(v, n), mask=n < 1),
+    "count": lambda v, n: pa.array(n, pa.int32()),
 }
 
 
@@ -106,7 +137,9 @@ def days_since_previous(day: str, name: str = "days_since_last_race") -> Spec:
 
 
 def with_history(df: DataFrame, entity: Sequence[str], order, *specs: Spec, hot=None) -> DataFrame:
-    """Evaluate all ``specs`` over each entity's rows in ``order``."""
+    """Evaluate all ``specs`` over each entity's rows in ``order``. Rolling aggregates run in Python workers, which
+    are handed the package."""
+    ship_package(df.sparkSession)
     spec = sum(specs, Spec())
     out = skew.history(df, entity, order, spec.totals, spec.frames, spec.lookback, hot)
     for stage in (spec.derived, spec.refined, spec.final):

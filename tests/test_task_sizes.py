@@ -2,12 +2,14 @@
 
 import math
 import random
+import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from raceflow import skew
 from raceflow.catalog import outcomes as outcomes_catalog
-from raceflow.operators import metrics, outcomes, pedigree
+from raceflow.operators import metrics, outcomes, pedigree, timeline
 from raceflow.sources import files
 
 
@@ -82,3 +84,18 @@ def test_orders_come_by_field_size(spark):
     got = out.collect()
     assert {r["race_id"] for r in got} == {1} and len(got) == 20
     assert [list(r["runners"]) for r in sorted(got, key=lambda r: r["place"])][0] == [1, 2, 3]
+
+
+def test_rolling_values_are_lags_worked_out_by_the_batch(spark):
+    values = [3.0, None, 1.5, float("nan"), 8.0, 2.0, 2.0, None]
+    rows = spark.createDataFrame([(k, i, v) for k in (1, 2) for i, v in enumerate(values)], "k int, i int, v double")
+    out = timeline.with_history(rows, ["k"], ["i"], timeline.rolling(["v"], [1, 3, 5], list(timeline._OF_VALUES)), hot=[])
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for row in out.collect():
+        for w in (1, 3, 5):
+            seen = [v for v in values[max(row["i"] - w, 0):row["i"]] if v is not None and v == v]
+            want = {"mean": statistics.fmean, "median": statistics.median, "max": max, "min": min, "sum": sum}
+            want = {a: f(seen) if seen else None for a, f in want.items()}
+            want |= {"std": statistics.stdev(seen) if len(seen) > 1 else None, "count": len(seen)}
+            got = {a: row[f"past_{w}_v_{a}"] for a in want}
+            assert got == {a: None if x is None else pytest.approx(x) for a, x in want.items()}

@@ -1,9 +1,10 @@
 """The full feature table, from a recipe.
 
 A recipe is a plain dict naming the feature families to build and their columns,
-windows, aggregates and templates. The result is one lazy plan: the entity windows
-share one shuffle, the per-race measures another; statistics are joined by
-broadcast when small.
+windows, aggregates and templates. The rows are stored once with a number. Every family
+of measures is made on the columns it reads: the entity windows share one shuffle, the
+per-race measures another, statistics are broadcast when small. The families meet by
+the number, so that a wide row is shuffled once, however many families there are.
 """
 
 from __future__ import annotations
@@ -108,13 +109,45 @@ def build(entries: DataFrame | Column, results: DataFrame, key: Sequence[str], o
         results = results.withColumn("distance_category", band)
         if isinstance(entries, DataFrame):
             entries = entries.withColumn("distance_category", band)
-    rows = target_rows(results, entries, key)
+    rows = skew.numbered(target_rows(results, entries, key))
     first_day = rows.filter("is_target_race = 1").agg(F.min("race_date")).scalar()
     past = results if as_of in ("all", "row") else results.filter(F.col("race_date") < first_day)
 
     spec = career(recipe, rows.columns)
-    df = timeline.with_history(rows, [entity], order, spec, hot=hot.get(entity)).filter("is_target_race = 1")
-    df = selection.without_leakage(df, [*RESULT_COLUMNS, "is_target_race"])
+    lived = timeline.with_history(rows, [entity], order, spec, hot=hot.get(entity)).filter("is_target_race = 1")
+    lived = selection.without_leakage(lived, [*RESULT_COLUMNS, "is_target_race"])
+    df = selection.without_leakage(rows.filter("is_target_race = 1"), [*RESULT_COLUMNS, "is_target_race"])
+    pieces, small = [lived.drop(*[c for c in df.columns if c != skew.ROW])], []
+
+    def in_race(part: DataFrame, own) -> DataFrame:
+        part = ingroup.z_score(part, race, z, own) if z else part
+        return relative_measures(part, race, own) if recipe.get("relative") else part
+
+    z = [c for c in recipe.get("z_score", []) if c in lived.columns]
+    if z or recipe.get("relative"):
+        read = [c for c in (*z, "morning_odds", "basis_weight") if c in lived.columns]
+        narrow = lived.select(skew.ROW, race, *dict.fromkeys(read))
+        measured = skew.by_part(narrow, [race], hot.get(race), in_race)
+        pieces.append(measured.drop(*[c for c in narrow.columns if c != skew.ROW]))
+
+    if as_of != "row":
+        wanted = [(keys, t) for keys, t in statistics(past, recipe, entity, order) if set(keys) <= set(df.columns)]
+        for (keys, _), table in zip(wanted, skew.stored_all([t for _, t in wanted])):
+            own = {"nige_ratio": F.avg("nige_rate"), "senko_ratio": F.avg("senko_rate")} if (
+                recipe.get("running_style") and "nige_rate" in table.columns) else {}
+            if own:
+                style = table.select(*keys, "nige_rate", "senko_rate")
+                found = skew.lookup(df.select(skew.ROW, race, *keys), style, keys, _hot_for(keys, hot), stored=True)
+                found = skew.over_group(found, [race], own, hot.get(race))
+                pieces.append(found.select(skew.ROW, *own))
+            if skew.fits_broadcast(table):
+                small.append((keys, table))
+            else:
+                found = skew.lookup(df.select(skew.ROW, *keys), table, keys, _hot_for(keys, hot), stored=True)
+                pieces.append(found.drop(*keys))
+    df = skew.assembled(df, pieces)
+    for keys, table in small:
+        df = skew.lookup(df, table, keys, _hot_for(keys, hot), stored=True)
 
     basic = recipe.get("basic_features", {})
     for r in basic.get("one_hot_encoding", []):
@@ -123,26 +156,12 @@ def build(entries: DataFrame | Column, results: DataFrame, key: Sequence[str], o
     if basic.get("bracket") and "bracket_number" in df.columns:
         df = df.withColumns(bands.membership(F.col("bracket_number"), basic["bracket"]))
 
-    def in_race(part: DataFrame, own) -> DataFrame:
-        part = ingroup.z_score(part, race, z, own) if z else part
-        return relative_measures(part, race, own) if recipe.get("relative") else part
-
-    z = [c for c in recipe.get("z_score", []) if c in df.columns]
-    if z or recipe.get("relative"):
-        df = skew.by_part(df, [race], hot.get(race), in_race)
-
     if as_of == "row":
         specs = [x for x in statistics_specs(past, recipe, entity) if set(x[0]) <= set(df.columns)]
         keys_used = sorted({k for keys, _, _ in specs for k in keys} | {"race_date"})
         asked = cut_lineage(rows.filter("is_target_race = 1").select(*keys_used).distinct())
         for keys, spec_of, least in specs:
             df = stats.strictly_before(df, past, keys, "race_date", spec_of, least, asked)
-    else:
-        wanted = [(keys, t) for keys, t in statistics(past, recipe, entity, order) if set(keys) <= set(df.columns)]
-        for (keys, _), table in zip(wanted, skew.stored_all([t for _, t in wanted])):
-            df = skew.lookup(df, table, keys, _hot_for(keys, hot), stored=True)
-        if recipe.get("running_style") and "nige_rate" in df.columns:
-            df = skew.over_group(df, [race], {"nige_ratio": F.avg("nige_rate"), "senko_ratio": F.avg("senko_rate")}, hot.get(race))
     if recipe.get("conditions"):
         df = race_conditions(df)
 

@@ -34,6 +34,8 @@ BROADCAST_BYTES = 64 << 20
 EVERYTHING = "everything"
 # Rows that one task of a wide sort should get.
 TASK_ROWS = 500_000
+# The number of a row in a stored table.
+ROW = "row_id"
 
 Order = Sequence["str | tuple[str, bool]"]
 
@@ -116,6 +118,11 @@ def stored_all(tables: Sequence[DataFrame], at_once: int = 4) -> list[DataFrame]
         return pool.map(cut_lineage, tables)
 
 
+def fits_broadcast(stats: DataFrame) -> bool:
+    """Whether a stored table is small enough to be broadcast."""
+    return stats.count() <= BROADCAST_BYTES // row_bytes(stats)
+
+
 def lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str], hot=None,
            null_matches: bool = False, stored: bool = False) -> DataFrame:
     """Left join per-key ``stats`` (one row per key) onto ``df``.
@@ -129,9 +136,9 @@ def lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str], hot=None,
 
     columns = [*df.columns, *[c for c in stats.columns if c not in keys]]
     stats = stats if stored else cut_lineage(stats)
-    most = BROADCAST_BYTES // row_bytes(stats)
-    if stats.count() <= most:
+    if fits_broadcast(stats):
         return join(df, F.broadcast(stats)).select(columns)
+    most = BROADCAST_BYTES // row_bytes(stats)
     if hot is None:
         hot = hot_keys(df, keys)
     if hot != EVERYTHING and len(hot) > most:
@@ -144,6 +151,23 @@ def lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str], hot=None,
     return reduce(DataFrame.unionByName, [p.select(columns) for p in parts])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` stored once with a number ROW that tells its rows apart, for ``assembled``."""
+    return cut_lineage(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def assembled(rows: DataFrame, pieces: Sequence[DataFrame]) -> DataFrame:
+    """``numbered`` rows with the further columns of each piece (one row per number), without the number.
+
+    Measures that need other partitionings are made on the few columns they read and meet here: a wide row
+    moves once, by its number, however many pieces there are.
+    """
+    parts = [p for p in (rows, *pieces) if len(p.columns) > 1]
+    packed = [p.select(ROW, F.struct(*[c for c in p.columns if c != ROW]).alias(f"_{i}")) for i, p in enumerate(parts)]
+    together = reduce(lambda a, b: a.join(b, ROW, "left"), packed)
+    return together.select(*[f"_{i}.*" for i in range(len(parts))])
+
+
 def over_group(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], hot=None) -> DataFrame:
     """Add per-group aggregates to every row of the group."""
     cold, warm = split_hot(df, keys, hot)

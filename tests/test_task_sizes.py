@@ -8,8 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from raceflow import skew
+from raceflow.bindings import KEY, TIMELINE, entrants
+from raceflow.catalog import learning as learning_catalog
 from raceflow.catalog import outcomes as outcomes_catalog
 from raceflow.operators import metrics, outcomes, pedigree, timeline
+from raceflow.plans import features
 from raceflow.sources import files
 
 
@@ -99,3 +102,20 @@ def test_rolling_values_are_lags_worked_out_by_the_batch(spark):
             want |= {"std": statistics.stdev(seen) if len(seen) > 1 else None, "count": len(seen)}
             got = {a: row[f"past_{w}_v_{a}"] for a in want}
             assert got == {a: None if x is None else pytest.approx(x) for a, x in want.items()}
+
+
+def test_statistics_are_looked_up_by_narrow_rows(spark, sf, monkeypatch):
+    """Without broadcasts no lookup moves the wide rows, which are joined by their number alone."""
+    widths, look = [], skew.lookup
+
+    def seen(df, *args, **kw):
+        widths.append(len(df.columns))
+        return look(df, *args, **kw)
+
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(skew, "lookup", seen)
+    df = entrants(spark, sf, learning_catalog._RAW).filter("race_id % 40 = 0")
+    hot = {k: [] for k in ("horse_id", "race_id", "jockey_id")}
+    out = features.build(F.col("race_date") >= "1998-01-01", df.unionByName(df), KEY, TIMELINE, hot=hot)
+    assert len(out.columns) > 150 and len(widths) >= 12 and max(widths) <= 6
+    assert out.count() == 2 * df.filter("race_date >= '1998-01-01'").count()  # rows that come twice stay twice

@@ -29,7 +29,7 @@ from raceflow.llm import words as W
 from raceflow.llm.rows import remainder
 
 ORDERS = (5, 4, 3, 2, 1)
-COUNT_BYTES = 1 << 20  # bytes of text whose n-grams are counted at a time
+PART_BYTES = 1 << 18  # bytes of text whose n-grams are held at a time; some 100 bytes of memory for each
 WORD = 0
 SMOOTH = 0.5
 UNKNOWN = "und"
@@ -48,7 +48,7 @@ def _counted(batches, languages: list[str]):
     for batch in batches:
         data, offsets = W.texts_of(batch.column(1))
         lang = np.array([index[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
-        for a, b in W.parts(offsets, COUNT_BYTES):
+        for a, b in W.parts(offsets, PART_BYTES):
             o = offsets[a:b + 1]
             part = W.Letters(data[o[0]:o[-1]], o - o[0])
             of = lang[a:b][part.rows]
@@ -127,7 +127,7 @@ def guess(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     ascii_letter = np.zeros(256, bool)
     ascii_letter[65:91] = ascii_letter[97:123] = True
     names, scores = [], []
-    for a, b in W.parts(offsets):
+    for a, b in W.parts(offsets, PART_BYTES):
         o = offsets[a:b + 1]
         own, local = data[o[0]:o[-1]], o - o[0]
         if model.languages:

@@ -1,7 +1,11 @@
 import math
+import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from raceflow.llm import langid as L
@@ -83,3 +87,16 @@ def test_awkward(awkward, nothing):
     assert {r["lang_pred"] for r in L.predict(awkward, L.learn(nothing)).collect()} == {"und"}
     kept = L.accepted(awkward)
     assert kept.columns == awkward.columns and not {1, 2, 3, 7} & {r["doc_id"] for r in kept.collect()}
+
+
+def test_memory_does_not_follow_the_batch():
+    draw = random.Random(1)
+    texts = pa.array([" ".join("".join(draw.choices("abcdefgh", k=6)) for _ in range(300)) for _ in range(2000)])  # 4 MB, unknown words
+    model = L.Model(["en"], {k: np.zeros(1, np.uint64) for k in (L.WORD, *L.ORDERS)}, {k: np.zeros((1, 1), np.float32) for k in (L.WORD, *L.ORDERS)})
+    labelled = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), texts], ["lang", "text"])
+    for work in (lambda: L.guess(texts, model), lambda: sum(b.num_rows for b in L._counted([labelled], ["en"]))):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60 << 20, peak

@@ -1,7 +1,7 @@
 """Model inputs, models and the full feature table."""
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -180,7 +180,7 @@ def out_of_fold_stacking(spark, sf):
     df = _train(spark, sf, "finish_time_seconds", "race_date")
     df = learning.contiguous_folds(df, ["race_date", *KEY], 5)
     learners = {"linear": LinearRegression(labelCol="finish_time_seconds", regParam=0.1),
-                "trees": GBTRegressor(labelCol="finish_time_seconds", maxIter=10, maxDepth=4, seed=1)}
+                "trees": learning.BoostedTrees(labelCol="finish_time_seconds", maxIter=10, maxDepth=4, seed=1)}
     stacked, _, _ = learning.stacked(df, "finish_time_seconds", learners)
     return _held_out(df, stacked, "finish_time_seconds", "stacked")
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from raceflow.operators import ingroup
 from raceflow.operators.stats import context_values
 from raceflow.session import cut_lineage
 
+BINS = 32  # as MLlib's maxBins
+BITS = 5
+CODES = 12  # bins in a long
+
 
 def one_hot(df: DataFrame, column: str, prefix: str, values: Sequence | None = None,
             null_dummy: bool = False) -> DataFrame:
@@ -74,10 +79,94 @@ def feature_vector(df: DataFrame, columns: Sequence[str], out: str = "features",
     return VectorAssembler(inputCols=inputs, outputCol=out).transform(df)
 
 
+def bin_edges(df: DataFrame, features: str) -> list[list[float]]:
+    """For every entry of the vector the lower ends of its bins but the first: each value found among a thousand
+    quantiles of all rows if these are few, else the quantiles that part the rows evenly."""
+    width = df.select(F.size(vector_to_array(features))).first()[0]
+    wide = df.select(vector_to_array(features).alias("x")).select(*[F.col("x")[i].alias(f"x{i}") for i in range(width)])
+    steps = [i / 1000 for i in range(1001)]
+    found = wide.agg(*[F.percentile_approx(c, steps, 10_000) for c in wide.columns]).first()
+    edges = []
+    for values in found:
+        few = sorted(set(values))
+        edges.append(few[1:] if len(few) <= BINS else sorted({values[1000 * j // BINS] for j in range(1, BINS)} - {few[0]}))
+    return edges
+
+
+def with_bins(df: DataFrame, features: str, edges: Sequence[Sequence[float]]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with columns for the bins of the vector, and a bin for every entry (0 where there is one only)."""
+    split = [i for i, e in enumerate(edges) if e]
+    df = df.withColumn("_entries", vector_to_array(features)).withColumns({f"_entry{i}": F.col("_entries")[i] for i in split})
+    if split:
+        ends = [[-math.inf, *edges[i], math.inf] for i in split]
+        df = Bucketizer(splitsArray=ends, inputCols=[f"_entry{i}" for i in split], outputCols=[f"_bin{i}" for i in split]).transform(df)
+    bins = [F.col(f"_bin{i}") if i in split else F.lit(0.0) for i in range(len(edges))]
+    return df.drop("_entries", *[f"_entry{i}" for i in split]), bins
+
+
+class BoostedTrees(GBTRegressor):
+    """MLlib's boosted trees, fitted on the combinations of bins that occur instead of on every row.
+
+    MLlib's trees see an entry by its bin only, so rows in the same bins share every prediction: their number and
+    mean label give the same splits, leaves and gains as the rows do. The rows are read once to find the bins and
+    once to sum them up; the passes of the trees then grow with the combinations, which are never more than the rows.
+    """
+
+    def summed(self, df: DataFrame, edges: Sequence[Sequence[float]], by: Sequence[str] = ()) -> DataFrame:
+        """Stored: ``by``, the bins (``_code0``, …), ``_rows`` (or their weight) and the mean label of every combination."""
+        y = F.col(self.getLabelCol()).cast("double")
+        y = F.when(y.isNull() | F.isnan(y), F.raise_error(F.lit("Labels MUST NOT be Null or NaN")).cast("double")).otherwise(y)
+        w = F.col(self.getWeightCol()).cast("double") if self.isSet(self.weightCol) else F.lit(1.0)
+        rows, bins = with_bins(df, self.getFeaturesCol(), edges)
+        codes = [sum((F.shiftleft(b.cast("long"), BITS * i) for i, b in enumerate(bins[at:at + CODES])), F.lit(0).cast("long"))
+                 for at in range(0, len(bins), CODES)]
+        rows = rows.select(*by, *[c.alias(f"_code{i}") for i, c in enumerate(codes)], y.alias("_y"), w.alias("_w"))
+        sums = rows.groupBy(*by, *[f"_code{i}" for i in range(len(codes))]).agg(
+            F.sum("_w").alias("_rows"), F.sum(F.col("_w") * F.col("_y")).alias("_sum")).filter("_rows > 0")
+        return cut_lineage(sums.withColumn("_label", F.col("_sum") / F.col("_rows")).drop("_sum"))
+
+    def fit_sums(self, sums: DataFrame, edges: Sequence[Sequence[float]]) -> BinnedModel:
+        bins = [F.shiftright(f"_code{i // CODES}", BITS * (i % CODES)).bitwiseAND(F.lit(BINS - 1)).cast("double") for i in range(len(edges))]
+        rows = sums.select(array_to_vector(F.array(*bins)).alias("_bins"), "_rows", "_label")
+        own = self.copy({self.featuresCol: "_bins", self.labelCol: "_label", self.weightCol: "_rows"})
+        return BinnedModel(GBTRegressor._fit(own, rows), self.getFeaturesCol(), edges)
+
+    def fitter(self, df: DataFrame, by: Sequence[str]) -> Callable[[Column], BinnedModel]:
+        """fit(condition on ``by``): the rows are summed up once for all conditions."""
+        edges = bin_edges(df, self.getFeaturesCol())
+        sums = self.summed(df, edges, by)
+        return lambda condition: self.fit_sums(sums.filter(condition), edges)
+
+    def _fit(self, dataset: DataFrame) -> BinnedModel:
+        if dataset.isEmpty():
+            return super()._fit(dataset)  # MLlib's own error
+        return self.fitter(dataset, [])(F.lit(True))
+
+
+class BinnedModel:
+    """Boosted trees that bin the rows they are given as those they were fitted on."""
+
+    def __init__(self, model, features: str, edges: Sequence[Sequence[float]]):
+        self.model, self.features, self.edges = model, features, edges
+
+    @property
+    def trees(self):
+        return self.model.trees
+
+    @property
+    def featureImportances(self):
+        return self.model.featureImportances
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows, bins = with_bins(df, self.features, self.edges)
+        rows = self.model.transform(rows.withColumn("_bins", array_to_vector(F.array(*bins))))
+        return rows.select(*df.columns, self.model.getPredictionCol())
+
+
 def time_regressor(train: DataFrame, target: str, features: str = "features", prediction: str = "predicted_time",
                    trees: int = 1000, depth: int = 4):
     """Boosted trees on the finish time; the default number of trees is that of a full training run."""
-    return GBTRegressor(featuresCol=features, labelCol=target, predictionCol=prediction, maxIter=trees,
+    return BoostedTrees(featuresCol=features, labelCol=target, predictionCol=prediction, maxIter=trees,
                         maxDepth=depth, seed=42).fit(train)
 
 
@@ -163,11 +252,16 @@ def stacked(df: DataFrame, target: str, learners: Mapping[str, object], folds: i
     refitted on all rows. ``df`` needs ``fold`` and ``features``; returns
     (out-of-fold frame, meta model, refitted learners)."""
     df = cut_lineage(df)
+
+    def fitter(learner):
+        return learner.fitter(df, ["fold"]) if isinstance(learner, BoostedTrees) else lambda rows: learner.fit(df.filter(rows))
+
+    fits = {n: fitter(m.copy({m.predictionCol: n})) for n, m in learners.items()}
     parts = []
     for k in range(folds):
-        train, valid = df.filter(F.col("fold") != k), df.filter(F.col("fold") == k)
-        for name, learner in learners.items():
-            valid = learner.copy({learner.predictionCol: name}).fit(train).transform(valid)
+        valid = df.filter(F.col("fold") == k)
+        for fit in fits.values():
+            valid = fit(F.col("fold") != k).transform(valid)
         parts.append(valid)
     oof = parts[0]
     for p in parts[1:]:
@@ -175,7 +269,7 @@ def stacked(df: DataFrame, target: str, learners: Mapping[str, object], folds: i
     oof = VectorAssembler(inputCols=list(learners), outputCol="_meta").transform(oof)
     meta = LinearRegression(featuresCol="_meta", labelCol=target, predictionCol="stacked", regParam=1.0,
                             elasticNetParam=0.0).fit(oof)
-    refitted = {n: m.copy({m.predictionCol: n}).fit(df) for n, m in learners.items()}
+    refitted = {n: fit(F.lit(True)) for n, fit in fits.items()}
     return meta.transform(oof), meta, refitted
 
 

@@ -5,6 +5,8 @@ import random
 import statistics
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from raceflow import skew
@@ -12,7 +14,7 @@ from raceflow.bindings import KEY, TIMELINE, entrants
 from raceflow.catalog import learning as learning_catalog
 from raceflow.catalog import outcomes as outcomes_catalog
 from raceflow.operators import metrics, outcomes, pedigree, timeline
-from raceflow.plans import features
+from raceflow.plans import features, learning
 from raceflow.sources import files
 
 
@@ -119,3 +121,48 @@ def test_statistics_are_looked_up_by_narrow_rows(spark, sf, monkeypatch):
     out = features.build(F.col("race_date") >= "1998-01-01", df.unionByName(df), KEY, TIMELINE, hot=hot)
     assert len(out.columns) > 150 and len(widths) >= 12 and max(widths) <= 6
     assert out.count() == 2 * df.filter("race_date >= '1998-01-01'").count()  # rows that come twice stay twice
+
+
+def _measured(spark):
+    df = spark.range(4000).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id * 31 % 11 AS DOUBLE) / 2 AS b", "0.0D AS c", "CAST(id % 5 AS INT) AS fold")
+    df = df.withColumn("y", F.col("a") * F.col("a") + 3 * F.col("b") + F.pmod(F.hash("id"), F.lit(100)) / 50)
+    return VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df).coalesce(1)
+
+
+def test_trees_are_fitted_on_sums_of_rows(spark):
+    df = _measured(spark)
+    ours = learning.BoostedTrees(labelCol="y", maxIter=5, maxDepth=3, seed=1)
+    edges = learning.bin_edges(df, "features")
+    assert [len(e) for e in edges] == [6, 10, 0]
+    sums = ours.summed(df, edges)
+    assert sums.count() == 77 and sums.agg(F.sum("_rows")).first()[0] == 4000
+    model = ours.fit(df)
+    rows = GBTRegressor(labelCol="y", maxIter=5, maxDepth=3, seed=1, predictionCol="rows").fit(df)  # every value is a bin of its own there too
+    both = rows.transform(model.transform(df))
+    assert all(math.isclose(r["prediction"], r["rows"], rel_tol=1e-9) for r in both.collect())
+    assert model.featureImportances.toArray() == pytest.approx(rows.featureImportances.toArray())
+
+
+def test_rare_and_many_values_have_bins(spark):
+    df = spark.range(9000).selectExpr("CAST(id = 17 AS DOUBLE) AS a", "id * 1.0D AS b")
+    rare, many = learning.bin_edges(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df), "features")
+    assert rare == [1.0] and len(many) == 31
+    assert all(abs(e - 9000 * j / 32) < 30 for j, e in enumerate(many, 1))
+
+
+def test_stacked_trees_sum_up_the_rows_once(spark, monkeypatch):
+    calls, summed = [], learning.BoostedTrees.summed
+
+    def seen(self, *args):
+        calls.append(args)
+        return summed(self, *args)
+
+    monkeypatch.setattr(learning.BoostedTrees, "summed", seen)
+    df = _measured(spark)
+    learners = {"linear": LinearRegression(labelCol="y"), "trees": learning.BoostedTrees(labelCol="y", maxIter=3, maxDepth=3, seed=1)}
+    out, _, refitted = learning.stacked(df, "y", learners)
+    assert len(calls) == 1 and out.count() == 4000 and set(refitted) == {"linear", "trees"}
+    got = {r["id"]: r["trees"] for r in out.select("id", "trees").collect()}
+    for k in (0, 3):  # fitted without the fold's own rows
+        alone = learning.BoostedTrees(labelCol="y", maxIter=3, maxDepth=3, seed=1).fit(df.filter(F.col("fold") != k))
+        assert all(math.isclose(got[r["id"]], r["prediction"], rel_tol=1e-9) for r in alone.transform(df.filter(F.col("fold") == k)).collect())

@@ -7,7 +7,8 @@ can be handed to ``foreachBatch`` of a query that picks up new files.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from raceflow.session import cut_lineage, scratch_path
 
 LOG = "batch_id long, version long, depth int, prefix long, rows long, bytes long, live boolean"
 LEAF_BYTES = 1 << 30
+TASK_BYTES = 16 << 20  # leaves smaller than this share a task
 BROADCAST_CELLS = 1 << 20
 HIDDEN = ["_hash", "_bytes"]
 
@@ -33,6 +35,18 @@ def row_bytes(df: DataFrame) -> Column:
     return sum(sizes, F.lit(0)).cast("long")
 
 
+@contextmanager
+def listed_by_slices(spark: SparkSession) -> Iterator[None]:
+    """Folders named to a reader are listed by a few tasks a core, not by a task each."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def low_bits(value: Column, bits: int | Column) -> Column:
     """The last ``bits`` (at most 62) bits of a long."""
     count = F.lit(bits) if isinstance(bits, int) else bits
@@ -43,8 +57,8 @@ class VersionedTable:
     """A Parquet table in leaves that split as they grow (extendible hashing).
 
     A leaf (depth, prefix) holds the rows whose key hash ends in the ``depth`` bits of ``prefix``. A batch
-    rewrites the leaves that its keys fall into, one task a leaf, as a new version, and then adds one
-    row per leaf to the commit log; the newest rows of the log are the directory. A leaf whose
+    rewrites the leaves that its keys fall into, each in one file, as a new version (a task writes several
+    if they are small), and then adds one row per leaf to the commit log; the newest rows of the log are the directory. A leaf whose
     bytes and the batch's would pass ``limit`` is written as 2, 4, 8 … leaves of about half the
     limit instead, and its own log row ends it: keys are unique, so hashes spread evenly and no
     leaf grows apart. Leaves that a batch does not touch are neither read nor written.
@@ -75,7 +89,8 @@ class VersionedTable:
 
     def _read(self, leaves: dict[tuple[int, int], tuple[int, int, int]]) -> DataFrame | None:
         paths = [f"{self.root}/data/version={v}/leaf={d}_{p}" for (d, p), (v, rows, _) in leaves.items() if rows]
-        return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
+        with listed_by_slices(self.spark):
+            return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
 
     def read(self) -> DataFrame | None:
         """The current rows; None before the first batch."""
@@ -102,6 +117,10 @@ class VersionedTable:
             return depth
         return min(62, depth + math.ceil(math.log2(2 * size / self.limit)))
 
+    def _leaves_a_task(self, leaves: int) -> int:
+        """At most ``TASK_BYTES`` of them, and few enough to keep every core busy."""
+        return max(1, min(TASK_BYTES // self.limit, leaves // (4 * self.spark.sparkContext.defaultParallelism)))
+
     def merge(self, batch: DataFrame, batch_id: int, order: Sequence[str] = ()) -> bool:
         """Upsert ``batch``, last row per key; False if the log has the batch already."""
         if not self.log().filter(F.col("batch_id") == batch_id).isEmpty():
@@ -134,9 +153,12 @@ class VersionedTable:
         leaf = F.concat_ws("_", target.cast("string"), low_bits(F.col("_hash"), target).cast("string"))
         placed = placed.withColumns({"leaf": leaf, "_task": (F.col("_x1") + child).cast("int")}).drop("depth", "prefix", "_x0", "_x1")
         place = f"{self.root}/data/version={version}"
-        placed.repartitionById(len(children), "_task").drop("_task").write.mode("overwrite").partitionBy("leaf").parquet(place)
-        written = self.spark.read.schema("leaf string, _bytes long").parquet(place).groupBy("leaf").agg(
-            F.count(F.lit(1)).alias("rows"), F.sum("_bytes").alias("bytes")).collect()  # a row per leaf
+        share = self._leaves_a_task(len(children))
+        placed = placed.withColumn("_task", F.expr(f"CAST(_task DIV {share} AS INT)"))
+        placed.repartitionById(-(-len(children) // share), "_task").drop("_task").write.mode("overwrite").partitionBy("leaf").parquet(place)
+        with listed_by_slices(self.spark):
+            stored = self.spark.read.schema("leaf string, _bytes long").parquet(place)
+        written = stored.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.sum("_bytes").alias("bytes")).collect()  # a row per leaf
         sizes = {r["leaf"]: (r["rows"], r["bytes"]) for r in written}
         log = [(d, p, *sizes.get(f"{d}_{p}", (0, 0)), True) for d, p in children]
         return log + [(d, p, 0, 0, False) for (d, p), deep in touched.items() if deep > d]

@@ -86,3 +86,31 @@ def test_a_batch_is_written_in_several_tasks(spark):
     table(spark, place).merge(batch(spark, [(f"k{i}", i, "z" * 30) for i in range(600)]), 0)
     files = spark.read.parquet(f"{place}/data/version=1").groupBy(F.col("_metadata.file_path")).agg(F.sum("_bytes").alias("b")).collect()
     assert len(files) >= 8 and all(r["b"] <= LIMIT for r in files)
+
+
+def test_small_leaves_share_tasks_and_listings(spark, monkeypatch):
+    name, dealt, listed = "spark.sql.sources.parallelPartitionDiscovery.parallelism", [], []
+    frame, reader = type(spark.range(1)), type(spark.read)
+    deal, parquet, usual = frame.repartitionById, reader.parquet, spark.conf.get(name)
+
+    def seen(self, parts, *cols):
+        dealt.append(parts)
+        return deal(self, parts, *cols)
+
+    def looked(self, *paths, **kw):
+        listed.append(int(spark.conf.get(name)))
+        return parquet(self, *paths, **kw)
+
+    monkeypatch.setattr(frame, "repartitionById", seen)
+    monkeypatch.setattr(reader, "parquet", looked)
+    place, cores = scratch_path(spark, "small"), spark.sparkContext.defaultParallelism
+    rows = [(f"k{i}", i, "") for i in range(2000)]
+    t = VersionedTable(spark, place, ["k"], 16 * cores, 1 << 18)
+    t.merge(batch(spark, rows), 0)
+    leaves = t.directory()
+    assert dealt == [4 * cores] and len(leaves) == 16 * cores
+    files = t._read(leaves).inputFiles()
+    assert len(files) == sum(n > 0 for _, n, _ in leaves.values())  # a file a leaf, as before
+    assert state(t) == {k: (v, note) for k, v, note in rows}
+    assert min(listed) == 4 * cores and spark.conf.get(name) == usual
+    assert VersionedTable(spark, place, ["k"])._leaves_a_task(1000) == 1  # leaves of 1 GB have a task each

@@ -85,14 +85,15 @@ def learn(labelled: DataFrame, per_lang: int = 3_000, max_words: int = 40_000, m
     best = (each.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= max(max_words, max_grams))
             .filter(F.col("rank") <= limit).drop("rank", "all"))
     sizes = {r["kind"]: r for r in totals.collect()}
-    table = best.toPandas()  # at most max_words + 5 * max_grams rows
+    table = best.toArrow()  # at most max_words + 5 * max_grams rows
+    kinds = table["kind"].to_numpy()
     keys, weights = {}, {}
     for kind, size in sizes.items():
-        own = table[table["kind"] == kind]
+        own = table.filter(pa.array(kinds == kind))
         h = own["h"].to_numpy().view(np.uint64)
         order = np.argsort(h)
         keys[kind] = h[order]
-        counts = own[[f"n{i}" for i in range(len(languages))]].to_numpy(float)[order]
+        counts = np.stack([own[f"n{i}"].to_numpy().astype(float) for i in range(len(languages))], axis=1)[order]
         mass = np.array([size[f"n{i}"] for i in range(len(languages))], float) + SMOOTH * size["kinds"]
         weights[kind] = np.log((counts + SMOOTH) / mass).T.astype(np.float32).copy()
     return Model(languages, keys, weights)

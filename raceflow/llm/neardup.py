@@ -271,7 +271,7 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     more = cut_lineage(across(shared, found, reps, texts, words))
     if not more.isEmpty():
-        found = connected(links.unionByName(more))
+        found = connected(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     named = rows.join(classes, ["n", "d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).alias("rep"))

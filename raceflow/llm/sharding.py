@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raceflow.llm.rows import CHUNK_ROWS, gapless, join_hot
-from raceflow.session import cut_lineage
+from raceflow.session import cut_lineage, release
 
 FEW = 1_000  # groups that one driver step seats
 
@@ -78,6 +78,7 @@ def labels(nodes: DataFrame, links: DataFrame, quota: list[int], rounds: int) ->
     """The shards (node, weight, shard) after ``rounds`` rounds."""
     for number in range(rounds):
         nodes = _round(nodes, links, quota, number)
+        release(nodes.sparkSession)
     return nodes
 
 

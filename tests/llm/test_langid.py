@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from raceflow.llm import langid as L
+from raceflow.llm import words as W
 
 
 def split(text):
@@ -100,3 +101,24 @@ def test_memory_does_not_follow_the_batch():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 60 << 20, peak
+
+
+def test_model_reaches_the_driver_in_columns(make_docs, monkeypatch):
+    """Not as 140,000 rows of Python objects."""
+    docs = make_docs([(i, t, lang) for i, (t, lang) in enumerate([("the cat sat", "en"), ("der Hund lief", "de"), ("the dog", "en")])])
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(type(docs), name, few(getattr(type(docs), name)))
+    model = L.learn(docs)
+    assert model.languages == ["de", "en"]
+    the = W.Letters(*W.texts_of(pa.array(["the"]))).words()
+    at = np.searchsorted(model.keys[L.WORD], the)
+    assert model.keys[L.WORD][at] == the and model.weights[L.WORD][1][at] > model.weights[L.WORD][0][at]
+    assert all((np.diff(k.astype(object)) > 0).all() for k in model.keys.values())
+
+
+def few(method):
+    def run(self):
+        rows = method(self)
+        assert len(rows) <= 6, "more than a row for each language or kind"
+        return rows
+    return run

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from compare import compare, connect
+from raceflow.llm import components
 from raceflow.llm import neardup as N
 from raceflow.llm.catalog import QUERIES, SQL
 from raceflow.llm.components import connected
@@ -86,6 +87,26 @@ def test_components(spark):
     assert connected(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def collections(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_components_spare_the_driver(spark):
+    """A round deals its edges out four times (planned: seven, three of them reused), and its garbage is collected."""
+    edges = spark.createDataFrame([(5, 4), (4, 3), (9, 2)], "u long, v long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = components._small_star(components._large_star(edges))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") <= 7, plan
+    full = collections(spark)
+    connected(edges)
+    assert collections(spark) > full
+
+
 def test_awkward(awkward, nothing):
     rows = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in N.components(awkward).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 5, True), (9, 5, 9, True),

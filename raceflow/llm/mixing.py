@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raceflow import skew
-from raceflow.session import cut_lineage
+from raceflow.session import cut_lineage, release
 
 DOMAINS = ("good", "plain", "toxic")
 TARGETS = (0.85, 0.11, 0.04)
@@ -195,6 +195,7 @@ def chances(members: DataFrame, targets: tuple[float, ...] = TARGETS, budget: fl
         return members.withColumn("rate", F.lit(1.0))
     for _ in range(TRIES):
         taken, left = _fitted(members, targets, STEPS, gap * share / 4, share, min(share, 1.0), 1.0)
+        release(members.sparkSession)
         if left <= gap * share:
             break
         share *= SHRINK

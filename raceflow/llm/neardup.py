@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from raceflow.llm import words as W
 from raceflow.llm.components import connected
-from raceflow.session import cut_lineage
+from raceflow.session import cut_lineage, release
 
 WORDS = 4
 ROWS, BANDS = 5, 36
@@ -270,6 +270,7 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = cut_lineage(connected(links))
 
     more = cut_lineage(across(shared, found, reps, texts, words))
+    release(docs.sparkSession)
     if not more.isEmpty():
         found = connected(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 

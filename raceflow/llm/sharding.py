@@ -155,6 +155,7 @@ def _seats(linked: DataFrame, quota: list[int], rounds: int) -> tuple[DataFrame,
         waiting = cut_lineage(waiting.join(seated, "hub", "left_anti"))
         before, left = left, waiting.count()
         number, still = number + 1, still + 1 if left == before else 0
+        release(spark)
     none = spark.range(0).select(*[F.col("id").alias(n) for n in names])
     return reduce(lambda x, y: x.unionByName(y), out, none).select(
         "hub", F.col("shard").cast("int").alias("seat")), segments, free

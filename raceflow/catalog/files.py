@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from raceflow.bindings import KEY, LOG_SQL, entrants, log_lines, table, with_entrants
+from raceflow import skew
+from raceflow.bindings import KEY, LOG_SQL, entrants, hot_races, log_lines, table, with_entrants
 from raceflow.functions.text import int_or_null
 from raceflow.operators import keys, logs, outcomes
 from raceflow.registry import query
-from raceflow.session import cut_lineage, scratch_path
+from raceflow.session import cut_lineage, release, scratch_path
 from raceflow.sources import files, pages
 from raceflow.streaming import incremental
 
@@ -90,26 +91,30 @@ def csv_round_trip(spark, sf):
 @query("outcome_documents", "S8 B4", with_entrants("""
   SELECT CAST(race_id AS STRING) AS race_id, CAST(horse_number AS STRING) AS key, market,
          round(CASE market WHEN 'win' THEN win_probability ELSE least(1.0, 3 * win_probability) END, 7) AS probability, head_count AS entries
-  FROM entrants, (SELECT unnest(['win', 'place']) AS market) WHERE CAST(race_id AS STRING) LIKE '1%'"""))
+  FROM entrants, (SELECT unnest(['win', 'place']) AS market)"""))
 def outcome_documents(spark, sf):
-    """Two versions are stored; the newer one of every race is read and packed into documents."""
+    """Two versions are stored; the newer one of every race is read, dealt by race once and packed into documents."""
     df = cut_lineage(entrants(spark, sf, ["race_id", "horse_number", "win_probability"]))  # written twice
     p = F.col("win_probability")
     path = scratch_path(spark, "outcomes")
     for day, scale in (("2024-01-01", 0.5), ("2024-01-02", 1.0)):
         rows = df.select("race_id", F.col("horse_number").alias("runner"), (p * scale).alias("win"), F.least(F.lit(1.0), 3 * p).alias("place"))
         outcomes.outcome_rows(rows, {"win": "win", "place": "place"}, "v1", F.lit(f"{day}T00:00:00")).write.mode("append").json(path, compression="gzip")
-    newest = files.latest_rows(files.read_outcomes(spark, path, prefix="1"), ["race_id", "model_id"], "created_ts")
-    newest = cut_lineage(newest.select("race_id", "market", "key", "probability"))  # the texts are parsed for this alone
-    out = None
-    for market in ("win", "place"):
-        docs = outcomes.pack(newest.filter(F.col("market") == market), "race_id", "key", "probability", "probs", parts=3)
-        sizes = docs.groupBy("race_id").agg(F.sum(F.size("probs")).alias("entries"))
-        part = outcomes.unpack(docs, "race_id", "probs").join(sizes, "race_id").withColumn("market", F.lit(market))
-        out = part if out is None else out.unionByName(part)
+    release(spark)
+    newest = files.latest_rows(files.read_outcomes(spark, path), ["race_id", "model_id"], "created_ts")
+    newest = newest.select("race_id", "market", "key", "probability")
+    out = skew.by_part(newest, ["race_id"], [(str(race),) for race, in hot_races(spark, sf)], _documents)
     return out.select("race_id", "key", "market", F.round("probability", 7).alias("probability"), "entries")
 
 
+def _documents(rows, hot):
+    """The rows by way of documents, with the entries of their race; a race that is not hot stays in one task."""
+    rows = rows.repartition("race_id") if hot == [] else rows
+    docs = outcomes.pack(rows, ["race_id", "market"], "key", "probability", "probs", parts=3)
+    docs = skew.over_group(docs, ["race_id", "market"], {"entries": F.sum(F.size("probs"))}, hot)
+    return outcomes.unpack(docs, ["race_id", "market"], "probs", keep=["entries"])
+
+
 @query("latest_odds_snapshot", "S9 F32", with_entrants("""
   SELECT CAST(race_id AS STRING) AS race_id, CAST(horse_number AS STRING) AS key,
          CASE WHEN race_id % 2 = 0 THEN win_odds * 2 ELSE win_odds END AS odds FROM entrants WHERE horse_number <> 2"""))

@@ -7,6 +7,7 @@ consequence of its size.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cache
 from itertools import permutations
 
@@ -24,15 +25,20 @@ def outcome_rows(probabilities: DataFrame, markets: dict[str, str], model_id: st
                        "_o.market", "key", "_o.probability")
 
 
-def pack(rows: DataFrame, race: str, key: str, value: str, out: str, parts: int = 1) -> DataFrame:
-    """Documents (race, part) with a map key → value of the keys that hash to the part."""
+def pack(rows: DataFrame, race: str | Sequence[str], key: str, value: str, out: str, parts: int = 1) -> DataFrame:
+    """Documents (race, part) with a map key → value of the keys that hash to the part; ``race`` may be several columns."""
     entry = F.struct(F.col(key).cast("string"), F.col(value))
     part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int").alias("part")
-    return rows.groupBy(race, part).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(out))
+    return rows.groupBy(*_columns(race), part).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(out))
 
 
-def unpack(documents: DataFrame, race: str, column: str, key: str = "key", value: str = "probability") -> DataFrame:
-    return documents.select(race, F.explode(column).alias(key, value))
+def unpack(documents: DataFrame, race: str | Sequence[str], column: str, key: str = "key", value: str = "probability",
+           keep: Sequence[str] = ()) -> DataFrame:
+    return documents.select(*_columns(race), *keep, F.explode(column).alias(key, value))
+
+
+def _columns(race: str | Sequence[str]) -> list[str]:
+    return [race] if isinstance(race, str) else list(race)
 
 
 def audit(probabilities: DataFrame, race: str = "race_id", tolerance: float = 0.01) -> DataFrame:

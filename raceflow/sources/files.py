@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from raceflow.session import cut_lineage
+
 log = logging.getLogger(__name__)
 
 # Outcomes and odds are stored as one row per outcome, whatever the size of the race.
@@ -109,9 +112,19 @@ def read_outcomes(spark: SparkSession, path: str, prefix: str = "", glob: str =
 
 
 def latest_rows(df: DataFrame, key: Sequence[str], stamp: str) -> DataFrame:
-    """All rows of the newest ``stamp`` of every key; a large key is split like any join."""
-    newest = df.groupBy(*key).agg(F.max(stamp).alias("_newest"))
-    return df.join(newest, list(key)).filter(F.col(stamp) == F.col("_newest")).drop("_newest")
+    """All rows of the newest ``stamp`` of every key; a large key is split like any join.
+
+    The newest stamp of each key is stored. Rows of the newest stamp of all are the newest of their key and do
+    not move; only the older ones are joined, with the keys that have nothing newer.
+    """
+    newest = cut_lineage(df.groupBy(*key).agg(F.max(stamp).alias("_newest")))
+    last = newest.agg(F.max("_newest")).scalar()
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    out, behind = df.filter(keyed & (F.col(stamp) == last)), newest.filter(F.col("_newest") < last)
+    if behind.isEmpty():
+        return out
+    older = df.filter(F.col(stamp) < last).join(behind, list(key)).filter(F.col(stamp) == F.col("_newest"))
+    return out.unionByName(older.select(df.columns))
 
 
 def usable_odds_rows(odds: DataFrame) -> DataFrame:

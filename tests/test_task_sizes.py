@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from raceflow import skew
 from raceflow.bindings import KEY, TIMELINE, entrants
+from raceflow.catalog import files as files_catalog
 from raceflow.catalog import learning as learning_catalog
 from raceflow.catalog import outcomes as outcomes_catalog
 from raceflow.operators import metrics, outcomes, pedigree, timeline
@@ -68,6 +69,28 @@ def test_outcomes_are_read_packed_and_plain(spark, tmp_path):
     assert files.read_outcomes(spark, str(tmp_path / "o")).count() == 6
 
 
+def test_outcomes_of_every_race_become_documents(spark, tmp_path):
+    lines = [(race, 10 * race + line, 1, line, 1.0 + line) for race in (1, 2, 17, 305) for line in range(1, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    for floor in ("1000", "2"):  # without and with hot races
+        spark.conf.set("spark.raceflow.hotRows", floor)
+        try:
+            rows = files_catalog.outcome_documents(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.raceflow.hotRows")
+        assert sorted((r["race_id"], r["key"], r["market"], r["entries"]) for r in rows) == sorted(
+            (str(race), str(key), market, 3) for race in (1, 2, 17, 305) for key in (1, 2, 3) for market in ("win", "place"))
+
+
+def test_latest_rows_join_only_keys_that_are_behind(spark):
+    rows = [(1, 1, "t1", "a"), (1, 1, "t2", "b"), (1, 1, "t2", "b"), (2, 1, "t1", "c"), (2, 1, "t0", "d"), (3, None, "t2", "e"), (4, 1, None, "f")]
+    df = spark.createDataFrame(rows, "race int, model int, t string, v string")
+    plan = files.latest_rows(df.filter("race = 1"), ["race", "model"], "t")
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["v"] for r in files.latest_rows(df, ["race", "model"], "t").collect()) == ["b", "b", "c"]
+
+
 def test_lines_of_descent_are_written_once(spark, monkeypatch):
     written, store = [], pedigree.cut_lineage
 

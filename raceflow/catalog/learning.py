@@ -206,7 +206,7 @@ def uncertainty_target(spark, sf):
 def student_t_degrees_of_freedom(spark, sf):
     df = entrants(spark, sf, ["race_id", "last_3f_time"])
     df = df.withColumn("z", F.round((F.col("last_3f_time") - 35.5) / 1.2, 6))
-    return learning.student_t_df(df, "race_id", "z")
+    return learning.student_t_df(df, "race_id", "z", hot=hot_races(spark, sf))
 
 
 @query("assembled_predictions", "M12", with_entrants(f"""

@@ -19,6 +19,7 @@ from raceflow.session import cut_lineage
 BINS = 32  # as MLlib's maxBins
 BITS = 5
 CODES = 12  # bins in a long
+SUM_BYTES = 32 << 20  # of the sums of all groups of a task, if each had one row
 
 
 def one_hot(df: DataFrame, column: str, prefix: str, values: Sequence | None = None,
@@ -285,16 +286,22 @@ def sigma_from_variance(variance: Column, fallback: Column) -> Column:
 
 
 def student_t_df(residuals: DataFrame, group: str, z: str, low: float = 2.1, high: float = 30.0,
-                 step: float = 0.25, default: float = 5.0) -> DataFrame:
+                 step: float = 0.25, default: float = 5.0, hot=None) -> DataFrame:
     """Degrees of freedom with the highest Student-t likelihood per group, on a grid.
 
-    The log-likelihood needs only n and Σ ln(1 + z²/ν) per grid point, so each group
-    is one aggregation row whatever its size; groups under 3 rows get ``default``.
+    The log-likelihood needs only n and Σ ln(1 + z²/ν) per grid point; groups under 3 rows get ``default``. These
+    sums are far wider than a row, so the rows are dealt by group and summed up where they meet, in tasks
+    of at most SUM_BYTES of sums; only hot groups are summed before they are shuffled.
     """
     grid = [round(low + i * step, 6) for i in range(int((high - low) / step + 1e-9) + 1)]
     x = F.col(z)
-    sums = residuals.filter(x.isNotNull()).groupBy(group).agg(
-        F.count(x).alias("n"), *[F.sum(F.log1p(x * x / nu)).alias(f"_s{i}") for i, nu in enumerate(grid)])
+
+    def summed(rows: DataFrame, hot) -> DataFrame:
+        rows = skew.dealt(rows, [group], total, max(SUM_BYTES // (8 * len(grid) + 32), 1)) if hot == [] else rows
+        return rows.groupBy(group).agg(F.count(x).alias("n"), *[F.sum(F.log1p(x * x / nu)).alias(f"_s{i}") for i, nu in enumerate(grid)])
+
+    total = residuals.count()
+    sums = skew.by_part(residuals.select(group, z).filter(x.isNotNull()), [group], hot, summed)
     options = []
     for i, nu in enumerate(grid):
         constant = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi)

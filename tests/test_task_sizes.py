@@ -91,6 +91,24 @@ def test_latest_rows_join_only_keys_that_are_behind(spark):
     assert sorted(r["v"] for r in files.latest_rows(df, ["race", "model"], "t").collect()) == ["b", "b", "c"]
 
 
+def test_likelihood_sums_are_not_shuffled(spark, monkeypatch):
+    rows = [(g, ((g * 37 + i * 11) % 23 - 11) / 4.0) for g in range(40) for i in range(2 + g % 9)] + [(None, 1.5), (3, None)]
+    df = spark.createDataFrame(rows, "g int, z double")
+    monkeypatch.setattr(learning, "SUM_BYTES", 10 * 1000)
+    cold, warm = (learning.student_t_df(df, "g", "z", hot=hot) for hot in ([], [(3,), (8,), (None,)]))
+    plan = cold._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan  # that of the rows; the sums stay where they are made
+    want = {}
+    for g in {g for g, _ in rows}:
+        z = [v for h, v in rows if h == g and v is not None]
+        grid = [round(2.1 + i * 0.25, 6) for i in range(112)]
+        fits = [len(z) * (math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi))
+                - (nu + 1) / 2 * sum(math.log1p(v * v / nu) for v in z) for nu in grid]
+        want[g] = (len(z), 5.0 if len(z) < 3 else grid[fits.index(max(fits))])
+    for df in (cold, warm):
+        assert {r["g"]: (r["n"], r["nu"]) for r in df.collect()} == want
+
+
 def test_lines_of_descent_are_written_once(spark, monkeypatch):
     written, store = [], pedigree.cut_lineage
 

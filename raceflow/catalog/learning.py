@@ -241,12 +241,14 @@ _RAW = [*KEY, "race_date", "trainer_id", "venue", "sire_id", "damsire_id", "trac
         "horse_weight", "prize_money", "is_win", "head_count", "horse_number", "passing_order_1", "passing_order_4"]
 
 
-def feature_table(spark, sf, recipe=features.DEFAULT_RECIPE):
-    # read by every feature family: stored once, then scanned by column
-    results = cut_lineage(entrants(spark, sf, _RAW))
+def _families(spark, sf, recipe=features.DEFAULT_RECIPE):
     entries = F.col("race_date") >= FROM_DAY
     hot = {"horse_id": hot_horses(spark, sf), "race_id": hot_races(spark, sf), "jockey_id": hot_jockeys(spark, sf)}
-    return features.build(entries, results, KEY, TIMELINE, recipe, hot=hot)
+    return features.families(entries, entrants(spark, sf, _RAW), KEY, TIMELINE, recipe, hot=hot)
+
+
+def feature_table(spark, sf, recipe=features.DEFAULT_RECIPE):
+    return _families(spark, sf, recipe)[0]
 
 
 _H = "PARTITION BY horse_id ORDER BY race_date, race_id, jockey_id, bracket_number"
@@ -388,7 +390,7 @@ def feature_table_has_no_results(spark, sf):
   SELECT {K}, coalesce(last_finish, (SELECT quantile_cont(last_finish, 0.5) FROM e))::DOUBLE AS past_1_finish_position_mean,
          starts::DOUBLE AS career_starts, coalesce(combo, (SELECT quantile_cont(combo, 0.5) FROM e), 0)::DOUBLE AS combo_races FROM e"""))
 def imputed_feature_table(spark, sf):
-    """Every numeric column of the default recipe is filled; medians of all come from one shuffle."""
-    table = cut_lineage(feature_table(spark, sf))
-    out = features.imputed(table, [*KEY, "race_date"])
+    """Every numeric column of the default recipe is filled; the medians of all are found family by family."""
+    table, parts = _families(spark, sf)
+    out = features.imputed(table, [*KEY, "race_date"], parts=parts())
     return out.select(*KEY, "past_1_finish_position_mean", "career_starts", "combo_races")

@@ -9,7 +9,7 @@ the number, so that a wide row is shuffled once, however many families there are
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from raceflow import skew
 from raceflow.functions import bands
 from raceflow.operators import ingroup, selection, stats, timeline
 from raceflow.plans import learning
-from raceflow.session import cut_lineage
+from raceflow.session import cut_lineage, release
 
 # Columns that a race's result brings; those of the race itself are never features.
 RESULT_COLUMNS = ["finish_position", "finish_time_seconds", "last_3f_time", "passing_order_1", "passing_order_2",
@@ -101,6 +101,14 @@ def build(entries: DataFrame | Column, results: DataFrame, key: Sequence[str], o
     themselves), or those of strictly earlier days than each entry (``row``). Result
     columns of the race itself leave the rows before any other measure is made.
     """
+    return families(entries, results, key, order, recipe, entity, race, hot, as_of)[0]
+
+
+def families(entries: DataFrame | Column, results: DataFrame, key: Sequence[str], order: Sequence[str],
+             recipe: Mapping = DEFAULT_RECIPE, entity: str = "horse_id", race: str = "race_id",
+             hot: Mapping[str, list] | None = None, as_of: str = "first_day") -> tuple[DataFrame, Callable[[], list[DataFrame]]]:
+    """The table of ``build`` and a function giving the parts it is put together from: together they have its columns, each part for
+    all of its rows. What is asked of each column alone (``imputed``) need not wait for the wide rows."""
     if as_of not in ("first_day", "all", "row"):
         raise ValueError(f"unknown as_of {as_of}")
     hot = dict(hot or {})
@@ -110,6 +118,9 @@ def build(entries: DataFrame | Column, results: DataFrame, key: Sequence[str], o
         if isinstance(entries, DataFrame):
             entries = entries.withColumn("distance_category", band)
     rows = skew.numbered(target_rows(results, entries, key))
+    if isinstance(entries, Column):
+        results = rows.drop(skew.ROW, "is_target_race")  # the same rows, which are stored by now
+    release(rows.sparkSession)
     first_day = rows.filter("is_target_race = 1").agg(F.min("race_date")).scalar()
     past = results if as_of in ("all", "row") else results.filter(F.col("race_date") < first_day)
 
@@ -145,29 +156,29 @@ def build(entries: DataFrame | Column, results: DataFrame, key: Sequence[str], o
             else:
                 found = skew.lookup(df.select(skew.ROW, *keys), table, keys, _hot_for(keys, hot), stored=True)
                 pieces.append(found.drop(*keys))
-    df = skew.assembled(df, pieces)
-    for keys, table in small:
-        df = skew.lookup(df, table, keys, _hot_for(keys, hot), stored=True)
-
-    basic = recipe.get("basic_features", {})
-    for r in basic.get("one_hot_encoding", []):
-        if r["column"] in df.columns:
-            df = learning.one_hot(df, r["column"], r["prefix"], stats.context_values(results, r["column"]))
-    if basic.get("bracket") and "bracket_number" in df.columns:
-        df = df.withColumns(bands.membership(F.col("bracket_number"), basic["bracket"]))
-
-    if as_of == "row":
-        specs = [x for x in statistics_specs(past, recipe, entity) if set(x[0]) <= set(df.columns)]
-        keys_used = sorted({k for keys, _, _ in specs for k in keys} | {"race_date"})
-        asked = cut_lineage(rows.filter("is_target_race = 1").select(*keys_used).distinct())
-        for keys, spec_of, least in specs:
-            df = stats.strictly_before(df, past, keys, "race_date", spec_of, least, asked)
-    if recipe.get("conditions"):
-        df = race_conditions(df)
-
-    names = selection.feature_columns(df, recipe.get("exclude_patterns", []))
+    def finished(df: DataFrame) -> DataFrame:
+        for keys, table in small:
+            df = skew.lookup(df, table, keys, _hot_for(keys, hot), stored=True)
+
+        basic = recipe.get("basic_features", {})
+        for r in basic.get("one_hot_encoding", []):
+            if r["column"] in df.columns:
+                df = learning.one_hot(df, r["column"], r["prefix"], stats.context_values(results, r["column"]))
+        if basic.get("bracket") and "bracket_number" in df.columns:
+            df = df.withColumns(bands.membership(F.col("bracket_number"), basic["bracket"]))
+
+        if as_of == "row":
+            specs = [x for x in statistics_specs(past, recipe, entity) if set(x[0]) <= set(df.columns)]
+            keys_used = sorted({k for keys, _, _ in specs for k in keys} | {"race_date"})
+            asked = cut_lineage(rows.filter("is_target_race = 1").select(*keys_used).distinct())
+            for keys, spec_of, least in specs:
+                df = stats.strictly_before(df, past, keys, "race_date", spec_of, least, asked)
+        return race_conditions(df) if recipe.get("conditions") else df
+
+    out = finished(skew.assembled(df, pieces))
+    names = selection.feature_columns(out, recipe.get("exclude_patterns", []))
     names = [c for c in names if c not in key and c != "race_date"]
-    return df.select(*key, "race_date", *names)
+    return out.select(*key, "race_date", *names), lambda: [finished(df), *pieces]
 
 
 def statistics(past: DataFrame, recipe: Mapping, entity: str, order: Sequence[str]) -> list[tuple[list[str], DataFrame]]:
@@ -227,11 +238,17 @@ def statistics_specs(past: DataFrame, recipe: Mapping, entity: str) -> list[tupl
     return [(list(keys), spec, least) for (keys, least), spec in found.items()]
 
 
-def imputed(df: DataFrame, keep: Sequence[str], recipe: Mapping = DEFAULT_RECIPE) -> DataFrame:
-    """Fill the NULLs of every numeric feature by the recipe's strategy."""
+def imputed(df: DataFrame, keep: Sequence[str], recipe: Mapping = DEFAULT_RECIPE, parts: Sequence[DataFrame] | None = None) -> DataFrame:
+    """Fill the NULLs of every numeric feature by the recipe's strategy. The values come from ``df``, or from the
+    ``families`` it is put together from, one at a time, so that the wide rows are not moved for them."""
     rule = recipe.get("imputation", {})
     names = [c for c in selection.feature_columns(df, []) if c not in keep]
-    fills = learning.fill_values(df, names, rule.get("numeric_strategy", "median"), rule.get("default_numeric_value", 0.0))
+    strategy, default = rule.get("numeric_strategy", "median"), rule.get("default_numeric_value", 0.0)
+    if parts is None or strategy != "median":
+        fills = learning.fill_values(df, names, strategy, default)
+    else:
+        found = skew.part_quantiles(parts, dict.fromkeys(names, [0.5]))
+        fills = {c: default if q[0] is None else q[0] for c, q in found.items()}
     return learning.impute(df, fills)
 
 

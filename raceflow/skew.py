@@ -21,7 +21,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raceflow.session import cut_lineage
+from raceflow.session import cut_lineage, release
 
 # Keys with at least this many rows are hot; override per session with
 # spark.raceflow.hotRows. At most HOT_LIMIT keys (the largest) are singled out,
@@ -346,14 +346,30 @@ def column_quantiles(df: DataFrame, columns: dict[str, Sequence[float]]) -> dict
     wanted ranks reach the driver. The input is read once and the number of jobs does
     not depend on the number of columns. NULL and NaN do not count.
     """
+    return part_quantiles([df], columns)
+
+
+def part_quantiles(parts: Sequence[DataFrame], columns: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """``column_quantiles`` of a table that is given in parts, each with some of the columns for all rows. The values
+    of a column are counted in the first part that has it, a part at a time; the shuffles of each are released."""
     names = list(columns)
     if not names:
         return {}
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(name).cast("double").alias("v"))
-                                for i, name in enumerate(names)])).alias("_x")
-    counts = (df.select(cells).select("_x.*").filter(F.col("v").isNotNull() & ~F.isnan("v"))
-              .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
-    counts = cut_lineage(counts)
+    counted, left = [], dict(enumerate(names))
+    for part in parts:
+        own = {i: name for i, name in left.items() if name in part.columns}
+        left = {i: name for i, name in left.items() if i not in own}
+        if not own:
+            continue
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(name).cast("double").alias("v")) for i, name in own.items()])).alias("_x")
+        counts = (part.select(cells).select("_x.*").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+                  .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+        counted.append(cut_lineage(counts))
+        if len(parts) > 1:
+            release(part.sparkSession)
+    if left:
+        raise ValueError(f"no part has the columns {sorted(left.values())}")
+    counts = reduce(DataFrame.unionByName, counted)
     sizes = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.sum("n").alias("n")).collect()}  # a row per column
     wanted: dict[int, list[int]] = {}
     for i, name in enumerate(names):

@@ -115,3 +115,12 @@ def test_spearman(spark, rows):
     a = metrics.spearman(df, ["who"], "x", "y", hot=[])
     b = metrics.spearman(df, ["who"], "x", "y", hot=HOT)
     assert table(a.select("who", F.round("correlation", 9))) == table(b.select("who", F.round("correlation", 9)))
+
+
+def test_quantiles_of_a_table_in_parts(spark):
+    df = spark.range(200).selectExpr("id", "CASE WHEN id % 5 > 0 THEN id * 7 % 31 END AS a", "CAST(id % 3 AS DOUBLE) AS b", "CAST(NULL AS INT) AS c")
+    columns = {"a": [0.1, 0.5], "b": [0.5], "c": [0.5]}
+    got = skew.part_quantiles([df.select("id", "b"), df.select("id", "a", "b"), df.select("c")], columns)
+    assert got == skew.column_quantiles(df, columns) and got["c"] == [None]
+    with pytest.raises(ValueError, match="'a'"):
+        skew.part_quantiles([df.select("b")], {"a": [0.5], "b": [0.5]})

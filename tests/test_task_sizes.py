@@ -164,6 +164,30 @@ def test_statistics_are_looked_up_by_narrow_rows(spark, sf, monkeypatch):
     assert out.count() == 2 * df.filter("race_date >= '1998-01-01'").count()  # rows that come twice stay twice
 
 
+def test_medians_are_found_in_the_families(spark, monkeypatch):
+    """No wide row is moved or stored for the values that fill the table."""
+    rows = spark.range(240).selectExpr(
+        "id div 6 AS race_id", "id * 7 % 23 AS horse_id", "id % 5 AS jockey_id", "CAST(id % 6 + 1 AS INT) AS bracket_number",
+        "date_add(DATE '1999-01-01', CAST(id div 6 AS INT) * 20) AS race_date", "id * 11 % 6 + 1 AS finish_position", "CAST(id * 11 % 6 = 0 AS INT) AS is_win",
+        "CASE WHEN id % 4 > 0 THEN id * 13 % 17 / 2.0D END AS morning_odds", "50 + id % 9 AS basis_weight", "CASE WHEN id % 7 > 0 THEN 'A' ELSE 'N' END AS track_surface")
+    recipe = {"basic_features": features.DEFAULT_RECIPE["basic_features"], "career_stats": ["career_starts", "career_wins", "career_win_rate"],
+              "past_performance": {"columns": ["finish_position"], "windows": [1, 3], "aggregations": ["mean", "std"]},
+              "entity_stats": [{"id_column": "jockey_id", "target": "is_win", "agg": "mean", "feature_name": "jockey_win_rate"}],
+              "z_score": ["basis_weight", "career_win_rate"], "relative": True, "trend_windows": [3]}
+    hot = {k: [] for k in ("horse_id", "race_id", "jockey_id")}
+    for limit in (skew.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", limit)
+        table, parts = features.families(F.col("race_date") >= "2000-01-01", rows, KEY, TIMELINE, recipe, hot=hot)
+        want = sorted(features.imputed(table, [*KEY, "race_date"], recipe).collect())
+        made, whole = parts(), skew.assembled
+        monkeypatch.setattr(skew, "assembled", None)
+        out = features.imputed(table, [*KEY, "race_date"], recipe, parts=made)
+        monkeypatch.setattr(skew, "assembled", whole)
+        assert len(made) > 2 and max(len(p.columns) for p in made) < len(table.columns)
+        assert sorted(out.collect()) == want and len(want) == 126
+        assert not any(x is None for row in want for x in row)
+
+
 def _measured(spark):
     df = spark.range(4000).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id * 31 % 11 AS DOUBLE) / 2 AS b", "0.0D AS c", "CAST(id % 5 AS INT) AS fold")
     df = df.withColumn("y", F.col("a") * F.col("a") + 3 * F.col("b") + F.pmod(F.hash("id"), F.lit(100)) / 50)
